@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import mixing, quality, sharding, urlfilter, warc
+from tidewater.llm import jaccard, mixing, pieces, quality, sharding, urlfilter, vectors, warc
 from tidewater.llm.shared import new_path, ship, table
 
 _record_page = lambda c: F.regexp_extract(c, "<urn:record:(.*)>", 1).cast("long")
@@ -20,6 +20,18 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(_record_page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", _record_page("refers_to").alias("refers_to"))
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"))
+
+
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"), 24, new_path(spark, "slot-map"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
@@ -37,7 +49,7 @@ def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages")).drop("block_probability")
 
 
-QUERIES = [op1_warc, op6_sharding, op7_quality, op8_mixing, op10_urlfilter]
+QUERIES = [op1_warc, op3_pieces, op4_jaccard, op5_vectors, op6_sharding, op7_quality, op8_mixing, op10_urlfilter]
 ORACLES = {"op1_warc": warc.ORACLE, "op8_mixing": mixing.ORACLE}
 
 
