@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import jaccard, mixing, pieces, quality, sharding, urlfilter, vectors, warc
+from tidewater.llm import jaccard, lm, mixing, pieces, quality, sharding, urlfilter, vectors, warc, wrappers
 from tidewater.llm.shared import new_path, ship, table
 
 _record_page = lambda c: F.regexp_extract(c, "<urn:record:(.*)>", 1).cast("long")
@@ -20,6 +20,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(_record_page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", _record_page("refers_to").alias("refers_to"))
 
 
+def op2_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"))
 
@@ -45,11 +49,15 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages")).drop("block_probability")
 
 
-QUERIES = [op1_warc, op3_pieces, op4_jaccard, op5_vectors, op6_sharding, op7_quality, op8_mixing, op10_urlfilter]
+QUERIES = [op1_warc, op2_wrappers, op3_pieces, op4_jaccard, op5_vectors, op6_sharding, op7_quality, op8_mixing, op9_lm, op10_urlfilter]
 ORACLES = {"op1_warc": warc.ORACLE, "op8_mixing": mixing.ORACLE}
 
 
