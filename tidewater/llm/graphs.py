@@ -88,20 +88,29 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of an edge table (u, v): the smallest node reachable.
 
-    Each round a node takes its neighbours' smallest label, then its label's label, so the rounds grow
-    with the logarithm of the longest path. Nothing but a count of changes reaches the driver, and
-    every round ends in a table in the shared folder.
+    Each round every node hooks onto its smallest lower neighbour, chains of hooks are shortened by
+    doubling until they end at a root, and edges are drawn anew between roots. A node that is not
+    the lowest around it is gone after the round, so edges and nodes at least halve, and the rounds grow
+    with the logarithm of the graph. Nothing but whether rows are left reaches the driver, and every
+    step ends in a table in the shared folder.
     """
-    both = stage(edges.select("u", "v").union(edges.select("v", "u")).distinct(), "edges")
-    labels = stage(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("u"), F.min("v")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        new = stage(lower.join(up, "label").select("node", F.least("label", "above").alias("label"), "old"), "labels")
-        moved = new.filter("label <> old").limit(1).count()
-        drop_staged(labels)
-        labels = new
-        if not moved:
-            drop_staged(both)
-            return labels.select("node", F.col("label").alias("component"))
+    high, low = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
+    left = stage(edges.filter("u <> v").select(high, low).distinct(), "edges")
+    labels = stage(left.select(F.col("u").alias("node")).union(left.select(F.col("v").alias("node"))).distinct().withColumn("label", F.col("node")), "labels")
+    while left.limit(1).count():
+        hooks = stage(left.groupBy("u").agg(F.min("v").alias("up")), "hooks")
+        while True:
+            above = hooks.select(F.col("u").alias("up"), F.col("up").alias("above"))
+            longer = stage(hooks.join(above, "up", "left").select("u", F.coalesce("above", "up").alias("up"), F.col("above").isNotNull().alias("moved")), "hooks")
+            drop_staged(hooks)
+            hooks = longer
+            if not hooks.filter("moved").limit(1).count():
+                break
+        of_u, of_v = hooks.select("u", F.col("up").alias("a")), hooks.select(F.col("u").alias("v"), F.col("up").alias("b"))
+        ends = left.join(of_u, "u").join(of_v, "v", "left").select(F.col("a").alias("u"), F.coalesce("b", "v").alias("v")).filter("u <> v")
+        new = stage(ends.select(high, low).distinct(), "edges")
+        named = stage(labels.join(hooks.select(F.col("u").alias("label"), "up"), "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
+        drop_staged(left, labels, hooks)
+        left, labels = new, named
+    drop_staged(left)
+    return labels.select("node", F.col("label").alias("component"))

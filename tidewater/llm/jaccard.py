@@ -151,11 +151,12 @@ def candidate_edges(batches: Iterator[pa.RecordBatch], least: dict[int, int]) ->
             across = lo[at] != hi[at]
             if size < 2 or size == 2 and not across:
                 continue
-            part = slice(at, at + size)
+            # In order of class ids, so that a group is joined to the same root whatever the band.
+            part = at + np.argsort(cid[at : at + size], kind="stable")
             root = graphs.forest(size, *surviving(sig[part], own[part] if across else None, least))
             moved = np.flatnonzero(root != np.arange(size))
-            u.append(at + root[moved])
-            v.append(at + moved)
+            u.append(part[root[moved]])
+            v.append(part[moved])
         u, v = np.concatenate(u), np.concatenate(v)
         yield pa.RecordBatch.from_arrays([pa.array(cid[u], pa.binary()), pa.array(cid[v], pa.binary())], ["u", "v"])
 

@@ -72,15 +72,17 @@ def _taken(rows: DataFrame, weights: Sequence[float], max_epochs: float, seed: i
     want = F.round("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(want / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     sources = sources.select(F.col("key").alias("_key"), "source_size", "target", whole.alias("_whole"), (want - whole * F.col("source_size")).alias("_rest"))
-    before = F.sum("bucket_size").over(W.partitionBy("_key").orderBy("_bucket")) - F.col("bucket_size")
-    plan = sums.join(sources, "_key").withColumn("_before", before)
-    plan = stage(plan.withColumn("_room", F.col("_rest") - F.col("_before")).drop("_rest", "_before"), "plan")
-    out = rows.join(plan, ["_key", "_bucket"])
-    # Only in a bucket that the boundary cuts are rows put in order.
-    cut = (F.col("_room") > 0) & (F.col("_room") < F.col("bucket_size"))
-    order = W.partitionBy("_key", "_bucket").orderBy("_hash", "_size", "_tie").rowsBetween(W.unboundedPreceding, -1)
-    clear = out.filter(~cut).withColumn("_more", F.when(F.col("_room") > 0, F.col("_size")).otherwise(F.lit(0)).cast("long"))
-    edge = out.filter(cut).withColumn("_more", F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_room") - F.coalesce(F.sum("_size").over(order), F.lit(0)))).cast("long"))
+    # One row a source: the bucket in which the words still missing run out, and how many are missing there.
+    upto = F.sum("bucket_size").over(W.partitionBy("_key").orderBy("_bucket"))
+    reached = sums.withColumn("_upto", upto).join(sources.select("_key", "_rest"), "_key").filter("_rest > 0 and _upto >= _rest")
+    cuts = reached.groupBy("_key").agg(F.min(F.struct("_bucket", (F.col("_rest") - F.col("_upto") + F.col("bucket_size")).alias("room"))).alias("_cut"))
+    plan = sources.drop("_rest").join(cuts, "_key", "left")
+    plan = stage(plan.select("_key", "source_size", "target", "_whole", F.coalesce("_cut._bucket", F.lit(-1)).alias("_at"), F.coalesce("_cut.room", F.lit(0)).alias("_room")), "plan")
+    out = rows.join(plan, "_key")
+    # Only in the bucket that the boundary cuts are rows put in order.
+    order = W.partitionBy("_key").orderBy("_hash", "_size", "_tie").rowsBetween(W.unboundedPreceding, -1)
+    clear = out.filter("_bucket <> _at").withColumn("_more", F.when(F.col("_bucket") < F.col("_at"), F.col("_size")).otherwise(F.lit(0)).cast("long"))
+    edge = out.filter("_bucket = _at").withColumn("_more", F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_room") - F.coalesce(F.sum("_size").over(order), F.lit(0)))).cast("long"))
     return clear.unionByName(edge).withColumn("taken", F.col("_whole") * F.col("_size") + F.col("_more"))
 
 
