@@ -7,7 +7,7 @@ the HTTP header, so the payload's length is not lost.
 
 Archives are written by Spark's text writer, a record a row with CRLF CRLF after it, gzipped, so
 any file system Spark knows can hold them. They are read as whole files of bounded size and parsed
-by Content-Length, so payloads may hold anything, record headers included.
+by Content-Length, a record at a time, so payloads may hold anything, record headers included.
 
 Defined results: a null payload is empty; rows that repeat the id and payload of a response are
 responses too; a record of a null id is a response only if no record of its payload has an id;
@@ -20,7 +20,9 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 BREAK = "\r\n"
 #: Files stay small enough to be read whole in a task.
 RECORDS_PER_FILE = 5000
+BATCH_BYTES = 4 << 20
 READ = "record_id string, target_uri string, record_type string, refers_to string, payload_digest string, payload_bytes long, payload binary, intact boolean"
 
 
@@ -66,41 +69,36 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     rows.select(F.concat(head, block).alias("value")).write.option("lineSep", BREAK * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """Headers (names in lower case) and block of each record of an archive, by Content-Length."""
-    view, at = memoryview(data), 0
+def records(archive: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record of an archive, by Content-Length: one record is held at a time."""
+    archive = io.BytesIO(archive) if isinstance(archive, bytes) else archive
     while True:
-        while data[at : at + 2] == b"\r\n":
-            at += 2
-        if at >= len(data):
+        line = archive.readline()
+        while line == b"\r\n":
+            line = archive.readline()
+        if not line:
             return
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split(BREAK)
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(fields["content-length"])
-        yield fields, view[end + 4 : end + 4 + size]
-        at = end + 4 + size
-
-
-def parse(data: bytes, with_payload: bool) -> dict[str, list]:
-    out: dict[str, list] = {x.split()[0]: [] for x in READ.split(", ")}
-    plain = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-    for fields, block in records(plain):
-        cut = bytes(block[:4096]).find(b"\r\n\r\n")
-        http = bytes(block[:cut]).decode("latin-1").lower().split(BREAK)
-        length = next((int(x.partition(":")[2]) for x in http if x.startswith("content-length:")), 0)
-        payload, digest = block[cut + 4 :], fields.get("warc-payload-digest", "").removeprefix("sha1:")
-        kind = fields["warc-type"]
-        row = {
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record where {line[:40]!r} stands")
+        fields = {}
+        while (line := archive.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            fields[name.strip().lower()] = value.strip()
+        yield fields, archive.read(int(fields["content-length"]))
+
+
+def parse(data: bytes, with_payload: bool) -> Iterator[dict]:
+    """The columns of READ for each record of an archive, gzipped or plain."""
+    stream = io.BytesIO(data)
+    for fields, block in records(io.BufferedReader(gzip.GzipFile(fileobj=stream), 1 << 16) if data[:2] == b"\x1f\x8b" else stream):
+        head, _, payload = block.partition(b"\r\n\r\n")
+        length = next((int(x.partition(":")[2]) for x in head.decode("latin-1").lower().split(BREAK) if x.startswith("content-length:")), 0)
+        digest, kind = fields.get("warc-payload-digest", "").removeprefix("sha1:"), fields["warc-type"]
+        yield {
             "record_id": fields["warc-record-id"], "target_uri": fields.get("warc-target-uri"), "record_type": kind, "refers_to": fields.get("warc-refers-to"),
-            "payload_digest": digest, "payload_bytes": length, "payload": bytes(payload) if with_payload and kind == "response" else None,
+            "payload_digest": digest, "payload_bytes": length, "payload": payload if with_payload and kind == "response" else None,
             "intact": kind != "response" or len(payload) == length and base64.b32encode(hashlib.sha1(payload).digest()).decode() == digest,
         }
-        for k, v in row.items():
-            out[k].append(v)
-    return out
 
 
 def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
@@ -110,7 +108,14 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data in b.column(0):
-                yield pa.RecordBatch.from_pydict(parse(data.as_py(), with_payload), schema)
+                held, size = [], 0
+                for row in parse(data.as_py(), with_payload):
+                    held.append(row)
+                    size += 500 + len(row["payload"] or b"")
+                    if size > BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(held, schema)
+                        held, size = [], 0
+                yield pa.RecordBatch.from_pylist(held, schema)
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content").mapInArrow(run, READ)
 
