@@ -48,7 +48,7 @@ def test_warc_round_trip_and_revisits(spark):
         if r.record_type == "response":
             assert r.payload_digest == base64.b32encode(hashlib.sha1(bytes(r.payload)).digest()).decode()
     raw = b"".join(gzip.open(p).read() for p in glob.glob(path.removeprefix("file:") + "/*.gz"))
-    assert raw.startswith(b"WARC/1.1\r\n") and b"X: y\r\n" not in raw
+    assert raw.startswith(b"WARC/1.1\r\n") and b"\nX: y" not in raw and b"Target-URI: http://dX: y\r\n" in raw
 
 
 def test_warc_reads_plain_and_damaged_archives():

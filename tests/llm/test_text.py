@@ -195,7 +195,7 @@ def test_lm_base_and_shape(spark):
 
 def test_lm_gradients_are_the_losses(spark):
     rng = np.random.default_rng(7)
-    lex = lm.make_lexicon(pa.table({"hash": pa.array(rng.integers(1, 2**60, 50)), "form": pa.array(rng.integers(0, 16, 50).astype("int32")), "c": pa.array(rng.integers(1, 99, 50))}), {f: (100, 20) for f in range(16)})
+    lex = lm.make_lexicon(pa.table({"hash": pa.array(rng.integers(1, 2**60, 50)), "form": pa.array(rng.integers(0, 16, 50).astype("int32")), "c": pa.array(rng.integers(1, 99, 50))}), {f: (5000, 60) for f in range(16)})
     p = {k: x.astype(np.float64) for k, x in lm.first_weights(lex, 1).items()}
     p["uc"], p["uw"] = p["uc"] * 20, p["uw"] * 20
     given, target = rng.integers(0, lm.VOCABULARY, (5, 4)), rng.integers(0, lm.VOCABULARY, (5, 4))
@@ -217,7 +217,7 @@ def test_lm_gradients_are_the_losses(spark):
 
 def test_lm_is_a_distribution_and_lanes_do_not_matter():
     rng = np.random.default_rng(8)
-    lex = lm.make_lexicon(pa.table({"hash": pa.array(rng.integers(1, 2**60, 50)), "form": pa.array(rng.integers(0, 16, 50).astype("int32")), "c": pa.array(rng.integers(1, 99, 50))}), {f: (100, 20) for f in range(16)})
+    lex = lm.make_lexicon(pa.table({"hash": pa.array(rng.integers(1, 2**60, 50)), "form": pa.array(rng.integers(0, 16, 50).astype("int32")), "c": pa.array(rng.integers(1, 99, 50))}), {f: (5000, 60) for f in range(16)})
     p = lm.first_weights(lex, 1)
     h = rng.standard_normal((1, lm.HIDDEN)).astype(np.float32)
     every = np.arange(lm.VOCABULARY)
