@@ -1,7 +1,7 @@
 """URL filters: rules first, then gradient-boosted trees on lexical features.
 
 The trees are Spark's own GBTClassifier, fitted on a bounded sample of labelled URLs
-(``train_rows``, drawn by a hash of the URL); every URL is judged. Features are lengths, depths,
+(``train_rows``, drawn by a hash of the URL and the row's id, so a URL that many pages share stays bounded too); every URL is judged. Features are lengths, depths,
 digit ratio, host entropy, parameter counts, and for host and file suffixes the smoothed share of
 blocked URLs among the sample. A suffix table has at most as many rows as the sample, so it is
 small enough to broadcast. Everything runs as DataFrame functions inside the JVM.
@@ -100,7 +100,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labelled:
     if labelled is None:
         known = every.withColumn("label", label(F.col("host"), F.col("_ruled")).cast("double"))
     else:
-        known = ruled(labelled.select(F.col("url").alias("_url"), F.col("label").cast("double").alias("label")), "_url")
+        known = ruled(labelled.select(F.lit(None).alias("_id"), F.col("url").alias("_url"), F.col("label").cast("double").alias("label")).distinct(), "_url")
     known = known.filter("label is not null").select("_url", "host", "path", "label")
     counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     if len(counts) < 2:
@@ -109,7 +109,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labelled:
     else:
         total = sum(counts.values())
         share = min(1.0, train_rows / total)
-        sample = known.filter(F.pmod(F.xxhash64("_url", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else known
+        sample = known.filter(F.pmod(F.xxhash64("_url", "_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else known
         sample = stage(features(sample, "_url"), "labelled")
         prior = counts.get(1.0, 0) / total
         tables = {s: sample.groupBy(s).agg(((F.sum("label") + 5 * prior) / (F.count("*") + 5)).alias(f"{s}_share")) for s in SUFFIXES}
