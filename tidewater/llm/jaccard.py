@@ -244,3 +244,25 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     single = told.filter("_stays is null or (_stays and not _repeated)").select("_row")
     repeated = told.filter("_stays and _repeated").groupBy("_id", "_text_hash").agg(F.first("_row").alias("_row")).select("_row")
     return single.union(repeated).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+
+
+#: DuckDB SQL for :func:`join` over ``documents``: all pairs that share a window, and reachability by recursion.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+n AS (SELECT r, doc_id, words, len(words) AS n FROM w WHERE len(words) > 0),
+g AS (
+  SELECT DISTINCT r, CASE WHEN n < 5 THEN concat_ws(' ', n, words[1], words[2], words[3], words[4]) ELSE concat_ws(' ', words[i], words[i + 1], words[i + 2], words[i + 3], words[i + 4]) END AS gram
+  FROM n, range(1, greatest(n - 4, 1) + 1) AS t(i)),
+s AS (SELECT r, count(*) AS size FROM g GROUP BY r),
+p AS (SELECT a.r, b.r AS o, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.r <> b.r GROUP BY a.r, b.r),
+l AS (SELECT p.r, p.o FROM p JOIN s x ON x.r = p.r JOIN s y ON y.r = p.o WHERE shared >= 0.8 * (x.size + y.size - shared)),
+c AS (
+  SELECT r, r AS root FROM w
+  UNION
+  SELECT l.o, c.root FROM c JOIN l ON l.r = c.r),
+k AS (SELECT c.r, min(w.doc_id) AS class_id FROM c JOIN w ON w.r = c.root GROUP BY c.r),
+m AS (SELECT l.r, count(*) AS n_links, count(DISTINCT b.words) FILTER (WHERE a.words <> b.words) AS n_text_links FROM l JOIN w a ON a.r = l.r JOIN w b ON b.r = l.o GROUP BY l.r)
+SELECT w.doc_id, k.class_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(n_text_links, 0)::BIGINT AS n_text_links
+FROM w JOIN k USING (r) LEFT JOIN m USING (r)
+"""

@@ -58,7 +58,7 @@ def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [op1_warc, op2_wrappers, op3_pieces, op4_jaccard, op5_vectors, op6_sharding, op7_quality, op8_mixing, op9_lm, op10_urlfilter]
-ORACLES = {"op1_warc": warc.ORACLE, "op8_mixing": mixing.ORACLE}
+ORACLES = {"op1_warc": warc.ORACLE, "op4_jaccard": jaccard.ORACLE, "op5_vectors": vectors.ORACLE, "op8_mixing": mixing.ORACLE}
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

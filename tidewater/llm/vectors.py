@@ -133,3 +133,20 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, seed: i
     out = joined.join(smallest, "group", "left").withColumn("component_id", F.coalesce("smallest", "_id"))
     n_links = F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))
     return out.select(F.col("_id").alias(id_col), n_links.cast("long").alias("n_links"), F.col("component_id").cast("long").alias("component_id"), F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+#: DuckDB SQL for :func:`near_duplicates` over ``embeddings``: all pairs, and reachability by recursion.
+ORACLE = r"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS x,
+         len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0 AS good
+  FROM embeddings),
+l AS (SELECT a.r, b.r AS o FROM v a JOIN v b ON a.r <> b.r AND len(a.x) = len(b.x) WHERE a.good AND b.good AND list_cosine_similarity(a.x, b.x) >= 0.9),
+c AS (
+  SELECT r, r AS root FROM v
+  UNION
+  SELECT l.o, c.root FROM c JOIN l ON l.r = c.r),
+k AS (SELECT c.r, min(v.vec_id) AS component_id FROM c JOIN v ON v.r = c.root GROUP BY c.r),
+m AS (SELECT r, count(*) AS n_links FROM l GROUP BY r)
+SELECT v.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN k USING (r) LEFT JOIN m USING (r)
+"""
