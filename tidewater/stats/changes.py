@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -164,52 +164,98 @@ def studentized(num: np.ndarray, den: np.ndarray, after: np.ndarray, prior: floa
 
 
 def scan(units: DataFrame, taus: Sequence[float], unit_hours: float = 24.0, side_days: int = 14, permutations: int = 2000, seed: int = 7, least_units: int = 2) -> DataFrame:
-    """For each candidate instant: the step all accounts share, its z, a permutation p, and what each says alone.
+    """For each candidate instant: the step all accounts share, its z, a permutation p, and whether they agree.
 
-    ``units`` is (account, t, num, den) with t in hours: a few numbers a day, which every task gets whole
-    (bounded by accounts x days). Instants are rows; shuffles are seeded by instant and account.
+    ``units`` is (account, t, num, den) with t in hours: a few numbers a day, so one account is a small group.
+    Accounts are dealt over tasks; a task adds its accounts' shuffles up and sends one row an instant, and
+    the rest is sums, rounded to nine places. Shuffles are seeded by instant and account, wherever they run.
     """
-    spark = units.sparkSession
-    held = {k: g.sort_values("t") for k, g in units.toPandas().groupby("account")}
-    data = {k: (g["t"].to_numpy(float), g["num"].to_numpy(float), g["den"].to_numpy(float)) for k, g in held.items()}
-    shared = spark.sparkContext.broadcast(data)
-
-    def one(tau: float) -> tuple | None:
-        steps, variances, names, draws = [], [], [], []
-        for name, (t, num, den) in sorted(shared.value.items()):
-            near = (t >= tau - 24 * side_days) & (t < tau + 24 * side_days)
-            unit = np.floor((t[near] - tau) / unit_hours)
-            keys, where = np.unique(unit, return_inverse=True)
-            w, d = np.bincount(where, num[near]), np.bincount(where, den[near])
-            good = d > 0
-            w, d, side = w[good], d[good], keys[good] >= 0
-            if side.sum() < least_units or (~side).sum() < least_units or w.sum() <= 0:
-                continue
-            prior = float(((w - w.sum() / d.sum() * d) ** 2 / d).mean())
-            step, variance = studentized(w, d, side[None], prior)
-            rng = np.random.Generator(np.random.PCG64([seed, int(round(tau * 4)) & 0xFFFFFFFF, zlib.crc32(str(name).encode())]))
-            shuffled = rng.permuted(np.broadcast_to(side, (permutations, len(side))), axis=1)
-            s, v = studentized(w, d, shuffled, prior)
-            steps.append(step[0]), variances.append(variance[0]), names.append(str(name)), draws.append((s, v))
-        if not steps:
+    grid = sorted({float(t) for t in taus})
+
+    def vote(name: object, frame: pd.DataFrame, tau: float) -> tuple[float, float, np.ndarray, np.ndarray] | None:
+        t, num, den = (frame[c].to_numpy(float) for c in ("t", "num", "den"))
+        near = (t >= tau - 24 * side_days) & (t < tau + 24 * side_days)
+        keys, where = np.unique(np.floor((t[near] - tau) / unit_hours), return_inverse=True)
+        w, d = np.bincount(where, num[near]), np.bincount(where, den[near])
+        good = d > 0
+        w, d, side = w[good], d[good], keys[good] >= 0
+        if side.sum() < least_units or (~side).sum() < least_units or w.sum() <= 0:
             return None
-        x, v = np.array(steps), np.array(variances)
-        weight = 1 / v
-        mean, z = (weight * x).sum() / weight.sum(), (weight * x).sum() / weight.sum() ** 0.5
-        top = sum(s / u for s, u in draws)
-        bottom = sum(1 / u for _, u in draws)
-        p = (1 + int((np.abs(top / bottom**0.5) >= abs(z)).sum())) / (permutations + 1)
-        others = [((weight * x).sum() - weight[i] * x[i]) / max(weight.sum() - weight[i], 1e-300) ** 0.5 for i in range(len(x))] if len(x) > 1 else [0.0]
-        agree = len(x) >= 2 and bool((np.abs(x - mean) <= 2.5 * v**0.5).all()) and not bool(((np.sign(x) != np.sign(mean)) & (np.abs(x) > 1.96 * v**0.5)).any())
-        wide = bool(min(np.sign(z) * np.array(others)) >= 1.96)
-        return tau, float(mean), float(z), p, len(x), agree, wide, float(weight.sum() ** -0.5), dict(zip(names, map(float, x), strict=True))
+        prior = float(((w - w.sum() / d.sum() * d) ** 2 / d).mean())
+        step, variance = studentized(w, d, side[None], prior)
+        rng = np.random.Generator(np.random.PCG64([seed, int(round(tau * 4)) & 0xFFFFFFFF, zlib.crc32(str(name).encode())]))
+        s, v = studentized(w, d, rng.permuted(np.broadcast_to(side, (permutations, len(side))), axis=1), prior)
+        return float(step[0]), float(variance[0]), s / v, 1 / v
 
-    def run(frames):  # type: ignore[no-untyped-def]
-        for f in frames:
-            yield pd.DataFrame([r for r in map(one, f["tau"].tolist()) if r], columns=["tau", "step", "z", "p", "voting", "agree", "plan_wide", "se", "steps"])
+    columns = ["tau", "account", "step", "variance", "top", "bottom"]
 
-    grid = spark.createDataFrame([(float(t),) for t in taus], "tau double")
-    return grid.repartition("tau").mapInPandas(run, "tau double, step double, z double, p double, voting bigint, agree boolean, plan_wide boolean, se double, steps map<string,double>")
+    def run(frames):  # type: ignore[no-untyped-def]
+        sums: dict[float, list[np.ndarray]] = {}
+        for name, frame in whole_accounts(frames):
+            rows = []
+            for tau in grid:
+                if found := vote(name, frame, tau):
+                    rows.append((tau, str(name), *found[:2], None, None))
+                    held = sums.setdefault(tau, [np.zeros(permutations), np.zeros(permutations)])
+                    held[0] += found[2]
+                    held[1] += found[3]
+            yield pd.DataFrame(rows, columns=columns)
+        yield pd.DataFrame([(tau, None, None, None, *x) for tau, x in sums.items()], columns=columns)
+
+    dealt = units.select("account", "t", "num", "den").repartition("account").sortWithinPartitions("account", "t")
+    told = dealt.mapInPandas(run, "tau double, account string, step double, variance double, top array<double>, bottom array<double>").persist()
+    votes = told.filter("account is not null")
+    weight, x = 1 / F.col("variance"), F.col("step")
+    totals = votes.groupBy("tau").agg(F.sum(weight).alias("w"), F.sum(weight * x).alias("wx"), F.count("*").alias("voting"))
+    totals = totals.withColumns({"mean": F.col("wx") / F.col("w"), "z": F.col("wx") / F.sqrt("w")})
+    drawn = told.filter("account is null").select("tau", F.posexplode(F.arrays_zip("top", "bottom")).alias("draw", "d"))
+    drawn = drawn.groupBy("tau", "draw").agg(F.sum("d.top").alias("top"), F.sum("d.bottom").alias("bottom")).join(totals.select("tau", "z"), "tau")
+    as_far = F.abs(F.col("top") / F.sqrt("bottom")) >= F.abs("z") * (1 - 1e-12)
+    p = drawn.groupBy("tau").agg(((1 + F.count_if(as_far)) / (permutations + 1)).alias("p"))
+    se = F.sqrt("variance")
+    others = (F.col("wx") - weight * x) / F.sqrt(F.greatest(F.col("w") - weight, F.lit(1e-300)))
+    marks = votes.join(totals, "tau").groupBy("tau").agg(
+        F.bool_and(F.abs(x - F.col("mean")) <= 2.5 * se).alias("near"), F.bool_or((F.signum(x) != F.signum("mean")) & (F.abs(x) > 1.96 * se)).alias("opposed"), F.min(F.signum("z") * others).alias("without_one"),
+    )
+    several = F.col("voting") >= 2
+    return totals.join(p, "tau").join(marks, "tau").select(
+        "tau", F.round("mean", 9).alias("step"), F.round("z", 9).alias("z"), "p", "voting", (several & F.col("near") & ~F.col("opposed")).alias("agree"), (several & (F.col("without_one") >= 1.96)).alias("plan_wide"), F.round(1 / F.sqrt("w"), 9).alias("se"),
+    )
+
+
+def whole_accounts(frames: Iterable[pd.DataFrame]) -> Iterator[tuple[object, pd.DataFrame]]:
+    """(account, its rows) from batches sorted by account."""
+    held: pd.DataFrame | None = None
+    for f in frames:
+        held = f if held is None else pd.concat([held, f], ignore_index=True)
+        if len(held):
+            last = held["account"].iloc[-1]
+            yield from held[held["account"] != last].groupby("account")
+            held = held[held["account"] == last]
+    if held is not None and len(held):
+        yield held["account"].iloc[0], held
+
+
+def refined(units: DataFrame, permutations: int = 2000, around_hours: int = 48, passes: int = 3) -> DataFrame:
+    """The strongest instant of a daily grid, then of an hourly one around it, until it stays; with the range of instants whose |z| is within 1 of its own."""
+    lo, hi = units.agg(F.min("t"), F.max("t")).first()
+    grid = [] if lo is None else [lo + 48 + 24 * i for i in range(max(0, int((hi - lo - 96) / 24)))]
+    best, found = None, scan(units, grid, permutations=permutations)
+    for _ in range(passes):
+        top = strongest(found, permutations).first()
+        if top is None or top.tau == best:
+            break
+        best = top.tau
+        found = scan(units, [best + h for h in range(-around_hours, around_hours + 1)], permutations=permutations)
+    top = strongest(found, permutations)
+    wide = found.crossJoin(F.broadcast(top.select(F.abs("z").alias("_z")))).filter(F.abs("z") >= F.col("_z") - 1).agg(F.min("tau").alias("first_tau"), F.max("tau").alias("last_tau"))
+    return top.crossJoin(F.broadcast(wide))
+
+
+def medians_apart(before: np.ndarray, after: np.ndarray, widths: float = 2.0) -> bool:
+    """Is the step between two medians more than so many standard errors of them."""
+    se = lambda x: 1.253 * 1.4826 * np.median(np.abs(x - np.median(x))) / len(x) ** 0.5
+    return bool(abs(np.median(after) - np.median(before)) > widths * (se(before) ** 2 + se(after) ** 2) ** 0.5)
 
 
 def flagged(scanned: DataFrame, alpha: float = 0.001) -> DataFrame:
