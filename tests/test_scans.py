@@ -175,3 +175,15 @@ def test_empty_tables(spark):
     none = readings(spark, (0, 1, 1, 300)).limit(0)
     pairs = ordered.reading_pairs(none, M)
     assert ordered.stretches(pairs)[0].count() == ordered.crossings(none, "five_hour", "resets_us", M).count() == ordered.window_points(none, M).count() == 0
+
+
+def test_inferred_resets(spark):
+    hour = 3_600_000_000
+    rows = [(1, 0, 50.0, None), (1, 1, 80.0, None), (1, 2, 0.0, None), (1, 3, 4.0, None), (1, 4, 6.0, 99), (1, 6, 7.0, None), (1, 7, 9.0, None)]  # opens at 2, ends at 7
+    rows += [(2, 0, 100.0, None), (2, 4, 100.0, None), (2, 6, 3.0, None)]  # level for over five hours: not told
+    rows += [(3, 0, 20.0, None), (3, 1, 0.0, None), (3, 2, 0.0, None)]  # never used: not told
+    df = spark.createDataFrame([(a, t * hour, i, v, r) for i, (a, t, v, r) in enumerate(rows)], "account int, ts_us long, seq int, five_hour double, resets_us long")
+    got = {(r.account, r.ts_us // hour): r.resets_us for r in ordered.inferred_resets(df).collect()}
+    told = {k: v if v == 99 else v // hour for k, v in got.items() if v is not None}
+    assert told == {(1, 2): 7, (1, 3): 7, (1, 4): 99, (1, 6): 7}
+    assert ordered.inferred_resets(df.limit(0)).count() == 0

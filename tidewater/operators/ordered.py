@@ -366,6 +366,28 @@ def armed_steps(values: DataFrame, threshold: float = 0.15, window: int = 4, lea
     return fold(values.select(*by, *order, "value"), by, order, make, schema)
 
 
+def inferred_resets(readings: DataFrame, by: Sequence[str] = ("account",), value: str = "five_hour", reset: str = "resets_us", ts: str = "ts_us", order: Sequence[str] = ("ts_us", "seq"), length: int = FIVE_HOURS) -> DataFrame:
+    """Fill missing resets from falls of the meter.
+
+    A fall within ``length`` of the first reading at the level before it tells one reset, and its row opens a
+    window that ends ``length`` later. Readings from there up to the next fall, to a gap above ``length`` or to
+    the window's end get that end, once one of them is above zero. Stated resets stay.
+    """
+    w = W.partitionBy(*by).orderBy(*order)
+    before, before_ts = F.lag(value).over(w), F.lag(ts).over(w)
+    falls = F.coalesce(F.col(value) < before, F.lit(False))
+    rows = segment_ids(readings, by, order, F.coalesce(F.col(value) != before, F.lit(False)), "_level")
+    rows = rows.withColumn("_level_from", F.min(ts).over(W.partitionBy(*by, "_level")))
+    known = F.col(reset).isNull() & falls & (F.col(ts) - F.lag("_level_from").over(w) <= length)
+    rows = rows.withColumns({"_opens": F.when(known, F.col(ts)), "_breaks": falls | F.coalesce(F.col(ts) - before_ts > length, F.lit(False))})
+    rows = segment_ids(rows, by, order, F.col("_breaks"), "_part")
+    part = W.partitionBy(*by, "_part")
+    end = F.max("_opens").over(part) + length
+    rows = rows.withColumn("_end", F.when(F.col(ts) < end, end))
+    used = F.max(F.when(F.col("_end").isNotNull(), F.col(value))).over(part) > 0
+    return rows.withColumn(reset, F.coalesce(F.col(reset), F.when(used, F.col("_end")))).drop("_level", "_level_from", "_opens", "_breaks", "_part", "_end")
+
+
 def in_log_order(readings: DataFrame, by: Sequence[str] = ("log_id",), order: str = "line_no", ts: str = "ts_us") -> DataFrame:
     """The longest run of a log's lines whose stamps do not fall; lines without a log id stay."""
     import bisect

@@ -187,6 +187,19 @@ def document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query(""", q AS (SELECT account, ts_us, seq, five_hour, CASE WHEN account % 2 = 0 AND seq % 4 = 0 THEN resets_us END AS resets_us FROM readings),
+l AS (SELECT *, lag(five_hour) OVER w AS was, lag(ts_us) OVER w AS was_ts FROM q WINDOW w AS (PARTITION BY account ORDER BY ts_us, seq)),
+v AS (SELECT *, count(*) FILTER (WHERE five_hour <> was) OVER w AS level, count(*) FILTER (WHERE five_hour < was OR ts_us - was_ts > 18000000000) OVER w AS part FROM l WINDOW w AS (PARTITION BY account ORDER BY ts_us, seq)),
+f AS (SELECT account, level, min(ts_us) AS level_from FROM v GROUP BY ALL),
+o AS (SELECT v.account, v.part, v.ts_us + 18000000000 AS window_end FROM v JOIN f ON f.account = v.account AND f.level = v.level - 1 WHERE v.resets_us IS NULL AND v.five_hour < v.was AND v.ts_us - f.level_from <= 18000000000),
+u AS (SELECT o.account, o.part, o.window_end FROM o JOIN v USING (account, part) WHERE v.ts_us < o.window_end GROUP BY ALL HAVING max(v.five_hour) > 0)
+SELECT v.account, v.seq, coalesce(v.resets_us, CASE WHEN v.ts_us < u.window_end THEN u.window_end END) AS resets_us FROM v LEFT JOIN u ON u.account = v.account AND u.part = v.part""", ["SCAN-3"])
+def inferred_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resets of readings that state few of them, told from the meter's falls."""
+    some = F.when((F.col("account") % 2 == 0) & (F.col("seq") % 4 == 0), F.col("resets_us"))
+    return ordered.inferred_resets(readings(spark, sf_dir).withColumn("resets_us", some)).select("account", "seq", "resets_us")
+
+
 @query(None, ["SCAN-4"])
 def log_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings of each log in the longest run of lines whose stamps do not fall."""
