@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-TABLE_WORDS = 400_000
+TABLE_WORDS = 250_000
 #: A run of markers and what follows it.
 _MARKED = re.compile(f"{MARK}+[^{MARK}]*")
 
