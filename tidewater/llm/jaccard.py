@@ -237,8 +237,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = signed.select("_id", "_text_hash", "cid").join(classes, "cid").filter("copies > 1 or component is not null")
     rows = stage(rows.select("_id", "_text_hash", F.coalesce("component", "cid").alias("group")), "rows")
     order = F.struct(F.col("_id").isNull(), "_id", "_text_hash")
-    kept = rows.groupBy("group").agg(F.min(order).alias("kept")).select("group", F.col("kept._id").alias("_kept"), F.col("kept._text_hash").alias("_kept_hash"))
-    fate = rows.groupBy("group", "_id", "_text_hash").count().join(kept, "group").select(F.col("_id").alias("_fate_id"), F.col("_text_hash").alias("_fate_hash"), (F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_text_hash") == F.col("_kept_hash"))).alias("_stays"), (F.col("count") > 1).alias("_repeated"))
+    kept = rows.groupBy("group").agg(F.min(order).alias("kept")).select(F.col("kept._id").alias("_kept"), F.col("kept._text_hash").alias("_kept_hash"), F.lit(True).alias("_is_kept"))
+    # Joined by document and not by group, so that a group of any size is spread.
+    fate = rows.groupBy("_id", "_text_hash").count().join(kept, F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_text_hash") == F.col("_kept_hash")), "left")
+    fate = fate.select(F.col("_id").alias("_fate_id"), F.col("_text_hash").alias("_fate_hash"), F.coalesce("_is_kept", F.lit(False)).alias("_stays"), (F.col("count") > 1).alias("_repeated"))
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_id"), F.xxhash64(docs[text_col].cast("string")).alias("_text_hash"))
     told = packed.join(fate, F.col("_id").eqNullSafe(F.col("_fate_id")) & (F.col("_text_hash") == F.col("_fate_hash")), "left")
     single = told.filter("_stays is null or (_stays and not _repeated)").select("_row")
