@@ -155,6 +155,13 @@ def test_wrapper_drops_what_a_host_repeats(spark):
     assert "Follow" in got[99]
 
 
+def test_slots_decide_inside_and_outside_the_article(spark):
+    body = lambda i: f"<section>lead {i} of the tale</section><article><h1>name {i}</h1><div>Send this to a friend</div><p>story {i} goes on</p><p style='display:none'>hid {i}</p></article><div>All rights kept</div>"
+    got = texts_of(spark, [(i, "http://host.net/p", page(body(i))) for i in range(12)] + [(99, "http://rare.net/", page(body(99)))])
+    assert all(got[i] == f"lead {i} of the tale name {i} story {i} goes on" for i in range(12))
+    assert got[99] == "name 99 Send this to a friend story 99 goes on"  # too few pages: elements decide
+
+
 def test_simple_tree_matching_keeps_order_and_counts():
     tree = lambda html: wrappers._settle(wrappers.parse(html)[0])
 

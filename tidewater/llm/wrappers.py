@@ -3,10 +3,12 @@
 Each host has a reference page, the one with its smallest id. Every page of the host is parsed and
 its tree of block elements aligned with the reference's by simple tree matching; an aligned place is
 a slot. Spark counts, for each host and slot, on how many pages its text is one that the host
-repeats there. A slot whose texts mostly recur is template; one whose texts vary is content. A
-second pass aligns again and drops template slots. Element names and class words (nav, footer,
-advert, comments, ...) decide where a host has too few pages, and an article or main element,
-where there is one, bounds the content and is never template.
+repeats there. A slot whose texts mostly recur is template; one whose texts vary is content, inside
+and outside article or main elements alike. A second pass aligns again, drops template slots and
+keeps content slots. The bounds of an article or main element decide only for blocks that are not
+aligned and where too few pages have the slot. Elements whose name or class word (nav, footer,
+advert, comments, ...) says that they are no main text, and hidden ones, are dropped even where their
+text varies: rotating adverts and links vary like content.
 
 Only tags of the reference and lists of slots travel with the pages, never a host's pages together: a
 host of any size is a sum of counts.
@@ -256,15 +258,15 @@ def slotted(page: str, tags: str) -> Iterator[tuple[int | None, Node, str]]:
         yield None if slot is None else slot * 8 + min(turn, 7), node, text
 
 
-def main_text(page: str, tags: str, template: frozenset[int]) -> tuple[str, int, int]:
+def main_text(page: str, tags: str, template: frozenset[int], content: frozenset[int] = frozenset()) -> tuple[str, int, int]:
     """(text, blocks dropped as template, blocks dropped by their element)."""
     blocks = list(slotted(page, tags))
     region = max((node.inside for _, node, _ in blocks if not node.outside), default=0)
     kept, constant, marked = [], 0, 0
     for slot, node, text in blocks:
-        if slot in template and not node.inside:
+        if slot in template:
             constant += 1
-        elif node.outside or node.inside < region:
+        elif node.outside or slot not in content and node.inside < region:
             marked += 1
         else:
             kept.append(text)
@@ -296,18 +298,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                         hashes.append(xxhash.xxh64_intdigest(text) - 2**63)
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(slots, pa.int32()), pa.array(hashes, pa.int64())], ["_host", "_slot", "_hash"])
 
-    # Slots inside an article never turn template, yet are counted like the others.
     found = slim.join(references, "_host").select("_host", "_html", "_tags").mapInArrow(texts_by_slot, "_host string, _slot int, _hash long")
     counts = found.groupBy("_host", "_slot", "_hash").count()
     slots = counts.groupBy("_host", "_slot").agg(F.sum("count").alias("_n"), F.sum(F.when(F.col("count") > 1, F.col("count")).otherwise(0)).alias("_again"))
-    template = slots.filter((F.col("_n") >= LEAST_PAGES) & (F.col("_again") >= SHARE * F.col("_n"))).groupBy("_host").agg(F.sort_array(F.collect_list("_slot")).alias("_template"))
-    wrappers = stage(references.join(template, "_host", "left"), "wrappers")
+    recurs = F.col("_again") >= SHARE * F.col("_n")
+    slots_of = lambda which: F.sort_array(F.collect_list(F.when(which, F.col("_slot"))))
+    decided = slots.filter(F.col("_n") >= LEAST_PAGES).groupBy("_host").agg(slots_of(recurs).alias("_template"), slots_of(~recurs).alias("_content"))
+    wrappers = stage(references.join(decided, "_host", "left"), "wrappers")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [main_text(page, tags, frozenset(template or ())) for page, tags, template in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            got = [main_text(page, tags, frozenset(template or ()), frozenset(content or ())) for page, tags, template, content in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)]
             texts, constant, marked = zip(*got, strict=True) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(constant, pa.int64()), pa.array(marked, pa.int64())], [id_col, url_col, "text", "n_chars", "n_template_blocks", "n_marked_blocks"])
 
     shape = f"`{id_col}` {id_type}, `{url_col}` string, text string, n_chars long, n_template_blocks long, n_marked_blocks long"
-    return slim.join(wrappers, "_host").select("_id", "_url", "_html", "_tags", "_template").mapInArrow(cut, shape)
+    return slim.join(wrappers, "_host").select("_id", "_url", "_html", "_tags", "_template", "_content").mapInArrow(cut, shape)
