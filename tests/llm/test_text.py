@@ -162,6 +162,18 @@ def test_slots_decide_inside_and_outside_the_article(spark):
     assert got[99] == "name 99 Send this to a friend story 99 goes on"  # too few pages: elements decide
 
 
+def test_copies_count_once_and_each_layout_has_a_wrapper(spark):
+    story = lambda i: f"<div>Follow the site</div><div><p>story {i} goes on</p><p>and {i} ends</p></div><div>All rights kept</div>"
+    # Every page occurs three times, once with another comment; the smallest id is empty.
+    rows = [(0, "http://host.net/p", "")] + [(1 + 3 * i + k, f"http://host.net/{k}", page(story(i) + "<!-- x -->" * (k == 2))) for i in range(8) for k in range(3)]
+    other = lambda i: f"<table><tr><td>Menu of dishes</td><td>table {i} is set</td></tr></table><section><p>course {i}</p></section><section>Call us</section>"
+    rows += [(100 + i, "http://host.net/o", page(other(i))) for i in range(6)]
+    got = texts_of(spark, rows)
+    assert got[0] == ""
+    assert all(got[1 + 3 * i + k] == f"story {i} goes on and {i} ends" for i in range(8) for k in range(3))
+    assert all(got[100 + i] == f"table {i} is set course {i}" for i in range(6))
+
+
 def test_simple_tree_matching_keeps_order_and_counts():
     tree = lambda html: wrappers._settle(wrappers.parse(html)[0])
 

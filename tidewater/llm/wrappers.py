@@ -1,16 +1,18 @@
 """Main text of web pages by wrapper induction.
 
-Each host has a reference page, the one with its smallest id. Every page of the host is parsed and
-its tree of block elements aligned with the reference's by simple tree matching; an aligned place is
-a slot. Spark counts, for each host and slot, on how many pages its text is one that the host
-repeats there. A slot whose texts mostly recur is template; one whose texts vary is content, inside
+The pages of a host with the same nesting of elements, runs of like siblings counted once, are a layout.
+Each layout of ``LEAST_PAGES`` different pages or more has a reference page; pages of rarer layouts go
+to the host's most frequent one. Every page is parsed and its tree of block elements aligned with its
+reference's by simple tree matching; an aligned place is a slot. Spark counts, for each reference and
+slot, on how many different pages its text is one that is repeated there; pages whose blocks are all
+equal count once, and pages without a block not at all. A slot whose texts mostly recur is template; one whose texts vary is content, inside
 and outside article or main elements alike. A second pass aligns again, drops template slots and
 keeps content slots. The bounds of an article or main element decide only for blocks that are not
 aligned and where too few pages have the slot. Elements whose name or class word (nav, footer,
 advert, comments, ...) says that they are no main text, and hidden ones, are dropped even where their
 text varies: rotating adverts and links vary like content.
 
-Only tags of the reference and lists of slots travel with the pages, never a host's pages together: a
+Only tags of the references and lists of slots travel with the pages, never a host's pages together: a
 host of any size is a sum of counts.
 
 Blocks are runs of text between block elements. Character references are decoded, white space in
@@ -180,6 +182,26 @@ def skeleton(root: Node) -> str:
     return ",".join(out)
 
 
+def layout(root: Node) -> str:
+    """Hash of a tree's nesting: runs of equal siblings count once, so that the number of paragraphs does not matter."""
+    order, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        order.append(n)
+        todo += n.kids
+    of: dict[int, str] = {}
+    for n in reversed(order):
+        kids = [of[k.index] for k in n.kids]
+        runs = [k for i, k in enumerate(kids) if not i or k != kids[i - 1]]
+        of[n.index] = xxhash.xxh64_hexdigest(f"{n.tag}({','.join(runs)})")
+    return of[root.index]
+
+
+def content_hash(blocks: list[tuple[Node, str]]) -> int:
+    """Hash of all of a page's blocks: comments and scripts do not make another page."""
+    return xxhash.xxh64_intdigest("\0".join(text for _, text in blocks)) - 2**63
+
+
 @lru_cache(256)
 def grown(tags: str) -> Node:
     """The tree of a skeleton; indices count its nodes in order."""
@@ -247,9 +269,9 @@ def aligned(reference: Node, page: Node) -> dict[int, int]:
     return out
 
 
-def slotted(page: str, tags: str) -> Iterator[tuple[int | None, Node, str]]:
+def slotted(page: str, tags: str, parsed: tuple[Node, list[tuple[Node, str]]] | None = None) -> Iterator[tuple[int | None, Node, str]]:
     """(slot or None, element, text) of each block; a slot also counts the element's earlier blocks."""
-    root, blocks = parse(page)
+    root, blocks = parsed or parse(page)
     slots = aligned(grown(tags), _settle(root)) if tags else {}
     seen: dict[int, int] = {}
     for node, text in blocks:
@@ -277,34 +299,55 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row a page: id, url, text, n_chars, n_template_blocks and n_marked_blocks."""
     slim = pages.select(pages[id_col].alias("_id"), pages[url_col].cast("string").alias("_url"), host_of(pages[url_col].cast("string")).alias("_host"), F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("_html"))
     id_type = slim.schema["_id"].dataType.simpleString()
-    # Each map task sends one page a host, so a host of any size is a few rows.
-    first = F.struct(F.col("_id").isNull().alias("_unnamed"), "_id", "_html")
-    chosen = slim.groupBy("_host").agg(F.min(first).alias("_first")).select("_host", "_first._html")
-
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([skeleton(parse(x.as_py())[0]) for x in b.column(1)], pa.string())], ["_host", "_tags"])
+            rows = [(host, layout(root), content_hash(blocks), skeleton(root)) for host, page in zip(*(c.to_pylist() for c in b.columns), strict=True) for root, blocks in (parse(page),) if blocks]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else ((),) * 4, (pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], ["_host", "_layout", "_page", "_tags"])
+
+    # Copies meet in the map task first; a layout of any size is then a count and its least page.
+    different = slim.select("_host", "_html").mapInArrow(outline, "_host string, _layout string, _page long, _tags string").groupBy("_host", "_layout", "_page").agg(F.min("_tags").alias("_tags"))
+    layouts = different.groupBy("_host", "_layout").agg(F.count("*").alias("_pages"), F.min(F.struct("_page", "_tags"))["_tags"].alias("_tags"))
+    layouts = stage(layouts, "layouts")
+    usual = layouts.groupBy("_host").agg(F.max(F.struct("_pages", "_layout"))["_layout"].alias("_layout"))
+    often = layouts.join(usual.withColumn("_usual", F.lit(True)), ["_host", "_layout"], "left").filter((F.col("_pages") >= LEAST_PAGES) | F.col("_usual"))
+    references = stage(often.select("_host", "_layout", "_tags", F.coalesce("_usual", F.lit(False)).alias("_usual")), "references")
+
+    def laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([layout(parse(x)[0]) for x in b.column(3).to_pylist()], pa.string())], [*b.schema.names, "_layout"])
+
+    placed = slim.mapInArrow(laid_out, f"_id {id_type}, _url string, _host string, _html string, _layout string")
 
-    references = stage(chosen.mapInArrow(outline, "_host string, _tags string"), "references")
+    def with_wrapper(wrappers: DataFrame, columns: list[str]) -> DataFrame:
+        """Each page beside its layout's reference, else its host's most frequent one, else nulls."""
+        both = ["_layout", *columns]
+        own = wrappers.select("_host", "_layout", F.struct(*both).alias("_own"))
+        other = wrappers.filter("_usual").select("_host", F.struct(*both).alias("_other"))
+        return placed.join(own, ["_host", "_layout"], "left").join(other, "_host", "left").withColumn("_w", F.coalesce("_own", "_other")).select("_id", "_url", "_host", "_html", *(F.col(f"_w.{c}").alias(c) for c in both))
 
     def texts_by_slot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, slots, hashes = [], [], []
-            for host, page, tags in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for slot, _, text in slotted(page, tags):
+            hosts, refs, slots, hashes, pages_ = [], [], [], [], []
+            for host, page, ref, tags in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                parsed = parse(page)
+                name = content_hash(parsed[1])
+                for slot, _, text in slotted(page, tags, parsed):
                     if slot is not None:
                         hosts.append(host)
+                        refs.append(ref)
                         slots.append(slot)
                         hashes.append(xxhash.xxh64_intdigest(text) - 2**63)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(slots, pa.int32()), pa.array(hashes, pa.int64())], ["_host", "_slot", "_hash"])
+                        pages_.append(name)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(refs, pa.string()), pa.array(slots, pa.int32()), pa.array(hashes, pa.int64()), pa.array(pages_, pa.int64())], ["_host", "_layout", "_slot", "_hash", "_page"])
 
-    found = slim.join(references, "_host").select("_host", "_html", "_tags").mapInArrow(texts_by_slot, "_host string, _slot int, _hash long")
-    counts = found.groupBy("_host", "_slot", "_hash").count()
-    slots = counts.groupBy("_host", "_slot").agg(F.sum("count").alias("_n"), F.sum(F.when(F.col("count") > 1, F.col("count")).otherwise(0)).alias("_again"))
+    key = ["_host", "_layout", "_slot"]
+    found = with_wrapper(references, ["_tags"]).filter("_tags is not null").select("_host", "_html", "_layout", "_tags").mapInArrow(texts_by_slot, "_host string, _layout string, _slot int, _hash long, _page long").dropDuplicates()
+    counts = found.groupBy(*key, "_hash").count()
+    slots = counts.groupBy(*key).agg(F.sum("count").alias("_n"), F.sum(F.when(F.col("count") > 1, F.col("count")).otherwise(0)).alias("_again"))
     recurs = F.col("_again") >= SHARE * F.col("_n")
     slots_of = lambda which: F.sort_array(F.collect_list(F.when(which, F.col("_slot"))))
-    decided = slots.filter(F.col("_n") >= LEAST_PAGES).groupBy("_host").agg(slots_of(recurs).alias("_template"), slots_of(~recurs).alias("_content"))
-    wrappers = stage(references.join(decided, "_host", "left"), "wrappers")
+    decided = slots.filter(F.col("_n") >= LEAST_PAGES).groupBy("_host", "_layout").agg(slots_of(recurs).alias("_template"), slots_of(~recurs).alias("_content"))
+    wrappers = stage(references.join(decided, ["_host", "_layout"], "left"), "wrappers")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -313,4 +356,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(constant, pa.int64()), pa.array(marked, pa.int64())], [id_col, url_col, "text", "n_chars", "n_template_blocks", "n_marked_blocks"])
 
     shape = f"`{id_col}` {id_type}, `{url_col}` string, text string, n_chars long, n_template_blocks long, n_marked_blocks long"
-    return slim.join(wrappers, "_host").select("_id", "_url", "_html", "_tags", "_template", "_content").mapInArrow(cut, shape)
+    return with_wrapper(wrappers, ["_tags", "_template", "_content"]).select("_id", "_url", "_html", "_tags", "_template", "_content").mapInArrow(cut, shape)
