@@ -249,6 +249,28 @@ def test_lm_is_a_distribution_and_lanes_do_not_matter():
     assert np.allclose(together, apart, rtol=1e-4)
 
 
+def test_lm_learns_from_whole_texts(spark, monkeypatch):
+    seen, steps = [], lm.gradients
+
+    def watched(p, given, target, on, h):
+        seen.append((given.copy(), target.copy(), on.copy(), h.copy()))
+        out = steps(p, given, target, on, h)
+        seen[-1] += (out[1].copy(),)
+        return out
+
+    monkeypatch.setattr(lm, "gradients", watched)
+    rng = np.random.default_rng(2)
+    lex = lm.make_lexicon(pa.table({"hash": pa.array(rng.integers(1, 2**60, 50)), "form": pa.array(rng.integers(0, 16, 50).astype("int32")), "c": pa.array(rng.integers(1, 99, 50))}), {f: (5000, 900) for f in range(16)})
+    texts = [rng.integers(0, lm.VOCABULARY, n).astype(np.int16) for n in (1000, 1, 16, 333)]
+    assert lm.train(lm.first_weights(lex, 1), iter(texts), lex.end_id) == 1350
+    lane = np.concatenate([t[:, 0][on[:, 0]] for _, t, on, _, _ in seen])
+    assert (lane == texts[0]).all() and (np.concatenate([g[:, 0][on[:, 0]] for g, _, on, _, _ in seen]) == [lex.end_id, *texts[0][:-1]]).all()
+    assert all((a[4][0] == b[3][0]).all() for a, b in zip(seen, seen[1:], strict=False)) and seen[1][3][0].any()
+    rows = docs(spark, ["word " * 5000 + "last"])
+    ids = lm.encoded(rows.withColumnRenamed("text", "_text"), spark.sparkContext.broadcast(lex)).first().ids
+    assert len(ids) == 2 * 5002
+
+
 def test_lm_beats_the_base_on_held_out_documents(spark, sf_dir):
     got = [r for r in lm.score(table(spark, sf_dir, "documents")).collect() if r.held_out]
     n = sum(r.n_tokens for r in got)

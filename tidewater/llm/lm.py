@@ -5,10 +5,10 @@ text, and ``FORMS`` kinds of rarer word are the network's vocabulary, in classes
 rarer word's probability is that of its form times its add-one share among the form's words, so
 the probabilities of all words sum to one. Weights start at the unigram distribution.
 
-Every training document gives one slice of text, at a place drawn by hash, so what is learned from
-grows with the input. Each partition of slices trains a replica from the same weights by truncated
-backpropagation, with the state carried from window to window, and replicas are averaged in
-Spark, in two steps of bounded groups, ``ROUNDS`` times over.
+Every training document is learned from whole. Each partition of documents trains a replica from the
+same weights by truncated backpropagation over lanes of texts: a lane takes the next text when its own
+ends, and the state is carried from window to window within a text. A task holds one batch of texts at
+a time. Replicas are averaged in Spark, in two steps of bounded groups, ``ROUNDS`` times over.
 
 Scoring packs whole documents one after another into lanes that step together; the state is carried
 across windows and is reset where a document begins. Words beyond the ``HEAD`` most frequent, the
@@ -22,8 +22,9 @@ training token every count is 0; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -40,7 +41,7 @@ VOCABULARY = CLASSES * PER_CLASS
 WORDS = VOCABULARY - FORMS - 1
 HEAD = 1 << 18
 EMBED, HIDDEN = 16, 24
-WINDOW, SLICE_CHARS, SLICE_TOKENS, LANES, ROUNDS, RATE = 16, 280, 48, 64, 2, 0.01
+WINDOW, LANES, ROUNDS, RATE = 16, 64, 2, 0.01
 SCORE_WINDOW, SCORE_LANES = 32, 384
 #: Hash of the end token; a word's hash is never looked up under it but by a 64-bit coincidence.
 END = np.uint64(0x1D0E2F6B9C3A5784)
@@ -149,6 +150,18 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(1, keepdims=True))
 
 
+def _share_less_target(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(softmax less one at the target, log softmax of the target) of each row; ``x`` is overwritten."""
+    rows = np.arange(len(target))
+    x -= x.max(1, keepdims=True)
+    at = x[rows, target]
+    np.exp(x, out=x)
+    total = x.sum(1, keepdims=True)
+    x /= total
+    x[rows, target] -= 1
+    return x, at - np.log(total[:, 0])
+
+
 def _by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """Order of the rows by class, and (class, first, end) of each class there."""
     cls = target // PER_CLASS
@@ -174,9 +187,10 @@ def gradients(p: dict[str, np.ndarray], given: np.ndarray, target: np.ndarray, o
     """Gradients of the mean loss over a window (steps, lanes), the state after it, and the loss; ``on`` masks the tokens."""
     steps, lanes = given.shape
     kept, hs = [], []
+    embedded = p["emb"][given.ravel()]
+    gx = (embedded @ p["wx"] + p["b"]).reshape(steps, lanes, -1)
     for t in range(steps):
-        gx = p["emb"][given[t]] @ p["wx"] + p["b"]
-        new, *gates = _step(gx, h, p["wh"])
+        new, *gates = _step(gx[t], h, p["wh"])
         kept.append((h, *gates))
         h = new
         hs.append(h)
@@ -184,69 +198,99 @@ def gradients(p: dict[str, np.ndarray], given: np.ndarray, target: np.ndarray, o
     mask = on.ravel()
     flat_h, flat_t = np.concatenate(hs)[mask], target.ravel()[mask]
     n = max(len(flat_t), 1)
-    logs = _log_softmax(flat_h @ p["uc"] + p["bc"])
-    loss = -float(logs[np.arange(len(flat_t)), flat_t // PER_CLASS].sum())
-    d = np.exp(logs)
-    d[np.arange(len(flat_t)), flat_t // PER_CLASS] -= 1
+    d, logs = _share_less_target(flat_h @ p["uc"] + p["bc"], flat_t // PER_CLASS)
+    loss = -float(logs.sum())
     d /= n
     g["uc"], g["bc"], dh = flat_h.T @ d, d.sum(0), d @ p["uc"].T
     order, parts = _by_class(flat_t)
     hs_sorted, word = flat_h[order], flat_t[order] % PER_CLASS
+    dh_sorted = dh[order]
     for c, a, b in parts:
-        logs = _log_softmax(hs_sorted[a:b] @ p["uw"][c] + p["bw"][c])
-        loss -= float(logs[np.arange(b - a), word[a:b]].sum())
-        d = np.exp(logs)
-        d[np.arange(b - a), word[a:b]] -= 1
+        d, logs = _share_less_target(hs_sorted[a:b] @ p["uw"][c] + p["bw"][c], word[a:b])
+        loss -= float(logs.sum())
         d /= n
         g["uw"][c], g["bw"][c] = hs_sorted[a:b].T @ d, d.sum(0)
-        dh[order[a:b]] += d @ p["uw"][c].T
+        dh_sorted[a:b] += d @ p["uw"][c].T
+    dh[order] = dh_sorted
     from_output = np.zeros((steps * lanes, HIDDEN), np.float32)
     from_output[mask] = dh
     from_output = from_output.reshape(steps, lanes, HIDDEN)
     carry = np.zeros((lanes, HIDDEN), np.float32)
+    dgx, dgh = np.empty_like(gx), np.empty_like(gx)
     for t in range(steps - 1, -1, -1):
         before, r, z, cand, ghn = kept[t]
         dh = carry + from_output[t]
         dn = dh * (1 - z) * (1 - cand * cand)
-        dz = dh * (before - cand) * z * (1 - z)
-        dr = dn * ghn * r * (1 - r)
-        dgx = np.concatenate([dr, dz, dn], 1)
-        dgh = np.concatenate([dr, dz, dn * r], 1)
-        g["wh"] += before.T @ dgh
-        carry = dh * z + dgh @ p["wh"].T
-        g["wx"] += p["emb"][given[t]].T @ dgx
-        g["b"] += dgx.sum(0)
-        np.add.at(g["emb"], given[t], dgx @ p["wx"].T)
+        dgx[t, :, :HIDDEN] = dn * ghn * r * (1 - r)
+        dgx[t, :, HIDDEN : 2 * HIDDEN] = dh * (before - cand) * z * (1 - z)
+        dgx[t, :, 2 * HIDDEN :] = dn
+        dgh[t] = dgx[t]
+        dgh[t, :, 2 * HIDDEN :] *= r
+        carry = dh * z + dgh[t] @ p["wh"].T
+    dgx, dgh = dgx.reshape(steps * lanes, -1), dgh.reshape(steps * lanes, -1)
+    g["wh"] += np.concatenate([k[0] for k in kept]).T @ dgh
+    g["wx"] += embedded.T @ dgx
+    g["b"] += dgx.sum(0)
+    order = np.argsort(given.ravel(), kind="stable")
+    found, first = np.unique(given.ravel()[order], return_index=True)
+    g["emb"][found] = np.add.reduceat((dgx @ p["wx"].T)[order], first, axis=0)
     return g, h, loss / n
 
 
-def train(p: dict[str, np.ndarray], slices: list[np.ndarray], end_id: int) -> int:
-    """Train ``p`` in place by Adam over slices of ids, a batch of lanes at a time; returns the tokens seen."""
-    mean, square, step, seen = np.zeros(0), np.zeros(0), 0, 0
+def train(p: dict[str, np.ndarray], texts: Iterable[np.ndarray], end_id: int) -> int:
+    """Train ``p`` in place by Adam over whole texts of ids in lanes; returns the tokens seen.
+
+    A step rests on at least half a full window of tokens: when the last texts leave lanes empty,
+    gradients of several windows are summed before it.
+    """
     theta = flat(p)
-    mean, square = np.zeros_like(theta), np.zeros_like(theta)
-    for at in range(0, len(slices), LANES):
-        lanes = slices[at : at + LANES]
-        longest = max(map(len, lanes))
-        target = np.full((longest, len(lanes)), -1)
-        for k, ids in enumerate(lanes):
-            target[: len(ids), k] = ids
-        given = np.concatenate([np.full((1, len(lanes)), end_id), np.maximum(target[:-1], 0)])
-        h = np.zeros((len(lanes), HIDDEN), np.float32)
-        for t in range(0, longest, WINDOW):  # the state goes on, the gradient stops at the window
-            on = target[t : t + WINDOW] >= 0
-            if not on.any():
-                continue
-            g, h, _ = gradients(p, given[t : t + WINDOW], np.maximum(target[t : t + WINDOW], 0), on, h)
-            step += 1
-            seen += int(on.sum())
-            grad = flat(g)
-            norm = float(np.sqrt((grad * grad).sum()))
-            grad *= min(1.0, 1.0 / (norm + 1e-9))
-            mean += 0.1 * (grad - mean)
-            square += 0.01 * (grad * grad - square)
-            theta -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)
-            p.update(shaped(theta))
+    mean, square, step, seen = np.zeros_like(theta), np.zeros_like(theta), 0, 0
+    total, tokens_in = np.zeros_like(theta), 0
+
+    def update() -> None:
+        nonlocal step, mean, square, theta, total, tokens_in
+        step += 1
+        grad = total / tokens_in
+        grad *= min(1.0, 1.0 / (float(np.sqrt(grad @ grad)) + 1e-9))
+        mean += 0.1 * (grad - mean)
+        square += 0.01 * (grad * grad - square)
+        theta -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)
+        p.update(shaped(theta))
+        total, tokens_in = np.zeros_like(theta), 0
+
+    coming = (x for x in texts if len(x))
+    held = list(islice(coming, LANES))
+    at, h = [0] * len(held), np.zeros((len(held), HIDDEN), np.float32)
+    last = np.full(len(held), end_id)
+    while held:
+        target = np.full((WINDOW, len(held)), -1)
+        for k, ids in enumerate(held):
+            part = ids[at[k] : at[k] + WINDOW]
+            target[: len(part), k] = part
+            at[k] += WINDOW
+        on = target >= 0
+        clean = np.maximum(target, 0)
+        # The state goes on, the gradient stops at the window.
+        g, h, _ = gradients(p, np.concatenate([last[None], clean[:-1]]), clean, on, h)
+        n, last = int(on.sum()), clean[-1]
+        total += flat(g) * np.float32(n)
+        seen, tokens_in = seen + n, tokens_in + n
+        if 2 * tokens_in >= WINDOW * LANES:
+            update()
+        ended = [k for k, ids in enumerate(held) if at[k] >= len(ids)]
+        over = []
+        for k in ended:
+            new = next(coming, None)
+            if new is None:
+                over.append(k)
+            else:
+                held[k], at[k], h[k], last[k] = new, 0, 0, end_id
+        for k in reversed(over):
+            del held[k], at[k]
+        if over:
+            h, last = np.delete(h, over, 0), np.delete(last, over)
+    if tokens_in:
+        update()
     return seen
 
 
@@ -338,34 +382,44 @@ def _averaged(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).applyInPandas(mean, rows.schema)
 
 
-def fitted(slices: DataFrame, lexicon: Lexicon, seed: int) -> dict[str, np.ndarray]:
-    """The network's weights from (text, is_start, is_end) slices."""
-    context = slices.sparkSession.sparkContext
+def encoded(texts: DataFrame, known) -> DataFrame:  # type: ignore[no-untyped-def]
+    """Each text of a column ``_text`` as 16-bit vocabulary ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, data, at in textkit.slices(b.column(0)):
+                hashes, forms, where = tokens(data, at)
+                ids = known.value.look_up(hashes, forms)[0].astype(np.int16)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[a:e].tobytes() for a, e in zip(where[:-1], where[1:], strict=True)], pa.binary())], ["ids"])
+
+    return texts.select("_text").mapInArrow(run, "ids binary")
+
+
+def fitted(texts: DataFrame, lexicon: Lexicon, seed: int) -> dict[str, np.ndarray]:
+    """The network's weights from whole texts in a column ``_text``."""
+    context = texts.sparkSession.sparkContext
     weights, known = first_weights(lexicon, seed), context.broadcast(lexicon)
+    ids = stage(encoded(texts, known), "ids")
     for turn in range(ROUNDS):
         start = context.broadcast(flat(weights))
 
         def replica(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lex, mine = known.value, []
-            for b in batches:
-                begins, ends = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
-                for first, end, data, at in textkit.slices(b.column(0)):
-                    hashes, forms, where = tokens(data, at)
-                    ids = lex.look_up(hashes, forms)[0]
-                    for k in range(end - first):  # cut words at the slice's edges are left out
-                        part = ids[where[k] + (not begins[first + k]) : where[k + 1] - (0 if ends[first + k] else 2)][:SLICE_TOKENS]
-                        if len(part):
-                            mine.append(part)
-            if mine:
-                order = np.random.Generator(np.random.PCG64([seed, turn])).permutation(len(mine))
-                p = shaped(start.value)
-                seen = train(p, [mine[i] for i in order], lex.end_id)
+            rng = np.random.Generator(np.random.PCG64([seed, turn]))
+
+            def shuffled() -> Iterator[np.ndarray]:
+                for b in batches:
+                    for i in rng.permutation(b.num_rows):
+                        yield np.frombuffer(b.column(0)[int(i)].as_py(), np.int16)
+
+            p = shaped(start.value)
+            seen = train(p, shuffled(), known.value.end_id)
+            if seen:
                 values = flat(p)
                 cuts = range(0, len(values), CHUNK)
                 salt = int.from_bytes(values[:2].tobytes(), "little") % 64
                 yield pa.RecordBatch.from_arrays([pa.array(list(range(len(cuts))), pa.int32()), pa.array([salt] * len(cuts), pa.int32()), pa.array([float(seen)] * len(cuts)), pa.array([values[c : c + CHUNK].tobytes() for c in cuts], pa.binary())], ["chunk", "salt", "weight", "value"])
 
-        rows = slices.select("text", "is_start", "is_end").mapInArrow(replica, "chunk int, salt int, weight double, value binary")
+        rows = ids.mapInArrow(replica, "chunk int, salt int, weight double, value binary")
         got = sorted(_averaged(_averaged(rows, ["chunk", "salt"]), ["chunk"]).select("chunk", "value").collect())
         if got:
             weights = shaped(np.concatenate([np.frombuffer(r.value, np.float32) for r in got]))
@@ -385,10 +439,7 @@ def score(docs: DataFrame, seed: int = 3, id_col: str = "doc_id", text_col: str
     above = counts.groupBy("c").count().withColumn("words", F.sum("count").over(W.orderBy(F.desc("c")))).filter(F.col("words") <= HEAD).agg(F.min("c")).first()[0]
     in_head = (F.col("c") >= (above or 2**62)) | (F.col("hash") == int(END))
     lexicon = make_lexicon(counts.filter(in_head).toArrow(), forms)
-    length = F.length("_text")
-    begin = F.when(length <= SLICE_CHARS, 1).otherwise(1 + F.pmod(F.xxhash64("_key"), length - SLICE_CHARS + 1)).cast("int")
-    cut = train_docs.select(F.substring("_text", begin, F.lit(SLICE_CHARS)).alias("text"), (begin == 1).alias("is_start"), (begin + SLICE_CHARS > length).alias("is_end"))
-    weights = fitted(stage(cut, "slices"), lexicon, seed)
+    weights = fitted(train_docs, lexicon, seed)
     context = docs.sparkSession.sparkContext
     known, model = context.broadcast(lexicon), context.broadcast(flat(weights))
 
