@@ -110,6 +110,15 @@ def test_trees_learn_held_out_urls(spark):
     assert sum(got[i] == ("block" if i < 50 else "allow") for i in range(100)) >= 97
 
 
+def test_suffix_shares_cover_all_labelled_urls(spark):
+    random.seed(2)
+    bad = {i: random.random() < 0.5 for i in range(400)}
+    labelled = spark.createDataFrame([(f"http://s{i:03d}.net/{k}", int(bad[i])) for i in bad for k in range(3)], "url string, label int")
+    held = [(i, f"http://s{i:03d}.net/9", None) for i in bad]
+    got = {r.page_id: r.verdict for r in urlfilter.judge(pages(spark, held), labelled=labelled, train_rows=200).collect()}
+    assert sum(got[i] == ("block" if bad[i] else "allow") for i in bad) >= 390
+
+
 def test_urls_without_labels_or_rows(spark):
     got = urlfilter.judge(pages(spark, [(1, "http://a.net/", None)] * 2)).collect()
     assert [r.verdict for r in got] == ["allow"] * 2

@@ -3,8 +3,7 @@
 The trees are Spark's own GBTClassifier, fitted on a bounded sample of labelled URLs
 (``train_rows``, drawn by a hash of the URL and the row's id, so a URL that many pages share stays bounded too); every URL is judged. Features are lengths, depths,
 digit ratio, host entropy, parameter counts, and for host and file suffixes the smoothed share of
-blocked URLs among the sample. A suffix table has at most as many rows as the sample, so it is
-small enough to broadcast. Everything runs as DataFrame functions inside the JVM.
+blocked URLs among all labelled URLs; the planner picks the join by a table's size. Everything runs as DataFrame functions inside the JVM.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule and
 is judged by the trees on its features as they are; repeated rows are judged alike; labels of one
@@ -84,10 +83,19 @@ def label(host: Column, ruled: Column) -> Column:
 
 def _with_statistics(rows: DataFrame, tables: dict[str, DataFrame], prior: float) -> DataFrame:
     for name, statistics in tables.items():
-        rows = rows.join(F.broadcast(statistics), name, "left").withColumn(f"{name}_share", F.coalesce(f"{name}_share", F.lit(prior)))
+        rows = rows.join(statistics, name, "left").withColumn(f"{name}_share", F.coalesce(f"{name}_share", F.lit(prior)))
     return rows
 
 
+def suffix_shares(known: DataFrame, url_col: str, prior: float) -> dict[str, DataFrame]:
+    """For each of SUFFIXES the smoothed share of blocked URLs over all of ``known``, in one pass."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(s).alias("kind"), F.col(s).alias("suffix")) for s in SUFFIXES))).alias("_p")
+    sums = features(known, url_col).select(pairs, "label").groupBy("_p.kind", "_p.suffix").agg(F.sum("label").alias("blocked"), F.count("*").alias("n"))
+    sums = stage(sums.select("kind", "suffix", ((F.col("blocked") + 5 * prior) / (F.col("n") + 5)).alias("share")), "suffixes")
+    # Each table is staged alone, so that its size is known to the planner.
+    return {s: stage(sums.filter(F.col("kind") == s).select(F.col("suffix").alias(s), F.col("share").alias(f"{s}_share")), s) for s in SUFFIXES}
+
+
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labelled: DataFrame | None = None, train_rows: int = 20_000, seed: int = 7, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row a page: id, host, path, rule, verdict, and the trees' probability of block.
 
@@ -112,7 +120,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labelled:
         sample = known.filter(F.pmod(F.xxhash64("_url", "_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else known
         sample = stage(features(sample, "_url"), "labelled")
         prior = counts.get(1.0, 0) / total
-        tables = {s: sample.groupBy(s).agg(((F.sum("label") + 5 * prior) / (F.count("*") + 5)).alias(f"{s}_share")) for s in SUFFIXES}
+        tables = suffix_shares(known, "_url", prior)
         inputs = [*NUMBERS, *(f"{s}_share" for s in SUFFIXES)]
         to_vector = VectorAssembler(inputCols=inputs, outputCol="_features")
         train = stage(_with_statistics(sample, tables, prior).select("label", *inputs).repartition(4, *inputs), "training")
