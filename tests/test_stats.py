@@ -119,6 +119,14 @@ def test_held_states(spark):
     assert down == {0: 1, 1: 2, 4: 1}
 
 
+def test_hold_states_covers_every_account(spark, sf_dir):
+    from tidewater.operators import ordered
+    from tidewater.plans import base, statistics
+
+    want = {r.account for r in ordered.reset_brackets(base.readings(spark, sf_dir)).select("account").distinct().collect()}
+    assert {r.account for r in statistics.hold_states(spark, sf_dir).select("account").distinct().collect()} == want and len(want) > 1
+
+
 def test_episodes(spark):
     hits = spark.createDataFrame([("r", 0.0, 0.5), ("r", 10.0, 0.1), ("r", 100.0, 0.2)], "line string, tau double, p double")
     got = changes.episodes(hits, ["line"], "tau", 48.0, "p").orderBy("first").collect()
