@@ -138,3 +138,19 @@ def test_power_grows_with_the_step(spark):
     before = np.random.default_rng(6).uniform(80, 120, 40)
     rate = lambda s: changes.power(before, s, 10, 60, 1, spark, test).first().rate
     assert rate(1.4) > 0.9 > 0.3 > rate(1.0)
+
+
+def test_power_of_each_account(spark):
+    rng = np.random.default_rng(7)
+    of = {0: rng.uniform(80, 120, 40), 1: rng.uniform(10, 200, 30)}
+    df = spark.createDataFrame([(k, float(x)) for k in of for x in of[k]], "account long, x double")
+    got = {r.account: (r.rate, r.trials) for r in changes.power_by(df, "account", "x", 1.2, 10, 90, 5, changes.medians_apart, block=40).collect()}
+    want = {k: changes.power(np.sort(of[k]), 1.2, 10, 90, 5, spark, changes.medians_apart).first() for k in of}
+    assert got == {k: (r.rate, r.trials) for k, r in want.items()}
+
+
+def test_detection_power_has_every_account(spark, sf_dir):
+    from tidewater.plans import relational, reports
+
+    want = {r.account for r in relational.daily(spark, sf_dir).filter("den > 0").select("account").distinct().collect()}
+    assert {r.account for r in reports.detection_power(spark, sf_dir).collect()} == want and len(want) > 1

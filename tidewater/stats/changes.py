@@ -344,6 +344,24 @@ def power(before: np.ndarray, step: float, after: int, trials: int, seed: int, s
     return spark.range(trials).mapInPandas(run, "hit boolean").agg(F.avg(F.col("hit").cast("double")).alias("rate"), F.count("*").alias("trials"))
 
 
+def power_by(df: DataFrame, by: str, value: str, step: float, after: int, trials: int, seed: int, test: Callable[[np.ndarray, np.ndarray], bool], block: int = 500) -> DataFrame:
+    """:func:`power` for each key's own values; a key's trials are dealt over tasks in blocks."""
+    kind = df.schema[by].dataType.simpleString()
+    blocks = df.sparkSession.range(-(-trials // block)).withColumnRenamed("id", "_block")
+
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        before = np.sort(f["_x"].to_numpy(float))
+        hits, ids = 0, range(key[1] * block, min((key[1] + 1) * block, trials))
+        for i in ids:
+            rng = np.random.Generator(np.random.PCG64([seed, i]))
+            x = rng.choice(before, len(before))
+            hits += bool(test(x, rng.choice(before, after) * step))
+        return pd.DataFrame({by: [key[0]], "hits": [hits], "n": [len(ids)]})
+
+    drawn = df.select(by, F.col(value).cast("double").alias("_x")).crossJoin(F.broadcast(blocks)).groupBy(by, "_block").applyInPandas(run, f"{by} {kind}, hits long, n long")
+    return drawn.groupBy(by).agg((F.sum("hits") / F.sum("n")).alias("rate"), F.sum("n").alias("trials"))
+
+
 def state_document(rows: Sequence[dict]) -> str:
     """A run's held states as a JSON document with sorted keys."""
     return json.dumps({"changes": list(rows)}, sort_keys=True)
