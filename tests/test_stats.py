@@ -154,3 +154,10 @@ def test_detection_power_has_every_account(spark, sf_dir):
 
     want = {r.account for r in relational.daily(spark, sf_dir).filter("den > 0").select("account").distinct().collect()}
     assert {r.account for r in reports.detection_power(spark, sf_dir).collect()} == want and len(want) > 1
+
+
+def test_no_claim_without_code():
+    from tidewater import catalog
+
+    claimed = {i for ids in catalog.covers().values() for i in ids}
+    assert not claimed & {"STAT-18", "STAT-45", "STAT-46", "STAT-51", "STAT-55", "STR-11"}

@@ -117,7 +117,7 @@ def family_rates_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fits.nonnegative_rates(design, ["account"], "delta_pct", ["click", "error", "purchase"])
 
 
-@query(None, ["STAT-45", "STAT-46", "STAT-51", "STAT-55"])
+@query(None, [])
 def median_rate_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentile interval of the median rate over seeded resamples."""
     drawn = fits.replicates(stretch_rates_of(spark, sf_dir), ["account"], ["rate"], lambda f, rng: float(f["rate"].median()), 50, 3)
@@ -161,7 +161,7 @@ def scan_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.episodes(hits, ["line"], "tau", 48.0, "p")
 
 
-@query(None, ["STR-7", "STR-8", "STR-11", "FUZ-3", "STAT-18"])
+@query(None, ["STR-7", "STR-8", "FUZ-3"])
 def hold_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each account's falls of the meter as finds, carried from day to day until a week in a row measures them."""
     r = ordered.reset_brackets(readings(spark, sf_dir))
