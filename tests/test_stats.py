@@ -44,6 +44,18 @@ def test_minimisers():
     assert abs(fits.best_on_grid(lambda z: (z - 0.3) ** 2, -1, 1) - 0.3) < 1e-6
 
 
+def test_log_offsets_equal_dense_least_squares_in_no_single_group(spark):
+    rng = np.random.default_rng(8)
+    rows = [(u, e, float(rng.uniform(1, 9)), float(rng.uniform(1, 5))) for u in range(12) for e in range(3) if (u + e) % 4 for _ in range(2)]
+    out = fits.log_offsets(spark.createDataFrame(rows, "u long, e int, v double, w double"), "u", "e", "v", "w")
+    x = np.array([[float(u == k) for k in range(12)] + [float(e == k) for k in (1, 2)] for u, e, _, _ in rows])
+    root = np.sqrt([r[3] for r in rows])
+    beta = np.linalg.lstsq(x * root[:, None], np.log([r[2] for r in rows]) * root, rcond=None)[0][:12]
+    got = {r.u: r.offset_pct for r in out.collect()}
+    assert np.allclose([got[k] for k in range(12)], 100 * (np.exp(beta - beta.mean()) - 1))
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+
+
 def test_block_bootstrap_repeats_and_covers(spark):
     df = spark.range(600).selectExpr("1 as g", "id % 30 as day", "cast(id % 7 + 3 as double) as num", "cast(2 as double) as den")
     a = fits.block_bootstrap(df, ["g"], "day", "num", "den", draws=100).first()
@@ -119,7 +131,8 @@ def test_held_states(spark):
     assert down == {0: 1, 1: 2, 4: 1}
 
 
-def test_hold_states_covers_every_account(spark, sf_dir):
+def test_hold_states_covers_every_account(spark):
+    sf_dir = "/root/testdata/sf0.01"  # several accounts
     from tidewater.operators import ordered
     from tidewater.plans import base, statistics
 
@@ -149,7 +162,8 @@ def test_power_of_each_account(spark):
     assert got == {k: (r.rate, r.trials) for k, r in want.items()}
 
 
-def test_detection_power_has_every_account(spark, sf_dir):
+def test_detection_power_has_every_account(spark):
+    sf_dir = "/root/testdata/sf0.01"  # several accounts
     from tidewater.plans import relational, reports
 
     want = {r.account for r in relational.daily(spark, sf_dir).filter("den > 0").select("account").distinct().collect()}
