@@ -219,7 +219,9 @@ def test_lm_gradients_are_the_losses(spark):
     p["uc"], p["uw"] = p["uc"] * 20, p["uw"] * 20
     given, target = rng.integers(0, lm.VOCABULARY, (5, 4)), rng.integers(0, lm.VOCABULARY, (5, 4))
     on, h = rng.random((5, 4)) < 0.8, rng.standard_normal((4, lm.HIDDEN))
-    g, _, _ = lm.gradients(p, given, target, on, h)
+    g = {k: np.zeros(x) for k, x in lm.SHAPES.items()}
+    lm.gradients(p, given, target, on, h, g)
+    loss = lambda q: lm.gradients(q, given, target, on, h, {k: np.zeros(x) for k, x in lm.SHAPES.items()})[1]
     for k in lm.SHAPES:
         for at in zip(*(rng.integers(0, n, 4) for n in lm.SHAPES[k]), strict=True):
             if k == "emb":
@@ -230,7 +232,7 @@ def test_lm_gradients_are_the_losses(spark):
             up, down = ({**p, k: p[k].copy()} for _ in range(2))
             up[k][at] += e
             down[k][at] -= e
-            want = (lm.gradients(up, given, target, on, h)[2] - lm.gradients(down, given, target, on, h)[2]) / (2 * e)
+            want = (loss(up) - loss(down)) / (2 * e)
             assert abs(g[k][at] - want) < 1e-4 * max(1, abs(want)), (k, at)
 
 
@@ -247,28 +249,61 @@ def test_lm_is_a_distribution_and_lanes_do_not_matter():
     together = lm.document_scores(p, ids, first, lex.end_id)
     apart = [lm.document_scores(p, ids[a:b], np.array([0, b - a]), lex.end_id)[0] for a, b in zip(first, first[1:], strict=False)]
     assert np.allclose(together, apart, rtol=1e-4)
+    plain = [_plain_score(p, ids[a:b].tolist(), lex.end_id) for a, b in zip(first, first[1:], strict=False)]
+    assert np.allclose(together, plain, rtol=1e-4)
+
+
+def _plain_score(p, ids, end_id):
+    """The model token by token, in double precision: a gated unit, then class and word by softmax."""
+    p = {k: x.astype(np.float64) for k, x in p.items()}
+    soft = lambda x: x / (1 + np.abs(x))
+    share = lambda x, i: x[i] - np.log(np.exp(x).sum())
+    h, given, out = np.zeros(lm.HIDDEN), end_id, 0.0
+    for word in ids:
+        x = [p["emb"][given] @ p["wx"][k] + p["b"][k, 0] for k in range(3)]
+        reset, update = ((soft(x[k] + h @ p["wh"][k]) + 1) / 2 for k in (0, 1))
+        cand = soft(x[2] + reset * (h @ p["wh"][2]))
+        h = (1 - update) * cand + update * h
+        c, w = divmod(word, lm.PER_CLASS)
+        out += share(h @ p["uc"] + p["bc"], c) + share(h @ p["uw"][c] + p["bw"][c], w)
+        given = word
+    return out
 
 
 def test_lm_learns_from_whole_texts(spark, monkeypatch):
     seen, steps = [], lm.gradients
 
-    def watched(p, given, target, on, h):
+    def watched(p, given, target, on, h, g):
         seen.append((given.copy(), target.copy(), on.copy(), h.copy()))
-        out = steps(p, given, target, on, h)
-        seen[-1] += (out[1].copy(),)
+        out = steps(p, given, target, on, h, g)
+        seen[-1] += (out[0].copy(),)
         return out
 
     monkeypatch.setattr(lm, "gradients", watched)
     rng = np.random.default_rng(2)
     lex = lm.make_lexicon(pa.table({"hash": pa.array(rng.integers(1, 2**60, 50)), "form": pa.array(rng.integers(0, 16, 50).astype("int32")), "c": pa.array(rng.integers(1, 99, 50))}), {f: (5000, 900) for f in range(16)})
     texts = [rng.integers(0, lm.VOCABULARY, n).astype(np.int16) for n in (1000, 1, 16, 333)]
-    assert lm.train(lm.first_weights(lex, 1), iter(texts), lex.end_id) == 1350
+    theta = lm.flat(lm.first_weights(lex, 1))
+    before = theta.copy()
+    assert lm.train(theta, iter(texts), lex.end_id) == 1350 and (theta != before).any()
     lane = np.concatenate([t[:, 0][on[:, 0]] for _, t, on, _, _ in seen])
     assert (lane == texts[0]).all() and (np.concatenate([g[:, 0][on[:, 0]] for g, _, on, _, _ in seen]) == [lex.end_id, *texts[0][:-1]]).all()
     assert all((a[4][0] == b[3][0]).all() for a, b in zip(seen, seen[1:], strict=False)) and seen[1][3][0].any()
     rows = docs(spark, ["word " * 5000 + "last"])
-    ids = lm.encoded(rows.withColumnRenamed("text", "_text"), spark.sparkContext.broadcast(lex)).first().ids
-    assert len(ids) == 2 * 5002
+    slim = rows.selectExpr("doc_id as _id", "1L as _key", "false as held_out", "text as _text")
+    got = lm.encoded(slim, spark.sparkContext.broadcast(lex)).first()
+    assert len(got.ids) == 2 * 5002 and got.n_tokens == 5002
+
+
+def test_lm_does_not_depend_on_the_layout(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(lm, "REPLICA_TOKENS", 8192)  # several replicas a round
+    whole = table(spark, sf_dir, "documents").select("doc_id", "text")
+    one, other = ({r.doc_id: r.score for r in lm.score(d).collect()} for d in (whole.coalesce(1), whole.repartition(7, "text")))
+    assert all(abs(one[k] - other[k]) <= 1e-5 * abs(one[k]) for k in one)
+
+
+def test_lm_deals_repeated_rows_apart():
+    assert lm._occurrence(np.array([5, 7, 5, 5, 7, 9])).tolist() == [0, 0, 1, 2, 1, 0] and len(lm._occurrence(np.zeros(0, np.int64))) == 0
 
 
 def test_lm_beats_the_base_on_held_out_documents(spark, sf_dir):

@@ -5,10 +5,13 @@ text, and ``FORMS`` kinds of rarer word are the network's vocabulary, in classes
 rarer word's probability is that of its form times its add-one share among the form's words, so
 the probabilities of all words sum to one. Weights start at the unigram distribution.
 
-Every training document is learned from whole. Each partition of documents trains a replica from the
-same weights by truncated backpropagation over lanes of texts: a lane takes the next text when its own
-ends, and the state is carried from window to window within a text. A task holds one batch of texts at
-a time. Replicas are averaged in Spark, in two steps of bounded groups, ``ROUNDS`` times over.
+Every training document is learned from whole, once. A hash of its id and text deals it to one of
+``ROUNDS`` rounds and to a replica of that round, of about ``REPLICA_TOKENS`` tokens (more, where that
+would make above ``MOST_REPLICAS`` replicas), so weights do not depend on how the table lies in files. A
+replica starts from the round's weights and learns by truncated backpropagation over lanes of texts,
+the long ones first, then in order of the hash: a lane takes the next text when its own ends, and the
+state is carried from window to window within a text. Texts stream through the task. Replicas are
+averaged in Spark, in two steps of bounded groups, and the next round starts from their mean.
 
 Scoring packs whole documents one after another into lanes that step together; the state is carried
 across windows and is reset where a document begins. Words beyond the ``HEAD`` most frequent, the
@@ -16,15 +19,17 @@ only ones whose counts travel to the tasks (16 bytes each), leave as (document,
 and meet their counts in a join.
 
 Defined results: a null text is empty and has the end as its only token; a null id hashes like the
-empty string; rows that repeat have equal scores; an empty table gives an empty result, and with no
-training token every count is 0; extra columns are ignored.
+empty string; a text of any length is one row of a lane and needs memory for its ids, two bytes a word;
+rows that repeat have equal scores and are dealt over replicas, so none gathers in one; words of equal
+count rank by their hash; an empty table gives an empty result, and with no training token every count
+is 0; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import groupby, islice
 
 import numpy as np
 import pandas as pd
@@ -34,18 +39,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidewater.llm import textkit
-from tidewater.llm.shared import stage
+from tidewater.llm.shared import drop_staged, stage
 
 CLASSES, PER_CLASS, FORMS = 32, 64, 16
 VOCABULARY = CLASSES * PER_CLASS
 WORDS = VOCABULARY - FORMS - 1
 HEAD = 1 << 18
 EMBED, HIDDEN = 16, 24
-WINDOW, LANES, ROUNDS, RATE = 16, 64, 2, 0.01
+WINDOW, LANES, ROUNDS, RATE = 32, 128, 3, 0.01
 SCORE_WINDOW, SCORE_LANES = 32, 384
+REPLICA_TOKENS, MOST_REPLICAS = 1 << 21, 4096
+#: Texts of more tokens are taken first, so that no lane is left alone with one at the end.
+LONG_TEXT = 2048
 #: Hash of the end token; a word's hash is never looked up under it but by a 64-bit coincidence.
 END = np.uint64(0x1D0E2F6B9C3A5784)
-SHAPES = {"emb": (VOCABULARY, EMBED), "wx": (EMBED, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "uc": (HIDDEN, CLASSES), "bc": (CLASSES,), "uw": (CLASSES, HIDDEN, PER_CLASS), "bw": (CLASSES, PER_CLASS)}
+SHAPES = {"emb": (VOCABULARY, EMBED), "wx": (3, EMBED, HIDDEN), "wh": (3, HIDDEN, HIDDEN), "b": (3, 1, HIDDEN), "uc": (HIDDEN, CLASSES), "bc": (CLASSES,), "uw": (CLASSES, HIDDEN, PER_CLASS), "bw": (CLASSES, PER_CLASS)}
 CHUNK = 1 << 14
 
 
@@ -113,7 +121,7 @@ def first_weights(lexicon: Lexicon, seed: int) -> dict[str, np.ndarray]:
     p = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in SHAPES.items()}
     p["uc"] *= 0.1
     p["uw"] *= 0.1
-    p["b"][:] = 0
+    p["b"][:] = 0  # of the reset gate, the update gate and the candidate, as the first axis of wx and wh
     prior = lexicon.prior.reshape(CLASSES, PER_CLASS)
     p["bc"] = np.log(prior.sum(1)).astype(np.float32)
     p["bw"] = np.log(prior / prior.sum(1, keepdims=True)).astype(np.float32)
@@ -125,166 +133,225 @@ def flat(p: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def shaped(values: np.ndarray) -> dict[str, np.ndarray]:
+    """Views of the flat weights by name."""
     out, at = {}, 0
     for k, s in SHAPES.items():
         n = int(np.prod(s))
-        out[k] = values[at : at + n].reshape(s).astype(np.float32)
+        out[k] = values[at : at + n].reshape(s)
         at += n
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def squash(x: np.ndarray) -> np.ndarray:
+    """Softsign, x / (1 + |x|), of an array that is overwritten. It takes the place of tanh, of which numpy's is many times slower."""
+    below = np.abs(x)
+    below += 1
+    x /= below
+    return x
 
 
-def _step(gx: np.ndarray, h: np.ndarray, wh: np.ndarray) -> tuple[np.ndarray, ...]:
-    gh = h @ wh
-    rz = _sigmoid(gx[:, : 2 * HIDDEN] + gh[:, : 2 * HIDDEN])
-    r, z, ghn = rz[:, :HIDDEN], rz[:, HIDDEN:], gh[:, 2 * HIDDEN :]
-    n = np.tanh(gx[:, 2 * HIDDEN :] + r * ghn)
-    return n + z * (h - n), r, z, n, ghn
+def _slope(s: np.ndarray) -> np.ndarray:
+    """The derivative of softsign where its value is ``s``."""
+    out = np.abs(s)
+    np.subtract(1, out, out=out)
+    out *= out
+    return out
+
+
+def _step(gx: np.ndarray, h: np.ndarray, wh: np.ndarray, s: np.ndarray, gates: np.ndarray, ghn: np.ndarray, cand: np.ndarray, new: np.ndarray) -> None:
+    """The state ``new`` after a token, and what the gradient needs: squashed gate inputs, gates, the candidate's recurrent part, the candidate."""
+    np.matmul(h, wh[:2], out=s)
+    s += gx[:2]
+    squash(s)
+    np.multiply(s, np.float32(0.5), out=gates)
+    gates += np.float32(0.5)
+    np.matmul(h, wh[2], out=ghn)
+    np.multiply(gates[0], ghn, out=cand)
+    cand += gx[2]
+    squash(cand)
+    np.subtract(h, cand, out=new)
+    new *= gates[1]
+    new += cand
+
+
+def _exponentials(x: np.ndarray) -> np.ndarray:
+    """exp of each row less, where any value is large, the row's largest one; ``x`` is overwritten."""
+    if x.size and x.max() > 60:
+        x -= x.max(1, keepdims=True)
+        np.maximum(x, np.float32(-80), out=x)
+    return np.exp(x, out=x)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+_ONES = np.ones(max(CLASSES, PER_CLASS), np.float32)
 
 
-def _share_less_target(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(softmax less one at the target, log softmax of the target) of each row; ``x`` is overwritten."""
+def _sum(x: np.ndarray) -> np.ndarray:
+    """Sum over rows, by a product, which is faster than ``sum``."""
+    return np.ones(len(x), np.float32) @ x
+
+
+def _less_target(x: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Make ``x`` the softmax of each row less one at its target; returns the targets' shares."""
     rows = np.arange(len(target))
-    x -= x.max(1, keepdims=True)
-    at = x[rows, target]
-    np.exp(x, out=x)
-    total = x.sum(1, keepdims=True)
-    x /= total
-    x[rows, target] -= 1
-    return x, at - np.log(total[:, 0])
+    _exponentials(x)
+    x /= (x @ _ONES[: x.shape[1]])[:, None]
+    share = x[rows, target]
+    x[rows, target] = share - 1
+    return share
 
 
 def _by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """Order of the rows by class, and (class, first, end) of each class there."""
-    cls = target // PER_CLASS
+    cls = (target // PER_CLASS).astype(np.int8)
     order = np.argsort(cls, kind="stable")
-    found, first = np.unique(cls[order], return_index=True)
-    return order, list(zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(order)], strict=True))
+    ends = np.cumsum(np.bincount(cls, minlength=CLASSES)).tolist()
+    return order, [(c, a, b) for c, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if b > a]
 
 
 def log_probability(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log probability of each target after its state."""
-    rows = np.arange(len(target))
-    out = _log_softmax(h @ p["uc"] + p["bc"])[rows, target // PER_CLASS]
+
+    def log_share(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        _exponentials(x)
+        return np.log(x[np.arange(len(at)), at] / (x @ _ONES[: x.shape[1]]))
+
+    x = h @ p["uc"]
+    x += p["bc"]
+    out = log_share(x, target // PER_CLASS)
     order, parts = _by_class(target)
-    hs, word = h[order], target[order] % PER_CLASS
+    hs, word = h.take(order, 0), target.take(order) % PER_CLASS
     inside = np.empty(len(target), np.float32)
     for c, a, b in parts:
-        inside[a:b] = _log_softmax(hs[a:b] @ p["uw"][c] + p["bw"][c])[np.arange(b - a), word[a:b]]
+        x = hs[a:b] @ p["uw"][c]
+        x += p["bw"][c]
+        inside[a:b] = log_share(x, word[a:b])
     out[order] += inside
     return out
 
 
-def gradients(p: dict[str, np.ndarray], given: np.ndarray, target: np.ndarray, on: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
-    """Gradients of the mean loss over a window (steps, lanes), the state after it, and the loss; ``on`` masks the tokens."""
-    steps, lanes = given.shape
-    kept, hs = [], []
-    embedded = p["emb"][given.ravel()]
-    gx = (embedded @ p["wx"] + p["b"]).reshape(steps, lanes, -1)
+def gradients(p: dict[str, np.ndarray], given: np.ndarray, target: np.ndarray, on: np.ndarray, h: np.ndarray, g: dict[str, np.ndarray]) -> tuple[np.ndarray, float]:
+    """Add to ``g`` the gradients of the summed loss over a window (steps, lanes); the state after it, and the loss. ``on`` masks the tokens."""
+    (steps, lanes), kind = given.shape, p["wh"].dtype
+    flat_given = given.ravel()
+    embedded = p["emb"].take(flat_given, 0)
+    gx = np.matmul(embedded, p["wx"])
+    gx += p["b"]
+    gx = gx.reshape(3, steps, lanes, HIDDEN)
+    states = np.empty((steps + 1, lanes, HIDDEN), kind)
+    gates, s = (np.empty((2, steps, lanes, HIDDEN), kind) for _ in range(2))
+    cand, ghn = (np.empty((steps, lanes, HIDDEN), kind) for _ in range(2))
+    states[0] = h
     for t in range(steps):
-        new, *gates = _step(gx[t], h, p["wh"])
-        kept.append((h, *gates))
-        h = new
-        hs.append(h)
-    g = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
-    mask = on.ravel()
-    flat_h, flat_t = np.concatenate(hs)[mask], target.ravel()[mask]
-    n = max(len(flat_t), 1)
-    d, logs = _share_less_target(flat_h @ p["uc"] + p["bc"], flat_t // PER_CLASS)
-    loss = -float(logs.sum())
-    d /= n
-    g["uc"], g["bc"], dh = flat_h.T @ d, d.sum(0), d @ p["uc"].T
+        _step(gx[:, t], states[t], p["wh"], s[:, t], gates[:, t], ghn[t], cand[t], states[t + 1])
+    mask = np.flatnonzero(on.ravel())
+    flat_h, flat_t = states[1:].reshape(-1, HIDDEN).take(mask, 0), target.ravel().take(mask)
+    x = flat_h @ p["uc"]
+    x += p["bc"]
+    shares = np.empty((2, len(flat_t)), kind)
+    shares[0] = _less_target(x, flat_t // PER_CLASS)
+    g["uc"] += flat_h.T @ x
+    g["bc"] += _sum(x)
     order, parts = _by_class(flat_t)
-    hs_sorted, word = flat_h[order], flat_t[order] % PER_CLASS
-    dh_sorted = dh[order]
+    dh_sorted = (x @ p["uc"].T).take(order, 0)
+    hs_sorted, word = flat_h.take(order, 0), flat_t.take(order) % PER_CLASS
     for c, a, b in parts:
-        d, logs = _share_less_target(hs_sorted[a:b] @ p["uw"][c] + p["bw"][c], word[a:b])
-        loss -= float(logs.sum())
-        d /= n
-        g["uw"][c], g["bw"][c] = hs_sorted[a:b].T @ d, d.sum(0)
-        dh_sorted[a:b] += d @ p["uw"][c].T
-    dh[order] = dh_sorted
-    from_output = np.zeros((steps * lanes, HIDDEN), np.float32)
-    from_output[mask] = dh
+        x = hs_sorted[a:b] @ p["uw"][c]
+        x += p["bw"][c]
+        shares[1, a:b] = _less_target(x, word[a:b])
+        g["uw"][c] += hs_sorted[a:b].T @ x
+        g["bw"][c] += _sum(x)
+        dh_sorted[a:b] += x @ p["uw"][c].T
+    from_output = np.zeros((steps * lanes, HIDDEN), kind)
+    from_output[mask[order]] = dh_sorted
     from_output = from_output.reshape(steps, lanes, HIDDEN)
-    carry = np.zeros((lanes, HIDDEN), np.float32)
-    dgx, dgh = np.empty_like(gx), np.empty_like(gx)
+    slope = _slope(s)
+    slope *= np.float32(0.5)
+    of_cand = (1 - gates[1]) * _slope(cand)
+    of_reset, of_update = ghn * slope[0], (states[:-1] - cand) * slope[1]
+    carry, back = np.zeros((lanes, HIDDEN), kind), np.ascontiguousarray(p["wh"].transpose(0, 2, 1))
+    dgh, dn = np.empty((3, steps, lanes, HIDDEN), kind), np.empty((steps, lanes, HIDDEN), kind)
     for t in range(steps - 1, -1, -1):
-        before, r, z, cand, ghn = kept[t]
         dh = carry + from_output[t]
-        dn = dh * (1 - z) * (1 - cand * cand)
-        dgx[t, :, :HIDDEN] = dn * ghn * r * (1 - r)
-        dgx[t, :, HIDDEN : 2 * HIDDEN] = dh * (before - cand) * z * (1 - z)
-        dgx[t, :, 2 * HIDDEN :] = dn
-        dgh[t] = dgx[t]
-        dgh[t, :, 2 * HIDDEN :] *= r
-        carry = dh * z + dgh[t] @ p["wh"].T
-    dgx, dgh = dgx.reshape(steps * lanes, -1), dgh.reshape(steps * lanes, -1)
-    g["wh"] += np.concatenate([k[0] for k in kept]).T @ dgh
-    g["wx"] += embedded.T @ dgx
-    g["b"] += dgx.sum(0)
-    order = np.argsort(given.ravel(), kind="stable")
-    found, first = np.unique(given.ravel()[order], return_index=True)
-    g["emb"][found] = np.add.reduceat((dgx @ p["wx"].T)[order], first, axis=0)
-    return g, h, loss / n
-
-
-def train(p: dict[str, np.ndarray], texts: Iterable[np.ndarray], end_id: int) -> int:
-    """Train ``p`` in place by Adam over whole texts of ids in lanes; returns the tokens seen.
-
+        np.multiply(dh, of_cand[t], out=dn[t])
+        np.multiply(dn[t], of_reset[t], out=dgh[0, t])
+        np.multiply(dh, of_update[t], out=dgh[1, t])
+        np.multiply(dn[t], gates[0, t], out=dgh[2, t])
+        dh *= gates[1, t]
+        for k in range(3):
+            dh += dgh[k, t] @ back[k]
+        carry = dh
+    dgh = dgh.reshape(3, steps * lanes, HIDDEN)
+    g["wh"] += np.matmul(states[:-1].reshape(-1, HIDDEN).T, dgh)
+    # What reaches the input differs in the candidate's part alone, which the reset gate does not scale.
+    dgh[2] = dn.reshape(steps * lanes, HIDDEN)
+    g["wx"] += np.matmul(embedded.T, dgh)
+    for k in range(3):
+        g["b"][k] += _sum(dgh[k])
+    to_embedded = dgh[0] @ p["wx"][0].T
+    for k in (1, 2):
+        to_embedded += dgh[k] @ p["wx"][k].T
+    order = np.argsort(flat_given.astype(np.int16), kind="stable")
+    ranked = flat_given[order]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    g["emb"][ranked[first]] += np.add.reduceat(to_embedded.take(order, 0), first, axis=0)
+    return states[-1], -float(np.log(shares).sum())
+
+
+def train(theta: np.ndarray, texts: Iterable[np.ndarray], end_id: int) -> int:
+    """Train the flat weights ``theta`` in place by Adam over whole texts of ids in lanes; returns the tokens seen.
+
+    A lane takes the next text when its own ends; the state goes on from window to window within a text.
     A step rests on at least half a full window of tokens: when the last texts leave lanes empty,
     gradients of several windows are summed before it.
     """
-    theta = flat(p)
-    mean, square, step, seen = np.zeros_like(theta), np.zeros_like(theta), 0, 0
-    total, tokens_in = np.zeros_like(theta), 0
+    p, grad = shaped(theta), np.zeros_like(theta)
+    g = shaped(grad)
+    mean, square, step, seen, tokens_in = np.zeros_like(theta), np.zeros_like(theta), 0, 0, 0
 
     def update() -> None:
-        nonlocal step, mean, square, theta, total, tokens_in
+        nonlocal step, tokens_in, grad, mean, square, theta
         step += 1
-        grad = total / tokens_in
-        grad *= min(1.0, 1.0 / (float(np.sqrt(grad @ grad)) + 1e-9))
-        mean += 0.1 * (grad - mean)
-        square += 0.01 * (grad * grad - square)
-        theta -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)
-        p.update(shaped(theta))
-        total, tokens_in = np.zeros_like(theta), 0
+        grad /= np.float32(tokens_in)
+        grad *= np.float32(min(1.0, 1.0 / (float(np.sqrt(grad @ grad)) + 1e-9)))
+        mean += np.float32(0.1) * (grad - mean)
+        grad *= grad
+        grad -= square
+        square += np.float32(0.01) * grad
+        np.sqrt(square, out=grad)
+        grad *= np.float32((1 - 0.99**step) ** -0.5)
+        grad += np.float32(1e-6)
+        np.divide(mean, grad, out=grad)
+        theta -= np.float32(RATE / (1 - 0.9**step)) * grad
+        grad[:] = 0
+        tokens_in = 0
 
     coming = (x for x in texts if len(x))
     held = list(islice(coming, LANES))
     at, h = [0] * len(held), np.zeros((len(held), HIDDEN), np.float32)
     last = np.full(len(held), end_id)
     while held:
-        target = np.full((WINDOW, len(held)), -1)
+        target = np.full((len(held), WINDOW), -1)
         for k, ids in enumerate(held):
             part = ids[at[k] : at[k] + WINDOW]
-            target[: len(part), k] = part
+            target[k, : len(part)] = part
             at[k] += WINDOW
+        target = np.ascontiguousarray(target.T)
         on = target >= 0
         clean = np.maximum(target, 0)
         # The state goes on, the gradient stops at the window.
-        g, h, _ = gradients(p, np.concatenate([last[None], clean[:-1]]), clean, on, h)
+        h, _ = gradients(p, np.concatenate([last[None], clean[:-1]]), clean, on, h, g)
         n, last = int(on.sum()), clean[-1]
-        total += flat(g) * np.float32(n)
         seen, tokens_in = seen + n, tokens_in + n
         if 2 * tokens_in >= WINDOW * LANES:
             update()
-        ended = [k for k, ids in enumerate(held) if at[k] >= len(ids)]
         over = []
-        for k in ended:
-            new = next(coming, None)
-            if new is None:
-                over.append(k)
-            else:
-                held[k], at[k], h[k], last[k] = new, 0, 0, end_id
+        for k, ids in enumerate(held):
+            if at[k] >= len(ids):
+                new = next(coming, None)
+                if new is None:
+                    over.append(k)
+                else:
+                    held[k], at[k], h[k], last[k] = new, 0, 0, end_id
         for k in reversed(over):
             del held[k], at[k]
         if over:
@@ -321,7 +388,9 @@ def document_scores(p: dict[str, np.ndarray], ids: np.ndarray, first: np.ndarray
     given[begins] = end_id
     fresh = np.zeros(len(ids), bool)
     fresh[begins] = True
-    table = p["emb"] @ p["wx"] + p["b"]
+    table = np.ascontiguousarray((np.matmul(p["emb"], p["wx"]) + p["b"]).transpose(1, 0, 2)).reshape(VOCABULARY, 3 * HIDDEN)
+    s, gates = (np.empty((2, lanes, HIDDEN), np.float32) for _ in range(2))
+    ghn, cand = (np.empty((lanes, HIDDEN), np.float32) for _ in range(2))
     h = np.zeros((lanes, HIDDEN), np.float32)
     hs, at_token, held_rows = [], [], 0
     for t in range(int(load[0])):
@@ -331,7 +400,9 @@ def document_scores(p: dict[str, np.ndarray], ids: np.ndarray, first: np.ndarray
         reset = fresh[here]
         if reset.any():
             h = np.where(reset[:, None], np.float32(0), h)
-        h = _step(table[given[here]], h, p["wh"])[0]
+        gx, new = table.take(given.take(here), 0).reshape(k, 3, HIDDEN).transpose(1, 0, 2), np.empty((k, HIDDEN), np.float32)
+        _step(gx, h, p["wh"], s[:, :k], gates[:, :k], ghn[:k], cand[:k], new)
+        h = new
         hs.append(h)
         at_token.append(here)
         held_rows += k
@@ -372,9 +443,10 @@ def _counted(x: tuple[np.ndarray, ...]) -> pa.RecordBatch:
 
 
 def _averaged(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean of weight chunks, by tokens seen."""
+    """Mean of weight chunks, by tokens seen, in the replicas' order."""
 
     def mean(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("replica")
         total = group["weight"].sum()
         value = sum((np.frombuffer(v, np.float32) * (w / total) for v, w in zip(group["value"], group["weight"], strict=True)), np.float32(0))
         return group.iloc[:1].assign(weight=total, value=[value.astype(np.float32).tobytes()])
@@ -382,45 +454,70 @@ def _averaged(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).applyInPandas(mean, rows.schema)
 
 
-def encoded(texts: DataFrame, known) -> DataFrame:  # type: ignore[no-untyped-def]
-    """Each text of a column ``_text`` as 16-bit vocabulary ids."""
+def _occurrence(keys: np.ndarray) -> np.ndarray:
+    """How many equal keys stand before each one."""
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(keys), 1), bool), ranked[1:] != ranked[:-1]]))
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.arange(len(keys)) - np.repeat(first, np.diff(np.append(first, len(keys))))
+    return out
+
+
+ENCODED = "_key long, held_out boolean, copy long, n_tokens long, known long, base double, share double, tail array<long>, ids binary"
+
+
+def encoded(slim: DataFrame, known) -> DataFrame:  # type: ignore[no-untyped-def]
+    """From (_id, _key, held_out, _text): ENCODED, with a text's ids in 16 bits each, its base sum, its rare words' shares, and the words outside the head."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = known.value
+        form = np.full(VOCABULARY, -1)
+        form[lex.form_ids] = np.arange(FORMS)
         for b in batches:
-            for _, _, data, at in textkit.slices(b.column(0)):
-                hashes, forms, where = tokens(data, at)
-                ids = known.value.look_up(hashes, forms)[0].astype(np.int16)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[a:e].tobytes() for a, e in zip(where[:-1], where[1:], strict=True)], pa.binary())], ["ids"])
+            copies = _occurrence(b.column(1).to_numpy())
+            for first, end, data, at in textkit.slices(b.column(3)):
+                h, f, where = tokens(data, at)
+                i, c, k = lex.look_up(h, f)
+                size = np.diff(where)
+                rows = np.repeat(np.arange(len(size), dtype=np.int32), size)
+                logs = np.log10(c + 1.0)
+                rare = np.flatnonzero(form[i] >= 0)
+                share = np.bincount(rows[rare], logs[rare] - np.log10(lex.form_mass[form[i[rare]]]), len(size))
+                tail = np.flatnonzero(~k & (h != END))
+                split = np.searchsorted(rows[tail], np.arange(len(size) + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(split), pa.array(h[tail].view(np.int64)))
+                seen = np.bincount(rows, k & (c > 0), len(size)).astype(np.int64)
+                ids = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((2 * where).astype(np.int32)), pa.py_buffer(i.astype(np.int16))])
+                same = (b.column(x).slice(first, end - first) for x in (0, 1, 2))
+                yield pa.RecordBatch.from_arrays([*same, pa.array(copies[first:end]), pa.array(size.astype(np.int64)), pa.array(seen), pa.array(np.bincount(rows, logs, len(size))), pa.array(share, pa.float64()), lists, ids], ["_id", *(x.split()[0] for x in ENCODED.split(", "))])
 
-    return texts.select("_text").mapInArrow(run, "ids binary")
+    return slim.select("_id", "_key", "held_out", "_text").mapInArrow(run, f"_id {slim.schema['_id'].dataType.simpleString()}, {ENCODED}")
 
 
-def fitted(texts: DataFrame, lexicon: Lexicon, seed: int) -> dict[str, np.ndarray]:
-    """The network's weights from whole texts in a column ``_text``."""
-    context = texts.sparkSession.sparkContext
-    weights, known = first_weights(lexicon, seed), context.broadcast(lexicon)
-    ids = stage(encoded(texts, known), "ids")
+def fitted(ids: DataFrame, n_tokens: int, lexicon: Lexicon, seed: int) -> dict[str, np.ndarray]:
+    """The network's weights from the training rows of an :func:`encoded` table that hold ``n_tokens``."""
+    context, end_id = ids.sparkSession.sparkContext, lexicon.end_id
+    weights = first_weights(lexicon, seed)
+    replicas = max(1, min(MOST_REPLICAS, -(-n_tokens // (ROUNDS * REPLICA_TOKENS))))
+    deal = F.xxhash64("_key", "copy", F.lit(seed))
+    rows = ids.filter("not held_out").select(deal.alias("deal"), (F.col("n_tokens") <= LONG_TEXT).alias("short"), "ids")
+    rows = rows.withColumn("turn", F.pmod("deal", F.lit(ROUNDS))).withColumn("replica", F.pmod(F.shiftright("deal", 20), F.lit(replicas)).cast("int"))
     for turn in range(ROUNDS):
         start = context.broadcast(flat(weights))
 
-        def replica(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rng = np.random.Generator(np.random.PCG64([seed, turn]))
-
-            def shuffled() -> Iterator[np.ndarray]:
-                for b in batches:
-                    for i in rng.permutation(b.num_rows):
-                        yield np.frombuffer(b.column(0)[int(i)].as_py(), np.int16)
-
-            p = shaped(start.value)
-            seen = train(p, shuffled(), known.value.end_id)
-            if seen:
-                values = flat(p)
-                cuts = range(0, len(values), CHUNK)
-                salt = int.from_bytes(values[:2].tobytes(), "little") % 64
-                yield pa.RecordBatch.from_arrays([pa.array(list(range(len(cuts))), pa.int32()), pa.array([salt] * len(cuts), pa.int32()), pa.array([float(seen)] * len(cuts)), pa.array([values[c : c + CHUNK].tobytes() for c in cuts], pa.binary())], ["chunk", "salt", "weight", "value"])
-
-        rows = ids.mapInArrow(replica, "chunk int, salt int, weight double, value binary")
-        got = sorted(_averaged(_averaged(rows, ["chunk", "salt"]), ["chunk"]).select("chunk", "value").collect())
+        def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            textkit.keep_heap()
+            texts = ((r, x) for b in batches for r, x in zip(b.column(0).to_pylist(), b.column(1), strict=True))
+            for replica, of in groupby(texts, key=lambda pair: pair[0]):
+                theta = start.value.copy()
+                seen = train(theta, (np.frombuffer(x.as_buffer(), np.int16) for _, x in of), end_id)
+                cuts = range(0, len(theta), CHUNK)
+                yield pa.RecordBatch.from_arrays([pa.array(list(range(len(cuts))), pa.int32()), pa.array([replica] * len(cuts), pa.int32()), pa.array([float(seen)] * len(cuts)), pa.array([theta[c : c + CHUNK].tobytes() for c in cuts], pa.binary())], ["chunk", "replica", "weight", "value"])
+
+        dealt = rows.filter(F.col("turn") == turn).repartitionById(replicas, F.col("replica")).sortWithinPartitions("replica", "short", "deal")
+        chunks = dealt.select("replica", "ids").mapInArrow(learn, "chunk int, replica int, weight double, value binary").withColumn("part", F.col("replica") % 64)
+        got = sorted(_averaged(_averaged(chunks, ["chunk", "part"]), ["chunk"]).select("chunk", "value").collect())
         if got:
             weights = shaped(np.concatenate([np.frombuffer(r.value, np.float32) for r in got]))
     return weights
@@ -431,46 +528,32 @@ def score(docs: DataFrame, seed: int = 3, id_col: str = "doc_id", text_col: str
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     name = F.coalesce(docs[id_col].cast("string"), F.lit(""))
     slim = docs.select(docs[id_col].alias("_id"), text.alias("_text"), (F.crc32(name) % 7 == 2).alias("held_out"), F.xxhash64(name, text).alias("_key"))
-    train_docs = slim.filter("not held_out")
-    counts = stage(token_counts(train_docs), "counts")
+    counts = stage(token_counts(slim.filter("not held_out")), "counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     forms = {r.form: (r.n, r.v) for r in counts.filter(F.col("hash") != int(END)).groupBy("form").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     # The head: all words above the least count for which they are no more than HEAD.
     above = counts.groupBy("c").count().withColumn("words", F.sum("count").over(W.orderBy(F.desc("c")))).filter(F.col("words") <= HEAD).agg(F.min("c")).first()[0]
     in_head = (F.col("c") >= (above or 2**62)) | (F.col("hash") == int(END))
     lexicon = make_lexicon(counts.filter(in_head).toArrow(), forms)
-    weights = fitted(train_docs, lexicon, seed)
     context = docs.sparkSession.sparkContext
-    known, model = context.broadcast(lexicon), context.broadcast(flat(weights))
+    ids = stage(encoded(slim, context.broadcast(lexicon)), "ids")
+    model, end_id = context.broadcast(flat(fitted(ids, total.n, lexicon, seed))), lexicon.end_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, p = known.value, shaped(model.value)
+        textkit.keep_heap()
+        p = shaped(model.value)
         for b in batches:
-            for first, end, *parts in _larger(b.column(3)):
-                ids, counted, in_head_, hashes, sizes = [], [], [], [], []
-                for data, at in parts[0]:
-                    h, f, where = tokens(data, at)
-                    i, c, k = lex.look_up(h, f)
-                    ids.append(i.astype(np.int16)), counted.append(c), in_head_.append(k), hashes.append(h), sizes.append(np.diff(where))
-                i, c, k, h, size = map(np.concatenate, (ids, counted, in_head_, hashes, sizes))
-                del ids, counted, in_head_, hashes, sizes
-                where = np.concatenate([[0], np.cumsum(size)])
-                rows = np.repeat(np.arange(len(size), dtype=np.int32), size)
-                logs = np.log10(c + 1.0)
-                form = np.full(VOCABULARY, -1)
-                form[lex.form_ids] = np.arange(FORMS)
-                rare = form[i] >= 0
-                base = np.bincount(rows, logs, len(size))
-                share = np.bincount(rows[rare], logs[rare] - np.log10(lex.form_mass[form[i[rare]]]), len(size))
-                lp = document_scores(p, i, where, lex.end_id) / np.log(10) + share
-                tail = np.flatnonzero(~k & (h != END))
-                split = np.searchsorted(rows[tail], np.arange(len(size) + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(split), pa.array(h[tail].view(np.int64)))
-                seen = np.bincount(rows, k & (c > 0), len(size)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([*(b.column(x).slice(first, end - first) for x in (0, 1, 2)), pa.array(size.astype(np.int64)), pa.array(seen), pa.array(base), pa.array(lp), lists], ["_id", "_key", "held_out", "n_tokens", "known", "base", "lp", "tail"])
-
-    shape = f"_id {slim.schema['_id'].dataType.simpleString()}, _key long, held_out boolean, n_tokens long, known long, base double, lp double, tail array<long>"
-    scored = stage(slim.select("_id", "_key", "held_out", "_text").mapInArrow(run, shape), "scored")
+            for first, end in _runs(b.column("n_tokens").to_numpy()):
+                part = b.slice(first, end - first)
+                where = np.concatenate([[0], np.cumsum(part.column("n_tokens").to_numpy())])
+                given = np.frombuffer(b"".join(part.column("ids").to_pylist()), np.int16).astype(np.int64)
+                lp = document_scores(p, given, where, end_id) / np.log(10) + part.column("share").to_numpy()
+                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in kept), pa.array(lp)], [*kept, "lp"])
+
+    kept = ["_id", "_key", "held_out", "n_tokens", "known", "base", "tail"]
+    shape = ", ".join(f"{x} {ids.schema[x].dataType.simpleString()}" for x in kept) + ", lp double"
+    scored = stage(ids.select(*kept, "share", "ids").mapInArrow(run, shape), "scored")
+    drop_staged(ids)
     tail = scored.select("_key", F.explode("tail").alias("hash")).groupBy("_key", "hash").count()
     rare = counts.filter(~in_head).select("hash", "c")
     sums = tail.join(rare, "hash").groupBy("_key").agg(F.sum("count").alias("more"), F.sum(F.col("count") * F.log10(F.col("c") + 1.0)).alias("logs"))
@@ -481,14 +564,10 @@ def score(docs: DataFrame, seed: int = 3, id_col: str = "doc_id", text_col: str
     return out.select(F.col("_id").alias(id_col), "held_out", "n_tokens", (F.col("known") + more).alias("n_known"), F.lit(total.n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("lp") + logs).alias("score"))
 
 
-def _larger(column: pa.Array, limit: int = 10 << 20) -> Iterator[tuple[int, int, list[tuple[np.ndarray, np.ndarray]]]]:
-    """Slices gathered up to ``limit`` bytes, so that lanes stay full."""
-    first, held, size, end = 0, [], 0, 0
-    for a, end, data, at in textkit.slices(column):
-        if held and size + len(data) > limit:
-            yield first, a, held
-            first, held, size = a, [], 0
-        held.append((data, at))
-        size += len(data)
-    if held:
-        yield first, end, held
+def _runs(sizes: np.ndarray, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of up to ``limit`` tokens, or of one row, so that lanes stay full and memory bounded."""
+    ends, first = np.cumsum(sizes), 0
+    while first < len(sizes):
+        end = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + limit, "right")))
+        yield first, end
+        first = end

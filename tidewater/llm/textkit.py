@@ -24,6 +24,11 @@ _INVERSE = pow(_BASE, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
 
 
+def keep_heap() -> None:
+    """Make the C allocator keep freed arrays of up to 30 MB instead of giving their pages back: it does so once it has freed one."""
+    np.empty(30 << 20, np.uint8)
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 to base**n modulo 2**64; the longest asked for so far is kept, up to a slice's length."""
     kept = _powers.get(base)
