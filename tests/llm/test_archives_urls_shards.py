@@ -47,7 +47,7 @@ def test_warc_round_trip_and_revisits(spark):
     for r in rows:
         if r.record_type == "response":
             assert r.payload_digest == base64.b32encode(hashlib.sha1(bytes(r.payload)).digest()).decode()
-    raw = b"".join(gzip.open(p).read() for p in glob.glob(path.removeprefix("file:") + "/*.gz"))
+    raw = b"".join(gzip.open(p).read() for p in glob.glob(path.removeprefix("file:") + "/*/*.gz"))
     assert raw.startswith(b"WARC/1.1\r\n") and b"\nX: y" not in raw and b"Target-URI: http://dX: y\r\n" in raw
 
 
@@ -63,6 +63,25 @@ def test_warc_empty_table(spark):
     assert found.count() == 0
 
 
+def test_op1_takes_null_ids_and_long_pages(spark, tmp_path):
+    rows = [*ODD, (None, None, "only null ids"), (None, None, "only null ids"), (7, "http://f", "x" * 3_000_000), (8, "http://f", "y" * 20_000)] + [(100 + i, "http://g", "copied often") for i in range(300)]
+    pages(spark, rows).write.parquet(str(tmp_path / "pages.parquet"))
+    got = Counter(map(tuple, registry.queries()["op1_warc"](spark, str(tmp_path)).collect()))
+    digest = lambda h: base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
+    largest = {}
+    for i, _, h in rows:
+        largest[h or ""] = max(largest.get(h or "", -1), -1 if i is None else i)
+    top = {h: None if i < 0 else i for h, i in largest.items()}
+    want = Counter((i, len((h or "").encode()), digest(h), "revisit" if i != top[h or ""] else "response", top[h or ""] if i != top[h or ""] else None) for i, _, h in rows)
+    assert got == want
+
+
+def test_warc_files_hold_few_bytes(spark):
+    path, found = archived(spark, spark.range(9).selectExpr("id as page_id", "'u' as url", "repeat(cast(id as string), if(id < 7, 300000, 1500000)) as html").coalesce(1))
+    assert found.count() == 9 and all(len(gzip.open(p).read()) < 64 << 20 for p in glob.glob(path.removeprefix("file:") + "/*/*.gz"))
+    assert len(glob.glob(path.removeprefix("file:") + "/file=2-*")) == 2
+
+
 def test_op1_equals_sql(spark, sf_dir):
     got = sorted(map(tuple, registry.op1_warc(spark, sf_dir).collect()))
     assert got == sorted(duck(warc.ORACLE, spark, pages=table(spark, sf_dir, "pages")))

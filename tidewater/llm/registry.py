@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewater.llm import jaccard, lm, mixing, pieces, quality, sharding, urlfilter, vectors, warc, wrappers
 from tidewater.llm.shared import new_path, ship, table
 
-_record_page = lambda c: F.regexp_extract(c, "<urn:record:(.*)>", 1).cast("long")
+_record_page = lambda c: F.nullif(F.regexp_extract(c, "<urn:record:(.*)>", 1), F.lit("")).try_cast("long")
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,18 +1,21 @@
 """WARC archives: writing, reading, and revisit resolution.
 
-Records are WARC/1.1 responses whose block is a small HTTP header and the payload. Payload digests
-are shuffled as headers alone: of the records with one digest, that with the largest id keeps its
-payload; the others become revisit records, with fresh headers that name it. A revisit's block keeps
+Records are WARC/1.1 responses whose block is a small HTTP header and the payload. Headers (id and
+payload digest) are shuffled by digest: of the records with one digest, that with the largest id keeps
+its payload; the others become revisit records, with fresh headers that name it. A page then meets
+its fate by id and digest, so no task holds a digest's payloads: the planner broadcasts the fates of repeated
+payloads where they are small, else it deals payloads evenly over the ids. A revisit's block keeps
 the HTTP header, so the payload's length is not lost.
 
 Archives are written by Spark's text writer, a record a row with CRLF CRLF after it, gzipped, so
-any file system Spark knows can hold them. They are read as whole files of bounded size and parsed
-by Content-Length, a record at a time, so payloads may hold anything, record headers included.
+any file system Spark knows can hold them. A file holds at most 64 MB before compression, or one record. Files
+are read whole and parsed by Content-Length, a record at a time, so payloads may hold anything, record
+headers included. The writer compresses a file as one stream, so one record cannot be read alone.
 
 Defined results: a null payload is empty; rows that repeat the id and payload of a response are
 responses too; a record of a null id is a response only if no record of its payload has an id;
-line breaks in a URL are dropped; an empty table gives an empty archive folder; extra columns are
-ignored.
+line breaks in a URL are dropped; a payload of any length Spark can hold is one record, in a file of its
+own from 1 MB on; an empty table gives an empty archive folder; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BREAK = "\r\n"
-#: Files stay small enough to be read whole in a task.
-RECORDS_PER_FILE = 5000
+#: (payloads below so many bytes, so many records a file): a file stays small enough to be read whole in a task.
+FILES = ((1 << 14, 4096), (1 << 20, 64))
 BATCH_BYTES = 4 << 20
 READ = "record_id string, target_uri string, record_type string, refers_to string, payload_digest string, payload_bytes long, payload binary, intact boolean"
 
@@ -43,16 +46,18 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def resolve_revisits(headers: DataFrame) -> DataFrame:
-    """(digest, response_id) from the headers (id, digest): the largest id of each digest."""
-    return headers.groupBy("digest").agg(F.max("id").alias("response_id"))
+    """(id, digest, response_id) of the headers (id, digest) whose payload more than one record has."""
+    kept = headers.groupBy("digest").agg(F.max("id").alias("response_id"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    return headers.join(kept, "digest").distinct()
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "1970-01-01T00:00:00Z") -> None:
     """Write one record a row: a response, or a revisit of the response with the same payload."""
     payload = F.coalesce(pages[payload_col].cast("string"), F.lit(""))
-    rows = pages.select(pages[id_col].alias("id"), pages[url_col].cast("string").alias("url"), payload.alias("payload"), base32_sha1(payload).alias("digest"))
     headers = pages.select(pages[id_col].alias("id"), base32_sha1(payload).alias("digest"))
-    rows = rows.join(resolve_revisits(headers), "digest")
+    fates = resolve_revisits(headers).select(F.col("id").alias("_of"), F.col("digest").alias("_digest"), "response_id")
+    rows = pages.select(pages[id_col].alias("id"), pages[url_col].cast("string").alias("url"), payload.alias("payload"), base32_sha1(payload).alias("digest"))
+    rows = rows.join(fates, F.col("id").eqNullSafe(F.col("_of")) & (F.col("digest") == F.col("_digest")), "left")
     revisit = F.col("response_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("response_id"))
     name = lambda c: F.concat(F.lit("<urn:record:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{BREAK}Content-Type: text/html; charset=utf-8{BREAK}Content-Length: "), F.octet_length("payload").cast("string"), F.lit(BREAK * 2))
@@ -66,7 +71,12 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         F.when(revisit, F.concat(F.lit(f"{BREAK}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{BREAK}WARC-Refers-To: "), name(F.col("response_id")))).otherwise(F.lit("")),
         F.lit(f"{BREAK}Content-Type: application/http; msgtype=response{BREAK}Content-Length: "), F.octet_length(block).cast("string"), F.lit(BREAK * 2),
     )
-    rows.select(F.concat(head, block).alias("value")).write.option("lineSep", BREAK * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    # Rows of a task are counted off into files of payloads of like size.
+    turn = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    file = F.concat(F.lit(len(FILES)), F.lit("-"), F.col("turn"))
+    for k, (below, records_) in reversed(list(enumerate(FILES))):
+        file = F.when(F.octet_length("payload") < below, F.concat(F.lit(k), F.lit("-"), F.floor(F.col("turn") / records_))).otherwise(file)
+    rows.withColumn("turn", turn).select(file.alias("file"), F.concat(head, block).alias("value")).write.option("lineSep", BREAK * 2).option("compression", "gzip").partitionBy("file").text(path)
 
 
 def records(archive: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -117,7 +127,7 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
                         held, size = [], 0
                 yield pa.RecordBatch.from_pylist(held, schema)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content").mapInArrow(run, READ)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, READ)
 
 
 def restored(archive: DataFrame) -> DataFrame:
