@@ -97,28 +97,32 @@ def test_compression_bands_reject_both_ends(spark):
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
-def test_pieces_equal_the_library_on_odd_texts(spark):
+def test_pieces_equal_the_library_on_odd_texts(spark, monkeypatch):
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     random.seed(3)
     bits = ["a", "the", " ", "  ", "▁", "\n", "é", "日", "\t", "\0", "<s>", "</s>", "<unk>", "😀", ".", "x ", "‍", "▁a", " \n", "ing", "\u3000"]
     texts = ODD + ["".join(random.choice(bits) for _ in range(random.randrange(14))) for _ in range(1500)]
-    chunked = pieces.ChunkTable(MODEL, limit=100)
-    assert chunked.apart
-    for text, (csv, plain) in zip(texts, chunked.encode([t or "" for t in texts]), strict=True):
-        ids = sp.encode(text or "")
-        assert csv == ",".join(map(str, ids)) and plain == sp.decode(ids)
-    whole = pieces.ChunkTable(MODEL)
-    whole.apart = False
-    assert whole.encode([t or "" for t in texts[:300]]) == pieces.ChunkTable(MODEL).encode([t or "" for t in texts[:300]])
-    got = pieces.digests(docs(spark, ODD)).collect()
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-    want = Counter((len(ids), sha(",".join(map(str, ids))), sha(sp.decode(ids))) for ids in (sp.encode(t or "") for t in ODD))
-    assert Counter((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == want
+    want = Counter((len(ids), sha(",".join(map(str, ids))), sha(sp.decode(ids))) for ids in (sp.encode(t or "") for t in texts))
+    digests = lambda: Counter((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in pieces.digests(docs(spark, texts)).collect())
+    assert pieces.Segmenter(MODEL).apart() and digests() == want
+    for head in (40, 0):  # most words, then all, are joined by position
+        monkeypatch.setattr(pieces, "HEAD", head)
+        assert digests() == want
+    monkeypatch.setattr(pieces.Segmenter, "apart", lambda self: False)
+    assert digests() == want
     assert pieces.digests(docs(spark, ODD).limit(0)).count() == 0
 
 
+def test_pieces_segment_each_word_once(spark):
+    counts = pieces.word_counts(docs(spark, ["a b  a", "b", None, "x" * 100_000]).withColumnRenamed("text", "_text"))
+    table_ = pieces.chunk_table(counts, MODEL).collect()
+    assert {(r.word, r.c) for r in table_} == {("a", 2), ("b", 2), ("", 1), ("x" * 100_000, 1)} and len(table_) == 4
+
+
 def test_pieces_round_trip(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
+    assert pieces.decode(pieces.encode(d.limit(0))).count() == 0
     back = {r.doc_id: r.text for r in pieces.decode(pieces.encode(d)).collect()}
     assert back == {r.doc_id: r.text for r in d.collect()}
     assert [r.text for r in pieces.decode(spark.createDataFrame([(1, None)], "doc_id int, ids array<int>")).collect()] == [""]

@@ -6,14 +6,15 @@ its cap. A document is then taken floor(target / size of the source) times whole
 part of each source once more: documents in order of a hash, up to the words still missing, the
 last one in part. So each source's taken words equal its rounded target.
 
-Only DataFrame functions run here. The driver sees two sums a round of filling. A hot source is
+Only DataFrame functions run here. The driver sees two sums and the level. A hot source is
 never one group of rows: its documents fall into ``BUCKETS`` hash buckets, whole buckets are
 decided from their sums, and only the one bucket at the boundary is ordered row by row.
 
 Defined results: a null text has size 0 and is never taken; a null source is a source of its own,
-ordered last; a null id hashes like the empty string; rows that repeat an id and size are ordered
-by their text's hash and are otherwise interchangeable; an empty table gives an empty mix; extra
-columns are kept by :func:`mixed_documents` and ignored by :func:`mix`.
+ordered last; a null id hashes like the empty string; rows of equal hash are ordered by size and by
+their text's hash and are otherwise interchangeable; a text of any length is taken whole or counted by
+its words; sources of equal cap by weight are filled in order of their names; an empty table gives an
+empty mix; extra columns are kept by :func:`mixed_documents` and ignored by :func:`mix`.
 """
 
 from __future__ import annotations
@@ -35,29 +36,33 @@ def _key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
 
 
+def _ranged(rows: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Add to each row, by name, the sums over all rows before it in ``order``: ranges are summed apart and offset by those before them."""
+    parts = stage(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranged")
+    upto = lambda window: window.rowsBetween(W.unboundedPreceding, -1)
+    totals = parts.groupBy("part").agg(*(F.sum(v).alias(k) for k, v in sums.items()))
+    before = totals.select("part", *(F.coalesce(F.sum(k).over(upto(W.orderBy("part"))), F.lit(0)).alias(f"_{k}") for k in sums))
+    inside = upto(W.partitionBy("part").orderBy(*order))
+    return parts.join(before, "part").withColumns({k: F.col(f"_{k}") + F.coalesce(F.sum(v).over(inside), F.lit(0)) for k, v in sums.items()}).drop("part", *(f"_{k}" for k in sums))
+
+
 def fill(sources: DataFrame, max_epochs: float) -> DataFrame:
-    """Add ``target`` to (key, weight, source_size): capped water-filling."""
+    """Add ``target`` to (key, weight, source_size): capped water-filling.
+
+    In order of cap a unit of weight, sources are capped as long as the level that shares the rest among the
+    others lies above; the first source that it does not reach sets the level.
+    """
     cap = F.col("source_size") * F.lit(float(max_epochs))
-    whole = sources.agg(F.sum("source_size").alias("t")).first().t or 0
-    level = None
-    while True:  # each round caps at least one more source, or ends
-        free = F.lit(True) if level is None else cap >= F.lit(level) * F.col("weight")
-        got = sources.agg(F.sum(F.when(~free, F.col("source_size"))).alias("capped"), F.sum(F.when(free, F.col("weight"))).alias("free")).first()
-        if not got.free:
-            break
-        now = (whole - float(max_epochs) * (got.capped or 0)) / got.free
-        if now == level:
-            break
-        level = now
-    return sources.withColumn("target", cap if level is None else F.least(cap.cast("double"), F.lit(level) * F.col("weight")))
+    all_of = sources.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    ranked = _ranged(sources.withColumn("ratio", cap / F.col("weight")), ["ratio", "key"], {"capped": F.col("source_size"), "used": F.col("weight")})
+    level = (F.lit(all_of["size"] or 0) - F.col("capped") * F.lit(float(max_epochs))) / (F.lit(all_of["weight"] or 0.0) - F.col("used"))
+    found = ranked.withColumn("level", level).filter(F.col("level") * F.col("weight") <= cap).agg(F.min(F.struct("ratio", "key", "level"))["level"]).first()[0]
+    return sources.withColumn("target", cap if found is None else F.least(cap.cast("double"), F.lit(found) * F.col("weight")))
 
 
 def rank_sources(sources: DataFrame) -> DataFrame:
-    """Add ``place``, the rank of the key, counted from 0: ranges are ranked apart and offset by the counts before them."""
-    parts = stage(sources.repartitionByRange("key").withColumn("part", F.spark_partition_id()), "sources")
-    counts = parts.groupBy("part").count()
-    before = counts.select("part", (F.sum("count").over(W.orderBy("part")) - F.col("count")).alias("before"))
-    return parts.join(before, "part").withColumn("place", F.col("before") + F.row_number().over(W.partitionBy("part").orderBy("key")) - 1).drop("part", "before")
+    """Add ``place``, the rank of the key, counted from 0."""
+    return _ranged(sources, ["key"], {"place": F.lit(1)})
 
 
 def _taken(rows: DataFrame, weights: Sequence[float], max_epochs: float, seed: int) -> DataFrame:
@@ -94,21 +99,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epochs: float
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epochs: float = 3, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: a row for each whole repetition, and the leading words of a document taken in part.
+    """The mix itself: a row for each repetition, with the document's columns as they are.
 
-    A part's words are joined by single spaces; n_chars, where the table has it, follows the text.
+    Texts are never cut: of a source's one document that the mix takes in part, there is a whole row more if
+    that comes nearer to the target than none.
     """
     names = docs.columns
     packed = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), docs[id_col].alias("_id"), _key(docs[source_col]).alias("_key"), F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("_size"), F.crc32(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("_tie"))
     out = _taken(packed, weights, max_epochs, seed).filter("taken > 0")
-    full = (F.col("taken") / F.greatest("_size", F.lit(1))).cast("int")
-    rest = (F.col("taken") - full * F.col("_size")).cast("int")
-    copies = out.select("_row", F.explode(F.concat(F.array_repeat(F.lit(-1), full), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))).alias("_part"))
-    text = F.col(f"_row.`{text_col}`")
-    part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), 0), F.lit(1), F.greatest("_part", F.lit(1))), " ")
-    copies = copies.withColumn("_text", F.when(F.col("_part") < 0, text).otherwise(part))
-    cols = [F.col("_text").alias(c) if c == text_col else F.when(F.col("_part") < 0, F.col("_row.n_chars")).otherwise(F.length("_text").cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c in names]
-    return copies.select(*cols)
+    times = F.round(F.col("taken") / F.greatest("_size", F.lit(1))).cast("int")
+    return out.select("_row", F.explode(F.array_repeat(F.lit(0), times))).select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
 
 
 #: DuckDB SQL for :func:`mix` over ``documents`` with its defaults: the level in closed form over sources sorted by cap.
