@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import re
 import zlib
 from collections import Counter
@@ -104,11 +105,12 @@ def test_pieces_equal_the_library_on_odd_texts(spark, monkeypatch):
     texts = ODD + ["".join(random.choice(bits) for _ in range(random.randrange(14))) for _ in range(1500)]
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     want = Counter((len(ids), sha(",".join(map(str, ids))), sha(sp.decode(ids))) for ids in (sp.encode(t or "") for t in texts))
-    digests = lambda: Counter((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in pieces.digests(docs(spark, texts)).collect())
+    digests = lambda corpus_table=False: Counter((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in pieces.digests(docs(spark, texts), corpus_table=corpus_table).collect())
     assert pieces.Segmenter(MODEL).apart() and digests() == want
-    for head in (40, 0):  # most words, then all, are joined by position
-        monkeypatch.setattr(pieces, "HEAD", head)
-        assert digests() == want
+    monkeypatch.setattr(pieces, "TABLE_WORDS", 100)
+    assert digests() == want == digests(True)
+    monkeypatch.setattr(pieces, "HEAD", 40)  # most words are joined by position
+    assert digests(True) == want
     monkeypatch.setattr(pieces.Segmenter, "apart", lambda self: False)
     assert digests() == want
     assert pieces.digests(docs(spark, ODD).limit(0)).count() == 0
@@ -117,7 +119,7 @@ def test_pieces_equal_the_library_on_odd_texts(spark, monkeypatch):
 def test_pieces_segment_each_word_once(spark):
     counts = pieces.word_counts(docs(spark, ["a b  a", "b", None, "x" * 100_000]).withColumnRenamed("text", "_text"))
     table_ = pieces.chunk_table(counts, MODEL).collect()
-    assert {(r.word, r.c) for r in table_} == {("a", 2), ("b", 2), ("", 1), ("x" * 100_000, 1)} and len(table_) == 4
+    assert {(r.word, r.c) for r in table_} == {("a", 1), ("b", 2), ("▁a", 1), ("x" * 100_000, 1)} and len(table_) == 4
 
 
 def test_pieces_round_trip(spark, sf_dir):
@@ -178,7 +180,7 @@ def test_copies_count_once_and_each_layout_has_a_wrapper(spark):
     assert all(got[100 + i] == f"table {i} is set course {i}" for i in range(6))
 
 
-def test_simple_tree_matching_keeps_order_and_counts():
+def test_simple_tree_matching_keeps_order_and_counts(monkeypatch):
     tree = lambda html: wrappers._settle(wrappers.parse(html)[0])
 
     def brute(a, b):
@@ -191,13 +193,39 @@ def test_simple_tree_matching_keeps_order_and_counts():
         return 1 + m[-1][-1]
 
     random.seed(5)
+
+    def size(a, b):
+        known = {}
+        wrappers._shaped(a, known)
+        wrappers._shaped(b, known)
+        return wrappers._Matching().size(a, b)
+
     make = lambda d: "".join(f"<{t}>{make(d - 1) if d else 'x'}</{t}>" for t in random.choices(["div", "ul", "section"], k=random.randrange(4)))
     for _ in range(60):
         a, b = tree(make(3)), tree(make(3))
-        found = {}
-        score = wrappers._match(a, b, found)
         pairs = wrappers.aligned(a, b)
-        assert score == brute(a, b) == len(pairs) and len(set(pairs.values())) == len(pairs)
+        assert size(a, b) == brute(a, b) == len(pairs) and len(set(pairs.values())) == len(pairs)
+        monkeypatch.setattr(wrappers, "BY_ARRAYS", 0)
+        assert wrappers.aligned(a, b) == pairs
+        monkeypatch.undo()
+
+
+def test_hostile_pages_take_linear_time():
+    for part in ("<a ", '<a ">" ', "<!--", "<script>", "<", '<a "'):
+        began = time.time()
+        wrappers.parse(part * (1_000_000 // len(part)) + "'")
+        assert time.time() - began < 3, part
+    root, blocks = wrappers.parse("<div>" * 20_000 + "deep" + "</div>" * 20_000 + "</x>" * 20_000 + '<p title="open>after<p>end')
+    assert [t for _, t in blocks] == ["deep", "after", "end"]
+    assert len(wrappers.aligned(wrappers._settle(root), wrappers._settle(wrappers.parse("<div>" * 20_000)[0]))) == 20_001
+
+
+def test_the_template_decides_on_unmarked_pages():
+    tags = wrappers.skeleton(wrappers.parse("<div>Follow us</div><div><p>story</p></div><div>Rights</div>")[0])
+    html = "<div>Follow us</div><div><p>one</p><p>two</p></div><div>Rights</div>"
+    slots = {text: slot for slot, _, text in wrappers.slotted(html, tags)}
+    assert wrappers.main_text(html, tags, frozenset())[0] == "Follow us one two Rights"
+    assert wrappers.main_text(html, tags, frozenset({slots["Follow us"], slots["Rights"]}))[0] == "one two"
 
 
 def test_lm_base_and_shape(spark):

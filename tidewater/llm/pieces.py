@@ -1,12 +1,19 @@
 """SentencePiece encoding and decoding through a table of distinct chunks.
 
 Where no piece of a model has a character before a white-space marker, merges never cross into
-a marker from the left. A text is then a row of marked words that are segmented apart, and
-each distinct marked word of the corpus is segmented once: Spark counts the words of all texts, and a
-table of them gets each word's ids and decoded form. The ``HEAD`` most frequent words of up to
-``WORD_CHARS`` characters, a bounded part of the table, are broadcast, and ids are joined back to each text
-by position in the task. Words outside the head leave as (row, position, word), meet the table in a
-join, and go back to their row by position, with the row's text.
+a marker from the left. A text is then a row of marked words that are segmented apart, and a distinct
+marked word needs segmenting once. There are two tables of distinct words.
+
+The table of a task (the default): words new to it are segmented in one call, and ids are joined back to
+each text by position. It starts afresh beyond ``TABLE_WORDS`` words, so its memory is bounded while
+results stay the same. Nothing is shuffled; a word is segmented once a task.
+
+The table of the corpus (``corpus_table``): Spark counts the words of all texts and segments each distinct
+one once. The ``HEAD`` most frequent words of up to ``WORD_CHARS`` characters, a bounded part, are
+broadcast and joined back by position in the task. Other words leave as (row, position, word), meet the table
+in a join, and go back to their row by position, with the row's text. That moves every text with a rare
+word; the README has its figures.
+
 A model for which the condition fails is run over whole texts instead.
 
 Results equal the library's ``encode`` (no begin or end ids, no sampling) and ``decode(ids)``.
@@ -36,6 +43,8 @@ MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Words that are broadcast with their ids, and characters of one at most: below 50 MB in all.
 HEAD, WORD_CHARS = 200_000, 40
+#: Words of a task's table.
+TABLE_WORDS = 250_000
 #: Different words a task counts before it passes them on.
 COUNTED = 200_000
 #: A run of markers and what follows it.
@@ -115,25 +124,48 @@ def _texts(column: pa.Array) -> Iterator[list[str]]:
         yield run
 
 
+class TaskTable:
+    """Marked words to their ids and decoded text, as far as a task has met them."""
+
+    def __init__(self, model: str, limit: int) -> None:
+        self.segmenter, self.limit = Segmenter(model), limit
+        self.ids: dict[str, str] = {}
+        self.plain: dict[str, str] = {}
+
+    def encode(self, texts: list[str]) -> list[tuple[str, str]]:
+        """(ids as decimals with commas, decoded text) of each text."""
+        split = [chunks(t) for t in texts]
+        if len(self.ids) > self.limit:
+            self.ids, self.plain = {}, {}
+        new = list(set().union(*split).difference(self.ids))
+        for word, (ids, plain) in zip(new, self.segmenter.segmented(new), strict=True):
+            self.ids[word], self.plain[word] = ids, word if plain == word else plain
+        ids, plain = self.ids.__getitem__, self.plain.__getitem__
+        return [(",".join(map(ids, x)), " ".join(map(plain, x))) for x in split]
+
+
 Finish = Callable[[list[tuple[str, str]]], list[pa.Array]]
 
 
-def _encoded(docs: DataFrame, id_col: str, text_col: str, model: str, shape: str, finish: Finish) -> DataFrame:
+def _encoded(docs: DataFrame, id_col: str, text_col: str, model: str, corpus_table: bool, shape: str, finish: Finish) -> DataFrame:
     """One row a document: its id and the columns ``shape`` that ``finish`` makes of (ids with commas, decoded text)."""
     names, id_type = [x.split()[0] for x in shape.split(", ")], docs.schema[id_col].dataType.simpleString()
     slim = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"))
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = Segmenter(model).model
+    limit, apart = TABLE_WORDS, Segmenter(model).apart()
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = TaskTable(model, limit)
+        library = one.segmenter.model
         for b in batches:
             at = 0
             for texts in _texts(b.column(1)):
-                coded = [(",".join(map(str, ids)), one.decode(ids)) for ids in map(one.encode, texts)]
+                coded = one.encode(texts) if apart else [(",".join(map(str, ids)), library.decode(ids)) for ids in map(library.encode, texts)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), *finish(coded)], [id_col, *names])
                 at += len(texts)
 
-    if not Segmenter(model).apart():
-        return slim.mapInArrow(whole, f"`{id_col}` {id_type}, {shape}")
+    if not (apart and corpus_table):
+        return slim.mapInArrow(alone, f"`{id_col}` {id_type}, {shape}")
     table = stage(chunk_table(word_counts(slim), model), "chunks")
     short = F.length("word") <= WORD_CHARS
     above = table.filter(short).groupBy("c").count().withColumn("words", F.sum("count").over(W.orderBy(F.desc("c")))).filter(F.col("words") <= HEAD).agg(F.min("c")).first()[0]
@@ -186,10 +218,10 @@ def _encoded(docs: DataFrame, id_col: str, text_col: str, model: str, shape: str
     return done.filter("_missing is null").select(F.col("_id").alias(id_col), *names).union(rest)
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, corpus_table: bool = False) -> DataFrame:
     """(id, ids, decoded) of each document; ``model`` is a file name of the public tokenizers, or a path every executor has."""
     ids = lambda csv: [int(x) for x in csv.split(",")] if csv else []
-    return _encoded(docs, id_col, text_col, model, "ids array<int>, decoded string", lambda coded: [pa.array([ids(x) for x, _ in coded], pa.list_(pa.int32())), pa.array([d for _, d in coded], pa.string())])
+    return _encoded(docs, id_col, text_col, model, corpus_table, "ids array<int>, decoded string", lambda coded: [pa.array([ids(x) for x, _ in coded], pa.list_(pa.int32())), pa.array([d for _, d in coded], pa.string())])
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
@@ -204,11 +236,11 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", mod
     return slim.mapInArrow(run, f"`{id_col}` {slim.schema['_id'].dataType.simpleString()}, text string")
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, corpus_table: bool = False) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): the same encoding, without sending the ids out of the task."""
     sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
 
     def finish(coded: list[tuple[str, str]]) -> list[pa.Array]:
         return [pa.array([x.count(",") + 1 if x else 0 for x, _ in coded], pa.int64()), pa.array([sha(x) for x, _ in coded], pa.string()), pa.array([sha(d) for _, d in coded], pa.string())]
 
-    return _encoded(docs, id_col, text_col, model, "n_tokens long, ids_sha256 string, decoded_sha256 string", finish)
+    return _encoded(docs, id_col, text_col, model, corpus_table, "n_tokens long, ids_sha256 string, decoded_sha256 string", finish)

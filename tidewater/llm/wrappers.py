@@ -19,18 +19,23 @@ Blocks are runs of text between block elements. Character references are decoded
 a block becomes one space, blocks are joined by one space.
 
 Defined results: a null or empty page has an empty text; a null URL, or one without ``://``, belongs to
-the host of the empty name; a broken page is read to its end, with open elements closed there; children
-beyond ``DEPTH`` levels are read but not aligned; repeated rows each get a row; an empty table gives an
-empty result; extra columns are ignored.
+the host of the empty name; a broken page is read to its end, with open elements closed there and a tag that
+never ends dropped; once a quote stays open to the end of the page, tags end at the next ``>``; a page of any
+length and depth is read in one pass, in time that grows with its length, and aligned whole; of equally good
+alignments the one with the later pairs counts; layouts equally frequent on a host rank by their hash; repeated
+rows each get a row; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+import sys
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -41,7 +46,10 @@ from tidewater.llm.urlfilter import host_of
 
 #: A slot is template if this share of at least so many pages has a text there that the host repeats.
 SHARE, LEAST_PAGES = 0.5, 5
-DEPTH, CELLS = 60, 250_000
+#: Child lists of more pairs than this are aligned by array operations, with the same result.
+BY_ARRAYS = 2048
+#: Blocks of one element have slots of their own, up to so many.
+TURNS = 1 << 31
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title svg math object canvas select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -51,18 +59,20 @@ _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table
 OUTSIDE = frozenset("nav header footer aside form menu dialog button fieldset head".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form".split())
 OUTSIDE_WORDS = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|aside|ad|ads|advert|adverts|advertisement|banner|notice|notices|cookie|cookies|consent|comment|comments|disqus|promo|sponsor|sponsored|breadcrumb|breadcrumbs|share|social|related|widget|subscribe|newsletter|popup|modal|alert)(?:$|[\s_-])", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>", re.S)
-_TAIL = re.compile(r"<[/!?a-zA-Z][^>]*\Z", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+#: From a tag's name to its end, past quoted values; possessive, so it is tried once.
+_REST = re.compile(r"[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "kids", "index", "flat", "outside", "inside")
+    __slots__ = ("tag", "kids", "index", "flat", "outside", "inside", "shape")
 
     def __init__(self, tag: str, index: int, outside: bool = False, inside: int = 0) -> None:
         self.tag, self.index, self.outside, self.inside = tag, index, outside, inside
         self.kids: list[Node] = []
         self.flat: str | None = None
+        self.shape = 0
 
 
 def _marked(tag: str, attributes: str) -> bool:
@@ -84,11 +94,21 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
     """The tree of block elements, and the blocks of text in page order with their element."""
     root = Node("#", 0)
     stack: list[tuple[str, Node]] = [("#", root)]  # every open element, with its block
+    where: dict[str, list[int]] = defaultdict(list)  # the places of a tag on the stack
     blocks: list[tuple[Node, str]] = []
     pieces: list[str] = []
-    count, at = 1, 0
-    if tail := _TAIL.search(page, page.rfind("<")) if "<" in page else None:
-        page = page[: tail.start()]
+    count, at, quoted = 1, 0, True
+
+    def push(tag: str, node: Node) -> None:
+        where[tag].append(len(stack))
+        stack.append((tag, node))
+
+    def pop_from(k: int) -> None:
+        while len(stack) > k:
+            where[stack.pop()[0]].pop()
+
+    def last(tags: frozenset[str] | set[str]) -> int:
+        return max((where[t][-1] for t in tags if where.get(t)), default=0)
 
     def flush() -> None:
         if pieces:
@@ -107,16 +127,19 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
         name = m[2]
         if not name:
             continue
+        end = _REST.match(page, at).end() if quoted else page.find(">", at)
+        if end == len(page) or page[end : end + 1] != ">":
+            quoted, end = False, page.find(">", at)
+        if end < 0:  # no tag ends any more
+            break
+        attributes, at = page[at:end], end + 1
         tag = name.lower()
         if m[1]:
-            if tag in VOID:
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if stack[-1][1] is not stack[k - 1][1]:  # a block ends here
-                        flush()
-                    del stack[k:]
-                    break
+            if tag not in VOID and where.get(tag):
+                k = where[tag][-1]
+                if stack[-1][1] is not stack[k - 1][1]:  # a block ends here
+                    flush()
+                pop_from(k)
             continue
         if tag == "br" or tag == "hr":
             pieces.append(" ")
@@ -125,38 +148,34 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             continue
         if tag in VOID:
             continue
-        if tag in RAW and not m[3].endswith("/"):
+        if tag in RAW and not attributes.endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             pieces.append(" ")
             continue
         if tag in INLINE:
-            if m[3].endswith("/"):
+            if attributes.endswith("/"):
                 continue
             top = stack[-1][1]
-            if _marked(tag, m[3]) and not top.outside:  # hidden or marked inline text is a block of its own
+            if _marked(tag, attributes) and not top.outside:  # hidden or marked inline text is a block of its own
                 flush()
                 top = Node(tag, count, True, top.inside)
                 count += 1
-            stack.append((tag, top))
+            push(tag, top)
             continue
         flush()
-        closes = _CLOSES.get(tag, frozenset()) | {"p"}
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in closes:
-                del stack[k:]
-                if tag not in _CLOSES:
-                    break
-            elif k < len(stack) and stack[k][0] in _SCOPES.get(tag, _SCOPES["p"]):
+        closes, scope = _CLOSES.get(tag, frozenset()) | {"p"}, last(_SCOPES.get(tag, _SCOPES["p"]))
+        while (k := last(closes)) > scope:
+            pop_from(k)
+            if tag not in _CLOSES:
                 break
         up = stack[-1][1]
-        inside = 2 if tag == "article" else 1 if tag == "main" or re.search(r"role\s*=\s*[\"']?main", m[3], re.I) else 0
-        node = Node(tag, count, up.outside or _marked(tag, m[3]), max(up.inside, inside))
+        inside = 2 if tag == "article" else 1 if tag == "main" or re.search(r"role\s*=\s*[\"']?main", attributes, re.I) else 0
+        node = Node(tag, count, up.outside or _marked(tag, attributes), max(up.inside, inside))
         count += 1
-        if len(stack) <= DEPTH:
-            up.kids.append(node)
-        if not m[3].endswith("/"):
-            stack.append((tag, node))
+        up.kids.append(node)
+        if not attributes.endswith("/"):
+            push(tag, node)
     flush()
     return root, blocks
 
@@ -216,56 +235,90 @@ def grown(tags: str) -> Node:
     return _settle(path[0])
 
 
-def _match(a: Node, b: Node, found: dict[tuple[int, int], tuple[int, list]]) -> int:
-    """Simple tree matching: the most nodes that pair up with order and ancestry kept."""
-    if a.tag != b.tag:
-        return 0
-    key = (a.index, b.index)
-    if key in found:
-        return found[key][0]
-    x, y = a.kids, b.kids
-    if not x or not y:
-        found[key] = (1, [])
-        return 1
-    if a.flat and b.flat:
-        pairs = list(zip(x, y, strict=False)) if a.flat == b.flat else []
-        found[key] = (1 + len(pairs), pairs)
-        return 1 + len(pairs)
-    n, m = len(x), len(y)
-    if n * m > CELLS:  # very long lists of unlike children align in order where tags agree
-        pairs = [(p, q) for p, q in zip(x, y, strict=False) if _match(p, q, found)]
-        found[key] = (1 + sum(found.get((p.index, q.index), (1,))[0] for p, q in pairs), pairs)
-        return found[key][0]
-    best = [[0] * (m + 1)]
-    for p in x:
-        above, row = best[-1], [0]
-        for j, q in enumerate(y):
-            here = above[j] + (1 if not p.kids and not q.kids else _match(p, q, found)) if p.tag == q.tag else 0
-            left, up = row[j], above[j + 1]
-            row.append(max(here, left, up))
-        best.append(row)
-    pairs, i, j = [], n, m
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs.append((x[i], y[j]))
-    found[key] = (1 + best[n][m], pairs)
-    return found[key][0]
+def _shaped(root: Node, known: dict[tuple, int]) -> None:
+    """Number each node by its tag and its children's numbers: subtrees of one number are the same."""
+    order, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        order.append(n)
+        todo += n.kids
+    for n in reversed(order):
+        n.shape = known.setdefault((n.tag, *(k.shape for k in n.kids)), len(known))
+
+
+class _Matching:
+    """Simple tree matching: the most nodes that pair up with order and ancestry kept. Sizes depend on shapes alone."""
+
+    def __init__(self) -> None:
+        self.sizes: dict[tuple[int, int], int] = {}
+
+    def size(self, a: Node, b: Node) -> int:
+        if a.tag != b.tag:
+            return 0
+        if not a.kids or not b.kids:
+            return 1
+        key = (a.shape, b.shape)
+        if key not in self.sizes:
+            self.sizes[key] = 1 + (min(len(a.kids), len(b.kids)) * (a.flat == b.flat) if a.flat and b.flat else int(self._rows(a.kids, b.kids)[-1][-1]))
+        return self.sizes[key]
+
+    def _rows(self, x: list[Node], y: list[Node]) -> list:
+        """Row i, column j: the size of the best alignment of the first i of ``x`` with the first j of ``y``."""
+        if len(x) * len(y) > BY_ARRAYS:
+            found, which = np.unique([q.shape for q in y], return_inverse=True)
+            first = {s: q for s, q in zip((q.shape for q in reversed(y)), reversed(y), strict=True)}
+            weights: dict[int, np.ndarray] = {}
+            rows = [np.zeros(len(y) + 1, np.int32)]
+            for p in x:
+                if p.shape not in weights:
+                    weights[p.shape] = np.array([self.size(p, first[s]) for s in found.tolist()], np.int32)[which]
+                row = np.zeros(len(y) + 1, np.int32)
+                np.maximum.accumulate(np.maximum(rows[-1][1:], rows[-1][:-1] + weights[p.shape]), out=row[1:])
+                rows.append(row)
+            return rows
+        best = [[0] * (len(y) + 1)]
+        for p in x:
+            above, row = best[-1], [0]
+            for j, q in enumerate(y):
+                here = above[j] + self.size(p, q) if p.tag == q.tag else 0
+                left, up = row[j], above[j + 1]
+                row.append(max(here, left, up))
+            best.append(row)
+        return best
+
+    def pairs(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
+        """The children that pair up under two nodes that do."""
+        x, y = a.kids, b.kids
+        if not x or not y:
+            return []
+        if a.shape == b.shape or a.flat and a.flat == b.flat:
+            return list(zip(x, y, strict=False))
+        if a.flat and b.flat:
+            return []
+        best, out, i, j = self._rows(x, y), [], len(x), len(y)
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((x[i], y[j]))
+        return out
 
 
 def aligned(reference: Node, page: Node) -> dict[int, int]:
     """Page node index to slot, the reference node's index."""
-    found: dict[tuple[int, int], tuple[int, list]] = {}
-    _match(reference, page, found)
-    out, todo = {}, [(reference, page)]
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))  # sizes recurse as deep as both trees go
+    known: dict[tuple, int] = {}
+    _shaped(reference, known)
+    _shaped(page, known)
+    matching, out = _Matching(), {}
+    todo = [(reference, page)] if reference.tag == page.tag else []
     while todo:
         a, b = todo.pop()
         out[b.index] = a.index
-        todo += found.get((a.index, b.index), (0, []))[1]
+        todo += matching.pairs(a, b)
     return out
 
 
@@ -277,7 +330,7 @@ def slotted(page: str, tags: str, parsed: tuple[Node, list[tuple[Node, str]]] |
     for node, text in blocks:
         turn = seen[node.index] = seen.get(node.index, -1) + 1
         slot = slots.get(node.index)
-        yield None if slot is None else slot * 8 + min(turn, 7), node, text
+        yield None if slot is None else slot * TURNS + turn, node, text
 
 
 def main_text(page: str, tags: str, template: frozenset[int], content: frozenset[int] = frozenset()) -> tuple[str, int, int]:
@@ -338,10 +391,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                         slots.append(slot)
                         hashes.append(xxhash.xxh64_intdigest(text) - 2**63)
                         pages_.append(name)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(refs, pa.string()), pa.array(slots, pa.int32()), pa.array(hashes, pa.int64()), pa.array(pages_, pa.int64())], ["_host", "_layout", "_slot", "_hash", "_page"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(refs, pa.string()), pa.array(slots, pa.int64()), pa.array(hashes, pa.int64()), pa.array(pages_, pa.int64())], ["_host", "_layout", "_slot", "_hash", "_page"])
 
     key = ["_host", "_layout", "_slot"]
-    found = with_wrapper(references, ["_tags"]).filter("_tags is not null").select("_host", "_html", "_layout", "_tags").mapInArrow(texts_by_slot, "_host string, _layout string, _slot int, _hash long, _page long").dropDuplicates()
+    found = with_wrapper(references, ["_tags"]).filter("_tags is not null").select("_host", "_html", "_layout", "_tags").mapInArrow(texts_by_slot, "_host string, _layout string, _slot long, _hash long, _page long").dropDuplicates()
     counts = found.groupBy(*key, "_hash").count()
     slots = counts.groupBy(*key).agg(F.sum("count").alias("_n"), F.sum(F.when(F.col("count") > 1, F.col("count")).otherwise(0)).alias("_again"))
     recurs = F.col("_again") >= SHARE * F.col("_n")
