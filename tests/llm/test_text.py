@@ -3,8 +3,8 @@
 import hashlib
 import math
 import random
-import time
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import sentencepiece
+import zstandard
 
 from tidewater.llm import lm, pieces, quality, textkit, wrappers
 from tidewater.llm.shared import table
@@ -80,13 +81,40 @@ def test_quality_counts_on_the_documents(spark, sf_dir):
         assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words, g.base_failed) == base_counts(r.text)
     kept = quality.keep(d)
     assert kept.schema == d.schema and {r.doc_id for r in kept.collect()} == {i for i, g in got.items() if g.kept}
-    clean = {r.doc_id for r in table(spark, sf_dir, "labels").filter("quality = 1").collect()}
-    assert all(got[i].kept for i in clean if i in got and not got[i].base_failed)
+    packer, verdicts = zstandard.ZstdCompressor(level=3), Counter()
+    for r in d.collect():
+        want = plain_verdict((r.text or "").encode(), packer)
+        assert got[r.doc_id].verdict == want and got[r.doc_id].kept == (want == "fits" and not got[r.doc_id].base_failed)
+        verdicts[want] += 1
+    assert verdicts["repetitive"]
+    labels = {r.doc_id: r.quality for r in table(spark, sf_dir, "labels").collect() if r.doc_id in got and not got[r.doc_id].base_failed}
+    kept_of = lambda q: [got[i].kept for i, x in labels.items() if x == q]
+    assert np.mean(kept_of(1)) >= 0.98 and np.mean(kept_of(0)) <= 0.5
+
+
+def plain_verdict(data, packer):
+    """The bands by hand: limits from the two knots around the length."""
+
+    def limits(n):
+        at = min(max(math.log2(n), quality.Bands().knots[0][0]), quality.Bands().knots[-1][0])
+        for (a, *low), (b, *high) in zip(quality.Bands().knots, quality.Bands().knots[1:], strict=False):
+            if a <= at <= b:
+                return [x + (y - x) * (at - a) / (b - a) for x, y in zip(low, high, strict=True)]
+
+    if not data:
+        return "fits"
+    ratio = lambda part: len(packer.compress(part)) / len(part)
+    low, high = limits(len(data))
+    if not low <= ratio(data) <= high:
+        return "repetitive" if ratio(data) < low else "incompressible"
+    parts = [data[k : k + 4096] for k in range(0, len(data), 4096)] if len(data) > 4096 else []
+    out = sum(len(p) for p in parts if not limits(len(p))[0] <= ratio(p) <= limits(len(p))[1])
+    return "chunks" if out > 0.5 * len(data) else "fits"
 
 
 def test_compression_bands_reject_both_ends(spark):
     random.seed(2)
-    vocabulary = ["".join(random.choice("etaoinshrdlu") for _ in range(random.randrange(2, 9))) for _ in range(3000)]
+    vocabulary = ["".join(random.choice("eeetttaaoinshrdlucmfwypvbgkjqxz") for _ in range(random.randrange(2, 9))) for _ in range(3000)]
     prose = lambda n: " ".join(random.choice(vocabulary) for _ in range(n))
     noise = lambda n: " ".join("".join(chr(random.randrange(0x4E00, 0x9FA5)) for _ in range(6)) for _ in range(n))
     flat = " ".join(f"buy{i % 4} now{i % 4}" for i in range(2000))

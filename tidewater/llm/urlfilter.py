@@ -1,11 +1,14 @@
 """URL filters: rules first, then gradient-boosted trees on lexical features.
 
 The trees are Spark's own GBTClassifier, fitted on a bounded sample of labelled URLs
-(``train_rows``, drawn by a hash of the URL and the row's id, so a URL that many pages share stays bounded too); every URL is judged. Features are lengths, depths,
+(``train_rows``, drawn by a hash of the URL and the row's id, so a URL that many pages share stays bounded too); every URL is judged.
+Where no labelled URLs are given, those that a rule fits are labelled with its verdict. Features are lengths, depths,
 digit ratio, host entropy, parameter counts, and for host and file suffixes the smoothed share of
 blocked URLs among all labelled URLs; the planner picks the join by a table's size. Everything runs as DataFrame functions inside the JVM.
 
-Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule and
+Ties: of rules of equal length the later one in the list wins; a probability of one half is block.
+
+Defined results: a URL of any length is judged whole; a null URL, or one without ``://``, has an empty host and path, fits no rule and
 is judged by the trees on its features as they are; repeated rows are judged alike; labels of one
 class only, or none, make the trees a constant (allow if there is none); an empty table gives an
 empty result; extra columns are ignored.
@@ -25,8 +28,6 @@ from tidewater.llm.shared import stage
 
 #: (rule, verdict): host, then path; the longest that fits wins.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-#: Host words that label a URL as blocked for training.
-BLOCK_WORDS = ("casino", "pills", "bets", "spam", "ads", "porn", "viagra", "loan", "crack", "warez")
 SUFFIXES = ("tld", "domain", "site", "extension")
 NUMBERS = ("url_length", "host_length", "path_length", "query_length", "host_depth", "path_depth", "digit_ratio", "host_digits", "hyphens", "host_entropy", "n_params", "has_fragment", "is_https")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -75,10 +76,9 @@ def features(urls: DataFrame, url_col: str) -> DataFrame:
     return out.withColumns({"tld": F.substring_index(host, ".", -1), "domain": F.substring_index(host, ".", -2), "site": F.substring_index(host, ".", -3), "extension": F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1)})
 
 
-def label(host: Column, ruled: Column) -> Column:
-    """1 blocked, 0 allowed, null unlabelled: a blocked word in the host, else the rule's verdict."""
-    word = host.rlike(r"(^|[.-])(" + "|".join(BLOCK_WORDS) + r")([.-]|$)")
-    return F.when(word, 1).when(ruled["verdict"] == "block", 1).when(ruled["verdict"] == "allow", 0)
+def label(ruled: Column) -> Column:
+    """1 blocked, 0 allowed, null unlabelled: the rule's verdict."""
+    return F.when(ruled["verdict"] == "block", 1).when(ruled["verdict"] == "allow", 0)
 
 
 def _with_statistics(rows: DataFrame, tables: dict[str, DataFrame], prior: float) -> DataFrame:
@@ -99,25 +99,23 @@ def suffix_shares(known: DataFrame, url_col: str, prior: float) -> dict[str, Dat
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labelled: DataFrame | None = None, train_rows: int = 20_000, seed: int = 7, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row a page: id, host, path, rule, verdict, and the trees' probability of block.
 
-    ``labelled`` is (url, label) with 1 for block; without it, the pages that :func:`label` can
-    label are the labelled URLs.
+    ``labelled`` is (url, label) with 1 for block; without it, the pages that a rule fits are the labelled URLs.
     """
     ruled = lambda df, u: df.withColumn("host", host_of(F.col(u))).withColumn("path", path_of(F.col(u))).withColumn("_ruled", match_rules(F.col("host"), F.col("path"), rules))
     slim = pages.select(pages[id_col].alias("_id"), pages[url_col].cast("string").alias("_url"))
     every = ruled(slim, "_url")
     if labelled is None:
-        known = every.withColumn("label", label(F.col("host"), F.col("_ruled")).cast("double"))
+        known = every.withColumn("label", label(F.col("_ruled")).cast("double"))
     else:
         known = ruled(labelled.select(F.lit(None).alias("_id"), F.col("url").alias("_url"), F.col("label").cast("double").alias("label")).distinct(), "_url")
-    known = known.filter("label is not null").select("_url", "host", "path", "label")
+    known = known.filter("label is not null").select("_id", "_url", "host", "path", "label")
     counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     if len(counts) < 2:
         constant = F.lit(next(iter(counts), 0.0))
         judged = every.withColumn("block_probability", constant)
     else:
         total = sum(counts.values())
-        share = min(1.0, train_rows / total)
-        sample = known.filter(F.pmod(F.xxhash64("_url", "_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else known
+        sample = known.filter(F.pmod(F.xxhash64("_url", "_id", F.lit(seed)), F.lit(total)) < train_rows)
         sample = stage(features(sample, "_url"), "labelled")
         prior = counts.get(1.0, 0) / total
         tables = suffix_shares(known, "_url", prior)
