@@ -249,11 +249,11 @@ def test_hostile_pages_take_linear_time():
 
 
 def test_the_template_decides_on_unmarked_pages():
-    tags = wrappers.skeleton(wrappers.parse("<div>Follow us</div><div><p>story</p></div><div>Rights</div>")[0])
-    html = "<div>Follow us</div><div><p>one</p><p>two</p></div><div>Rights</div>"
-    slots = {text: slot for slot, _, text in wrappers.slotted(html, tags)}
-    assert wrappers.main_text(html, tags, frozenset())[0] == "Follow us one two Rights"
-    assert wrappers.main_text(html, tags, frozenset({slots["Follow us"], slots["Rights"]}))[0] == "one two"
+    tags = wrappers.blocks_of("<div>Follow us</div><div><p>story</p></div><div>Rights</div>")[1]
+    _, own, _, places, texts, marks = wrappers.blocks_of("<div>Follow us</div><div><p>one</p><p>two</p></div><div>Rights</div>")
+    slots = wrappers.slots_of(tags, own, places)
+    assert wrappers.main_text(slots, texts, marks, frozenset())[0] == "Follow us one two Rights"
+    assert wrappers.main_text(slots, texts, marks, frozenset({slots[0], slots[-1]}))[0] == "one two"
 
 
 def test_lm_base_and_shape(spark):

@@ -1,14 +1,14 @@
 """Main text of web pages by wrapper induction.
 
-The pages of a host with the same nesting of elements, runs of like siblings counted once, are a layout.
-Each layout of ``LEAST_PAGES`` different pages or more has a reference page; pages of rarer layouts go
-to the host's most frequent one. Every page is parsed and its tree of block elements aligned with its
-reference's by simple tree matching; an aligned place is a slot. Spark counts, for each reference and
-slot, on how many different pages its text is one that is repeated there; pages whose blocks are all
-equal count once, and pages without a block not at all. A slot whose texts mostly recur is template; one whose texts vary is content, inside
-and outside article or main elements alike. A second pass aligns again, drops template slots and
-keeps content slots. The bounds of an article or main element decide only for blocks that are not
-aligned and where too few pages have the slot. Elements whose name or class word (nav, footer,
+Every page is parsed once, into the tags of its tree of block elements and its blocks of text. The pages of a
+host with the same nesting of elements, runs of like siblings counted once, are a layout. Each layout of
+``LEAST_PAGES`` different pages or more has a reference page; pages of rarer layouts go to the host's most
+frequent one. Every tree is aligned with its reference's by simple tree matching; an aligned place is a slot.
+Spark counts, for each reference and slot, on how many different pages its text is one that is repeated there;
+pages whose blocks are all equal count once, and pages without a block not at all. A slot whose texts mostly
+recur is template; one whose texts vary is content, inside and outside article or main elements alike. Template
+slots are dropped and content slots kept. The bounds of an article or main element decide only for blocks that
+are not aligned and where too few pages have the slot. Elements whose name or class word (nav, footer,
 advert, comments, ...) says that they are no main text, and hidden ones, are dropped even where their
 text varies: rotating adverts and links vary like content.
 
@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import stage
+from tidewater.llm.shared import drop_staged, stage
 from tidewater.llm.urlfilter import host_of
 
 #: A slot is template if this share of at least so many pages has a text there that the host repeats.
@@ -191,14 +191,15 @@ def _settle(node: Node) -> Node:
     return node
 
 
-def skeleton(root: Node) -> str:
-    """The tags of a tree in order, each after its depth."""
-    out, todo = [], [(root, 0)]
+def skeleton(root: Node) -> tuple[str, dict[int, int]]:
+    """The tags of a tree in order, each after its depth, and each node's place there."""
+    out, places, todo = [], {}, [(root, 0)]
     while todo:
         node, depth = todo.pop()
+        places[node.index] = len(out)
         out.append(f"{depth} {node.tag}")
         todo += [(k, depth + 1) for k in reversed(node.kids)]
-    return ",".join(out)
+    return ",".join(out), places
 
 
 def layout(root: Node) -> str:
@@ -221,9 +222,8 @@ def content_hash(blocks: list[tuple[Node, str]]) -> int:
     return xxhash.xxh64_intdigest("\0".join(text for _, text in blocks)) - 2**63
 
 
-@lru_cache(256)
 def grown(tags: str) -> Node:
-    """The tree of a skeleton; indices count its nodes in order."""
+    """The tree of a skeleton; indices are places there."""
     path: list[Node] = []
     for i, item in enumerate(tags.split(",")):
         depth, tag = item.split(" ", 1)
@@ -235,6 +235,9 @@ def grown(tags: str) -> Node:
     return _settle(path[0])
 
 
+_reference = lru_cache(256)(grown)
+
+
 def _shaped(root: Node, known: dict[tuple, int]) -> None:
     """Number each node by its tag and its children's numbers: subtrees of one number are the same."""
     order, todo = [], [root]
@@ -322,91 +325,98 @@ def aligned(reference: Node, page: Node) -> dict[int, int]:
     return out
 
 
-def slotted(page: str, tags: str, parsed: tuple[Node, list[tuple[Node, str]]] | None = None) -> Iterator[tuple[int | None, Node, str]]:
-    """(slot or None, element, text) of each block; a slot also counts the element's earlier blocks."""
-    root, blocks = parsed or parse(page)
-    slots = aligned(grown(tags), _settle(root)) if tags else {}
+def blocks_of(page: str) -> tuple[str, str, int, list[int], list[str], list[int]]:
+    """(layout, tags, content hash, and of each block the element's place in the tags, the text and the element's mark).
+
+    The place of an element that is not in the tree is -1. The mark is -1 for an element that is no main text,
+    else 2 inside an article, 1 inside a main element, 0 elsewhere.
+    """
+    root, blocks = parse(page)
+    tags, places = skeleton(root)
+    return layout(root), tags, content_hash(blocks), [places.get(n.index, -1) for n, _ in blocks], [t for _, t in blocks], [-1 if n.outside else n.inside for n, _ in blocks]
+
+
+def slots_of(reference: str | None, tags: str, places: list[int]) -> list[int | None]:
+    """The slot of each block, or None; it also counts the element's earlier blocks."""
+    slots = aligned(_reference(reference), grown(tags)) if reference else {}
     seen: dict[int, int] = {}
-    for node, text in blocks:
-        turn = seen[node.index] = seen.get(node.index, -1) + 1
-        slot = slots.get(node.index)
-        yield None if slot is None else slot * TURNS + turn, node, text
+    out: list[int | None] = []
+    for place in places:
+        turn = seen[place] = seen.get(place, -1) + 1
+        slot = slots.get(place)
+        out.append(None if slot is None else slot * TURNS + turn)
+    return out
 
 
-def main_text(page: str, tags: str, template: frozenset[int], content: frozenset[int] = frozenset()) -> tuple[str, int, int]:
+def main_text(slots: list[int | None], texts: list[str], marks: list[int], template: frozenset[int], content: frozenset[int] = frozenset()) -> tuple[str, int, int]:
     """(text, blocks dropped as template, blocks dropped by their element)."""
-    blocks = list(slotted(page, tags))
-    region = max((node.inside for _, node, _ in blocks if not node.outside), default=0)
+    region = max(marks, default=0)
     kept, constant, marked = [], 0, 0
-    for slot, node, text in blocks:
+    for slot, text, mark in zip(slots, texts, marks, strict=True):
         if slot in template:
             constant += 1
-        elif node.outside or slot not in content and node.inside < region:
+        elif mark < 0 or slot not in content and mark < region:
             marked += 1
         else:
             kept.append(text)
     return " ".join(kept), constant, marked
 
 
+READ = "_layout string, _tags string, _page long, _places array<int>, _texts array<string>, _marks array<int>"
+
+
+def _arrays(rows: list[tuple], types: list[pa.DataType]) -> list[pa.Array]:
+    return [pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else ((),) * len(types), types, strict=True)]
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row a page: id, url, text, n_chars, n_template_blocks and n_marked_blocks."""
-    slim = pages.select(pages[id_col].alias("_id"), pages[url_col].cast("string").alias("_url"), host_of(pages[url_col].cast("string")).alias("_host"), F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("_html"))
+    url = pages[url_col].cast("string")
+    slim = pages.select(pages[id_col].alias("_id"), url.alias("_url"), host_of(url).alias("_host"), F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("_html"))
     id_type = slim.schema["_id"].dataType.simpleString()
-    def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    head, names = f"_id {id_type}, _url string, _host string", [x.split()[0] for x in READ.split(", ")]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(host, layout(root), content_hash(blocks), skeleton(root)) for host, page in zip(*(c.to_pylist() for c in b.columns), strict=True) for root, blocks in (parse(page),) if blocks]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else ((),) * 4, (pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], ["_host", "_layout", "_page", "_tags"])
+            got = [blocks_of(x.as_py()) for x in b.column(3)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *_arrays(got, [pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32())])], ["_id", "_url", "_host", *names])
 
+    parsed = stage(slim.mapInArrow(read, f"{head}, {READ}"), "parsed")
     # Copies meet in the map task first; a layout of any size is then a count and its least page.
-    different = slim.select("_host", "_html").mapInArrow(outline, "_host string, _layout string, _page long, _tags string").groupBy("_host", "_layout", "_page").agg(F.min("_tags").alias("_tags"))
-    layouts = different.groupBy("_host", "_layout").agg(F.count("*").alias("_pages"), F.min(F.struct("_page", "_tags"))["_tags"].alias("_tags"))
-    layouts = stage(layouts, "layouts")
+    different = parsed.filter(F.size("_texts") > 0).groupBy("_host", "_layout", "_page").agg(F.min("_tags").alias("_tags"))
+    layouts = stage(different.groupBy("_host", "_layout").agg(F.count("*").alias("_pages"), F.min(F.struct("_page", "_tags"))["_tags"].alias("_reference")), "layouts")
     usual = layouts.groupBy("_host").agg(F.max(F.struct("_pages", "_layout"))["_layout"].alias("_layout"))
     often = layouts.join(usual.withColumn("_usual", F.lit(True)), ["_host", "_layout"], "left").filter((F.col("_pages") >= LEAST_PAGES) | F.col("_usual"))
-    references = stage(often.select("_host", "_layout", "_tags", F.coalesce("_usual", F.lit(False)).alias("_usual")), "references")
-
-    def laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([layout(parse(x)[0]) for x in b.column(3).to_pylist()], pa.string())], [*b.schema.names, "_layout"])
-
-    placed = slim.mapInArrow(laid_out, f"_id {id_type}, _url string, _host string, _html string, _layout string")
-
-    def with_wrapper(wrappers: DataFrame, columns: list[str]) -> DataFrame:
-        """Each page beside its layout's reference, else its host's most frequent one, else nulls."""
-        both = ["_layout", *columns]
-        own = wrappers.select("_host", "_layout", F.struct(*both).alias("_own"))
-        other = wrappers.filter("_usual").select("_host", F.struct(*both).alias("_other"))
-        return placed.join(own, ["_host", "_layout"], "left").join(other, "_host", "left").withColumn("_w", F.coalesce("_own", "_other")).select("_id", "_url", "_host", "_html", *(F.col(f"_w.{c}").alias(c) for c in both))
+    references = stage(often.select("_host", "_layout", "_reference", F.coalesce("_usual", F.lit(False)).alias("_usual")), "references")
 
-    def texts_by_slot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, refs, slots, hashes, pages_ = [], [], [], [], []
-            for host, page, ref, tags in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                parsed = parse(page)
-                name = content_hash(parsed[1])
-                for slot, _, text in slotted(page, tags, parsed):
-                    if slot is not None:
-                        hosts.append(host)
-                        refs.append(ref)
-                        slots.append(slot)
-                        hashes.append(xxhash.xxh64_intdigest(text) - 2**63)
-                        pages_.append(name)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(refs, pa.string()), pa.array(slots, pa.int64()), pa.array(hashes, pa.int64()), pa.array(pages_, pa.int64())], ["_host", "_layout", "_slot", "_hash", "_page"])
+            slots = [slots_of(*row) for row in zip(*(b.column(c).to_pylist() for c in ("_reference", "_tags", "_places")), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(slots, pa.list_(pa.int64()))], [*kept, "_slots"])
+
+    # Each page beside its layout's reference, else its host's most frequent one, else nulls.
+    own = references.select("_host", "_layout", F.struct("_layout", "_reference").alias("_own"))
+    other = references.filter("_usual").select("_host", F.struct("_layout", "_reference").alias("_other"))
+    placed = parsed.join(own, ["_host", "_layout"], "left").join(other, "_host", "left").withColumn("_w", F.coalesce("_own", "_other"))
+    placed = placed.select("_id", "_url", "_host", F.col("_w._layout").alias("_layout"), "_page", "_texts", "_marks", F.col("_w._reference").alias("_reference"), "_tags", "_places")
+    kept = ["_id", "_url", "_host", "_layout", "_page", "_texts", "_marks"]
+    slotted = stage(placed.mapInArrow(align, f"{head}, _layout string, _page long, _texts array<string>, _marks array<int>, _slots array<long>"), "slotted")
+    drop_staged(parsed)
 
     key = ["_host", "_layout", "_slot"]
-    found = with_wrapper(references, ["_tags"]).filter("_tags is not null").select("_host", "_html", "_layout", "_tags").mapInArrow(texts_by_slot, "_host string, _layout string, _slot long, _hash long, _page long").dropDuplicates()
+    found = slotted.filter("_layout is not null").select("_host", "_layout", "_page", F.explode(F.arrays_zip("_slots", "_texts")).alias("_b")).filter("_b._slots is not null")
+    found = found.select("_host", "_layout", F.col("_b._slots").alias("_slot"), F.xxhash64("_b._texts").alias("_hash"), "_page").distinct()
     counts = found.groupBy(*key, "_hash").count()
     slots = counts.groupBy(*key).agg(F.sum("count").alias("_n"), F.sum(F.when(F.col("count") > 1, F.col("count")).otherwise(0)).alias("_again"))
     recurs = F.col("_again") >= SHARE * F.col("_n")
-    slots_of = lambda which: F.sort_array(F.collect_list(F.when(which, F.col("_slot"))))
-    decided = slots.filter(F.col("_n") >= LEAST_PAGES).groupBy("_host", "_layout").agg(slots_of(recurs).alias("_template"), slots_of(~recurs).alias("_content"))
-    wrappers = stage(references.join(decided, ["_host", "_layout"], "left"), "wrappers")
+    those = lambda which: F.sort_array(F.collect_list(F.when(which, F.col("_slot"))))
+    decided = stage(slots.filter(F.col("_n") >= LEAST_PAGES).groupBy("_host", "_layout").agg(those(recurs).alias("_template"), those(~recurs).alias("_content")), "wrappers")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [main_text(page, tags, frozenset(template or ()), frozenset(content or ())) for page, tags, template, content in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)]
-            texts, constant, marked = zip(*got, strict=True) if got else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(constant, pa.int64()), pa.array(marked, pa.int64())], [id_col, url_col, "text", "n_chars", "n_template_blocks", "n_marked_blocks"])
+            rows = zip(*(b.column(c).to_pylist() for c in ("_slots", "_texts", "_marks", "_template", "_content")), strict=True)
+            got = [(t, len(t), constant, marked) for slots_, texts, marks, template, content in rows for t, constant, marked in (main_text(slots_, texts, marks, frozenset(template or ()), frozenset(content or ())),)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *_arrays(got, [pa.string(), pa.int64(), pa.int64(), pa.int64()])], [id_col, url_col, "text", "n_chars", "n_template_blocks", "n_marked_blocks"])
 
     shape = f"`{id_col}` {id_type}, `{url_col}` string, text string, n_chars long, n_template_blocks long, n_marked_blocks long"
-    return with_wrapper(wrappers, ["_tags", "_template", "_content"]).select("_id", "_url", "_html", "_tags", "_template", "_content").mapInArrow(cut, shape)
+    return slotted.join(decided, ["_host", "_layout"], "left").select("_id", "_url", "_slots", "_texts", "_marks", "_template", "_content").mapInArrow(cut, shape)
