@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import drop_staged, stage
+from tidewater.llm.shared import stage
 from tidewater.llm.urlfilter import host_of
 
 #: A slot is template if this share of at least so many pages has a text there that the host repeats.
@@ -400,8 +400,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     placed = parsed.join(own, ["_host", "_layout"], "left").join(other, "_host", "left").withColumn("_w", F.coalesce("_own", "_other"))
     placed = placed.select("_id", "_url", "_host", F.col("_w._layout").alias("_layout"), "_page", "_texts", "_marks", F.col("_w._reference").alias("_reference"), "_tags", "_places")
     kept = ["_id", "_url", "_host", "_layout", "_page", "_texts", "_marks"]
-    slotted = stage(placed.mapInArrow(align, f"{head}, _layout string, _page long, _texts array<string>, _marks array<int>, _slots array<long>"), "slotted")
-    drop_staged(parsed)
+    # Aligned anew for each use: a table of it would hold all texts a second time.
+    slotted = placed.mapInArrow(align, f"{head}, _layout string, _page long, _texts array<string>, _marks array<int>, _slots array<long>")
 
     key = ["_host", "_layout", "_slot"]
     found = slotted.filter("_layout is not null").select("_host", "_layout", "_page", F.explode(F.arrays_zip("_slots", "_texts")).alias("_b")).filter("_b._slots is not null")
