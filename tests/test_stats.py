@@ -39,8 +39,6 @@ def test_huber_resists_an_outlier():
 
 
 def test_minimisers():
-    x, v = fits.nelder_mead(lambda p: (p[0] - 1) ** 2 + 10 * (p[1] + 2) ** 2, np.zeros(2))
-    assert np.allclose(x, [1, -2], atol=1e-3) and v < 1e-6
     assert abs(fits.best_on_grid(lambda z: (z - 0.3) ** 2, -1, 1) - 0.3) < 1e-6
 
 
@@ -175,3 +173,25 @@ def test_no_claim_without_code():
 
     claimed = {i for ids in catalog.covers().values() for i in ids}
     assert not claimed & {"STAT-18", "STAT-45", "STAT-46", "STAT-51", "STAT-55", "STR-11"}
+
+
+def test_pooled_rates_are_recovered_whatever_the_groups_level(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for g in range(6):
+        a, b, c = (rng.uniform(1, 9, 40) for _ in range(3))
+        y = (1 + g) * (a + 2.5 * b + 0.4 * c) * np.exp(0.001 * rng.standard_normal(40))
+        rows += list(zip([g] * 40, y.tolist(), a.tolist(), b.tolist(), c.tolist(), strict=True))
+    got = fits.pooled_log_rates(spark.createDataFrame(rows, "g int, y double, a double, b double, c double"), "g", "y", ["a", "b", "c"])
+    assert got["a"] == 1 and abs(got["b"] - 2.5) < 0.02 and abs(got["c"] - 0.4) < 0.02
+
+
+def test_held_out_rows_are_predicted_and_covered(spark):
+    rng = np.random.default_rng(13)
+    a, b = rng.uniform(1, 9, 400), rng.uniform(1, 9, 400)
+    y = 2 * a + 3 * b + rng.standard_normal(400)
+    df = spark.createDataFrame(pd.DataFrame({"g": 1, "y": y, "a": a, "b": b, "t": np.arange(400) % 2 == 0}))
+    r = fits.held_out(df, ["g"], "y", ["a", "b"], "t").first()
+    assert r.n_train == r.n_test == 200 and r.error < 0.06 and 0.7 < r.coverage < 0.9
+    drawn = fits.fit_draws(df, ["g"], "y", ["a", "b"], 20, 1).groupBy("name").agg({"rate": "avg"}).collect()
+    assert {n: round(v) for n, v in drawn} == {"a": 2, "b": 3}

@@ -112,3 +112,16 @@ def running_total_at(points: DataFrame, events: DataFrame, by: Sequence[str], ts
     totals = [f"total_{v}" for v in values]
     out = asof_backward(points, summed, by, ts, event_ts, totals, order, inclusive)
     return out.withColumns({t: F.coalesce(t, F.lit(0)) for t in totals})
+
+
+def matched_launch(runs: DataFrame, launches: DataFrame, by: Sequence[str], ts: str, launch_ts: str, run_id: str, launch_id: str, launch: str, lag: int, prefix: int = 8) -> DataFrame:
+    """Each run with its launch: the one whose id is the prefix of the run's, else the latest of the same key within ``lag`` before it.
+
+    Adds ``launch`` and ``matched``: id, name or null.
+    """
+    ids = launches.filter(F.col(launch_id).isNotNull()).groupBy(F.col(launch_id).alias("_prefix")).agg(F.max_by(launch, F.struct(launch_ts, launch)).alias("_by_id"))
+    named = asof_backward(runs, launches.select(*by, F.col(launch_ts).alias("_at"), F.col(launch).alias("_by_name")), by, ts, "_at", ["_at", "_by_name"], ["_by_name"])
+    out = named.join(ids, F.substring(run_id, 1, prefix) == F.col("_prefix"), "left")
+    name = F.when(F.col(ts) - F.col("_at") <= lag, F.col("_by_name"))
+    how = F.when(F.col("_by_id").isNotNull(), "id").when(name.isNotNull(), "name")
+    return out.withColumns({launch: F.coalesce("_by_id", name), "matched": how}).drop("_prefix", "_by_id", "_at", "_by_name")

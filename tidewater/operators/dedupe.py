@@ -69,3 +69,11 @@ def union_all(*frames: DataFrame) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
+
+
+def update_by_method(stored: DataFrame, fresh: DataFrame, by: Sequence[str], day: str, method: str, current: str, days: int = 2) -> DataFrame:
+    """Stored rows of the current method but for their last ``days``, which fresh rows replace; fresh rows alone where any stored row has another method."""
+    since = stored.groupBy(*by).agg(F.when(F.bool_and(F.col(method) == current), F.max(day) - days + 1).alias("_since"))
+    old = stored.join(since, list(by)).filter(F.col(day) < F.col("_since"))
+    new = fresh.join(since, list(by), "left").filter(F.col("_since").isNull() | (F.col(day) >= F.col("_since")))
+    return old.unionByName(new).drop("_since")

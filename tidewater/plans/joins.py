@@ -64,7 +64,7 @@ def clean_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.overlapping(s, runs(spark, sf_dir), ["account"], ("start_us", "end_us"), ("run_start_us", "run_end_us"), 12 * HOUR, "left_anti")
 
 
-@query(RUNS + "SELECT account, segment, start_us, end_us, value FROM steps s WHERE EXISTS (SELECT 1 FROM runs r WHERE r.account = s.account AND s.start_us <= run_end_us AND run_start_us <= s.end_us)", ["INT-7", "FUZ-2"])
+@query(RUNS + "SELECT account, segment, start_us, end_us, value FROM steps s WHERE EXISTS (SELECT 1 FROM runs r WHERE r.account = s.account AND s.start_us <= run_end_us AND run_start_us <= s.end_us)", ["INT-7"])
 def steps_touching_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.overlapping(steps_of(spark, sf_dir), runs(spark, sf_dir), ["account"], ("start_us", "end_us"), ("run_start_us", "run_end_us"), 12 * HOUR, "left_semi", closed=True)
 
@@ -181,7 +181,7 @@ def daily_counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return stored, fresh
 
 
-@query(DAYS + "SELECT * FROM stored WHERE day < 19730 OR day NOT IN (SELECT day FROM fresh WHERE day >= 19730) UNION ALL SELECT * FROM fresh WHERE day >= 19730", ["SNK-4", "SNK-6", "STR-4"])
+@query(DAYS + "SELECT * FROM stored WHERE day < 19730 OR day NOT IN (SELECT day FROM fresh WHERE day >= 19730) UNION ALL SELECT * FROM fresh WHERE day >= 19730", ["SNK-4"])
 def day_replace_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.replace_days(*daily_counts(spark, sf_dir), 19730)
 
