@@ -149,6 +149,17 @@ def test_vectors_in_small_blocks_and_repeated_rows(spark, monkeypatch):
     assert vectors.near_duplicates(embeddings(spark, rows).limit(0)).count() == 0
 
 
+def test_sketches_keep_pairs_at_the_threshold():
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((4000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    other = rng.standard_normal((4000, 32))
+    other -= (other * x).sum(1, keepdims=True) * x
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    apart = np.unpackbits(vectors.sketches(x, 11) ^ vectors.sketches(0.9 * x + np.sqrt(1 - 0.81) * other, 11), axis=1).sum(1)
+    assert apart.max() <= vectors.most_apart(0.9) < 80 and np.unpackbits(vectors.sketches(x, 11) ^ vectors.sketches(other, 11), axis=1).sum(1).min() > 80
+
+
 def test_tables_hold_the_miss_rate():
     rng = np.random.default_rng(6)
     bits, tables = vectors.plan(5000, 0.9)
