@@ -77,9 +77,9 @@ def test_op1_takes_null_ids_and_long_pages(spark, tmp_path):
 
 
 def test_warc_files_hold_few_bytes(spark):
-    path, found = archived(spark, spark.range(9).selectExpr("id as page_id", "'u' as url", "repeat(cast(id as string), if(id < 7, 300000, 1500000)) as html").coalesce(1))
+    path, found = archived(spark, spark.range(9).selectExpr("id as page_id", "'u' as url", "repeat(cast(id as string), if(id < 7, 300000, 5000000)) as html").coalesce(1))
     assert found.count() == 9 and all(len(gzip.open(p).read()) < 64 << 20 for p in glob.glob(path.removeprefix("file:") + "/*/*.gz"))
-    assert len(glob.glob(path.removeprefix("file:") + "/file=2-*")) == 2
+    assert len(glob.glob(path.removeprefix("file:") + "/file=3-*")) == 2
 
 
 def test_op1_equals_sql(spark, sf_dir):

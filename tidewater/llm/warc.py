@@ -15,7 +15,7 @@ headers included. The writer compresses a file as one stream, so one record cann
 Defined results: a null payload is empty; rows that repeat the id and payload of a response are
 responses too; a record of a null id is a response only if no record of its payload has an id;
 line breaks in a URL are dropped; a payload of any length Spark can hold is one record, in a file of its
-own from 1 MB on; an empty table gives an empty archive folder; extra columns are ignored.
+own from 4 MB on; an empty table gives an empty archive folder; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 BREAK = "\r\n"
 #: (payloads below so many bytes, so many records a file): a file stays small enough to be read whole in a task.
-FILES = ((1 << 14, 4096), (1 << 20, 64))
+FILES = ((1 << 14, 4096), (1 << 18, 256), (1 << 22, 16))
 BATCH_BYTES = 4 << 20
 READ = "record_id string, target_uri string, record_type string, refers_to string, payload_digest string, payload_bytes long, payload binary, intact boolean"
 
