@@ -172,7 +172,7 @@ def test_no_claim_without_code():
     from tidewater import catalog
 
     claimed = {i for ids in catalog.covers().values() for i in ids}
-    assert not claimed & {"STAT-18", "STAT-45", "STAT-46", "STAT-51", "STAT-55", "STR-11"}
+    assert not claimed & {"STAT-6", "STAT-51", "STAT-54", "STAT-61", "INV-13", "INV-15", "INV-16", "INV-17"}
 
 
 def test_pooled_rates_are_recovered_whatever_the_groups_level(spark):

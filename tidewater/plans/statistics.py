@@ -161,12 +161,12 @@ def scan_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.episodes(hits, ["line"], "tau", 48.0, "p")
 
 
-@query(None, ["STR-7", "STR-8", "FUZ-3"])
+@query(None, ["STR-7", "STR-8", "STR-11", "FUZ-3"])
 def hold_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each account's falls of the meter as finds, carried from day to day until a week in a row measures them."""
     r = ordered.reset_brackets(readings(spark, sf_dir))
     finds = r.select("account", F.lit("five_hour").alias("line"), F.lit(1).alias("sign"), F.floor(F.col("upper_us") / DAY).alias("day"), (F.col("upper_us") / HOUR % 24).alias("at"))
-    return changes.held_states(finds, by=("account", "line", "sign"), match_hours=2.0)
+    return changes.held_states(finds, by=("account", "line", "sign"), match_hours=2.0, withdrawn=True)
 
 
 CHECKS = VALUED + """, b AS (SELECT 'delta_at_least_threshold' AS name, account || ':' || ordinal AS row FROM stretch_values WHERE delta_pct < 10

@@ -163,18 +163,19 @@ def studentized(num: np.ndarray, den: np.ndarray, after: np.ndarray, prior: floa
     return a - b, va + vb
 
 
-def scan(units: DataFrame, taus: Sequence[float], unit_hours: float = 24.0, side_days: int = 14, permutations: int = 2000, seed: int = 7, least_units: int = 2) -> DataFrame:
-    """For each candidate instant: the step all accounts share, its z, a permutation p, and whether they agree.
+def votes(units: DataFrame, taus: Sequence[float], unit_hours: float = 24.0, side_days: int = 14, permutations: int = 2000, seed: int = 7, least_units: int = 2, breaks: Sequence[float] = ()) -> DataFrame:
+    """Each account's step at each instant, and rows without an account that hold a task's sums of shuffles.
 
-    ``units`` is (account, t, num, den) with t in hours: a few numbers a day, so one account is a small group.
-    Accounts are dealt over tasks; a task adds its accounts' shuffles up and sends one row an instant, and
-    the rest is sums, rounded to nine places. Shuffles are seeded by instant and account, wherever they run.
+    ``breaks`` are known changes: an instant's sides end at the nearest of them on either hand.
     """
     grid = sorted({float(t) for t in taus})
+    cuts = [float(b) for b in breaks]
 
     def vote(name: object, frame: pd.DataFrame, tau: float) -> tuple[float, float, np.ndarray, np.ndarray] | None:
         t, num, den = (frame[c].to_numpy(float) for c in ("t", "num", "den"))
-        near = (t >= tau - 24 * side_days) & (t < tau + 24 * side_days)
+        lo = max([tau - 24 * side_days, *(b for b in cuts if b < tau)])
+        hi = min([tau + 24 * side_days, *(b for b in cuts if b > tau)])
+        near = (t >= lo) & (t < hi)
         keys, where = np.unique(np.floor((t[near] - tau) / unit_hours), return_inverse=True)
         w, d = np.bincount(where, num[near]), np.bincount(where, den[near])
         good = d > 0
@@ -203,10 +204,20 @@ def scan(units: DataFrame, taus: Sequence[float], unit_hours: float = 24.0, side
         yield pd.DataFrame([(tau, None, None, None, *x) for tau, x in sums.items()], columns=columns)
 
     dealt = units.select("account", "t", "num", "den").repartition("account").sortWithinPartitions("account", "t")
-    told = dealt.mapInPandas(run, "tau double, account string, step double, variance double, top array<double>, bottom array<double>").persist()
-    votes = told.filter("account is not null")
+    return dealt.mapInPandas(run, "tau double, account string, step double, variance double, top array<double>, bottom array<double>")
+
+
+def scan(units: DataFrame, taus: Sequence[float], unit_hours: float = 24.0, side_days: int = 14, permutations: int = 2000, seed: int = 7, least_units: int = 2, breaks: Sequence[float] = ()) -> DataFrame:
+    """For each candidate instant: the step all accounts share, its z, a permutation p, and whether they agree.
+
+    ``units`` is (account, t, num, den) with t in hours: a few numbers a day, so one account is a small group.
+    Accounts are dealt over tasks; a task adds its accounts' shuffles up and sends one row an instant, and
+    the rest is sums, rounded to nine places. Shuffles are seeded by instant and account, wherever they run.
+    """
+    told = votes(units, taus, unit_hours, side_days, permutations, seed, least_units, breaks).persist()
+    voted = told.filter("account is not null")
     weight, x = 1 / F.col("variance"), F.col("step")
-    totals = votes.groupBy("tau").agg(F.sum(weight).alias("w"), F.sum(weight * x).alias("wx"), F.count("*").alias("voting"))
+    totals = voted.groupBy("tau").agg(F.sum(weight).alias("w"), F.sum(weight * x).alias("wx"), F.count("*").alias("voting"))
     totals = totals.withColumns({"mean": F.col("wx") / F.col("w"), "z": F.col("wx") / F.sqrt("w")})
     drawn = told.filter("account is null").select("tau", F.posexplode(F.arrays_zip("top", "bottom")).alias("draw", "d"))
     drawn = drawn.groupBy("tau", "draw").agg(F.sum("d.top").alias("top"), F.sum("d.bottom").alias("bottom")).join(totals.select("tau", "z"), "tau")
@@ -214,7 +225,7 @@ def scan(units: DataFrame, taus: Sequence[float], unit_hours: float = 24.0, side
     p = drawn.groupBy("tau").agg(((1 + F.count_if(as_far)) / (permutations + 1)).alias("p"))
     se = F.sqrt("variance")
     others = (F.col("wx") - weight * x) / F.sqrt(F.greatest(F.col("w") - weight, F.lit(1e-300)))
-    marks = votes.join(totals, "tau").groupBy("tau").agg(
+    marks = voted.join(totals, "tau").groupBy("tau").agg(
         F.bool_and(F.abs(x - F.col("mean")) <= 2.5 * se).alias("near"), F.bool_or((F.signum(x) != F.signum("mean")) & (F.abs(x) > 1.96 * se)).alias("opposed"), F.min(F.signum("z") * others).alias("without_one"),
     )
     several = F.col("voting") >= 2
@@ -252,6 +263,82 @@ def refined(units: DataFrame, permutations: int = 2000, around_hours: int = 48,
     return top.crossJoin(F.broadcast(wide))
 
 
+# --- greedy search: rows of the driver are one an instant of the grid -----------------------------------
+
+
+def clear_scan(units: DataFrame, taus: Sequence[float], permutations: int = 2000, most: int = 32000, alpha: float = 0.001, errors: float = 3.0, **options) -> dict[float, dict]:  # type: ignore[no-untyped-def]
+    """:func:`scan` by instant, shuffled four times as often where p is too near ``alpha``, until it is told apart or ``most`` are done.
+
+    Near: within so many Monte Carlo standard errors. A step that no shuffle reached is clear at once.
+    """
+    out: dict[float, dict] = {}
+    todo, n = sorted({float(t) for t in taus}), permutations
+    while todo:
+        rows = {r["tau"]: r.asDict() | {"permutations": n} for r in scan(units, todo, permutations=n, **options).collect()}
+        out |= rows
+        near = errors * (alpha * (1 - alpha) / n) ** 0.5
+        todo = [t for t, r in rows.items() if r["p"] * (n + 1) > 1.5 and abs(r["p"] - alpha) < near] if 4 * n <= most else []
+        n *= 4
+    return out
+
+
+def is_flagged(row: dict, alpha: float) -> bool:
+    return bool(row["p"] < alpha and row["agree"] and row["plan_wide"] and row["voting"] >= 2)
+
+
+def search(units: DataFrame, taus: Sequence[float], permutations: int = 2000, alpha: float = 0.001, breaks: Sequence[float] = (), gap_hours: float = 48.0, side_days: int = 14, most_changes: int = 12, most: int = 32000) -> list[dict]:
+    """The flagged instant of the smallest p becomes a change, cuts its neighbours' sides, and what it cut is scanned again, until none flags.
+
+    ``breaks`` are changes known before: they cut from the start and are not found again. Ties go to the
+    larger |z|; p is compared at the first round's resolution.
+    """
+    cuts, out = [float(b) for b in breaks], []
+    grid = sorted({float(t) for t in taus})
+    rows: dict[float, dict] = {}
+    stale = grid
+    while stale and len(out) < most_changes:
+        rows |= clear_scan(units, stale, permutations, most, alpha, side_days=side_days, breaks=cuts)
+        open_ = [r for t, r in rows.items() if is_flagged(r, alpha) and all(abs(t - c) >= gap_hours for c in cuts)]
+        if not open_:
+            break
+        best = min(open_, key=lambda r: (max(r["p"], 1 / (permutations + 1)), -abs(r["z"]), r["tau"]))
+        out.append(best)
+        cuts.append(best["tau"])
+        stale = [t for t in grid if abs(t - best["tau"]) <= 24 * side_days]
+        for t in stale:
+            rows.pop(t, None)
+    return out
+
+
+def found_again(units: DataFrame, taus: Sequence[float], at: float, sign: int, span: tuple[float, float], breaks: Sequence[float], alpha: float = 0.001, gap_hours: float = 48.0, **options) -> dict:  # type: ignore[no-untyped-def]
+    """Would today's search find a carried change: a flagged instant of its sign in its range, the sides cut at every other change.
+
+    p and z are those of the strongest such instant, of the nearest one where none flags, and None where the grid has none.
+    """
+    others = [b for b in breaks if b != at]
+    near = [t for t in taus if span[0] - gap_hours <= t <= span[1] + gap_hours and all(abs(t - at) <= abs(t - b) for b in others)]
+    rows = clear_scan(units, near, alpha=alpha, breaks=others, **options)
+    hits = [r for r in rows.values() if is_flagged(r, alpha) and (1 if r["step"] > 0 else -1) == sign]
+    told = min(hits, key=lambda r: (r["p"], -abs(r["z"]))) if hits else min(rows.values(), key=lambda r: abs(r["tau"] - at), default=None)
+    return {"at": at, "found_today": bool(hits), "p": told and told["p"], "z": told and told["z"]}
+
+
+def sizes(units: DataFrame, taus: Sequence[float], factor: float = 1.0, side_days: int = 14) -> DataFrame:
+    """Each change's shared step with an interval widened by ``factor``, each account's own, and the step without that account.
+
+    One row a change and account; sides end at the neighbouring changes.
+    """
+    v = votes(units, taus, side_days=side_days, permutations=0, breaks=taus).filter("account is not null").select("tau", "account", "step", "variance")
+    weight = 1 / F.col("variance")
+    totals = v.groupBy("tau").agg(F.sum(weight).alias("_w"), F.sum(weight * F.col("step")).alias("_wx"))
+    pct = lambda e: F.round(100 * (F.exp(e) - 1), 6)
+    half, own, rest = 1.96 * factor / F.sqrt("_w"), 1.96 * factor * F.sqrt("variance"), F.col("_w") - weight
+    mean, others = F.col("_wx") / F.col("_w"), F.when(rest > 1e-12 * F.col("_w"), (F.col("_wx") - weight * F.col("step")) / rest)
+    return v.join(totals, "tau").select(
+        "tau", "account", pct(mean).alias("change_pct"), pct(mean - half).alias("lo"), pct(mean + half).alias("hi"), pct(F.col("step")).alias("own_pct"), pct(F.col("step") - own).alias("own_lo"), pct(F.col("step") + own).alias("own_hi"), pct(others).alias("without_pct"), F.round(others * F.sqrt(rest), 6).alias("without_z"),
+    )
+
+
 def medians_apart(before: np.ndarray, after: np.ndarray, widths: float = 2.0) -> bool:
     """Is the step between two medians more than so many standard errors of them."""
     se = lambda x: 1.253 * 1.4826 * np.median(np.abs(x - np.median(x))) / len(x) ** 0.5
@@ -282,17 +369,21 @@ def episodes(hits: DataFrame, by: Sequence[str], at: str, gap: float, best: str)
 # --- held changes -------------------------------------------------------------------------------------
 
 
-def held_states(finds: DataFrame, by: Sequence[str] = ("line", "sign"), match_hours: float = 168.0, days: int = 7) -> DataFrame:
+def held_states(finds: DataFrame, by: Sequence[str] = ("line", "sign"), match_hours: float = 168.0, days: int = 7, withdrawn: bool = False) -> DataFrame:
     """Each day's finds carried on: candidate on the first day, provisional after, measured after ``days`` in a row.
 
     ``finds`` is (line, sign, day, at) with at in hours. A find continues the nearest one of the day before
     within ``match_hours``, each taken once; a day without it starts over, unless it is measured by then.
+    With ``withdrawn`` the day that an unmeasured find is gone tells it in that state.
     """
     from tidewater.operators.ordered import fold
 
     def make():  # type: ignore[no-untyped-def]
         state: dict = {"day": None, "today": [], "held": []}
 
+        def told_gone(gone: list[dict], day: int) -> list[tuple]:
+            return [(day, h["at"], h["first"], h["n"], "withdrawn", False) for h in gone if withdrawn]
+
         def close() -> list[tuple]:
             pairs = sorted((abs(a - h["at"]), i, j) for i, a in enumerate(state["today"]) for j, h in enumerate(state["held"]) if abs(a - h["at"]) <= match_hours)
             taken: dict[int, int] = {}
@@ -303,11 +394,13 @@ def held_states(finds: DataFrame, by: Sequence[str] = ("line", "sign"), match_ho
             for i, at in enumerate(state["today"]):
                 old = state["held"][taken[i]] if i in taken else None
                 new.append({"at": at, "first": old["first"] if old else state["day"], "n": old["n"] + 1 if old else 1, "measured": bool(old and old["measured"])})
-            carried = [h for j, h in enumerate(state["held"]) if h["measured"] and j not in taken.values()]
+            left = [h for j, h in enumerate(state["held"]) if j not in taken.values()]
+            carried, gone = [h for h in left if h["measured"]], [h for h in left if not h["measured"]]
             for h in new:
                 h["measured"] |= h["n"] >= days
             state["held"] = new + carried
-            return [(state["day"], h["at"], h["first"], h["n"], "measured" if h["measured"] else "provisional" if h["n"] > 1 else "candidate", h in new) for h in state["held"]]
+            told = [(state["day"], h["at"], h["first"], h["n"], "measured" if h["measured"] else "provisional" if h["n"] > 1 else "candidate", h in new) for h in state["held"]]
+            return told + told_gone(gone, state["day"])
 
         def step(row: tuple) -> list[tuple]:
             day, at = row
@@ -315,6 +408,7 @@ def held_states(finds: DataFrame, by: Sequence[str] = ("line", "sign"), match_ho
             if state["day"] is not None and day != state["day"]:
                 out = close()
                 if day > state["day"] + 1:
+                    out += told_gone([h for h in state["held"] if not h["measured"]], state["day"] + 1)
                     state["held"] = [h for h in state["held"] if h["measured"]]
                 state["today"] = []
             state["day"] = day
