@@ -144,3 +144,32 @@ def test_a_find_that_goes_is_withdrawn(spark):
     finds = spark.createDataFrame([("l", 1, 1, 10.0), ("l", 1, 2, 500.0), ("l", 1, 5, 500.0)], "line string, sign int, day long, at double")
     got = sorted((r.day, r.at, r.state) for r in changes.held_states(finds, withdrawn=True).collect())
     assert got == [(1, 10.0, "candidate"), (2, 10.0, "withdrawn"), (2, 500.0, "candidate"), (3, 500.0, "withdrawn"), (5, 500.0, "candidate")]
+
+
+def test_factor_beside_a_regime_equals_a_fit_with_dummies(spark):
+    rng = np.random.default_rng(7)
+    rows = [(g, float(x), int(k >= 20), float(rng.poisson(np.exp(1 + 0.2 * g + 0.5 * x - 0.4 * (k >= 20))))) for g in range(4) for k, x in enumerate(rng.random(40))]
+    got = shares.factor_within(spark.createDataFrame(rows, "g int, x double, late int, y double"), ["g"], "y", "x", ["late"]).first()
+    design = np.array([[1.0, x, late, *(float(g == k) for k in range(1, 4))] for g, x, late, _ in rows])
+    b, se, phi = fits.irls_poisson(np.array([r[3] for r in rows]), design)
+    assert abs(got.factor - np.exp(b[1])) < 1e-6 and abs(got.lo - np.exp(b[1] - 1.96 * se[1])) < 1e-5 and abs(got.dispersion - phi) < 1e-6
+
+
+def test_pooled_draws_and_fits_without_a_group(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(5):
+        for k in range(40):
+            a, b, c = (float(v) for v in rng.uniform(1, 9, 3))
+            rows.append((g, k, float((1 + g) * (a + 2.5 * b + 0.4 * c) * np.exp(0.05 * rng.standard_normal())), a, b, c))
+    df = spark.createDataFrame(rows, "g int, k int, y double, a double, b double, c double").cache()
+    names = ["a", "b", "c"]
+    whole = fits.pooled_log_rates(df, "g", "y", names)
+    drawn = fits.pooled_rate_draws(df, "g", "y", names, ["g", "k"], 20).toPandas()
+    first = drawn[drawn["draw"] == 0].set_index("name")["rate"]
+    assert all(abs(first[c] - whole[c]) < 1e-4 for c in names) and len(drawn) == 63
+    spread = drawn[(drawn["draw"] > 0) & (drawn["name"] == "b")]["rate"]
+    assert 0 < spread.std() < 0.5 and spread.min() < 2.5 < spread.max()
+    got = {(r.g, r.name): r.rate for r in fits.pooled_rates_without(df, "g", "y", names, ["g", "k"]).collect()}
+    again = fits.pooled_log_rates(df.filter("g <> 3"), "g", "y", names)
+    assert len(got) == 15 and all(abs(got[3, c] - again[c]) < 0.01 * again[c] for c in names)

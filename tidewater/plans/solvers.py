@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions.values import DAY
+from tidewater.plans import figures
 from tidewater.plans.base import PRICES, events, query
 from tidewater.plans.metering import VALUED, closed_stretches
 from tidewater.plans.relational import daily, family_design
@@ -132,6 +133,29 @@ def headless_within_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares.factor_within(d, ["account", "week"], "y", "share")
 
 
+@query(None, ["STAT-6"])
+def headless_with_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The factor of a share of the work on a day's count, with a level for each account and one for what follows an instant."""
+    d = daily(spark, sf_dir).select("account", (F.col("day") >= CUT_US // DAY).cast("int").alias("late"), (F.col("den") / 10.0).alias("y"), ((F.col("num") % 100) / 100.0).alias("share"))
+    return shares.factor_within(d, ["account"], "y", "share", ["late"], least_rows=50)
+
+
+@query(None, ["STAT-51"])
+def pooled_rate_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Families' rates that all accounts share, with the middle 95 % of draws inside each account and the span over fits without one account."""
+    d = figures.design(spark, sf_dir).select("account", "ordinal", "delta_pct", *FAMILIES).persist()
+    try:
+        whole = fits.pooled_log_rates(d, "account", "delta_pct", FAMILIES)
+        drawn = fits.pooled_rate_draws(d, "account", "delta_pct", FAMILIES, ["account", "ordinal"], 40, whole=whole)
+        left = fits.pooled_rates_without(d, "account", "delta_pct", FAMILIES, ["account", "ordinal"], whole)
+    finally:
+        d.unpersist()
+    q = F.percentile(F.when(F.col("draw") > 0, F.col("rate")), F.array(F.lit(0.025), F.lit(0.975)))
+    rates = drawn.groupBy("name").agg(F.max(F.when(F.col("draw") == 0, F.col("rate"))).alias("rate"), q.alias("q"))
+    without = left.groupBy("name").agg(F.min("rate").alias("least_without"), F.max("rate").alias("most_without"))
+    return rates.join(without, "name").select(F.col("name").alias("family"), "rate", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"), "least_without", "most_without")
+
+
 # --- several changes ---------------------------------------------------------------------------------
 
 

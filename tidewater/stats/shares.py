@@ -177,38 +177,42 @@ def adopted(rates: DataFrame, fit: DataFrame, family: str, base_rate: float) ->
 # --- levels that are profiled out ------------------------------------------------------------------
 
 
-def factor_within(df: DataFrame, levels: Sequence[str], y: str, x: str, rounds: int = 40, least_rows: int = 20, least_sd: float = 0.05) -> DataFrame:
+def factor_within(df: DataFrame, levels: Sequence[str], y: str, x: str, beside: Sequence[str] = (), rounds: int = 40, least_rows: int = 20, least_sd: float = 0.05) -> DataFrame:
     """Quasi-Poisson factor exp(b) of ``x`` with a free level for each group of ``levels``: one row, none below the gates.
 
-    A group's level follows from its sums, so Newton's steps need two aggregations each and no design matrix.
-    Groups of one row, of one value of ``x`` or without counts tell nothing and are left out. Gates: rows, and
-    the spread of ``x`` inside groups.
+    ``beside`` are a few more regressors, such as dummies of regimes. A group's level follows from its sums, so
+    Newton's steps need two aggregations each and no column a group. Groups of one row, of one value of ``x``
+    or without counts tell nothing and are left out. Gates: rows, and the spread of ``x`` inside groups.
     """
     spark = df.sparkSession
     schema = "factor double, lo double, hi double, dispersion double, n long, levels long"
     told = df.filter(F.col(y).isNotNull() & F.col(x).isNotNull()).groupBy(*levels).agg(F.count("*").alias("_n"), F.min(x).alias("_a"), F.max(x).alias("_b"), F.sum(y).alias("_y")).filter("_n > 1 and _b > _a and _y > 0")
-    rows = df.join(told.select(*levels), list(levels)).select(*levels, F.col(y).cast("double").alias("_y"), F.col(x).cast("double").alias("_x")).persist()
+    names = [f"_x{i}" for i in range(1 + len(beside))]
+    rows = df.join(told.select(*levels), list(levels)).select(*levels, F.col(y).cast("double").alias("_y"), *(F.col(c).cast("double").alias(k) for k, c in zip(names, (x, *beside), strict=True))).na.drop(subset=["_y", *names]).persist()
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     try:
-        mean = F.avg("_x").over(W.partitionBy(*levels))
-        n, groups, spread = rows.withColumn("_c", F.col("_x") - mean).agg(F.count("*"), F.count_distinct(*levels), F.sqrt(F.avg(F.col("_c") * F.col("_c")))).first()
+        mean = F.avg("_x0").over(W.partitionBy(*levels))
+        n, groups, spread = rows.withColumn("_c", F.col("_x0") - mean).agg(F.count("*"), F.count_distinct(*levels), F.sqrt(F.avg(F.col("_c") * F.col("_c")))).first()
         if n < least_rows or (spread or 0.0) < least_sd:
             return spark.createDataFrame([], schema)
-        b = info = 0.0
+        b, info = np.zeros(len(names)), np.zeros((len(names),) * 2)
+        power = lambda: F.exp(sum((F.lit(float(v)) * F.col(k) for v, k in zip(b, names, strict=True)), F.lit(0.0)))
         for _ in range(rounds):
-            e = F.exp(F.lit(b) * F.col("_x"))
-            g = rows.groupBy(*levels).agg(F.sum("_y").alias("y"), F.sum(F.col("_y") * F.col("_x")).alias("yx"), F.sum(e).alias("e"), F.sum(e * F.col("_x")).alias("ex"), F.sum(e * F.col("_x") * F.col("_x")).alias("exx"))
-            at = F.col("ex") / F.col("e")
-            score, info = g.agg(F.sum(F.col("yx") - F.col("y") * at), F.sum(F.col("y") * (F.col("exx") / F.col("e") - at * at))).first()
-            step = float(np.clip(score / info, -2, 2))
-            b += step
-            if abs(step) < 1e-10:
+            e = power()
+            g = rows.groupBy(*levels).agg(F.sum("_y").alias("y"), F.sum(e).alias("e"), *(F.sum(F.col("_y") * F.col(k)).alias(f"y{i}") for i, k in enumerate(names)), *(F.sum(e * F.col(k)).alias(f"e{i}") for i, k in enumerate(names)), *(F.sum(e * F.col(names[i]) * F.col(names[j])).alias(f"e{i}_{j}") for i, j in pairs))
+            got = g.agg(*(F.sum(F.col(f"y{i}") - F.col("y") * F.col(f"e{i}") / F.col("e")) for i in range(len(names))), *(F.sum(F.col("y") * (F.col(f"e{i}_{j}") / F.col("e") - F.col(f"e{i}") * F.col(f"e{j}") / F.col("e") / F.col("e"))) for i, j in pairs)).first()
+            for (i, j), v in zip(pairs, got[len(names) :], strict=True):
+                info[i, j] = info[j, i] = v
+            step = np.clip(np.linalg.lstsq(info, np.array(got[: len(names)]), rcond=1e-12)[0], -2, 2)
+            b = b + step
+            if np.abs(step).max() < 1e-10:
                 break
-        mu = F.exp(F.lit(b) * F.col("_x"))
+        mu = power()
         level = rows.groupBy(*levels).agg((F.sum("_y") / F.sum(mu)).alias("_level"))
         fitted = F.col("_level") * mu
         pearson = rows.join(level, list(levels)).agg(F.sum((F.col("_y") - fitted) * (F.col("_y") - fitted) / fitted)).first()[0]
-        phi = pearson / max(n - groups - 1, 1)
-        half = 1.96 * (phi / info) ** 0.5
-        return spark.createDataFrame([(float(np.exp(b)), float(np.exp(b - half)), float(np.exp(b + half)), phi, n, groups)], schema)
+        phi = pearson / max(n - groups - len(names), 1)
+        half = 1.96 * float(phi * np.linalg.pinv(info)[0, 0]) ** 0.5
+        return spark.createDataFrame([(float(np.exp(b[0])), float(np.exp(b[0] - half)), float(np.exp(b[0] + half)), phi, n, groups)], schema)
     finally:
         rows.unpersist()
