@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import jaccard, lm, mixing, pieces, quality, sharding, urlfilter, vectors, warc, wrappers
+from tidewater.llm import interactions, jaccard, lm, merkle, mixing, pieces, quality, sharding, suffixes, urlfilter, vectors, warc, wrappers
 from tidewater.llm.shared import new_path, ship, table
 
 _record_page = lambda c: F.nullif(F.regexp_extract(c, "<urn:record:(.*)>", 1), F.lit("")).try_cast("long")
@@ -57,8 +57,20 @@ def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages")).drop("block_probability")
 
 
-QUERIES = [op1_warc, op2_wrappers, op3_pieces, op4_jaccard, op5_vectors, op6_sharding, op7_quality, op8_mixing, op9_lm, op10_urlfilter]
-ORACLES = {"op1_warc": warc.ORACLE, "op4_jaccard": jaccard.ORACLE, "op5_vectors": vectors.ORACLE, "op8_mixing": mixing.ORACLE}
+def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = [op1_warc, op2_wrappers, op3_pieces, op4_jaccard, op5_vectors, op6_sharding, op7_quality, op8_mixing, op9_lm, op10_urlfilter, op11_suffixes, op12_merkle, op13_interactions]
+ORACLES = {"op1_warc": warc.ORACLE, "op4_jaccard": jaccard.ORACLE, "op5_vectors": vectors.ORACLE, "op8_mixing": mixing.ORACLE, "op12_merkle": merkle.ORACLE, "op13_interactions": interactions.ORACLE}
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
