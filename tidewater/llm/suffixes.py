@@ -13,8 +13,9 @@ its anchor may begin with.
    multikey quicksort, eight bytes a character. With the lengths that neighbours share, strings that
    begin d bytes before their anchors are equal if they are in one class of both orders, at depth
    ``SPAN - d`` and d; all texts of a bucket are compared by one pass a d.
-3. Leading tokens of more than ``MOST`` open suffixes would fill a bucket; their strings are compared
-   across all buckets by a 128-bit digest of each.
+3. Leading tokens of more than ``MOST`` open suffixes would fill a bucket. Their strings are halved by
+   their distance to the anchor, and each half is dealt by all the bytes that its strings share, until
+   a group is small enough to be sorted, or its members agree as a whole (128-bit digests).
 
 Defined results: a null text is empty; a text shorter than ``SPAN`` bytes keeps all; rows that repeat an
 id and text are copies of each other like any; an empty table gives an empty result; null ids are
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ SPAN = 200
 GRAM = 16
 #: Grams of a string, and so the number of places an anchor can have in it.
 WIDTH = SPAN - GRAM + 1
-#: Open suffixes of one lead that a bucket may hold.
+#: Open suffixes of one group that a bucket may hold.
 MOST = 1000
 #: Suffixes of a bucket, about 300 bytes each.
 BUCKET_ROWS = 40_000
@@ -273,11 +275,14 @@ def matched(contexts: list[bytes], low: np.ndarray, high: np.ndarray) -> np.ndar
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The repeated strings of a bucket, as runs of bytes."""
     t = _bucket(batches)
     if t is None:
         return
-    anchor, low, high = unpack(t.column("place").to_numpy())
-    hit = matched(t.column("context").to_pylist(), low, high) & t.column("asks").to_numpy()[:, None]
+    anchor, reach, _ = unpack(t.column("place").to_numpy())
+    near, far = t.column("near").to_numpy(), t.column("far").to_numpy()
+    contexts = [c[r - f : r + SPAN - n] for c, r, n, f in zip(t.column("context").to_pylist(), reach.tolist(), near.tolist(), far.tolist(), strict=True)]
+    hit = matched(contexts, far, near) & t.column("asks").to_numpy()[:, None]
     edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).view(np.int8), axis=1)
     row, first = np.nonzero(edge == 1)
     last = np.nonzero(edge == -1)[1] - 1
@@ -285,32 +290,90 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 FOUND = f"{KEYS}, start long, end long"
-
-
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A digest of each string of a suffix."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            anchor, low, high = unpack(part.column("place").to_numpy())
-            count = low - high + 1
-            row = np.repeat(np.arange(len(count)), count)
-            digests = [hashlib.blake2b(c[k : k + SPAN], digest_size=16).digest() for c, m in zip(part.column("context").to_pylist(), count.tolist(), strict=True) for k in range(m)]
-            start = (anchor - low)[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), part.column("id").take(row), part.column("hash").take(row), pa.array(start), part.column("asks").take(row)], names=["digest", "id", "hash", "start", "asks"])
+#: A suffix with the strings that begin ``far`` to ``near`` bytes before its anchor, and the bytes that its group shares.
+OPEN = f"core binary, {KEYS}, place long, near long, far long, context binary, asks boolean"
+#: A found run (0), or a suffix whose strings are still open (1).
+REFINED = f"kind int, {OPEN}, start long, end long"
+#: Halvings of the 256 distances before an anchor.
+HALVINGS = 8
+
+
+def _refined(level: int):
+    """Decide the suffixes of a crowded group that repeat as a whole, and deal the others anew, in halves by distance and by the bytes that each half shares."""
+    width = 1 << (HALVINGS - level - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = _bucket(batches)
+        if t is None:
+            return
+        core, whole = (t.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in ("core", "whole"))
+        new_core = np.concatenate([[True], core[1:] != core[:-1]])
+        new_whole = new_core | np.concatenate([[True], whole[1:] != whole[:-1]])
+        by_core, _ = _runs(new_core)
+        by_whole, rows_whole = _runs(new_whole)
+        repeated = rows_whole[by_whole] > 1
+        lone = np.bincount(by_core, weights=~repeated)
+        cut = (core == core[0]) | (core == core[-1])
+        goes_on = ~repeated | (new_whole & ((lone[by_core] > 0) | cut))
+        asks = t.column("asks").to_numpy()
+        place, near, far = (t.column(c).to_numpy() for c in ("place", "near", "far"))
+        anchor, reach, _ = unpack(place)
+        hit = np.flatnonzero(repeated & asks)
+        none = pa.nulls(len(hit), pa.int64())
+        take = lambda c, at: t.column(c).combine_chunks().take(pa.array(at))
+        names = [x.split()[0] for x in REFINED.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(hit), np.int32)), pa.nulls(len(hit), pa.binary()), take("id", hit), take("hash", hit), none, none, none, pa.nulls(len(hit), pa.binary()), pa.nulls(len(hit), pa.bool_()), pa.array(anchor[hit] - far[hit]), pa.array(anchor[hit] - near[hit] + SPAN)], names=names)
+        on = np.flatnonzero(goes_on)
+        contexts = take("context", on).to_pylist()
+        at, cores, nears, fars = [], [], [], []
+        for k, (i, r, n, f) in enumerate(zip(on.tolist(), reach[on].tolist(), near[on].tolist(), far[on].tolist(), strict=True)):
+            for cell in range(n // width, f // width + 1):
+                first, last = cell * width, min(cell * width + width, WIDTH) - 1
+                cores.append(hashlib.blake2b(contexts[k][r - first : r + SPAN - last], digest_size=16, salt=cell.to_bytes(2, "big")).digest())
+                at.append(i)
+                nears.append(max(n, first))
+                fars.append(min(f, last))
+        at = np.array(at, np.int64)
+        gone = pa.nulls(len(at), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(cores, pa.binary()), take("id", at), take("hash", at), take("place", at), pa.array(nears, pa.int64()), pa.array(fars, pa.int64()), take("context", at), pa.array((asks & ~repeated)[at]), gone, gone], names=names)
+
+    return run
 
 
 def compare(asked: DataFrame, most: int = MOST) -> DataFrame:
-    """(id, hash, start, end): the repeated strings of the suffixes that ask."""
+    """(id, hash, start, end): the repeated strings of the suffixes that ask.
+
+    Each round takes the groups of more than ``most`` suffixes that share a core; after ``HALVINGS``
+    rounds a core is a string, and all of a group are equal.
+    """
     spark = asked.sparkSession
-    crowded = stage(asked.groupBy("tokens").count().filter(F.col("count") > most).select("tokens", F.lit(True).alias("crowded")), "crowded-leads")
-    rows = asked.join(crowded, "tokens", "left")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-asked.count() // BUCKET_ROWS))
-    alone = rows.filter("crowded is null").select("tokens", *KEYS_, "place", "context", "asks").repartitionByRange(tasks, "tokens").mapInArrow(_compared, FOUND)
-    strings = stage(rows.filter("crowded").select(*KEYS_, "place", "context", "asks").mapInArrow(_strings, f"digest binary, {KEYS}, start long, asks boolean"), "strings")
-    twice = stage(strings.groupBy("digest").count().filter("count > 1").select("digest"), "repeated-strings")
-    across = strings.filter("asks").join(twice, "digest", "left_semi").select(*KEYS_, "start", (F.col("start") + SPAN).alias("end"))
-    return alone.unionByName(across)
+    columns = [x.split()[0] for x in OPEN.split(", ")]
+    high = F.col("place").bitwiseAND(F.lit(255))
+    low = F.shiftright("place", 8).bitwiseAND(F.lit(255))
+    rows, alone, found = asked.withColumnsRenamed({"tokens": "core"}).withColumns({"near": high, "far": low}).select(*columns), [], []
+    for level in range(HALVINGS + 1):
+        crowded = stage(rows.groupBy("core").count().filter(F.col("count") > most).select("core", F.lit(True).alias("crowded")), "crowded")
+        marked = rows.join(crowded, "core", "left")
+        alone.append(marked.filter("crowded is null").drop("crowded"))
+        if crowded.isEmpty():
+            break
+        busy = marked.filter("crowded").drop("crowded")
+        anchor = F.shiftright("place", 16)
+        if level == HALVINGS:
+            found.append(busy.filter("asks").select(*KEYS_, (anchor - F.col("far")).alias("start"), (anchor - F.col("near") + SPAN).alias("end")))
+            break
+        begins = (low - F.col("far") + 1).cast("int")
+        whole = F.unhex(F.md5(F.concat(F.col("near").cast("string").cast("binary"), F.substring("context", begins, (F.col("far") - F.col("near") + SPAN).cast("int")))))
+        order = ["core", "whole", "id", "hash", "place"]
+        path = new_path(spark, f"halved-{level}")
+        busy.withColumn("whole", whole).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_refined(level), REFINED).write.partitionBy("kind").parquet(path)
+        refined = spark.read.schema(REFINED).parquet(path)
+        found.append(refined.filter("kind = 0").select(*KEYS_, "start", "end"))
+        rows = refined.filter("kind = 1").select(*columns)
+    rest = reduce(DataFrame.unionByName, alone)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rest.count() // BUCKET_ROWS))
+    compared = rest.repartitionByRange(tasks, "core").mapInArrow(_compared, FOUND)
+    return reduce(DataFrame.unionByName, found, compared)
 
 
 KEYS_ = ["id", "hash"]
