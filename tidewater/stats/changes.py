@@ -163,43 +163,62 @@ def studentized(num: np.ndarray, den: np.ndarray, after: np.ndarray, prior: floa
     return a - b, va + vb
 
 
-def votes(units: DataFrame, taus: Sequence[float], unit_hours: float = 24.0, side_days: int = 14, permutations: int = 2000, seed: int = 7, least_units: int = 2, breaks: Sequence[float] = ()) -> DataFrame:
+#: Shuffles of one stream: shuffle k is row k % BLOCK of stream k // BLOCK, whichever round asks for it.
+BLOCK = 500
+
+
+def account_step(t: np.ndarray, num: np.ndarray, den: np.ndarray, tau: float, cuts: Sequence[float], unit_hours: float = 24.0, side_days: int = 14, least_units: int = 2) -> tuple[float, float, tuple] | None:
+    """One account's log step at an instant, its variance, and what its shuffles need; None where a side is too short."""
+    lo = max([tau - 24 * side_days, *(b for b in cuts if b < tau)])
+    hi = min([tau + 24 * side_days, *(b for b in cuts if b > tau)])
+    near = (t >= lo) & (t < hi)
+    keys, where = np.unique(np.floor((t[near] - tau) / unit_hours), return_inverse=True)
+    w, d = np.bincount(where, num[near]), np.bincount(where, den[near])
+    good = d > 0
+    w, d, side = w[good], d[good], keys[good] >= 0
+    if side.sum() < least_units or (~side).sum() < least_units or w.sum() <= 0:
+        return None
+    prior = float(((w - w.sum() / d.sum() * d) ** 2 / d).mean())
+    step, variance = studentized(w, d, side[None], prior)
+    return float(step[0]), float(variance[0]), (w, d, side, prior)
+
+
+def shuffled(units: tuple, tau: float, name: object, seed: int, skip: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted step and weight of the shuffles ``skip`` to ``skip + count``: they depend on seed, instant, account and their own number only."""
+    w, d, side, prior = units
+    top, bottom = [np.zeros(0)], [np.zeros(0)]
+    for block in range(skip // BLOCK, -(-(skip + count) // BLOCK)):
+        rng = np.random.Generator(np.random.PCG64([seed, int(round(tau * 4)) & 0xFFFFFFFF, zlib.crc32(str(name).encode()), block]))
+        sides = rng.permuted(np.broadcast_to(side, (BLOCK, len(side))), axis=1)
+        part = slice(max(0, skip - block * BLOCK), skip + count - block * BLOCK)
+        s, v = studentized(w, d, sides, prior)
+        top.append((s / v)[part])
+        bottom.append((1 / v)[part])
+    return np.concatenate(top), np.concatenate(bottom)
+
+
+def votes(units: DataFrame, taus: Sequence[float], unit_hours: float = 24.0, side_days: int = 14, permutations: int = 2000, seed: int = 7, least_units: int = 2, breaks: Sequence[float] = (), skip: int = 0) -> DataFrame:
     """Each account's step at each instant, and rows without an account that hold a task's sums of shuffles.
 
-    ``breaks`` are known changes: an instant's sides end at the nearest of them on either hand.
+    ``breaks`` are known changes: an instant's sides end at the nearest of them on either hand. Shuffles
+    before ``skip`` were done in an earlier round.
     """
     grid = sorted({float(t) for t in taus})
     cuts = [float(b) for b in breaks]
-
-    def vote(name: object, frame: pd.DataFrame, tau: float) -> tuple[float, float, np.ndarray, np.ndarray] | None:
-        t, num, den = (frame[c].to_numpy(float) for c in ("t", "num", "den"))
-        lo = max([tau - 24 * side_days, *(b for b in cuts if b < tau)])
-        hi = min([tau + 24 * side_days, *(b for b in cuts if b > tau)])
-        near = (t >= lo) & (t < hi)
-        keys, where = np.unique(np.floor((t[near] - tau) / unit_hours), return_inverse=True)
-        w, d = np.bincount(where, num[near]), np.bincount(where, den[near])
-        good = d > 0
-        w, d, side = w[good], d[good], keys[good] >= 0
-        if side.sum() < least_units or (~side).sum() < least_units or w.sum() <= 0:
-            return None
-        prior = float(((w - w.sum() / d.sum() * d) ** 2 / d).mean())
-        step, variance = studentized(w, d, side[None], prior)
-        rng = np.random.Generator(np.random.PCG64([seed, int(round(tau * 4)) & 0xFFFFFFFF, zlib.crc32(str(name).encode())]))
-        s, v = studentized(w, d, rng.permuted(np.broadcast_to(side, (permutations, len(side))), axis=1), prior)
-        return float(step[0]), float(variance[0]), s / v, 1 / v
-
     columns = ["tau", "account", "step", "variance", "top", "bottom"]
 
     def run(frames):  # type: ignore[no-untyped-def]
         sums: dict[float, list[np.ndarray]] = {}
         for name, frame in whole_accounts(frames):
             rows = []
+            t, num, den = (frame[c].to_numpy(float) for c in ("t", "num", "den"))
             for tau in grid:
-                if found := vote(name, frame, tau):
+                if found := account_step(t, num, den, tau, cuts, unit_hours, side_days, least_units):
                     rows.append((tau, str(name), *found[:2], None, None))
                     held = sums.setdefault(tau, [np.zeros(permutations), np.zeros(permutations)])
-                    held[0] += found[2]
-                    held[1] += found[3]
+                    top, bottom = shuffled(found[2], tau, name, seed, skip, permutations)
+                    held[0] += top
+                    held[1] += bottom
             yield pd.DataFrame(rows, columns=columns)
         yield pd.DataFrame([(tau, None, None, None, *x) for tau, x in sums.items()], columns=columns)
 
@@ -207,33 +226,52 @@ def votes(units: DataFrame, taus: Sequence[float], unit_hours: float = 24.0, sid
     return dealt.mapInPandas(run, "tau double, account string, step double, variance double, top array<double>, bottom array<double>")
 
 
-def scan(units: DataFrame, taus: Sequence[float], unit_hours: float = 24.0, side_days: int = 14, permutations: int = 2000, seed: int = 7, least_units: int = 2, breaks: Sequence[float] = ()) -> DataFrame:
-    """For each candidate instant: the step all accounts share, its z, a permutation p, and whether they agree.
-
-    ``units`` is (account, t, num, den) with t in hours: a few numbers a day, so one account is a small group.
-    Accounts are dealt over tasks; a task adds its accounts' shuffles up and sends one row an instant, and
-    the rest is sums, rounded to nine places. Shuffles are seeded by instant and account, wherever they run.
-    """
-    told = votes(units, taus, unit_hours, side_days, permutations, seed, least_units, breaks).persist()
+def _scanned(told: DataFrame) -> DataFrame:
+    """What :func:`votes` tells of each instant; ``as_far`` counts the shuffles that go at least as far as the step itself."""
     voted = told.filter("account is not null")
     weight, x = 1 / F.col("variance"), F.col("step")
     totals = voted.groupBy("tau").agg(F.sum(weight).alias("w"), F.sum(weight * x).alias("wx"), F.count("*").alias("voting"))
     totals = totals.withColumns({"mean": F.col("wx") / F.col("w"), "z": F.col("wx") / F.sqrt("w")})
     drawn = told.filter("account is null").select("tau", F.posexplode(F.arrays_zip("top", "bottom")).alias("draw", "d"))
     drawn = drawn.groupBy("tau", "draw").agg(F.sum("d.top").alias("top"), F.sum("d.bottom").alias("bottom")).join(totals.select("tau", "z"), "tau")
-    as_far = F.abs(F.col("top") / F.sqrt("bottom")) >= F.abs("z") * (1 - 1e-12)
-    p = drawn.groupBy("tau").agg(((1 + F.count_if(as_far)) / (permutations + 1)).alias("p"))
+    far = F.abs(F.col("top") / F.sqrt("bottom")) >= F.abs("z") * (1 - 1e-12)
+    far = drawn.groupBy("tau").agg(F.count_if(far).alias("as_far"))
     se = F.sqrt("variance")
     others = (F.col("wx") - weight * x) / F.sqrt(F.greatest(F.col("w") - weight, F.lit(1e-300)))
     marks = voted.join(totals, "tau").groupBy("tau").agg(
         F.bool_and(F.abs(x - F.col("mean")) <= 2.5 * se).alias("near"), F.bool_or((F.signum(x) != F.signum("mean")) & (F.abs(x) > 1.96 * se)).alias("opposed"), F.min(F.signum("z") * others).alias("without_one"),
     )
     several = F.col("voting") >= 2
-    return totals.join(p, "tau").join(marks, "tau").select(
-        "tau", F.round("mean", 9).alias("step"), F.round("z", 9).alias("z"), "p", "voting", (several & F.col("near") & ~F.col("opposed")).alias("agree"), (several & (F.col("without_one") >= 1.96)).alias("plan_wide"), F.round(1 / F.sqrt("w"), 9).alias("se"),
+    return totals.join(far, "tau").join(marks, "tau").select(
+        "tau", F.round("mean", 9).alias("step"), F.round("z", 9).alias("z"), "as_far", "voting", (several & F.col("near") & ~F.col("opposed")).alias("agree"), (several & (F.col("without_one") >= 1.96)).alias("plan_wide"), F.round(1 / F.sqrt("w"), 9).alias("se"),
     )
 
 
+def scan(units: DataFrame, taus: Sequence[float], unit_hours: float = 24.0, side_days: int = 14, permutations: int = 2000, seed: int = 7, least_units: int = 2, breaks: Sequence[float] = ()) -> DataFrame:
+    """For each candidate instant: the step all accounts share, its z, a permutation p, and whether they agree.
+
+    ``units`` is (account, t, num, den) with t in hours: a few numbers a day, so one account is a small group.
+    Accounts are dealt over tasks; a task adds its accounts' shuffles up and sends one row an instant, and
+    the rest is sums, rounded to nine places. Shuffles are seeded by instant, account and number, wherever they run.
+    """
+    told = votes(units, taus, unit_hours, side_days, permutations, seed, least_units, breaks).persist()
+    return _scanned(told).select("tau", "step", "z", ((1 + F.col("as_far")) / (permutations + 1)).alias("p"), "voting", "agree", "plan_wide", "se")
+
+
+def rounds(permutations: int, most: int) -> Iterator[tuple[int, int]]:
+    """(done before, done after) of each round: four times as many as before, up to ``most``."""
+    done = 0
+    while done < most:
+        then = min(max(permutations, 4 * done), most)
+        yield done, then
+        done = then
+
+
+def undecided(as_far: int, done: int, alpha: float, errors: float) -> bool:
+    """Is p within so many Monte Carlo standard errors of ``alpha``; a step that no shuffle reached is clear at once."""
+    return as_far > 0 and abs((1 + as_far) / (done + 1) - alpha) < errors * (alpha * (1 - alpha) / done) ** 0.5
+
+
 def whole_accounts(frames: Iterable[pd.DataFrame]) -> Iterator[tuple[object, pd.DataFrame]]:
     """(account, its rows) from batches sorted by account."""
     held: pd.DataFrame | None = None
@@ -266,19 +304,24 @@ def refined(units: DataFrame, permutations: int = 2000, around_hours: int = 48,
 # --- greedy search: rows of the driver are one an instant of the grid -----------------------------------
 
 
-def clear_scan(units: DataFrame, taus: Sequence[float], permutations: int = 2000, most: int = 32000, alpha: float = 0.001, errors: float = 3.0, **options) -> dict[float, dict]:  # type: ignore[no-untyped-def]
-    """:func:`scan` by instant, shuffled four times as often where p is too near ``alpha``, until it is told apart or ``most`` are done.
+def clear_scan(units: DataFrame, taus: Sequence[float], permutations: int = 2000, most: int = 100_000, alpha: float = 0.001, errors: float = 3.0, unit_hours: float = 24.0, side_days: int = 14, seed: int = 7, least_units: int = 2, breaks: Sequence[float] = ()) -> dict[float, dict]:
+    """:func:`scan` by instant, shuffled on where p is too near ``alpha``, until it is told apart or ``most`` are done.
 
-    Near: within so many Monte Carlo standard errors. A step that no shuffle reached is clear at once.
+    A round adds its shuffles to those before: the count after 2,000 and 6,000 is that of 8,000 at once.
     """
     out: dict[float, dict] = {}
-    todo, n = sorted({float(t) for t in taus}), permutations
-    while todo:
-        rows = {r["tau"]: r.asDict() | {"permutations": n} for r in scan(units, todo, permutations=n, **options).collect()}
-        out |= rows
-        near = errors * (alpha * (1 - alpha) / n) ** 0.5
-        todo = [t for t, r in rows.items() if r["p"] * (n + 1) > 1.5 and abs(r["p"] - alpha) < near] if 4 * n <= most else []
-        n *= 4
+    todo = sorted({float(t) for t in taus})
+    for before, done in rounds(permutations, most):
+        told = votes(units, todo, unit_hours, side_days, done - before, seed, least_units, breaks, before).persist()
+        try:
+            for r in _scanned(told).collect():
+                far = r["as_far"] + (out[r["tau"]]["as_far"] if before else 0)
+                out[r["tau"]] = r.asDict() | {"as_far": far, "permutations": done, "p": (1 + far) / (done + 1)}
+        finally:
+            told.unpersist()
+        todo = [t for t in todo if t in out and undecided(out[t]["as_far"], done, alpha, errors)]
+        if not todo:
+            break
     return out
 
 
@@ -286,7 +329,7 @@ def is_flagged(row: dict, alpha: float) -> bool:
     return bool(row["p"] < alpha and row["agree"] and row["plan_wide"] and row["voting"] >= 2)
 
 
-def search(units: DataFrame, taus: Sequence[float], permutations: int = 2000, alpha: float = 0.001, breaks: Sequence[float] = (), gap_hours: float = 48.0, side_days: int = 14, most_changes: int = 12, most: int = 32000) -> list[dict]:
+def search(units: DataFrame, taus: Sequence[float], permutations: int = 2000, alpha: float = 0.001, breaks: Sequence[float] = (), gap_hours: float = 48.0, side_days: int = 14, most_changes: int = 12, most: int = 100_000) -> list[dict]:
     """The flagged instant of the smallest p becomes a change, cuts its neighbours' sides, and what it cut is scanned again, until none flags.
 
     ``breaks`` are changes known before: they cut from the start and are not found again. Ties go to the
