@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pandas as pd
 
-from tidewater.stats import changes, fits, shares
+from tidewater.stats import changes, fits, robust, shares
 
 
 def test_least_total_equals_every_combination():
@@ -170,6 +170,66 @@ def test_pooled_draws_and_fits_without_a_group(spark):
     assert all(abs(first[c] - whole[c]) < 1e-4 for c in names) and len(drawn) == 63
     spread = drawn[(drawn["draw"] > 0) & (drawn["name"] == "b")]["rate"]
     assert 0 < spread.std() < 0.5 and spread.min() < 2.5 < spread.max()
-    got = {(r.g, r.name): r.rate for r in fits.pooled_rates_without(df, "g", "y", names, ["g", "k"]).collect()}
-    again = fits.pooled_log_rates(df.filter("g <> 3"), "g", "y", names)
-    assert len(got) == 15 and all(abs(got[3, c] - again[c]) < 0.01 * again[c] for c in names)
+    got = {(r.g, r.name): r.rate for r in fits.pooled_rates_without(df, "g", "y", names, block=2).collect()}
+    assert len(got) == 15
+    for g in range(5):
+        again = fits.pooled_log_rates(df.filter(f"g <> {g}"), "g", "y", names)
+        assert all(abs(got[g, c] - again[c]) < 1e-6 * again[c] for c in names)
+
+
+
+def plain_joint(rows, s2):
+    """Levels and change as Huber locations, the rate by golden sections of the loss: nested, row by row."""
+    level, after = {}, []
+    for a in {r[0] for r in rows}:
+        x = [(np.log(k / p), s2 + v) for b, _, side, p, k, n, v in rows if b == a and side == "before" and n == 0]
+        level[a] = fits.huber(*map(np.array, zip(*x, strict=True)), rounds=500)[0]
+    after = [(k, n, p, level[a], s2 + v) for a, _, side, p, k, n, v in rows if side == "after"]
+    k, n, p, lv, var = map(np.array, zip(*after, strict=True))
+
+    def loss(t):
+        e = np.log((k + np.exp(t) * n) / p) - lv
+        m = fits.huber(e, var, rounds=500)[0]
+        z = np.abs(e - m) / np.sqrt(var)
+        return float(np.where(z <= 1.345, z * z / 2, 1.345 * (z - 1.345 / 2)).sum()), m
+
+    t = fits.best_on_grid(lambda t: loss(t)[0], np.log(0.05), np.log(20), rounds=90)
+    return np.exp(t), loss(t)[1]
+
+
+def test_robust_joint_fit_equals_a_fit_of_rows_and_resists_outliers(spark):
+    df, rows = planted(spark)
+    rng = np.random.default_rng(11)
+    bad = [(a, day, side, known, new, pct * (3.0 if side == "after" and rng.random() < 0.12 else 1.0)) for a, day, side, known, new, pct in rows]
+    table = [(a, day, side, pct, known, new, 1e-4 * (1 + day % 3)) for a, day, side, known, new, pct in bad]
+    df = spark.createDataFrame(table, "account long, day long, side string, pct double, known double, new double, variance double")
+    plain = shares.joint_best(shares.joint_by_account(shares.joint_sums(df, "account", "day"), "account", "day"), ["draw"]).first()
+    s2 = robust.scatter(df, "account", plain.rate, "variance")
+    fit = robust.joint_fit(df, "account", "day", "variance", (np.log(plain.rate), plain.log_change), s2, 200, 5).toPandas()
+    rate, change = plain_joint(table, s2)
+    whole = fit[fit["draw"] == 0].iloc[0]
+    assert abs(whole["rate"] - rate) < 1e-5 * rate and abs(whole["log_change"] - change) < 1e-6 and whole["n"] == 160
+    assert abs(whole["rate"] - 2) < 0.05 and abs(np.exp(plain.log_change) - 0.8) > 2 * abs(np.exp(whole["log_change"]) - 0.8)
+    assert len(fit) == 201 and fit["rate"].quantile(0.025) < 2 < fit["rate"].quantile(0.975)
+    out = shares.joint_interval(spark.createDataFrame(fit)).first()
+    assert out.rate_lo <= out.rate <= out.rate_hi
+
+
+def test_a_draw_is_the_fit_of_its_repeated_rows(spark):
+    _, rows = planted(spark)
+    table = [(a, day, side, pct, known, new, 1e-4) for a, day, side, known, new, pct in rows]
+    schema = "account long, day long, side string, pct double, known double, new double, variance double"
+    df = spark.createDataFrame(table, schema)
+    fit = {r.draw: r for r in robust.joint_fit(df, "account", "day", "variance", (0.5, -0.1), 1e-4, 3, 5).collect()}
+    from pyspark.sql import functions as F
+
+    key = {(r.account, r.day): r.k for r in df.select("account", "day", F.xxhash64(F.lit(5), "account", "day").alias("k")).distinct().collect()}
+    for draw in (1, 3):
+        counts = {k: int(robust.poisson_draws(np.array([v], np.int64).view(np.uint64), 3)[draw, 0]) for k, v in key.items()}
+        rate, change = plain_joint([r for r in table for _ in range(counts[r[0], r[1]])], 1e-4)
+        assert abs(fit[draw].rate - rate) < 1e-5 * rate and abs(fit[draw].log_change - change) < 1e-6
+
+
+def test_poisson_draws_have_mean_and_variance_one():
+    x = robust.poisson_draws(np.arange(2000, dtype=np.uint64) * np.uint64(977), 50)
+    assert (x[0] == 1).all() and abs(x[1:].mean() - 1) < 0.02 and abs(x[1:].var() - 1) < 0.05

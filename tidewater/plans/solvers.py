@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions.values import DAY
+from tidewater.operators.cut import written
 from tidewater.plans import figures
 from tidewater.plans.base import PRICES, events, query
 from tidewater.plans.metering import VALUED, closed_stretches
 from tidewater.plans.relational import daily, family_design
 from tidewater.plans.reports import CUT_US
-from tidewater.stats import changes, fits, shares
+from tidewater.stats import changes, fits, robust, shares
 
 POINTS = 161
 FAMILIES = ["click", "error", "purchase"]
@@ -87,6 +88,23 @@ def joint_rate_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares.separable(shares.joint_interval(shares.joint_best(sums, ["draw"])), rows)
 
 
+@query(None, ["STAT-36", "STAT-37"])
+def joint_rate_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joint fit by Huber's loss at the scatter that least squares leaves, with its interval over 200 draws of days."""
+    variance = closed_stretches(spark, sf_dir).select("account", "ordinal", (F.col("windows") / (6 * F.col("delta_pct") * F.col("delta_pct"))).alias("variance"))
+    early = F.col("side") == "before"
+    own = F.col("own").alias("own")
+    rows = work(spark, sf_dir).join(variance, ["account", "ordinal"]).withColumns({"known": F.when(early, F.col("own") + F.col("extra")).otherwise(own), "new": F.when(early, 0.0).otherwise(F.col("extra"))})
+    rows = written(rows.select("account", "day", "side", "pct", "known", "new", "variance"), "stretches")
+    plain = shares.joint_best(shares.joint_by_account(shares.joint_sums(rows, "account", "day", POINTS), "account", "day"), ["draw"]).first()
+    schema = "n bigint, rate double, rate_lo double, rate_hi double, log_change double, change_lo double, change_hi double, spread double, pinned boolean, separable boolean, n_mixed bigint"
+    if plain is None:
+        return spark.createDataFrame([], schema)
+    s2 = robust.scatter(rows, "account", plain["rate"], "variance")
+    fit = robust.joint_fit(rows, "account", "day", "variance", (math.log(plain["rate"]), plain["log_change"]), s2, 200, 3)
+    return shares.separable(shares.joint_interval(fit), rows)
+
+
 @query(None, ["STAT-37", "STAT-40"])
 def joint_rate_without(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The joint fit without each account in turn, and whether its change keeps the direction."""
@@ -147,7 +165,7 @@ def pooled_rate_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     try:
         whole = fits.pooled_log_rates(d, "account", "delta_pct", FAMILIES)
         drawn = fits.pooled_rate_draws(d, "account", "delta_pct", FAMILIES, ["account", "ordinal"], 40, whole=whole)
-        left = fits.pooled_rates_without(d, "account", "delta_pct", FAMILIES, ["account", "ordinal"], whole)
+        left = fits.pooled_rates_without(d, "account", "delta_pct", FAMILIES, whole)
     finally:
         d.unpersist()
     q = F.percentile(F.when(F.col("draw") > 0, F.col("rate")), F.array(F.lit(0.025), F.lit(0.975)))
