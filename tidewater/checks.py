@@ -71,3 +71,59 @@ def fresh(df: DataFrame, ts: str, now: int, at_most: int) -> DataFrame:
 def flag_iff(df: DataFrame, flag: Column, rule: Column) -> DataFrame:
     """Rows on which a flag and the rule it stands for disagree."""
     return df.filter(~flag.eqNullSafe(rule))
+
+
+# --- rules over the daily runs' state and over regimes ------------------------------------------------
+
+
+def state_rules(state: DataFrame, headline: DataFrame, now: int, hold_days: int, at_most: int = 1) -> DataFrame:
+    """(rule, row) of what breaks the rules of a plan's newest run, or those between its runs.
+
+    ``state`` is the table of daily runs; ``headline`` (plan, at) is what is published as each plan's last
+    change, null for none; ``now`` is the day of publishing. Rules:
+
+    * still_found: a change measured before is found again by the newest run;
+    * kept: a change once measured stands in the newest run, at the same instant;
+    * newest_change: the headline is the newest measured change;
+    * drawn: a stated change has a size inside its interval;
+    * one_figure: a change's decided size is the same in all runs;
+    * flagged: a change is measured exactly when it was held long enough;
+    * detector_ran: the newest run is at most ``at_most`` days old.
+    """
+    last = state.groupBy("plan").agg(F.max("day").alias("_last"))
+    rows = state.join(last, "plan")
+    name = F.concat_ws(":", "plan", "line", "sign", "at").alias("row")
+    told = lambda rule, df, row=name: df.select(F.lit(rule).alias("rule"), row)
+    every = rows.filter("kind = 'change'")
+    new = every.filter("day = _last")
+    measured = new.filter("state = 'measured'")
+    key = ["plan", "line", "sign", "at"]
+    newest = measured.groupBy("plan").agg(F.max("at").alias("_newest"))
+    shown = last.join(headline.select("plan", "at"), "plan", "left").join(newest, "plan", "left").filter(~F.col("at").eqNullSafe(F.col("_newest")))
+    parts = [
+        told("still_found", measured.filter(F.col("carried") & ~F.coalesce("found_today", F.lit(False)))),
+        told("kept", every.filter("state = 'measured'").select(*key).distinct().join(measured, key, "left_anti")),
+        told("newest_change", shown, F.concat_ws(":", "plan", F.coalesce(F.col("at").cast("string"), F.lit("none"))).alias("row")),
+        told("drawn", new.filter("state <> 'candidate'").filter(~F.coalesce(F.col("change_pct").between(F.col("lo_pct"), F.col("hi_pct")), F.lit(False)))),
+        told("one_figure", every.filter("state = 'measured'").groupBy(*key).agg(F.count_distinct(F.coalesce("decided_pct", F.lit(float("inf")))).alias("n")).filter("n > 1")),
+        told("flagged", flag_iff(new, F.col("state") == "measured", F.col("held_days") >= hold_days)),
+        told("detector_ran", last.filter(F.lit(now) - F.col("_last") > at_most), F.col("plan").alias("row")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def direct_means_direct(regimes: DataFrame, readings: DataFrame, by: Sequence[str], tolerance: float = 1e-9) -> DataFrame:
+    """Keys whose newest regime is told by a cluster, but not by the median of its family's readings since it began.
+
+    ``regimes`` is (by, regime, from_us, run_from, source, regime_family, measured_value); ``readings`` (by, start, family, value).
+    """
+    newest = regimes.groupBy(*by).agg(F.max_by(F.struct("from_us", "run_from", "source", "regime_family", "measured_value"), "regime").alias("r")).select(*by, "r.*").filter(F.col("source").isin("cluster", "run_cluster"))
+    # a run begins with its first regime, which is null for the first of all; other regimes at their own instant
+    since = F.coalesce(F.when(F.col("source") == "run_cluster", F.col("run_from")).otherwise(F.col("from_us")), F.lit(-(1 << 62)))
+    own = readings.join(newest.withColumn("_since", since), list(by)).filter((F.col("start") >= F.col("_since")) & (F.col("family") == F.col("regime_family")))
+    direct = own.groupBy(*by).agg(F.percentile("value", F.lit(0.5)).alias("direct"))
+    both = newest.join(direct, list(by), "left")
+    return both.filter(~F.coalesce(F.abs(F.col("direct") - F.col("measured_value")) <= tolerance * F.abs(F.col("direct")), F.lit(False))).select(*by, "direct", "measured_value")

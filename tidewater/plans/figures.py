@@ -28,7 +28,7 @@ UNION ALL SELECT 'measured_changes_still_found', account || ':' || seq FROM pair
 UNION ALL SELECT 'detector_ran', account::VARCHAR FROM nw WHERE (SELECT max(newest) FROM nw) - newest > 86400000000"""
 
 
-@query(RULES, ["INV-2", "INV-3", "INV-4", "INV-10", "INV-11"])
+@query(RULES, ["INV-2", "INV-4", "INV-11"])
 def figure_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What breaks the rules between figures: yesterday's headline inside the accounts of a day, equal sums, a unit near the direct reading, large falls that a reset explains, and a meter read within a day."""
     v = stretch_values(spark, sf_dir).filter("nano > 0").select("account", F.floor(F.col("end_us") / DAY).alias("day"), "nano", "delta_pct")

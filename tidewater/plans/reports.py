@@ -14,22 +14,28 @@ from tidewater.plans.metering import POINTS, VALUED, closed_stretches, stretch_v
 from tidewater.plans.relational import DAILY, daily
 from tidewater.stats import changes
 
-#: Rates as a refit would state them, against the first model: (model, rate, lo, hi).
-MEASURED = [("purchase", 5.2, 4.8, 5.6), ("error", None, None, None)]
 ANCHOR = "click"
 CUT_US = 1705276800000000
 
 
-@query("""SELECT p.model, p_input::DOUBLE / 3000 AS list_ratio, CASE WHEN p.model = 'click' THEN 1.0::DOUBLE ELSE coalesce(m.rate, p_input::DOUBLE / 3000) END AS rate,
+@query(""", u AS (SELECT account, model, sum(input)::DOUBLE / sum(output) AS v FROM turns GROUP BY ALL),
+q AS (SELECT t.account, t.model, t.v / b.v AS ratio FROM u t JOIN u b ON b.account = t.account AND b.model = 'click' WHERE t.model <> 'click'),
+m AS (SELECT model, median(ratio) AS rate, min(ratio) AS lo, max(ratio) AS hi FROM q GROUP BY model HAVING count(*) >= 2)
+SELECT p.model, p_input::DOUBLE / 3000 AS list_ratio, CASE WHEN p.model = 'click' THEN 1.0::DOUBLE ELSE coalesce(m.rate, p_input::DOUBLE / 3000) END AS rate,
   CASE WHEN p.model = 'click' THEN 'anchor' WHEN m.rate IS NOT NULL THEN 'measured' ELSE 'list' END AS rate_source, CASE WHEN p.model <> 'click' THEN m.lo * 2 END AS lo, CASE WHEN p.model <> 'click' THEN m.hi * 3 END AS hi,
   meter_weight / 100.0::DOUBLE AS class_weight
-FROM prices p LEFT JOIN (VALUES ('purchase', 5.2::DOUBLE, 4.8::DOUBLE, 5.6::DOUBLE), ('error', NULL, NULL, NULL)) AS m(model, rate, lo, hi) ON p.model = m.model""", ["PRJ-12", "PRJ-20", "PRJ-24", "PRJ-26", "PRJ-48", "PRJ-49"])
+FROM prices p LEFT JOIN m ON p.model = m.model WHERE p.model IN (SELECT DISTINCT model FROM turns)""", ["PRJ-12", "PRJ-20", "PRJ-24", "PRJ-26", "PRJ-48", "PRJ-49"])
 def rates_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each model's rate: the anchor's is 1, then the measured one, then the list price over the anchor's; intervals are scaled by a ratio's ends."""
-    p = prices(spark)
+    """The rate of each model in use: the anchor's is 1, then the median over accounts of input a token against the anchor's, then the list price over the anchor's.
+
+    One account alone does not measure a rate; intervals are the accounts' least and largest, scaled by a ratio's ends.
+    """
+    p, t = prices(spark), turns(spark, sf_dir)
     anchor = p.filter(F.col("model") == ANCHOR).select(F.col("p_input").alias("_anchor"))
-    measured = spark.createDataFrame(MEASURED, "model string, rate double, lo double, hi double")
-    out = p.crossJoin(F.broadcast(anchor)).join(F.broadcast(measured), "model", "left")
+    u = t.groupBy("account", "model").agg((F.sum("input").cast("double") / F.sum("output")).alias("v"))
+    q = u.filter(F.col("model") != ANCHOR).join(u.filter(F.col("model") == ANCHOR).select("account", F.col("v").alias("_b")), "account").withColumn("ratio", F.col("v") / F.col("_b"))
+    measured = q.groupBy("model").agg(F.median("ratio").alias("rate"), F.min("ratio").alias("lo"), F.max("ratio").alias("hi"), F.count("*").alias("_n")).filter("_n >= 2").drop("_n")
+    out = p.join(u.select("model").distinct(), "model").crossJoin(F.broadcast(anchor)).join(measured, "model", "left")
     first, listed = F.col("model") == ANCHOR, F.col("p_input").cast("double") / F.col("_anchor")
     scaled = V.scaled_interval(F.col("rate"), F.col("lo"), F.col("hi"), F.lit(2.5), F.lit(2.0), F.lit(3.0))
     source = F.when(first, "anchor").when(F.col("rate").isNotNull(), "measured").otherwise("list")
@@ -165,7 +171,7 @@ UNION ALL SELECT 'drawn', k || ':no stated change' FROM s WHERE k NOT IN (SELECT
 UNION ALL SELECT 'one_figure', change::VARCHAR FROM f GROUP BY change HAVING count(DISTINCT pct) > 1
 UNION ALL SELECT 'matched', coalesce(a.k, b.k) || CASE WHEN a.k IS NULL THEN ':no boundary' ELSE ':no change' END FROM s a FULL JOIN (SELECT k FROM c WHERE k % 3 = 0) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL
 UNION ALL SELECT 'names_hidden', 'changes.' || k FROM c WHERE regexp_matches(name, '\\b(CHINA|INDIA)\\b')
-UNION ALL SELECT 'flag_iff', k::VARCHAR FROM c WHERE (k % 2 = 1) <> (state = 'provisional')""", ["INV-5", "INV-6", "INV-7", "INV-8", "INV-9", "INV-12", "INV-14"], views=False)
+UNION ALL SELECT 'flag_iff', k::VARCHAR FROM c WHERE (k % 2 = 1) <> (state = 'provisional')""", ["INV-9"], views=False)
 def document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a published document that break its rules; nations stand for changes."""
     region = F.col("n_regionkey")

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tidewater import checks
 from tidewater.functions.values import DAY, HOUR
+from tidewater.operators.cut import written
 from tidewater.plans.base import events, query
 from tidewater.plans.metering import VALUED, closed_stretches, stretch_values
 from tidewater.plans.relational import family_design
@@ -15,7 +17,7 @@ from tidewater.streaming import alerts
 
 FAMILIES = ["click", "error", "purchase"]
 #: A plan of the test tables: four accounts. Their noise is larger and their record shorter than the method's, so the search is looser.
-LOOSE = daily.Rules(alpha=0.05, permutations=500, most=2000, screen=1.5, hold_days=3)
+LOOSE = daily.Rules(alpha=0.05, permutations=500, most=2000, screen=1.5, hold_days=2)
 
 
 def plan_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,3 +108,18 @@ def rounding_feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = family_design(spark, sf_dir).join(s, ["account", "ordinal"])
     out = feasible.rounding_slack(d, ["account"], "delta_pct", "windows", FAMILIES)
     return out.withColumn("extra", F.round("extra", 7))
+
+
+@query(None, ["INV-3", "INV-5", "INV-6", "INV-7", "INV-8", "INV-10", "INV-11", "INV-12", "INV-14"])
+def run_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What breaks the rules of the daily runs, with the change of the run before as the headline, and of each account's newest regime."""
+    state = written(daily_runs(spark, sf_dir), "runs")
+    last = state.groupBy("plan").agg(F.max("day").alias("_last"))
+    before = state.join(last, "plan").filter("day = _last - 1 and kind = 'change' and state = 'measured'")
+    headline = last.select("plan").join(before.groupBy("plan").agg(F.max("at").alias("at")), "plan", "left")
+    now = state.agg(F.max("day")).first()[0] or 0
+    told = checks.state_rules(state, headline, now, LOOSE.hold_days)
+    r, c = readings_and_changes(spark, sf_dir)
+    r, c = written(r, "readings"), written(c, "changes")
+    direct = checks.direct_means_direct(regimes.cluster_regimes(c, r, ["account"], "click"), r, ["account"])
+    return told.unionByName(direct.select(F.lit("direct_means_direct").alias("rule"), F.col("account").cast("string").alias("row")))

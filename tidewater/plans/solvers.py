@@ -12,7 +12,7 @@ from tidewater.operators.cut import written
 from tidewater.plans import figures
 from tidewater.plans.base import PRICES, events, query
 from tidewater.plans.metering import VALUED, closed_stretches
-from tidewater.plans.relational import daily, family_design
+from tidewater.plans.relational import DAILY, daily, family_design
 from tidewater.plans.reports import CUT_US
 from tidewater.stats import changes, fits, robust, shares
 
@@ -191,6 +191,35 @@ def change_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, r["tau"], r["step"], r["z"], r["p"], r["permutations"]) for i, r in enumerate(found)], "ordinal int, tau double, step double, z double, p double, permutations int")
 
 
+@query(None, ["STAT-14", "STAT-18"])
+def planted_change_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search where every account's events cost twice as much from an instant on, and three fifths more from a later one."""
+    u, grid = units(spark, sf_dir)
+    if not grid:
+        return change_search(spark, sf_dir)
+    first, second = grid[len(grid) // 3], grid[2 * len(grid) // 3]
+    u = u.withColumn("num", F.col("num") * F.when(F.col("t") >= second, 3.2).when(F.col("t") >= first, 2.0).otherwise(1.0))
+    found = changes.search(u, grid, 2000)
+    return spark.createDataFrame([(i, r["tau"], r["tau"] - first, r["tau"] - second, r["step"], r["z"], r["p"], r["permutations"]) for i, r in enumerate(found)], "ordinal int, tau double, after_first double, after_second double, step double, z double, p double, permutations int")
+
+
+@query(DAILY + """, ends AS (SELECT min(day) AS lo, max(day) AS hi FROM d), g AS (SELECT unnest(range(lo + 2, hi - 2)) AS cut FROM ends),
+x AS (SELECT cut, account, day >= cut AS after, num::DOUBLE AS num, den::DOUBLE AS den FROM g JOIN d ON day >= cut - 14 AND day < cut + 14 WHERE den > 0),
+a AS (SELECT cut, account, sum(num) / sum(den) AS level FROM x GROUP BY ALL HAVING count_if(after) >= 2 AND count_if(NOT after) >= 2 AND sum(num) > 0),
+p AS (SELECT cut, account, level, avg(pow(num - level * den, 2) / den) AS prior FROM x JOIN a USING (cut, account) GROUP BY ALL),
+s AS (SELECT cut, account, after, sum(num) / sum(den) AS ratio, sum(den) AS total, count(*) AS k FROM x GROUP BY ALL),
+q AS (SELECT cut, account, after, ratio, total, k, sum(pow(num - ratio * den, 2) / den) AS squares FROM x JOIN s USING (cut, account, after) GROUP BY ALL),
+v AS (SELECT cut, account, CASE WHEN after THEN 1 ELSE -1 END * ln(greatest(ratio, 1e-12) / level) AS part, (squares + 4 * prior) / (k + 3) / total / pow(greatest(ratio, 1e-12), 2) AS variance FROM q JOIN p USING (cut, account)),
+u AS (SELECT cut, account, sum(part) AS step, sum(variance) AS variance FROM v GROUP BY ALL)
+SELECT cut * 24.0::DOUBLE + 12 AS tau, round(sum(step / variance) / sum(1 / variance), 6) AS step, round(sum(step / variance) / sqrt(sum(1 / variance)), 6) AS z, round(1 / sqrt(sum(1 / variance)), 6) AS se, count(*) AS voting FROM u GROUP BY cut""", ["STAT-11", "STAT-12"])
+def shared_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The step that all accounts share at each day, and its z, before any shuffle."""
+    u, grid = units(spark, sf_dir)
+    v = changes.votes(u, grid, permutations=0).filter("account is not null")
+    w, wx = F.sum(1 / F.col("variance")), F.sum(F.col("step") / F.col("variance"))
+    return v.groupBy("tau").agg(F.round(wx / w, 6).alias("step"), F.round(wx / F.sqrt(w), 6).alias("z"), F.round(1 / F.sqrt(w), 6).alias("se"), F.count("*").alias("voting"))
+
+
 @query(None, ["STAT-22"])
 def change_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The size of a change at two instants, by account and without each."""
