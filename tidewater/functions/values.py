@@ -216,3 +216,34 @@ def change_state(lo: Column, hi: Column, narrow: float, wide: float) -> Column:
 def measurable(lo: Column, hi: Column, floor: float, limit: float) -> Column:
     """A finite interval above a floor whose ends are within a ratio of each other."""
     return F.coalesce((lo > floor) & (hi / lo <= limit), F.lit(False))
+
+
+_MODEL_USAGE = "struct<inputTokens:double,outputTokens:double,cacheReadInputTokens:double,cacheCreationInputTokens:double,costUSD:double>"
+_RESULT = f"is_error boolean, result string, subtype string, modelUsage map<string,{_MODEL_USAGE}>, usage struct<input_tokens:double,output_tokens:double,cache_read_input_tokens:double,cache_creation_input_tokens:double>, total_cost_usd double, duration_ms double"
+
+
+def run_result(text: Column, asked: Column) -> Column:
+    """The usage of a command-line run's JSON result: a struct of model, four counters, cost, seconds, and the problem that voids them.
+
+    Every key that is the asked model up to its suffixes counts, summed; without a map of models the run's own usage counts. The cost is the
+    keys' sum if all have one, the run's if none has, else unknown.
+    """
+    d = F.from_json(text, _RESULT)
+    used, plain = d["modelUsage"], d["usage"]
+    has = F.coalesce(F.size(used), F.lit(0)) > 0
+    own = F.map_filter(used, lambda k, _: stripped_model(k) == stripped_model(asked))
+    values, keys = F.map_values(own), F.map_keys(own)
+    total = lambda f: F.aggregate(values, F.lit(0.0), lambda acc, v: acc + F.coalesce(v[f], F.lit(0.0)))
+    of = lambda many, one: F.when(has, total(many)).otherwise(F.coalesce(plain[one], F.lit(0.0))).cast("bigint")
+    priced = F.size(F.filter(values, lambda v: v["costUSD"].isNotNull()))
+    cost = F.when(~has | (priced == 0), d["total_cost_usd"]).when(priced == F.size(values), total("costUSD"))
+    problem = (
+        F.when(d.isNull() | ~F.startswith(F.ltrim(text), F.lit("{")), "not a result").when(F.coalesce(d["is_error"], F.lit(False)), F.concat(F.lit("error result: "), F.coalesce(d["result"], d["subtype"], F.lit(""))))
+        .when(has & (F.size(keys) == 0), F.concat(F.lit("no usage for "), asked))
+    )
+    model = F.when(~has | F.array_contains(keys, asked), asked).otherwise(F.get(keys, F.lit(0)))
+    good = lambda c: F.when(problem.isNull(), c)
+    return F.struct(
+        good(model).alias("model"), good(of("inputTokens", "input_tokens")).alias("input"), good(of("outputTokens", "output_tokens")).alias("output"), good(of("cacheReadInputTokens", "cache_read_input_tokens")).alias("cache_read"),
+        good(of("cacheCreationInputTokens", "cache_creation_input_tokens")).alias("cache_write"), good(cost).alias("cost_usd"), good(F.coalesce(d["duration_ms"], F.lit(0.0)) / 1000).alias("seconds"), problem.alias("problem"),
+    )

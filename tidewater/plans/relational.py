@@ -222,13 +222,13 @@ def transcript_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH a AS (SELECT n_nationkey AS key, n_regionkey AS v FROM nation), b AS (SELECT n_nationkey + 2 AS key, n_regionkey AS v FROM nation)
-SELECT key, a.v AS old, b.v AS new, CASE WHEN a.v IS NULL THEN 'added' WHEN b.v IS NULL THEN 'removed' ELSE 'changed' END AS kind FROM a FULL JOIN b USING (key) WHERE a.v IS DISTINCT FROM b.v""", ["SET-5"], views=False)
+SELECT key, a.v AS old, b.v AS new, CASE WHEN a.v IS NULL THEN 'added' WHEN b.v IS NULL THEN 'removed' ELSE 'changed' END AS kind FROM a FULL JOIN b USING (key) WHERE a.v IS DISTINCT FROM b.v""", [], views=False)
 def table_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_regionkey").alias("v"))
     return sets.table_diff(n, n.withColumn("key", F.col("key") + 2), ["key"], "v")
 
 
-@query("""SELECT n_nationkey AS id, 'name' AS path, '"' || n_name || '"' AS value FROM nation UNION ALL SELECT n_nationkey, 'where.region', n_regionkey::VARCHAR FROM nation UNION ALL SELECT n_nationkey, 'list[' || i || ']', (n_nationkey * i)::VARCHAR FROM nation, range(3) r(i)""", ["SET-6"], views=False)
+@query("""SELECT n_nationkey AS id, 'name' AS path, '"' || n_name || '"' AS value FROM nation UNION ALL SELECT n_nationkey, 'where.region', n_regionkey::VARCHAR FROM nation UNION ALL SELECT n_nationkey, 'list[' || i || ']', (n_nationkey * i)::VARCHAR FROM nation, range(3) r(i)""", [], views=False)
 def document_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents built from rows, flattened to (path, scalar)."""
     n = table(spark, sf_dir, "nation")
@@ -238,7 +238,7 @@ def document_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH a AS (SELECT r_regionkey AS id, r_name AS name, r_regionkey * 1.0 AS v FROM region), b AS (SELECT r_regionkey AS id, CASE WHEN r_regionkey = 2 THEN 'X' ELSE r_name END AS name, r_regionkey AS v FROM region WHERE r_regionkey <> 4)
 SELECT id, 'name' AS path, '"' || a.name || '"' AS old, CASE WHEN b.name IS NOT NULL THEN '"' || b.name || '"' END AS new FROM a LEFT JOIN b USING (id) WHERE a.name IS DISTINCT FROM b.name
-UNION ALL SELECT id, 'v', '4.0', NULL FROM a WHERE id = 4""", ["SET-4"], views=False)
+UNION ALL SELECT id, 'v', '4.0', NULL FROM a WHERE id = 4""", [], views=False)
 def document_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves that differ between published and rebuilt documents; 1 equals 1.0."""
     r = table(spark, sf_dir, "region")

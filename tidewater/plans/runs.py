@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidewater import checks
+from tidewater.functions import values as V
 from tidewater.functions.values import DAY, HOUR
+from tidewater.operators import documents, sets
 from tidewater.operators.cut import written
-from tidewater.plans.base import events, query
+from tidewater.plans.base import events, query, turns
 from tidewater.plans.metering import VALUED, closed_stretches, stretch_values
 from tidewater.plans.relational import family_design
 from tidewater.stats import daily, feasible, regimes
@@ -123,3 +125,58 @@ def run_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, c = written(r, "readings"), written(c, "changes")
     direct = checks.direct_means_direct(regimes.cluster_regimes(c, r, ["account"], "click"), r, ["account"])
     return told.unionByName(direct.select(F.lit("direct_means_direct").alias("rule"), F.col("account").cast("string").alias("row")))
+
+
+#: Instants at which the test tables' documents are published.
+STORED_US, NOW_US = 1705276800000000, 1705881600000000
+
+
+def published(at: int) -> str:
+    """DuckDB's leaves of the documents published at an instant."""
+    return f"""day_{at} AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY day) - 1 AS i FROM (SELECT account, end_us // 86400000000 AS day, sum(nano)::BIGINT AS nano, sum(delta_pct)::BIGINT AS pct, count(*) AS stretches FROM stretch_values WHERE end_us <= {at} GROUP BY ALL)),
+model_{at} AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY model) - 1 AS i FROM (SELECT account, model, count(*) AS turns, sum(input)::BIGINT AS input FROM turns WHERE ts_us <= {at} GROUP BY ALL)),
+who_{at} AS (SELECT account FROM day_{at} UNION SELECT account FROM model_{at}),
+leaf_{at} AS (
+  SELECT account AS id, 'generated_at' AS path, '{at}' AS value FROM who_{at} UNION ALL SELECT account, 'key', account::VARCHAR FROM who_{at}
+  UNION ALL SELECT account, 'days[' || i || '].' || k, v::VARCHAR FROM (SELECT account, i, unnest(['day', 'nano', 'pct', 'stretches']) AS k, unnest([day, nano, pct, stretches]) AS v FROM day_{at})
+  UNION ALL SELECT account, 'models[' || i || '].' || k, v FROM (SELECT account, i, unnest(['model', 'turns', 'input']) AS k, unnest(['"' || model || '"', turns::VARCHAR, input::VARCHAR]) AS v FROM model_{at})
+  UNION ALL SELECT account, 'days', '[]' FROM who_{at} WHERE account NOT IN (SELECT account FROM day_{at}) UNION ALL SELECT account, 'models', '[]' FROM who_{at} WHERE account NOT IN (SELECT account FROM model_{at}))"""
+
+
+def documents_at(spark: SparkSession, sf_dir: str, at: int) -> DataFrame:
+    """Each account's document on what was known at an instant: its days of stretches and its models' turns."""
+    s = stretch_values(spark, sf_dir).filter(F.col("end_us") <= at)
+    days = s.groupBy("account", F.floor(F.col("end_us") / DAY).alias("day")).agg(F.sum("nano").alias("nano"), F.sum("delta_pct").cast("bigint").alias("pct"), F.count("*").alias("stretches"))
+    models = turns(spark, sf_dir).filter(F.col("ts_us") <= at).groupBy("account", "model").agg(F.count("*").alias("turns"), F.sum("input").alias("input"))
+    return documents.assemble({"days": days, "models": models}, "account", F.lit(at))
+
+
+@query(VALUED + f", {published(NOW_US)} SELECT * FROM leaf_{NOW_US}", ["INV-15", "SET-6"])
+def published_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaves of the documents published at an instant."""
+    return sets.document_leaves(documents_at(spark, sf_dir, NOW_US), "account", "document")
+
+
+@query(VALUED + f", {published(STORED_US)}, {published(NOW_US)} SELECT id, path, a.value AS old, b.value AS new FROM leaf_{STORED_US} a FULL JOIN leaf_{NOW_US} b USING (id, path) WHERE a.value IS DISTINCT FROM b.value", ["INV-16", "INV-17", "SET-4", "SET-5"])
+def rebuilt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which leaves of the documents stored a week before differ from those rebuilt now."""
+    return documents.rebuilt_diff(documents_at(spark, sf_dir, STORED_US), documents_at(spark, sf_dir, NOW_US), "account")
+
+
+@query(""", k AS (SELECT account, ts_us // 86400000000 AS day, model, event_id % 2 = 1 AS wide, sum(input)::DOUBLE AS i, sum(output)::DOUBLE AS o, sum(cache_read)::DOUBLE AS r, sum(cache_write)::DOUBLE AS w FROM turns GROUP BY ALL),
+d AS (SELECT account, day, count(*) AS n, sum(i) AS i, count(*) FILTER (WHERE model = 'click' AND NOT wide) AS bare, count(*) FILTER (WHERE model = 'click') AS own, coalesce(sum(i) FILTER (WHERE model = 'click'), 0) AS ci, coalesce(sum(o) FILTER (WHERE model = 'click'), 0) AS co, coalesce(sum(r) FILTER (WHERE model = 'click'), 0) AS cr, coalesce(sum(w) FILTER (WHERE model = 'click'), 0) AS cw,
+  count(*) FILTER (WHERE model = 'click' AND (day % 3 = 0 OR (day % 3 = 1 AND wide))) AS priced FROM k GROUP BY ALL),
+p AS (SELECT *, CASE WHEN day % 11 = 0 THEN 'error result: stopped' WHEN own = 0 THEN 'no usage for click' END AS problem FROM d)
+SELECT account, day, problem, CASE WHEN problem IS NULL THEN CASE WHEN bare > 0 THEN 'click' ELSE 'click[1m]' END END AS model, CASE WHEN problem IS NULL THEN ci::BIGINT END AS input, CASE WHEN problem IS NULL THEN co::BIGINT END AS output, CASE WHEN problem IS NULL THEN cr::BIGINT END AS cache_read, CASE WHEN problem IS NULL THEN cw::BIGINT END AS cache_write,
+  CASE WHEN problem IS NULL THEN CASE WHEN priced = 0 THEN i WHEN priced = own THEN ci END END AS cost_usd, CASE WHEN problem IS NULL THEN n * 125 / 1000.0::DOUBLE END AS seconds FROM p""", ["PRJ-55"])
+def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each account's day as a run's JSON result, parsed: keys of one model with and without a suffix, costs that all, some or no keys have, and errors."""
+    day = F.floor(F.col("ts_us") / DAY)
+    wide = F.col("event_id") % 2 == 1
+    k = turns(spark, sf_dir).groupBy("account", day.alias("day"), F.concat("model", F.when(wide, "[1m]").otherwise("")).alias("key"), wide.alias("wide")).agg(*[F.sum(c).alias(c) for c in ("input", "output", "cache_read", "cache_write")])
+    priced = (F.col("day") % 3 == 0) | ((F.col("day") % 3 == 1) & F.col("wide"))
+    usage = F.struct(F.col("input").alias("inputTokens"), F.col("output").alias("outputTokens"), F.col("cache_read").alias("cacheReadInputTokens"), F.col("cache_write").alias("cacheCreationInputTokens"), F.when(priced, F.col("input")).alias("costUSD"))
+    d = k.groupBy("account", "day").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", usage.alias("usage"))))).alias("modelUsage"), F.sum("input").alias("total_cost_usd"), (F.count("*") * 125).alias("duration_ms"))
+    stopped = F.col("day") % 11 == 0
+    text = F.to_json(F.struct(stopped.alias("is_error"), F.when(stopped, "stopped").alias("result"), "modelUsage", "total_cost_usd", "duration_ms"))
+    return d.select("account", "day", V.run_result(text, F.lit("click")).alias("r")).select("account", "day", "r.*")
