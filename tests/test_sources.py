@@ -152,3 +152,29 @@ def test_sinks(spark, tmp_path):
     sinks.extract(rows.withColumn("identity", F.col("id")), str(tmp_path / "ex"), ["v"])
     assert spark.read.json(str(tmp_path / "ex")).columns == ["v", "identity"]
     assert [r.outlier for r in sinks.mark(day((1, 1), (2, 2)), "day", 2).orderBy("day").collect()] == [False, True]
+
+
+def test_lines_of_many_blocks_have_the_numbers_of_one_reader(spark, tmp_path):
+    import gzip
+    import random
+
+    r = random.Random(2)
+    texts = {}
+    for name in ("a.log", "b.log", "deep/c.log", "empty.log"):
+        rows = [] if name == "empty.log" else ["".join(r.choice("xyz é") for _ in range(r.randrange(60))) + r.choice(["", "\r"]) for _ in range(3000)]
+        texts[name] = "\n".join(rows) + ("" if name == "b.log" else "\n")
+        p = tmp_path / name
+        p.parent.mkdir(exist_ok=True)
+        p.write_bytes(texts[name].encode())
+    (tmp_path / "z.log.gz").write_bytes(gzip.compress(texts["a.log"].encode()))
+    texts["z.log.gz"] = texts["a.log"]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        df = readers.lines(spark, str(tmp_path))
+        tasks = spark.read.text(str(tmp_path), recursiveFileLookup=True).rdd.getNumPartitions()
+        got = sorted((x.file.rsplit(f"{tmp_path.name}/", 1)[1], x.line_no, x.value) for x in df.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = sorted((name, i, line.removesuffix("\r")) for name, text in texts.items() for i, line in enumerate(text.split("\n")) if line.removesuffix("\r"))
+    assert got == want and tasks > 20

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.plans import base, figures, joins, metering, relational, reports, runs, solvers, statistics, valuation  # noqa: F401
+from tidewater.plans import base, figures, files, joins, metering, relational, reports, runs, solvers, statistics, valuation  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,7 +1,7 @@
 """Readers: meter logs, text logs, transcripts, launches, price pages, histories and archives as DataFrames.
 
-Line order is data here (the first line of a message names it), and Spark's line readers do not
-promise one. Logs and transcripts are files of bounded size, so each is read whole, split and numbered.
+Line order is data here (the first line of a message names it). A file is cut into blocks that tasks read
+apart; a line's number is its place in its block plus the lines of the blocks before it.
 Every reader takes any path or list of paths that Spark can open.
 """
 
@@ -17,6 +17,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tidewater.functions.values import cache_write_total, finite_number, parse_instant
 
@@ -31,11 +32,23 @@ USAGE = "struct<input_tokens:bigint,output_tokens:bigint,cache_read_input_tokens
 TRANSCRIPT = f"type string, timestamp string, isSidechain boolean, entrypoint string, remoteSourced boolean, sessionId string, file string, message struct<id:string,model:string,usage:{USAGE}>"
 
 
+def numbered_lines(spark: SparkSession, paths: Paths, **options: object) -> DataFrame:
+    """(file, line_no, value) of every line of text files, gzip included, whichever tasks read a file's blocks.
+
+    Within a block a task meets lines in order; a count of each block's lines, one row a block, tells how
+    many come before it. The files must not change while they are read.
+    """
+    text = spark.read.text(paths, lineSep="\n", recursiveFileLookup=True, **{k: v for k, v in options.items() if v is not None})
+    at = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", "\r$", "").alias("value"))
+    blocks = at.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1))
+    blocks = blocks.select("file", "_block", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
+    return at.join(blocks, ["file", "_block"]).select("file", (F.col("_id") + F.col("_shift")).alias("line_no"), "value")
+
+
 def lines(spark: SparkSession, paths: Paths) -> DataFrame:
-    """(file, line_no, value) of text files, gzip included, in file order; empty last lines are dropped."""
-    whole = spark.read.text(paths, wholetext=True, recursiveFileLookup=True)
-    cut = whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
-    return cut.filter("value <> ''").withColumn("line_no", F.col("line_no").cast("bigint"))
+    """(file, line_no, value) of text files in file order; empty lines count but are dropped."""
+    return numbered_lines(spark, paths).filter("value <> ''")
 
 
 def json_lines(spark: SparkSession, paths: Paths, schema: str, on_error: str = "drop") -> DataFrame:
@@ -175,8 +188,7 @@ def header_readings(rows: DataFrame, prefix: str, headers: str = "headers") -> D
 
 def transcripts(spark: SparkSession, paths: Paths, since: str | None = None) -> DataFrame:
     """Transcript lines below a root, numbered; ``since`` (a timestamp) skips files not written to since."""
-    whole = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl*", modifiedAfter=since)
-    cut = whole.select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
+    cut = numbered_lines(spark, paths, pathGlobFilter="*.jsonl*", modifiedAfter=since).withColumnRenamed("file", "path")
     rows = cut.withColumn("row", F.from_json("value", TRANSCRIPT)).filter("row is not null and startswith(ltrim(value), '{')")
     # An extract holds the lines of many transcripts, each line naming its own.
     return rows.select(F.coalesce("row.file", "path").alias("file"), F.col("line_no").cast("bigint").alias("line_no"), *[F.col(f"row.{c}").alias(c) for c in ("type", "timestamp", "isSidechain", "entrypoint", "remoteSourced", "sessionId", "message")])
@@ -249,8 +261,6 @@ def launches(spark: SparkSession, paths: Paths) -> DataFrame:
 
 def run_logs(spark: SparkSession, paths: Paths, ends: str) -> DataFrame:
     """Runs of an operations log: all lines up to one that matches ``ends`` belong together."""
-    from pyspark.sql.window import Window as W
-
     before = F.sum(F.col("value").rlike(ends).cast("bigint")).over(W.partitionBy("file").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1))
     rows = lines(spark, paths).withColumn("run", F.coalesce(before, F.lit(0)))
     out = rows.groupBy("file", "run").agg(F.count("*").alias("lines"), F.min_by("value", "line_no").alias("first"), F.max_by("value", "line_no").alias("last"))
