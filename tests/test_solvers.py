@@ -233,3 +233,19 @@ def test_a_draw_is_the_fit_of_its_repeated_rows(spark):
 def test_poisson_draws_have_mean_and_variance_one():
     x = robust.poisson_draws(np.arange(2000, dtype=np.uint64) * np.uint64(977), 50)
     assert (x[0] == 1).all() and abs(x[1:].mean() - 1) < 0.02 and abs(x[1:].var() - 1) < 0.05
+
+
+def test_fit_draws_equal_fits_of_repeated_rows(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    rows = [(g, k, float(a + 2 * b + rng.standard_normal()), float(a), float(b), float(c)) for g in range(2) for k in range(40) for a, b, c in [rng.uniform(0, 9, 3)]]
+    df = spark.createDataFrame(rows, "g int, k int, y double, a double, b double, c double")
+    got = {(r.g, r.draw, r.name): r.rate for r in fits.fit_draws(df, ["g"], "y", ["a", "b", "c"], ["g", "k"], 6, 3).collect()}
+    counts = {(r.g, r.k, r.draw): r.n for r in df.select("g", "k", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("draw")).withColumn("n", fits.poisson_weight(3, "g", "k", "draw")).collect()}
+    assert len(got) == 36
+    for g in range(2):
+        for draw in range(6):
+            own = np.array([r[2:] for r in rows if r[0] == g for _ in range(counts[r[0], r[1], draw])])
+            want = fits.nnls(own[:, 1:], own[:, 0])
+            assert all(abs(got[g, draw, c] - v) < 1e-7 for c, v in zip("abc", want, strict=True))

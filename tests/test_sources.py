@@ -178,3 +178,10 @@ def test_lines_of_many_blocks_have_the_numbers_of_one_reader(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     want = sorted((name, i, line.removesuffix("\r")) for name, text in texts.items() for i, line in enumerate(text.split("\n")) if line.removesuffix("\r"))
     assert got == want and tasks > 20
+
+
+def test_cells_follow_spans_nesting_and_open_ends():
+    page = """<table><tr><th rowspan=2>A</th><th colspan="2">B <b>x</b></th></tr><tr><td>c<td>d &amp; e</tr>
+    <tr><td>f<table><tr><td>inner</td></tr></table>g</td><!-- <td>no</td> --><td><script>"<td>no</td>"</script>h"""
+    assert sorted(readers.table_cells(page)) == [(0, 0, 0, "A", "A"), (0, 0, 1, "B", "B x"), (0, 1, 1, "c", "c"), (0, 1, 2, "d & e", "d & e"), (0, 2, 0, "f", "f g"), (0, 2, 1, "h", "h"), (1, 0, 0, "inner", "inner")]
+    assert readers.table_cells("") == [] == readers.table_cells("<td>x</td>")

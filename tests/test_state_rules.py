@@ -25,10 +25,10 @@ def healthy():
     return out
 
 
-def broken(spark, rows, headline=(("p", 100.0), ("q", None)), now=5):
+def broken(spark, rows, headline=(("p", 100.0), ("q", None)), now=5, lead=("increased", 5)):
     state = spark.createDataFrame([tuple(r[c] for c in daily.COLUMNS) for r in rows], daily.STATE)
     shown = spark.createDataFrame(list(headline), "plan string, at double")
-    return sorted((r.rule, r.row.split(":")[0]) for r in checks.state_rules(state, shown, now, RULES.hold_days).collect())
+    return sorted((r.rule, r.row.split(":")[0]) for r in checks.state_rules(state, shown, now, RULES.hold_days, lead=spark.createDataFrame([("p", 100.0, *lead)], "plan string, at double, direction string, percent int")).collect())
 
 
 def last(rows):
@@ -65,6 +65,10 @@ def test_headline_and_age(spark):
     assert broken(spark, [r for r in rows if not (r["plan"] == "q" and r["day"] > 3)], now=5) == [("detector_ran", "q")]
 
 
+def test_lead(spark):
+    assert broken(spark, healthy(), lead=("decreased", 5)) == broken(spark, healthy(), lead=("increased", 6)) == [("lead", "p")]
+
+
 def test_direct_figures_of_the_newest_regime(spark):
     c = spark.createDataFrame([(1, 50, 1.5, 1.4, 1.6, True), (1, 80, 1.0, 0.9, 1.1, False), (2, 50, 1.5, 1.4, 1.6, True), (3, 50, 1.0, 0.9, 1.1, False)], "key int, at bigint, ratio double, lo double, hi double, scaled boolean")
     rows = [(k, s, f, float(v), float(v)) for k in (1, 2, 3) for s, f, v in zip(range(0, 120, 4), "aab" * 10, range(30), strict=True)]

@@ -193,5 +193,5 @@ def test_held_out_rows_are_predicted_and_covered(spark):
     df = spark.createDataFrame(pd.DataFrame({"g": 1, "y": y, "a": a, "b": b, "t": np.arange(400) % 2 == 0}))
     r = fits.held_out(df, ["g"], "y", ["a", "b"], "t").first()
     assert r.n_train == r.n_test == 200 and r.error < 0.06 and 0.7 < r.coverage < 0.9
-    drawn = fits.fit_draws(df, ["g"], "y", ["a", "b"], 20, 1).groupBy("name").agg({"rate": "avg"}).collect()
+    drawn = fits.fit_draws(df, ["g"], "y", ["a", "b"], ["g", "y"], 20, 1).groupBy("name").agg({"rate": "avg"}).collect()
     assert {n: round(v) for n, v in drawn} == {"a": 2, "b": 3}

@@ -76,7 +76,7 @@ def flag_iff(df: DataFrame, flag: Column, rule: Column) -> DataFrame:
 # --- rules over the daily runs' state and over regimes ------------------------------------------------
 
 
-def state_rules(state: DataFrame, headline: DataFrame, now: int, hold_days: int, at_most: int = 1) -> DataFrame:
+def state_rules(state: DataFrame, headline: DataFrame, now: int, hold_days: int, at_most: int = 1, lead: DataFrame | None = None) -> DataFrame:
     """(rule, row) of what breaks the rules of a plan's newest run, or those between its runs.
 
     ``state`` is the table of daily runs; ``headline`` (plan, at) is what is published as each plan's last
@@ -88,7 +88,8 @@ def state_rules(state: DataFrame, headline: DataFrame, now: int, hold_days: int,
     * drawn: a stated change has a size inside its interval;
     * one_figure: a change's decided size is the same in all runs;
     * flagged: a change is measured exactly when it was held long enough;
-    * detector_ran: the newest run is at most ``at_most`` days old.
+    * detector_ran: the newest run is at most ``at_most`` days old;
+    * lead: the sentence that leads a message, (plan, at, direction, percent), says what the change at its instant was decided to be.
     """
     last = state.groupBy("plan").agg(F.max("day").alias("_last"))
     rows = state.join(last, "plan")
@@ -109,6 +110,9 @@ def state_rules(state: DataFrame, headline: DataFrame, now: int, hold_days: int,
         told("flagged", flag_iff(new, F.col("state") == "measured", F.col("held_days") >= hold_days)),
         told("detector_ran", last.filter(F.lit(now) - F.col("_last") > at_most), F.col("plan").alias("row")),
     ]
+    if lead is not None:
+        said = measured.select("plan", "line", "sign", "at", F.when(F.col("decided_pct") > 0, "increased").otherwise("decreased").alias("_direction"), F.abs(F.round("decided_pct")).cast("int").alias("_percent"))
+        parts.append(told("lead", said.join(lead, ["plan", "at"]).filter(~(F.col("direction").eqNullSafe(F.col("_direction")) & F.col("percent").eqNullSafe(F.col("_percent"))))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -119,7 +119,7 @@ def design(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None, ["STAT-45"])
 def family_rates_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The middle 80 % of each family's rate over refits to resampled stretches."""
-    drawn = fits.fit_draws(design(spark, sf_dir), ["account"], "delta_pct", FAMILIES, 60, 5)
+    drawn = fits.fit_draws(design(spark, sf_dir), ["account"], "delta_pct", FAMILIES, ["account", "ordinal"], 60, 5)
     q = F.percentile("rate", F.array(*map(F.lit, (0.1, 0.5, 0.9)))).alias("q")
     return drawn.groupBy("account", "name").agg(q, F.count("*").alias("draws")).select("account", F.col("name").alias("family"), F.col("q")[0].alias("lo"), F.col("q")[1].alias("middle"), F.col("q")[2].alias("hi"), "draws")
 

@@ -112,7 +112,7 @@ def rounding_feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("extra", F.round("extra", 7))
 
 
-@query(None, ["INV-3", "INV-5", "INV-6", "INV-7", "INV-8", "INV-10", "INV-11", "INV-12", "INV-14"])
+@query(None, ["INV-3", "INV-5", "INV-6", "INV-7", "INV-8", "INV-10", "INV-11", "INV-12", "INV-13", "INV-14"])
 def run_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What breaks the rules of the daily runs, with the change of the run before as the headline, and of each account's newest regime."""
     state = written(daily_runs(spark, sf_dir), "runs")
@@ -120,7 +120,10 @@ def run_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = state.join(last, "plan").filter("day = _last - 1 and kind = 'change' and state = 'measured'")
     headline = last.select("plan").join(before.groupBy("plan").agg(F.max("at").alias("at")), "plan", "left")
     now = state.agg(F.max("day")).first()[0] or 0
-    told = checks.state_rules(state, headline, now, LOOSE.hold_days)
+    # what a message on the day of measuring said, from the size on that day
+    first = state.filter("kind = 'change' and state = 'measured' and day = measured_on")
+    lead = first.select("plan", "at", F.when(F.col("change_pct") > 0, "increased").otherwise("decreased").alias("direction"), F.abs(F.round("change_pct")).cast("int").alias("percent"))
+    told = checks.state_rules(state, headline, now, LOOSE.hold_days, lead=lead)
     r, c = readings_and_changes(spark, sf_dir)
     r, c = written(r, "readings"), written(c, "changes")
     direct = checks.direct_means_direct(regimes.cluster_regimes(c, r, ["account"], "click"), r, ["account"])

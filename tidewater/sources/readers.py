@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import tarfile
 from collections.abc import Callable, Iterator, Sequence
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 import zstandard
@@ -267,36 +268,55 @@ def run_logs(spark: SparkSession, paths: Paths, ends: str) -> DataFrame:
     return out.filter(F.col("last").rlike(ends))
 
 
-class _Tables(HTMLParser):
-    """(table, row, column, text) of every cell; a cell's first piece of text is kept apart from the rest."""
+#: What matters of a page for its tables: comments and code, which hold no text, and tags.
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9]*)([^>]*)>", re.I | re.S)
+_SPAN = re.compile(r"\b(col|row)span\s*=\s*[\"']?\s*(\d+)", re.I)
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.cells: list[tuple[int, int, int, str, str]] = []
-        self.open: list[list[int]] = []
-        self.count, self.pieces = 0, None
 
-    def handle_starttag(self, tag: str, _attrs: list) -> None:
+def table_cells(page: str) -> list[tuple[int, int, int, str, str]]:
+    """(table, row, column, first, text) of every cell, by the grid that row and column spans make.
+
+    ``first`` is the cell's text up to the first tag inside it that follows a text. A cell ends where the next cell,
+    row or table does, if nothing else ends it; text belongs to the innermost table's cell.
+    """
+    out: list[tuple[int, int, int, str, str]] = []
+    grids: list[dict] = []
+    tables, at = 0, 0
+
+    def leave(grid: dict) -> None:
+        if (cell := grid.pop("cell", None)) is not None:
+            out.append((grid["table"], *cell["place"], cell["texts"][0] if cell["texts"] else "", " ".join(cell["texts"])))
+
+    def read(text: str) -> None:
+        if grids and "cell" in grids[-1] and (text := " ".join(unescape(text).split())):
+            grids[-1]["cell"]["texts"].append(text)
+
+    for m in _MARKUP.finditer(page):
+        read(page[at : m.start()])
+        at = m.end()
+        closing, tag = m[2] == "/", (m[3] or "").lower()
         if tag == "table":
-            self.open.append([self.count, -1, -1])
-            self.count += 1
-        elif self.open and tag == "tr":
-            self.open[-1][1:] = [self.open[-1][1] + 1, -1]
-        elif self.open and tag in ("td", "th"):
-            self.open[-1][2] += 1
-            self.pieces = []
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in ("td", "th") and self.open and self.pieces is not None:
-            table, row, column = self.open[-1]
-            self.cells.append((table, row, column, self.pieces[0] if self.pieces else "", " ".join(self.pieces)))
-            self.pieces = None
-        elif tag == "table" and self.open:
-            self.open.pop()
-
-    def handle_data(self, data: str) -> None:
-        if self.pieces is not None and (text := " ".join(data.split())):
-            self.pieces.append(text)
+            if closing and grids:
+                leave(grids.pop())
+            elif not closing:
+                grids.append({"table": tables, "row": -1, "taken": set()})
+                tables += 1
+        elif tag in ("tr", "td", "th") and grids:
+            grid = grids[-1]
+            leave(grid)
+            if tag == "tr" and not closing:
+                grid["row"] += 1
+            elif tag != "tr" and not closing:
+                spans = {k.lower(): min(int(v), 1000) or 1 for k, v in _SPAN.findall(m[4])}
+                row, column = max(grid["row"], 0), 0
+                while (row, column) in grid["taken"]:
+                    column += 1
+                grid["taken"] |= {(row + i, column + j) for i in range(spans.get("row", 1)) for j in range(spans.get("col", 1))}
+                grid["cell"] = {"place": (row, column), "texts": []}
+    read(page[at:])
+    while grids:
+        leave(grids.pop())
+    return out
 
 
 def html_tables(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
@@ -306,9 +326,7 @@ def html_tables(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
         for b in batches:
             out: list[tuple] = []
             for key, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                parser = _Tables()
-                parser.feed(page or "")
-                out += [(key, *c) for c in parser.cells]
+                out += [(key, *c) for c in table_cells(page or "")]
             kinds = [b.schema.field(0).type, *[pa.int32()] * 3, pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["id", "table", "row", "column", "first", "text"])
 
