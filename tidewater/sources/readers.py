@@ -353,6 +353,13 @@ def price_table(pages: DataFrame, id_col: str, html_col: str, model: Callable[[C
     return rows.select("id", "model", "class", checked.alias("usd"))
 
 
+def from_snapshot(spark: SparkSession, paths: Paths, by: str, columns: Sequence[str]) -> DataFrame:
+    """The rows of snapshots (by, columns, rows), each value by its column's name; ``by`` and ``columns`` are DDL."""
+    docs = spark.read.schema(f"{by}, columns array<string>, rows array<array<string>>").json(paths)
+    cells = docs.select(by.split()[0], F.explode("rows").alias("_row"), "columns").withColumn("_m", F.map_from_arrays("columns", "_row"))
+    return cells.select(by.split()[0], *[F.try_element_at("_m", F.lit(c.split()[0])).cast(c.split()[1]).alias(c.split()[0]) for c in columns])
+
+
 # --- archives -----------------------------------------------------------------------------------------------
 
 

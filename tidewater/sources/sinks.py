@@ -62,3 +62,10 @@ def mark(df: DataFrame, key: str, value: Any, flag: str = "outlier") -> DataFram
     """Set a flag on the row with a key."""
     old = F.coalesce(F.col(flag), F.lit(False)) if flag in df.columns else F.lit(False)
     return df.withColumn(flag, old | (F.col(key) == F.lit(value)))
+
+
+def snapshot(df: DataFrame, by: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(by, columns, rows): each key's rows in order as arrays of values, for a JSON file that can be compared and frozen. A key's rows stay together."""
+    row = F.array(*[F.col(c).cast("string") for c in columns])
+    rows = F.transform(F.sort_array(F.collect_list(F.struct(*order, row.alias("_row")))), lambda x: x["_row"])
+    return df.groupBy(by).agg(rows.alias("rows")).select(by, F.array(*map(F.lit, columns)).alias("columns"), "rows")
