@@ -19,6 +19,14 @@ from tidewater.functions.values import FIVE_HOURS, MINUTE, SECOND, same_reset
 Step = Callable[[tuple], Iterable[tuple]]
 
 
+def _scalars(column: pd.Series) -> list:
+    """A column as plain Python values, None where one is missing."""
+    values = column.tolist()
+    if column.dtype.kind in "iub" or not (missing := column.isna().to_numpy()).any():
+        return values
+    return [None if gone else v for v, gone in zip(values, missing, strict=True)]
+
+
 def fold(df: DataFrame, by: Sequence[str], order: Sequence[str], make: Callable[[], tuple[Step, Callable[[], Iterable[tuple]]]], schema: str) -> DataFrame:
     """Stream the rows of each key in order through a state machine.
 
@@ -34,7 +42,7 @@ def fold(df: DataFrame, by: Sequence[str], order: Sequence[str], make: Callable[
         step, end = make()
         for frame in frames:
             out: list[tuple] = []
-            for row in frame.astype(object).where(frame.notna(), None).itertuples(index=False, name=None):
+            for row in zip(*map(_scalars, (frame[c] for c in frame.columns)), strict=True):
                 if row[:n] != key:
                     if key is not None:
                         out += [(*key, *x) for x in end()]
