@@ -1,4 +1,11 @@
-"""A corpus pipeline of four operators: quality rules, near-duplicate removal, mixing, encoding."""
+"""A corpus pipeline of four operators: quality rules, near-duplicate removal, mixing, encoding.
+
+Defined results, for every stage: a null text is empty, and the quality rules reject it; null ids, sources and
+other columns pass through as they are; a text of any length is read whole and kept or dropped whole; rows that
+repeat an id and text are copies of each other, so one stays; of a group of near copies the one with the
+smallest id stays, null ids last; an empty table gives an empty result with the same columns; columns beside
+those of documents pass through all stages but the last, whatever their names.
+"""
 
 from __future__ import annotations
 
