@@ -172,7 +172,7 @@ def test_no_claim_without_code():
     from tidewater import catalog
 
     claimed = {i for ids in catalog.covers().values() for i in ids}
-    assert not claimed & {"STAT-54", "STAT-61", "INV-13", "INV-15", "INV-16", "INV-17"}
+    assert not claimed & {"STAT-49", "SRC-15", "STR-1", "STR-3", "STR-14", "STR-16"}
 
 
 def test_pooled_rates_are_recovered_whatever_the_groups_level(spark):
