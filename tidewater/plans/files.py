@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.operators.cut import shared_path
-from tidewater.plans.base import events, query, readings, turns
+from tidewater.plans.base import events, query, readings, table, turns
 from tidewater.sources import claims, readers, sinks
 
 
@@ -50,14 +50,14 @@ def text_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(" SELECT 'm' || event_id AS message_id, ts_us // 1000 * 1000 AS ts_us, model, input, output, cache_read, cache_write, cache_write_1h FROM turns WHERE event_id % 31 <> 0", ["SRC-8", "DED-2"])
 def transcript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as transcript lines of each user, a message told twice with growing counters, read back as one row a message."""
+    """Turns as transcript lines of each account, a message told twice with growing counters, read back as one row a message."""
     t = turns(spark, sf_dir).withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
     part = lambda c: F.when(F.col("half") == 0, F.floor(F.col(c) / 2)).otherwise(F.col(c))
     usage = F.struct(part("input").alias("input_tokens"), part("output").alias("output_tokens"), part("cache_read").alias("cache_read_input_tokens"), part("cache_write").alias("cache_creation_input_tokens"), F.struct((part("cache_write") - part("cache_write_1h")).alias("ephemeral_5m_input_tokens"), part("cache_write_1h").alias("ephemeral_1h_input_tokens")).alias("cache_creation"))
     at = F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     kind = F.when(F.col("event_id") % 31 == 0, "user").otherwise("assistant")
     line = F.to_json(F.struct(kind.alias("type"), at.alias("timestamp"), F.struct(F.concat(F.lit("m"), "event_id").alias("id"), "model", usage.alias("usage")).alias("message")))
-    path = logged(t, "user_id", ["ts_us", "event_id", "half"], line, "transcripts", ".jsonl")
+    path = logged(t, "account", ["ts_us", "event_id", "half"], line, "transcripts", ".jsonl")
     found = readers.turns(readers.transcripts(spark, _as_jsonl(spark, path)))
     return found.select("message_id", "ts_us", "model", "input", "output", "cache_read", "cache_write", "cache_write_1h")
 
@@ -103,7 +103,7 @@ def launch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(""", l AS (SELECT account, event_id, event_type, row_number() OVER (PARTITION BY account ORDER BY ts_us, event_id) AS n FROM e),
 r AS (SELECT *, count(*) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY account ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM l)
 SELECT run, count(*) AS lines, arg_min(event_type || ' ' || event_id, n) AS first, arg_max(event_type || ' ' || event_id, n) AS last FROM r GROUP BY account, run HAVING arg_max(event_type, n) = 'purchase'""", ["SRC-26"])
-def operation_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def log_run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as an operations log; a purchase ends a run."""
     e = events(spark, sf_dir)
     path = logged(e, "account", ["ts_us", "event_id"], F.concat_ws(" ", "event_type", "event_id"), "operations")
@@ -173,3 +173,23 @@ def claim_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     if claims.refresh(spark, folders, cache):
         raise AssertionError("an unchanged file was read again")
     return claims.claims(spark, cache).select(F.col("group").alias("group_name"), "session", "ts_us")
+
+
+#: Head cells of a price page, the class each names, and the multiple of a part's price under it.
+PRICE_HEADS = [("Base input", "input", 1), ("5m cache writes", "cache_write", 2), ("1h cache-writes", "cache_write_1h", 3), ("Cache hits", "cache_read", 4), ("Output tokens", "output", 5)]
+
+
+@query("SELECT p_partkey // 10 AS id, 'part-' || p_partkey AS model, c.class, round(p_retailprice * c.k, 2) AS usd FROM part, (VALUES " + ", ".join(f"('{c}', {k})" for _, c, k in PRICE_HEADS) + ") c(class, k) WHERE p_partkey // 10 IN (SELECT p_partkey // 10 FROM part GROUP BY 1 HAVING count(*) >= 2)", ["SRC-18"], views=False)
+def price_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten parts a page as models of its price table, beside a smaller table of the same columns and one of others; a page of one model has no main table."""
+    cell = lambda tag, c: F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>"))
+    head = F.concat(F.lit("<tr>"), *[cell("th", F.lit(h)) for h in ("Model", *[h for h, _, _ in PRICE_HEADS])], F.lit("</tr>"))
+    p = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 10).alias("id"), "p_partkey", "p_retailprice", "p_name")
+    prices = [cell("td", F.concat(F.lit("$"), F.format_number(F.col("p_retailprice") * k, 2), F.lit(" / MTok"))) for _, _, k in PRICE_HEADS]
+    name = F.concat(F.lit("Part "), F.col("p_partkey").cast("string"), F.lit("<span>"), F.coalesce("p_name", F.lit("")), F.lit("</span>"))
+    row = F.concat(F.lit("<tr>"), cell("td", name), *prices, F.lit("</tr>"))
+    rows = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", row.alias("row")))), lambda x: x["row"]), "")
+    small = F.concat(F.lit("<table>"), head, F.min_by(row, "p_partkey"), F.lit("</table>"))
+    pages = p.groupBy("id").agg(F.concat(F.lit("<p>Prices</p>"), small, F.lit("<table>"), head, rows, F.lit("</table><table><tr><td>Other</td></tr></table>")).alias("html"))
+    model = lambda c: F.when(c.rlike("^Part [0-9]+$"), F.lower(F.replace(c, F.lit(" "), F.lit("-"))))
+    return readers.price_table(pages, "id", "html", model)
