@@ -70,7 +70,7 @@ def op13_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [op1_warc, op2_wrappers, op3_pieces, op4_jaccard, op5_vectors, op6_sharding, op7_quality, op8_mixing, op9_lm, op10_urlfilter, op11_suffixes, op12_merkle, op13_interactions]
-ORACLES = {"op1_warc": warc.ORACLE, "op4_jaccard": jaccard.ORACLE, "op5_vectors": vectors.ORACLE, "op8_mixing": mixing.ORACLE, "op12_merkle": merkle.ORACLE, "op13_interactions": interactions.ORACLE}
+ORACLES = {"op1_warc": warc.ORACLE, "op4_jaccard": jaccard.ORACLE, "op5_vectors": vectors.ORACLE, "op8_mixing": mixing.ORACLE, "op11_suffixes": suffixes.ORACLE, "op12_merkle": merkle.ORACLE, "op13_interactions": interactions.ORACLE}
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -407,3 +407,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     late = waiting.select("doc", "text", "repeated", "starts", "ends").mapInArrow(_finish, f"doc long, {RESULT}")
     drop_staged(screened)
     return done.unionByName(late).withColumnRenamed("doc", id_col)
+
+
+#: DuckDB SQL for :func:`remove_repeats` over ``documents``, without the spans: every string of 200 bytes by its 128-bit digest, on hexadecimal text cut into overlapping parts.
+ORACLE = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS b FROM documents),
+c AS (SELECT r, k, b[400 * k + 1:400 * k + 798] AS part FROM (SELECT r, b, unnest(range(0, len(b) // 400 + 1)) AS k FROM d WHERE len(b) >= 400)),
+w AS (SELECT r, 200 * k + unnest(range(0, least(200, len(part) // 2 - 199))) AS p0, unnest(list_transform(range(0, least(200, len(part) // 2 - 199)), lambda q: md5_number(part[2 * q + 1:2 * q + 400]))) AS h FROM c WHERE len(part) >= 400),
+m AS (SELECT r, p0 FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+g AS (SELECT r, p0, coalesce(p0 > lag(p0) OVER (PARTITION BY r ORDER BY p0) + 200, true) AS new FROM m),
+i AS (SELECT r, p0, sum(new::INT) OVER (PARTITION BY r ORDER BY p0) AS k FROM g),
+x AS (SELECT r, k, min(p0) AS a, max(p0) + 200 AS z FROM i GROUP BY r, k),
+y AS (SELECT r, a, z, lag(z, 1, 0) OVER (PARTITION BY r ORDER BY a) AS was FROM x),
+t AS (SELECT r, string_agg(b[2 * was + 1:2 * a], '' ORDER BY a) AS kept, max(z) AS last, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans FROM y JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (len(b) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, '') || b[2 * coalesce(last, 0) + 1:])) AS kept_sha256 FROM d LEFT JOIN t USING (r)"""
