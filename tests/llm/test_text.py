@@ -1,6 +1,7 @@
 """Main text, SentencePiece, quality rules and language-model scores."""
 
 import hashlib
+import html as entities
 import math
 import random
 import re
@@ -208,6 +209,85 @@ def test_copies_count_once_and_each_layout_has_a_wrapper(spark):
     assert all(got[100 + i] == f"table {i} is set course {i}" for i in range(6))
 
 
+def unnamed_pages():
+    """(page, its paragraphs): menu, advert, story and footer all vary, and no element has a name that tells."""
+    words = lambda n: " ".join(random.choice(["tal", "mor", "ved", "sil", "kan", "oru"]) for _ in range(n))
+    random.seed(8)
+
+    def one(i):
+        story = [words(random.randrange(20, 60)) + f" {i}" for _ in range(random.randrange(1, 9))]
+        menu = "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in words(random.randrange(3, 7)).split())
+        body = "".join(f"<p>{x}</p>" for x in story)
+        return page(f"<div><ul>{menu}</ul></div><div>{words(5)} {i}</div><div><h1>{words(3)} {i}</h1>{body}</div><div>from {words(6)} {i}</div>"), story
+
+    return [one(i) for i in range(40)]
+
+
+def test_unnamed_pages_give_the_story_alone(spark):
+    made = unnamed_pages()
+    assert {m for h, _ in made for m in wrappers.blocks_of(h)[5]} == {0}
+    got = texts_of(spark, [(i, "http://host.net/p", h) for i, (h, _) in enumerate(made)])
+    for i, (html, story) in enumerate(made):
+        heading = html.split("<h1>")[1].split("</h1>")[0]
+        assert got[i] == " ".join([heading, *story])
+
+
+def test_pages_without_names_equal_their_articles(spark, sf_dir):
+    """Every page of the table with its names erased, against its article cut out by its tags."""
+    rows, want = [], {}
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        article = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        plain = re.sub(r"<[^>]*>", "", re.sub(r"</?(?:p|h\d|li|ul|ol|div|br|table|tr|td|th)\b[^>]*>", " ", re.sub(r"<!--.*?-->", "", re.sub(r"(?s)<(script|style)\b.*?</\1>", " ", article))))
+        want[r.page_id] = " ".join(entities.unescape(plain).split())
+        rows.append((r.page_id, "http://one.host/p", re.sub(r"(</?)(?:nav|footer|article)>", r"\1div>", r.html).replace('<div class="ad">', "<div>")))
+    assert len(rows) >= 20 and texts_of(spark, rows) == want
+
+
+def test_regions_by_hand():
+    turns = wrappers.TURNS
+    tags = ",".join(["0 #", "1 div", "2 ul", "3 li", "1 div", "2 h1", "2 p", "1 div"])
+    sums = lambda **k: [(int(p[1:]) * turns, n, n > 0) for p, n in k.items()]
+    assert wrappers.region_of(tags, sums(p3=5, p5=20, p6=900, p7=40)) == (4, 7, [0])
+    assert wrappers.region_of(tags, sums(p3=500, p5=20, p6=900, p7=40)) == (0, 8, [])  # no part holds most
+    assert wrappers.region_of(tags, sums(p3=5, p7=900)) == (0, 8, [])  # a block is no container
+    assert wrappers.region_of(tags, []) == wrappers.region_of("0 #", []) == (0, 0, [])
+    assert wrappers.region_of(tags, [(-1 - 4, 900, False)]) == (4, 7, [0])  # not aligned, below the container
+    beside = "0 #,1 p,1 div,2 p"  # a paragraph that varies beside the container
+    assert wrappers.region_of(beside, sums(p1=10, p3=900)) == (0, 4, [])
+    assert wrappers.region_of(beside, [(turns, 10, False), (3 * turns, 900, True)]) == (2, 4, [0])
+    # Dropped: below a slot outside. By names alone: a page with nothing in the region, and blocks beside it.
+    texts, marks = ["menu", "story", "more", "beside"], [0, 0, 0, 0]
+    assert wrappers.main_text([3 * turns, 6 * turns, -1 - 4, -1], texts, marks, frozenset(), frozenset(), (4, 7, [0])) == ("story more beside", 1, 0)
+    assert wrappers.main_text([3 * turns, -1 - 1, None, -1], texts, [-1, 0, 0, 0], frozenset(), frozenset(), (4, 7, [0])) == ("story more beside", 0, 1)
+    assert wrappers.main_text([6 * turns] * 4, texts, [0, -1, -2, 0], frozenset(), frozenset(), (4, 7, [0])) == ("menu beside", 0, 2)
+
+
+def test_longer_comments_than_stories_are_no_region(spark):
+    long = lambda i, k: " ".join(f"reply{i}x{k}y{j}" for j in range(60))
+    body = lambda i: f"<div><p>story {i} goes on</p><p>and {i} ends</p></div><div class='comments'><p>{long(i, 0)}</p><p>{long(i, 1)}</p></div>"
+    got = texts_of(spark, [(i, "http://host.net/p", page(body(i))) for i in range(12)])
+    assert all(got[i] == f"story {i} goes on and {i} ends" for i in range(12))
+
+
+def test_near_copies_of_a_story_are_no_template(spark):
+    random.seed(9)
+    words = lambda n: " ".join(random.choice("abcdefgh") * 4 + str(random.randrange(99)) for _ in range(n))
+    stories = [(words(5), [words(30) for _ in range(8)]) for _ in range(6)]
+    rows, want = [], {}
+    for i in range(48):  # every story on eight pages, each with another advert and another last word
+        head, parts = stories[i % 6]
+        rows.append((i, "http://host.net/p", page(f"<div>Follow the site</div><div>buy {words(3)}</div><div><h1>{head}</h1>{''.join(f'<p>{p}</p>' for p in parts)}<p>end {i}</p></div>")))
+        want[i] = " ".join([head, *parts, f"end {i}"])
+    assert texts_of(spark, rows) == want
+
+
+def test_pages_of_another_kind_are_not_cut_by_the_region(spark):
+    story = lambda i: f"<div>ad {i}</div><div><h1>name {i}</h1><p>{'story goes on ' * 9}{i}</p></div>"
+    odd = "<section><p>only a list of things</p></section>"
+    got = texts_of(spark, [(i, "http://host.net/p", page(story(i))) for i in range(12)] + [(99, "http://host.net/o", page(odd))])
+    assert got[99] == "only a list of things" and all(got[i].startswith(f"name {i} story") for i in range(12))
+
+
 def test_simple_tree_matching_keeps_order_and_counts(monkeypatch):
     tree = lambda html: wrappers._settle(wrappers.parse(html)[0])
 
@@ -250,7 +330,7 @@ def test_hostile_pages_take_linear_time():
 
 def test_the_template_decides_on_unmarked_pages():
     tags = wrappers.blocks_of("<div>Follow us</div><div><p>story</p></div><div>Rights</div>")[1]
-    _, own, _, places, texts, marks = wrappers.blocks_of("<div>Follow us</div><div><p>one</p><p>two</p></div><div>Rights</div>")
+    _, own, _, places, texts, marks, *_ = wrappers.blocks_of("<div>Follow us</div><div><p>one</p><p>two</p></div><div>Rights</div>")
     slots = wrappers.slots_of(tags, own, places)
     assert wrappers.main_text(slots, texts, marks, frozenset())[0] == "Follow us one two Rights"
     assert wrappers.main_text(slots, texts, marks, frozenset({slots[0], slots[-1]}))[0] == "one two"

@@ -4,13 +4,18 @@ Every page is parsed once, into the tags of its tree of block elements and its b
 host with the same nesting of elements, runs of like siblings counted once, are a layout. Each layout of
 ``LEAST_PAGES`` different pages or more has a reference page; pages of rarer layouts go to the host's most
 frequent one. Every tree is aligned with its reference's by simple tree matching; an aligned place is a slot.
-Spark counts, for each reference and slot, on how many different pages its text is one that is repeated there;
-pages whose blocks are all equal count once, and pages without a block not at all. A slot whose texts mostly
-recur is template; one whose texts vary is content, inside and outside article or main elements alike. Template
-slots are dropped and content slots kept. The bounds of an article or main element decide only for blocks that
-are not aligned and where too few pages have the slot. Elements whose name or class word (nav, footer,
-advert, comments, ...) says that they are no main text, and hidden ones, are dropped even where their
-text varies: rotating adverts and links vary like content.
+Spark counts, for each reference and slot, on how many different pages its text is one that pages of other
+stories repeat there (near copies of one story are told by a block drawn from each page by its length), and how much different text outside links it holds over all pages; pages whose blocks are all equal count once,
+and pages without a block not at all. A slot whose texts mostly recur is template; one whose texts vary is content.
+
+The slots' sums also tell the reference's region: from the root down, the one container that holds at least
+``REGION`` of the different text below it, as long as no paragraph or heading beside it varies. Menus,
+adverts and footers that rotate vary too, but hold little text outside links, so they lie outside. Blocks in a
+slot outside the region, or below one, are dropped, whatever their elements are called; so are template slots.
+Content slots in the region are kept, inside and outside article or main elements alike, unless their
+element's name or class word (aside, advert, comments, ...) says that it is no main text, or it is hidden.
+Names, class words and the bounds of an article or main element decide alone where no slot does: on hosts of
+too few pages, for slots that too few pages have, and on pages with no block in their reference's region.
 
 Only tags of the references and lists of slots travel with the pages, never a host's pages together: a
 host of any size is a sum of counts.
@@ -29,6 +34,7 @@ rows each get a row; an empty table gives an empty result; extra columns are ign
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 import sys
 from collections import defaultdict
@@ -46,6 +52,13 @@ from tidewater.llm.urlfilter import host_of
 
 #: A slot is template if this share of at least so many pages has a text there that the host repeats.
 SHARE, LEAST_PAGES = 0.5, 5
+#: A text is repeated if the pages that have it hold at least two stories, and one for so many pages.
+STORIES = 0.25
+#: A container is the region, or holds it, if this share of the different text below its parent is in it.
+REGION = 0.8
+#: Elements that may hold the region, and those that end the way down if they vary beside it.
+HOLDERS = frozenset("# html body div main article section center".split())
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote dl ul ol table figure".split())
 #: Child lists of more pairs than this are aligned by array operations, with the same result.
 BY_ARRAYS = 2048
 #: Blocks of one element have slots of their own, up to so many.
@@ -59,6 +72,8 @@ _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table
 OUTSIDE = frozenset("nav header footer aside form menu dialog button fieldset head".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form".split())
 OUTSIDE_WORDS = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|aside|ad|ads|advert|adverts|advertisement|banner|notice|notices|cookie|cookies|consent|comment|comments|disqus|promo|sponsor|sponsored|breadcrumb|breadcrumbs|share|social|related|widget|subscribe|newsletter|popup|modal|alert)(?:$|[\s_-])", re.I)
+#: Readers' comments may outweigh the story, so they do not count in the search for the region.
+READERS = re.compile(r"(?:^|[\s_-])(?:comment|comments|disqus)(?:$|[\s_-])", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
 #: From a tag's name to its end, past quoted values; possessive, so it is tried once.
 _REST = re.compile(r"[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+")
@@ -68,35 +83,38 @@ _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\
 class Node:
     __slots__ = ("tag", "kids", "index", "flat", "outside", "inside", "shape")
 
-    def __init__(self, tag: str, index: int, outside: bool = False, inside: int = 0) -> None:
+    def __init__(self, tag: str, index: int, outside: int = 0, inside: int = 0) -> None:
         self.tag, self.index, self.outside, self.inside = tag, index, outside, inside
         self.kids: list[Node] = []
         self.flat: str | None = None
         self.shape = 0
 
 
-def _marked(tag: str, attributes: str) -> bool:
-    """Do the element's name or attributes say that it is not part of an article."""
-    if tag in OUTSIDE:
-        return True
+def _marked(tag: str, attributes: str) -> int:
+    """1 if the element's name or attributes say that it is not part of an article, 2 if it is hidden or readers' comments, else 0."""
+    found = int(tag in OUTSIDE)
     if not attributes or attributes.isspace():
-        return False
+        return found
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
+        if name in ("class", "id") and READERS.search(value) or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            return 2
         if name in ("class", "id") and OUTSIDE_WORDS.search(value) or name == "role" and value.lower() in OUTSIDE_ROLES:
-            return True
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+            found = 1
+    return found
 
 
-def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
-    """The tree of block elements, and the blocks of text in page order with their element."""
+def parse(page: str, free: list[int] | None = None) -> tuple[Node, list[tuple[Node, str]]]:
+    """The tree of block elements, and the blocks of text in page order with their element.
+
+    ``free`` gets the code points, without white space, that each block has outside links.
+    """
     root = Node("#", 0)
     stack: list[tuple[str, Node]] = [("#", root)]  # every open element, with its block
     where: dict[str, list[int]] = defaultdict(list)  # the places of a tag on the stack
     blocks: list[tuple[Node, str]] = []
     pieces: list[str] = []
+    plain: list[str] = []  # those outside links
     count, at, quoted = 1, 0, True
 
     def push(tag: str, node: Node) -> None:
@@ -114,13 +132,18 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
         if pieces:
             if text := " ".join("".join(pieces).split()):
                 blocks.append((stack[-1][1], text))
+                if free is not None:
+                    free.append(sum(len(w) for x in plain for w in x.split()))
             pieces.clear()
+            plain.clear()
 
     while True:
         m = _TOKEN.search(page, at)
         raw = page[at : m.start()] if m else page[at:]
         if raw:
             pieces.append(entities.unescape(raw) if "&" in raw else raw)
+            if not where.get("a"):
+                plain.append(pieces[-1])
         if not m:
             break
         at = m.end()
@@ -157,9 +180,9 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             if attributes.endswith("/"):
                 continue
             top = stack[-1][1]
-            if _marked(tag, attributes) and not top.outside:  # hidden or marked inline text is a block of its own
+            if (mark := _marked(tag, attributes)) > top.outside:  # hidden or marked inline text is a block of its own
                 flush()
-                top = Node(tag, count, True, top.inside)
+                top = Node(tag, count, mark, top.inside)
                 count += 1
             push(tag, top)
             continue
@@ -171,7 +194,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
                 break
         up = stack[-1][1]
         inside = 2 if tag == "article" else 1 if tag == "main" or re.search(r"role\s*=\s*[\"']?main", attributes, re.I) else 0
-        node = Node(tag, count, up.outside or _marked(tag, attributes), max(up.inside, inside))
+        node = Node(tag, count, max(up.outside, _marked(tag, attributes)), max(up.inside, inside))
         count += 1
         up.kids.append(node)
         if not attributes.endswith("/"):
@@ -222,6 +245,16 @@ def content_hash(blocks: list[tuple[Node, str]]) -> int:
     return xxhash.xxh64_intdigest("\0".join(text for _, text in blocks)) - 2**63
 
 
+def story_hash(blocks: list[tuple[Node, str]], free: list[int]) -> int:
+    """Hash of one block, drawn by its text with odds like its code points outside links.
+
+    Near copies draw the same block as often as they share text; pages that share a menu or a notice seldom do.
+    """
+    hashes = [xxhash.xxh64_intdigest(text) for _, text in blocks]
+    drawn = [(-math.log((h + 1) / 2.0**64) / n if h < 2**64 - 2**11 else 0.0, h) for h, n in zip(hashes, free, strict=True) if n]
+    return (min(drawn)[1] if drawn else xxhash.xxh64_intdigest(repr(hashes))) - 2**63
+
+
 def grown(tags: str) -> Node:
     """The tree of a skeleton; indices are places there."""
     path: list[Node] = []
@@ -325,44 +358,97 @@ def aligned(reference: Node, page: Node) -> dict[int, int]:
     return out
 
 
-def blocks_of(page: str) -> tuple[str, str, int, list[int], list[str], list[int]]:
-    """(layout, tags, content hash, and of each block the element's place in the tags, the text and the element's mark).
+def blocks_of(page: str) -> tuple[str, str, int, list[int], list[str], list[int], list[int], int]:
+    """(layout, tags, content hash, of each block the element's place in the tags, the text, the element's mark and the code points outside links; story hash).
 
-    The place of an element that is not in the tree is -1. The mark is -1 for an element that is no main text,
-    else 2 inside an article, 1 inside a main element, 0 elsewhere.
+    The place of an element that is not in the tree is -1. The mark is -1 for an element that is
+    no main text, -2 for a hidden one or readers' comments, else 2 inside an article, 1 inside a main element, 0 elsewhere.
     """
-    root, blocks = parse(page)
+    free: list[int] = []
+    root, blocks = parse(page, free)
     tags, places = skeleton(root)
-    return layout(root), tags, content_hash(blocks), [places.get(n.index, -1) for n, _ in blocks], [t for _, t in blocks], [-1 if n.outside else n.inside for n, _ in blocks]
+    return layout(root), tags, content_hash(blocks), [places.get(n.index, -1) for n, _ in blocks], [t for _, t in blocks], [-n.outside if n.outside else n.inside for n, _ in blocks], free, story_hash(blocks, free)
 
 
 def slots_of(reference: str | None, tags: str, places: list[int]) -> list[int | None]:
-    """The slot of each block, or None; it also counts the element's earlier blocks."""
+    """The slot of each block; it also counts the element's earlier blocks.
+
+    A block that is not aligned has -1 less the reference's place of the nearest aligned element around it, or
+    None if there is none.
+    """
     slots = aligned(_reference(reference), grown(tags)) if reference else {}
+    around: list[int | None] = []  # of each place in the page, the nearest aligned one's in the reference
+    path: list[int | None] = []
+    for i, item in enumerate(tags.split(",") if slots else ()):
+        depth = int(item.split(" ", 1)[0])
+        del path[depth:]
+        path.append(slots.get(i, path[-1] if path else None))
+        around.append(path[-1])
     seen: dict[int, int] = {}
     out: list[int | None] = []
     for place in places:
         turn = seen[place] = seen.get(place, -1) + 1
         slot = slots.get(place)
-        out.append(None if slot is None else slot * TURNS + turn)
+        above = around[place] if slot is None and 0 <= place < len(around) else None
+        out.append(slot * TURNS + turn if slot is not None else None if above is None else -1 - above)
     return out
 
 
-def main_text(slots: list[int | None], texts: list[str], marks: list[int], template: frozenset[int], content: frozenset[int] = frozenset()) -> tuple[str, int, int]:
-    """(text, blocks dropped as template, blocks dropped by their element)."""
-    region = max(marks, default=0)
-    kept, constant, marked = [], 0, 0
-    for slot, text, mark in zip(slots, texts, marks, strict=True):
-        if slot in template:
-            constant += 1
-        elif mark < 0 or slot not in content and mark < region:
+def region_of(tags: str, sums: list[tuple[int, int, bool]]) -> tuple[int, int, list[int]]:
+    """(first place, place after the last, places above) of the reference's region; (0, 0, []) if there is none.
+
+    ``sums`` holds, for each slot, its different text and whether it is a content slot.
+    """
+    depths, names = zip(*((int(d), t) for d, t in (item.split(" ", 1) for item in tags.split(","))), strict=True)
+    after, mass, varies, path = [len(depths)] * len(depths), [0] * (len(depths) + 1), [False] * len(depths), []
+    for i, depth in enumerate(depths):
+        while len(path) > depth:
+            after[path.pop()] = i
+        path.append(i)
+    for slot, size, content in sums:
+        place = slot // TURNS if slot >= 0 else -1 - slot
+        mass[place + 1] += size
+        varies[place] |= content and size > 0
+    for i in range(len(depths)):
+        mass[i + 1] += mass[i]
+    weight = lambda i: mass[after[i]] - mass[i]
+    if not weight(0):
+        return 0, 0, []
+    at, above = 0, []
+    while not varies[at] and names[at] not in ("article", "main"):
+        kids, i = [], at + 1
+        while i < after[at]:
+            kids.append(i)
+            i = after[i]
+        if not kids or any(names[k] in FLOW and any(varies[k : after[k]]) for k in kids):
+            break
+        best = max(kids, key=weight)
+        if names[best] not in HOLDERS or after[best] == best + 1 or weight(best) < REGION * weight(at):
+            break
+        above.append(at)
+        at = best
+    return at, after[at], above
+
+
+def main_text(slots: list[int | None], texts: list[str], marks: list[int], template: frozenset[int], content: frozenset[int] = frozenset(), region: tuple[int, int, list[int]] = (0, 0, [])) -> tuple[str, int, int]:
+    """(text, blocks dropped by their slot, blocks dropped by their element)."""
+    bound = max(marks, default=0)
+    start, end, above = region
+    places = [None if s is None else s // TURNS if s >= 0 else -1 - s for s in slots]
+    if not any(p is not None and start <= p < end for p in places):
+        start, end = 0, sys.maxsize  # not a page of this wrapper
+    kept, by_slot, marked = [], 0, 0
+    for slot, place, text, mark in zip(slots, places, texts, marks, strict=True):
+        if slot in template or place is not None and not start <= place < end and place not in above:
+            by_slot += 1
+        elif mark < 0 or slot not in content and mark < bound:
             marked += 1
         else:
             kept.append(text)
-    return " ".join(kept), constant, marked
+    return " ".join(kept), by_slot, marked
 
 
-READ = "_layout string, _tags string, _page long, _places array<int>, _texts array<string>, _marks array<int>"
+READ = "_layout string, _tags string, _page long, _places array<int>, _texts array<string>, _marks array<int>, _free array<int>, _story long"
 
 
 def _arrays(rows: list[tuple], types: list[pa.DataType]) -> list[pa.Array]:
@@ -379,7 +465,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [blocks_of(x.as_py()) for x in b.column(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *_arrays(got, [pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32())])], ["_id", "_url", "_host", *names])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *_arrays(got, [pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64()])], ["_id", "_url", "_host", *names])
 
     parsed = stage(slim.mapInArrow(read, f"{head}, {READ}"), "parsed")
     # Copies meet in the map task first; a layout of any size is then a count and its least page.
@@ -398,25 +484,41 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     own = references.select("_host", "_layout", F.struct("_layout", "_reference").alias("_own"))
     other = references.filter("_usual").select("_host", F.struct("_layout", "_reference").alias("_other"))
     placed = parsed.join(own, ["_host", "_layout"], "left").join(other, "_host", "left").withColumn("_w", F.coalesce("_own", "_other"))
-    placed = placed.select("_id", "_url", "_host", F.col("_w._layout").alias("_layout"), "_page", "_texts", "_marks", F.col("_w._reference").alias("_reference"), "_tags", "_places")
-    kept = ["_id", "_url", "_host", "_layout", "_page", "_texts", "_marks"]
+    placed = placed.select("_id", "_url", "_host", F.col("_w._layout").alias("_layout"), "_page", "_texts", "_marks", "_free", "_story", F.col("_w._reference").alias("_reference"), "_tags", "_places")
+    kept = ["_id", "_url", "_host", "_layout", "_page", "_texts", "_marks", "_free", "_story"]
     # Aligned anew for each use: a table of it would hold all texts a second time.
-    slotted = placed.mapInArrow(align, f"{head}, _layout string, _page long, _texts array<string>, _marks array<int>, _slots array<long>")
+    slotted = placed.mapInArrow(align, f"{head}, _layout string, _page long, _texts array<string>, _marks array<int>, _free array<int>, _story long, _slots array<long>")
 
     key = ["_host", "_layout", "_slot"]
-    found = slotted.filter("_layout is not null").select("_host", "_layout", "_page", F.explode(F.arrays_zip("_slots", "_texts")).alias("_b")).filter("_b._slots is not null")
-    found = found.select("_host", "_layout", F.col("_b._slots").alias("_slot"), F.xxhash64("_b._texts").alias("_hash"), "_page").distinct()
-    counts = found.groupBy(*key, "_hash").count()
-    slots = counts.groupBy(*key).agg(F.sum("count").alias("_n"), F.sum(F.when(F.col("count") > 1, F.col("count")).otherwise(0)).alias("_again"))
-    recurs = F.col("_again") >= SHARE * F.col("_n")
-    those = lambda which: F.sort_array(F.collect_list(F.when(which, F.col("_slot"))))
-    decided = stage(slots.filter(F.col("_n") >= LEAST_PAGES).groupBy("_host", "_layout").agg(those(recurs).alias("_template"), those(~recurs).alias("_content")), "wrappers")
+    found = slotted.filter("_layout is not null").select("_host", "_layout", "_page", "_story", F.explode(F.arrays_zip("_slots", "_texts", "_marks", "_free")).alias("_b")).filter("_b._slots is not null")
+    found = found.select("_host", "_layout", F.col("_b._slots").alias("_slot"), F.xxhash64("_b._texts").alias("_hash"), "_page", "_story", F.when(F.col("_b._marks") > -2, F.col("_b._free")).otherwise(0).alias("_free"))
+    counts = found.groupBy(*key, "_hash", "_page").agg(F.max("_free").alias("_free"), F.min("_story").alias("_story"))
+    # Copies and near copies of one story repeat all its texts, which are no template for that.
+    counts = counts.groupBy(*key, "_hash").agg(F.count("*").alias("count"), F.max("_free").alias("_free"), F.count_distinct("_story").alias("_stories"))
+    again = (F.col("_stories") > 1) & (F.col("_stories") >= STORIES * F.col("count"))
+    slots = counts.groupBy(*key).agg(F.sum("count").alias("_n"), F.sum(F.when(again, F.col("count")).otherwise(0)).alias("_again"), F.sum("_free").alias("_free"))
+    # One row a slot of a reference page: as many as that page has blocks.
+    listed = slots.groupBy("_host", "_layout").agg(F.max("_n").alias("_n"), F.collect_list(F.struct("_slot", "_n", "_again", "_free")).alias("_sums"))
+    wrapped = listed.filter(F.col("_n") >= LEAST_PAGES).join(references.select("_host", "_layout", "_reference"), ["_host", "_layout"]).select("_host", "_layout", "_reference", "_sums")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for reference, sums in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                told = [(x["_slot"], x["_again"] >= SHARE * x["_n"]) for x in sums if x["_slot"] >= 0 and x["_n"] >= LEAST_PAGES]
+                content = {slot for slot, again in told if not again}
+                start, end, above = region_of(reference, [(x["_slot"], x["_free"], x["_slot"] in content) for x in sums])
+                rows.append((sorted(slot for slot, again in told if again), sorted(content), start, end, above))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *_arrays(rows, [longs, longs, pa.int64(), pa.int64(), longs])], ["_host", "_layout", "_template", "_content", "_start", "_end", "_above"])
+
+    decided = stage(wrapped.mapInArrow(decide, "_host string, _layout string, _template array<long>, _content array<long>, _start long, _end long, _above array<long>"), "wrappers")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = zip(*(b.column(c).to_pylist() for c in ("_slots", "_texts", "_marks", "_template", "_content")), strict=True)
-            got = [(t, len(t), constant, marked) for slots_, texts, marks, template, content in rows for t, constant, marked in (main_text(slots_, texts, marks, frozenset(template or ()), frozenset(content or ())),)]
+            rows = zip(*(b.column(c).to_pylist() for c in ("_slots", "_texts", "_marks", "_template", "_content", "_start", "_end", "_above")), strict=True)
+            got = [(t, len(t), by_slot, marked) for slots_, texts, marks, template, content, start, end, above in rows for t, by_slot, marked in (main_text(slots_, texts, marks, frozenset(template or ()), frozenset(content or ()), (start or 0, end or 0, above or [])),)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *_arrays(got, [pa.string(), pa.int64(), pa.int64(), pa.int64()])], [id_col, url_col, "text", "n_chars", "n_template_blocks", "n_marked_blocks"])
 
     shape = f"`{id_col}` {id_type}, `{url_col}` string, text string, n_chars long, n_template_blocks long, n_marked_blocks long"
-    return slotted.join(decided, ["_host", "_layout"], "left").select("_id", "_url", "_slots", "_texts", "_marks", "_template", "_content").mapInArrow(cut, shape)
+    return slotted.join(decided, ["_host", "_layout"], "left").select("_id", "_url", "_slots", "_texts", "_marks", "_template", "_content", "_start", "_end", "_above").mapInArrow(cut, shape)
