@@ -52,8 +52,9 @@ from tidewater.llm.urlfilter import host_of
 
 #: A slot is template if this share of at least so many pages has a text there that the host repeats.
 SHARE, LEAST_PAGES = 0.5, 5
-#: A text is repeated if the pages that have it hold at least two stories, and one for so many pages.
-STORIES = 0.25
+#: A text is repeated if the pages that have it hold at least two stories, and one for so many pages, or half of
+#: the places that stories are hashed to.
+STORIES, PLACES = 0.25, 64
 #: A container is the region, or holds it, if this share of the different text below its parent is in it.
 REGION = 0.8
 #: Elements that may hold the region, and those that end the way down if they vary beside it.
@@ -246,13 +247,13 @@ def content_hash(blocks: list[tuple[Node, str]]) -> int:
 
 
 def story_hash(blocks: list[tuple[Node, str]], free: list[int]) -> int:
-    """Hash of one block, drawn by its text with odds like its code points outside links.
+    """A place for the page's story, from 0 up to PLACES: the hash of one block, drawn by its text with odds like its code points outside links.
 
     Near copies draw the same block as often as they share text; pages that share a menu or a notice seldom do.
     """
     hashes = [xxhash.xxh64_intdigest(text) for _, text in blocks]
     drawn = [(-math.log((h + 1) / 2.0**64) / n if h < 2**64 - 2**11 else 0.0, h) for h, n in zip(hashes, free, strict=True) if n]
-    return (min(drawn)[1] if drawn else xxhash.xxh64_intdigest(repr(hashes))) - 2**63
+    return (min(drawn)[1] if drawn else xxhash.xxh64_intdigest(repr(hashes))) % PLACES
 
 
 def grown(tags: str) -> Node:
@@ -448,7 +449,7 @@ def main_text(slots: list[int | None], texts: list[str], marks: list[int], templ
     return " ".join(kept), by_slot, marked
 
 
-READ = "_layout string, _tags string, _page long, _places array<int>, _texts array<string>, _marks array<int>, _free array<int>, _story long"
+READ = "_layout string, _tags string, _page long, _places array<int>, _texts array<string>, _marks array<int>, _free array<int>, _story int"
 
 
 def _arrays(rows: list[tuple], types: list[pa.DataType]) -> list[pa.Array]:
@@ -465,7 +466,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [blocks_of(x.as_py()) for x in b.column(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *_arrays(got, [pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64()])], ["_id", "_url", "_host", *names])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *_arrays(got, [pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32()])], ["_id", "_url", "_host", *names])
 
     parsed = stage(slim.mapInArrow(read, f"{head}, {READ}"), "parsed")
     # Copies meet in the map task first; a layout of any size is then a count and its least page.
@@ -487,15 +488,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     placed = placed.select("_id", "_url", "_host", F.col("_w._layout").alias("_layout"), "_page", "_texts", "_marks", "_free", "_story", F.col("_w._reference").alias("_reference"), "_tags", "_places")
     kept = ["_id", "_url", "_host", "_layout", "_page", "_texts", "_marks", "_free", "_story"]
     # Aligned anew for each use: a table of it would hold all texts a second time.
-    slotted = placed.mapInArrow(align, f"{head}, _layout string, _page long, _texts array<string>, _marks array<int>, _free array<int>, _story long, _slots array<long>")
+    slotted = placed.mapInArrow(align, f"{head}, _layout string, _page long, _texts array<string>, _marks array<int>, _free array<int>, _story int, _slots array<long>")
 
     key = ["_host", "_layout", "_slot"]
     found = slotted.filter("_layout is not null").select("_host", "_layout", "_page", "_story", F.explode(F.arrays_zip("_slots", "_texts", "_marks", "_free")).alias("_b")).filter("_b._slots is not null")
     found = found.select("_host", "_layout", F.col("_b._slots").alias("_slot"), F.xxhash64("_b._texts").alias("_hash"), "_page", "_story", F.when(F.col("_b._marks") > -2, F.col("_b._free")).otherwise(0).alias("_free"))
     counts = found.groupBy(*key, "_hash", "_page").agg(F.max("_free").alias("_free"), F.min("_story").alias("_story"))
-    # Copies and near copies of one story repeat all its texts, which are no template for that.
-    counts = counts.groupBy(*key, "_hash").agg(F.count("*").alias("count"), F.max("_free").alias("_free"), F.count_distinct("_story").alias("_stories"))
-    again = (F.col("_stories") > 1) & (F.col("_stories") >= STORIES * F.col("count"))
+    # Stories are counted by their places, eight bytes a text. Copies and near copies of one story repeat all its texts, which are no template for that.
+    counts = counts.groupBy(*key, "_hash").agg(F.count("*").alias("count"), F.max("_free").alias("_free"), F.bit_count(F.bit_or(F.expr("shiftleft(1L, _story)"))).alias("_stories"))
+    again = (F.col("_stories") > 1) & (F.col("_stories") >= F.least(STORIES * F.col("count"), F.lit(PLACES / 2)))
     slots = counts.groupBy(*key).agg(F.sum("count").alias("_n"), F.sum(F.when(again, F.col("count")).otherwise(0)).alias("_again"), F.sum("_free").alias("_free"))
     # One row a slot of a reference page: as many as that page has blocks.
     listed = slots.groupBy("_host", "_layout").agg(F.max("_n").alias("_n"), F.collect_list(F.struct("_slot", "_n", "_again", "_free")).alias("_sums"))
