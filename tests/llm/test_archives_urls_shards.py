@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+import xxhash
 
 from tidewater.llm import mixing, registry, sharding, urlfilter, warc
 from tidewater.llm.shared import new_path, table
@@ -163,6 +164,31 @@ def test_shards_are_gapless_and_sized(spark):
     assert sharding.shard(docs(spark).limit(0), 3, new_path(spark, "map")).count() == 0
 
 
+def test_shards_and_slots_by_brute_force(spark, sf_dir):
+    """Every shard and slot from the rules in plain loops: hash, bytes a virtual slot, largest first to the lightest shard, places by order."""
+    rows = [(r.doc_id, r.text, None) for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()] + TEXTS
+    digest = lambda data, seed: xxhash.xxh64_intdigest(data, seed=seed)
+
+    def virtual(i, text):
+        if i is not None:
+            return digest(str(i).encode(), 42) % sharding.N_SLOTS
+        return digest(digest(text, 42).to_bytes(8, "little"), digest(b"", 42)) % sharding.N_SLOTS
+
+    plain = [(virtual(i, (t or "").encode()), i, zlib.crc32((t or "").encode()), len((t or "").encode()) + 8) for i, t, _ in rows]
+    held, loads, owner = Counter(), [0] * 24, {}
+    for v, _, _, size in plain:
+        held[v] += size
+    for v in sorted(held, key=lambda v: (-held[v], v)):
+        owner[v] = min(range(24), key=lambda s: (loads[s], s))
+        loads[owner[v]] += held[v]
+    want, used = Counter(), Counter()
+    for v, i, crc, size in sorted(plain, key=lambda x: (x[0], x[1] is not None, x[1] or 0, x[2], x[3])):
+        want[(i, size, crc, owner[v], used[owner[v]])] += 1
+        used[owner[v]] += 1
+    got = sharding.shard(docs(spark, rows), 24, new_path(spark, "map")).collect()
+    assert Counter((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in got) == want
+
+
 def test_shards_balance_and_rebalancing_moves_little(spark, sf_dir):
     path = new_path(spark, "map")
     got = sharding.shard(table(spark, sf_dir, "documents"), 24, path).collect()

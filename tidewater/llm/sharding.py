@@ -7,7 +7,7 @@ Rebalancing edits the map and moves whole slots, so the data are not hashed anew
 The map's law is ``bytes``: slots go, largest first, to the shard with the fewest bytes so far.
 It has ``N_SLOTS`` rows whatever the input, so the driver may hold it and it may be broadcast.
 
-Defined results: a null text has 0 bytes of its own; a null id hashes like the empty string; rows
+Defined results: a null text has 0 bytes of its own; records of a null id are dealt by their text; rows
 that repeat an id and text share a virtual slot and get adjoining places; an empty table gives
 an empty result; extra columns are ignored.
 """

@@ -2,7 +2,8 @@
 
 The trees are Spark's own GBTClassifier, fitted on a bounded sample of labelled URLs
 (``train_rows``, drawn by a hash of the URL and the row's id, so a URL that many pages share stays bounded too); every URL is judged.
-Where no labelled URLs are given, those that a rule fits are labelled with its verdict. Features are lengths, depths,
+Where no labelled URLs are given, those that a rule fits are labelled with its verdict; the rules look at the path's
+language, which no feature holds, so such trees can be worse than to allow all: give ``labelled`` for a filter of use. Features are lengths, depths,
 digit ratio, host entropy, parameter counts, and for host and file suffixes the smoothed share of
 blocked URLs among all labelled URLs; the planner picks the join by a table's size. Everything runs as DataFrame functions inside the JVM.
 
