@@ -185,3 +185,18 @@ def test_cells_follow_spans_nesting_and_open_ends():
     <tr><td>f<table><tr><td>inner</td></tr></table>g</td><!-- <td>no</td> --><td><script>"<td>no</td>"</script>h"""
     assert sorted(readers.table_cells(page)) == [(0, 0, 0, "A", "A"), (0, 0, 1, "B", "B x"), (0, 1, 1, "c", "c"), (0, 1, 2, "d & e", "d & e"), (0, 2, 0, "f", "f g"), (0, 2, 1, "h", "h"), (1, 0, 0, "inner", "inner")]
     assert readers.table_cells("") == [] == readers.table_cells("<td>x</td>")
+
+
+def test_logs_keep_the_order_of_their_lines(spark):
+    """The writer of folders sorts by folder; lines of one log must not lose their order by that."""
+    from tidewater.plans.files import logged
+
+    df = spark.range(40_000, numPartitions=8).select(F.pmod(F.xxhash64("id"), F.lit(40_009)).alias("at"), (F.col("id") % 23).alias("account"))
+    path = logged(df, "account", ["at"], F.lpad(F.col("at").cast("string"), 6, "0"), "ordered")
+    logs = {}
+    for r in readers.numbered_lines(spark, path).collect():
+        logs.setdefault(r.file, []).append((r.line_no, r.value))
+    assert len(logs) == 23 and sum(map(len, logs.values())) == 40_000
+    for rows in logs.values():
+        values = [v for _, v in sorted(rows)]
+        assert values == sorted(values)

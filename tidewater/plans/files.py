@@ -15,10 +15,14 @@ def iso(us: Column) -> Column:
 
 
 def logged(df: DataFrame, by: str, order: list[str], value: Column, name: str, suffix: str = "") -> str:
-    """Write one log a key, its lines in order; returns the folder."""
+    """Write one log a key, its lines in order; returns the folder.
+
+    Rows are sorted by the column of folders first: the writer needs that order, and if it is not there it sorts anew
+    and loses the order of lines.
+    """
     path = shared_path(df.sparkSession, name)
-    rows = df.withColumn("value", value).repartition(by).sortWithinPartitions(by, *order)
-    rows.select(F.concat(F.lit("log-"), F.col(by).cast("string"), F.lit(suffix)).alias("log"), "value").write.partitionBy("log").text(path)
+    rows = df.withColumns({"log": F.concat(F.lit("log-"), F.col(by).cast("string"), F.lit(suffix)), "value": value})
+    rows.repartition("log").sortWithinPartitions("log", *order).select("log", "value").write.partitionBy("log").text(path)
     return path
 
 
