@@ -187,3 +187,21 @@ def test_inferred_resets(spark):
     told = {k: v if v == 99 else v // hour for k, v in got.items() if v is not None}
     assert told == {(1, 2): 7, (1, 3): 7, (1, 4): 99, (1, 6): 7}
     assert ordered.inferred_resets(df.limit(0)).count() == 0
+
+
+def test_drift_from_a_median_of_zero_equals_sql(spark, tmp_path):
+    """The first values of a key may be 0, and so is their median then."""
+    import datetime as dt
+
+    import duckdb
+
+    from tidewater import catalog
+
+    values = {1: [0.0, 5.0, 6.0, 0.0], 2: [0.0, 0.0, 0.0, 0.0, 1.0], 3: [0.0, -2.0, 4.0], 4: [3.0, None, 3.1, 9.0]}
+    rows = [(u * 100 + i, dt.datetime(2024, 1, 1, i), u, "purchase", v, "{}") for u, vs in values.items() for i, v in enumerate(vs)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    got = catalog.queries()["rolling_prev4_median_drift"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(catalog.oracle_sql()["rolling_prev4_median_drift"]).fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and len(want) >= 9

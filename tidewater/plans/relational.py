@@ -103,7 +103,9 @@ j AS (SELECT a.user_id, a.event_id, a.value, median(b.value) AS previous_median
 SELECT user_id, event_id, previous_median, value / previous_median - 1 AS drift FROM j WHERE abs(value / previous_median - 1) > 0.15""", ["WIN-2", "AGG-45", "AGG-46", "AGG-47"], views=False)
 def rolling_prev4_median_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").filter("event_type = 'purchase'")
-    out = windows.previous_median(e, ["user_id"], ["ts", "event_id"], "value").withColumn("drift", F.col("value") / F.col("previous_median") - 1)
+    # a median of 0 gives infinity, or nan for 0, as the SQL has it; Spark's own division by 0 is an error
+    ratio = F.when(F.col("previous_median") == 0, F.col("value") * F.lit(float("inf"))).otherwise(F.col("value") / F.col("previous_median"))
+    out = windows.previous_median(e, ["user_id"], ["ts", "event_id"], "value").withColumn("drift", ratio - 1)
     return out.filter("previous_median is not null and abs(drift) > 0.15").select("user_id", "event_id", "previous_median", "drift")
 
 
