@@ -187,6 +187,18 @@ def test_cells_follow_spans_nesting_and_open_ends():
     assert readers.table_cells("") == [] == readers.table_cells("<td>x</td>")
 
 
+def test_price_table_parses_a_page_once_and_broadcasts_nothing(spark):
+    """Cells of all pages are many: no table of them may go through the driver."""
+    heads = ["Model", "Base input", "5m cache writes", "1h cache writes", "Cache hits", "Output tokens"]
+    line = lambda tag, cells: "<tr>" + "".join(f"<{tag}>{c}</{tag}>" for c in cells) + "</tr>"
+    page = lambda k: "<table>" + line("th", heads) + "".join(line("td", [f"m{i}", *[f"${i + j + k}" for j in range(1, 6)]]) for i in (1, 2, 2)) + "</table>"
+    pages = spark.createDataFrame([(k, page(k)) for k in range(3)] + [(None, page(9)), (7, None)], "id int, html string")
+    out = readers.price_table(pages, "id", "html", lambda c: c)
+    assert len(out.collect()) == 45 and {r.id for r in out.collect()} == {0, 1, 2}
+    optimized = out._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("MapInArrow") == 1 and "Join" not in optimized
+
+
 def test_logs_keep_the_order_of_their_lines(spark):
     """The writer of folders sorts by folder; lines of one log must not lose their order by that."""
     from tidewater.plans.files import logged

@@ -339,16 +339,19 @@ def price_table(pages: DataFrame, id_col: str, html_col: str, model: Callable[[C
 
     A listed model with a missing or zero price is an error, so no half-read table gets through.
     """
-    cells = html_tables(pages, id_col, html_col)
+    # All that is asked of a page stands in its own cells: they are parsed and shuffled once, by page, and nothing is broadcast.
     label = F.lower(F.regexp_replace("text", "-", " "))
     write = F.contains(label, F.lit("write"))
     kind = F.when(write & label.rlike("5 ?m"), "cache_write").when(write & label.rlike("1 ?h"), "cache_write_1h").when(label.rlike("hit|cache read"), "cache_read").when(F.contains(label, F.lit("output")), "output").when(F.contains(label, F.lit("input")) & ~F.contains(label, F.lit("cache")), "input")
-    heads = cells.withColumn("class", kind).filter("class is not null and row = 0").select("id", "table", "column", "class")
-    complete = heads.groupBy("id", "table").agg(F.count_distinct("class").alias("n")).filter("n = 5").select("id", "table")
-    names = cells.filter("column = 0 and row > 0").withColumn("model", model(F.col("first"))).filter("model is not null").join(complete, ["id", "table"]).select("id", "table", "row", "model")
-    main = names.groupBy("id", "table").agg(F.count_distinct("model").alias("models")).filter(F.col("models") >= least_models).groupBy("id").agg(F.min_by("table", F.struct(-F.col("models"), F.col("table"))).alias("table"))
+    cells = html_tables(pages, id_col, html_col).filter("id is not null").repartition("id")
+    cells = cells.withColumns({"_head": F.when(F.col("row") == 0, kind), "_name": F.when((F.col("column") == 0) & (F.col("row") > 0), model(F.col("first")))})
+    of = lambda *by: W.partitionBy("id", *by)
+    complete = cells.withColumn("_classes", F.size(F.collect_set("_head").over(of("table")))).filter("_classes = 5")
+    new = F.row_number().over(of("table", "_name").orderBy("row")) == 1
+    counted = complete.withColumn("_new", (F.col("_name").isNotNull() & new).cast("int")).withColumn("_models", F.sum("_new").over(of("table"))).filter(F.col("_models") >= least_models)
+    main = counted.withColumn("_main", F.min(F.struct(-F.col("_models"), F.col("table").alias("table"))).over(of())).filter(F.col("table") == F.col("_main.table"))
     price = F.regexp_replace(F.regexp_extract("text", r"\$\s*([\d,]+(?:\.\d+)?)", 1), ",", "").try_cast("double")
-    rows = names.join(main, ["id", "table"]).join(cells.select("id", "table", "row", "column", "text"), ["id", "table", "row"]).join(heads, ["id", "table", "column"])
+    rows = main.withColumns({"model": F.max("_name").over(of("row")), "class": F.max("_head").over(of("column"))}).filter("row > 0 and model is not null and class is not null")
     checked = F.when(price > 0, price).otherwise(F.raise_error(F.concat(F.lit("no price in "), "text")).cast("double"))
     return rows.select("id", "model", "class", checked.alias("usd"))
 
