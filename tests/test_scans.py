@@ -205,3 +205,38 @@ def test_drift_from_a_median_of_zero_equals_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     want = con.execute(catalog.oracle_sql()["rolling_prev4_median_drift"]).fetchall()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and len(want) >= 9
+
+
+def test_near_spans_of_other_keys_are_counted_without_pairs(spark):
+    """Keys that all have a span at one time: their number counts, not their pairs."""
+    from pyspark.sql import functions as F
+
+    from tidewater.operators import asof
+
+    rng, rows = random.Random(4), []
+    for key in [*range(40), None]:
+        at = rng.randrange(50)
+        for _ in range(rng.randrange(12)):
+            end = at + rng.choice([0, 3, 9, 60])
+            rows.append((key, at, end))
+            at = end + rng.choice([0, 0, 1, 7, 90])
+    df = spark.createDataFrame(rows, "k int, lo bigint, hi bigint")
+    for margin, bucket in ((5, 10), (1, 7), (30, 1000)):
+        got = {(r.k, r.hi): r.others for r in asof.others_near(df, "k", "lo", "hi", margin, bucket).collect()}
+        want = {}
+        for k, lo, hi in rows:
+            others = {o for o, a, b in rows if k is not None and o is not None and o != k and lo - margin < b and a < hi + margin}
+            if others:
+                want.setdefault((k, hi), set()).update(others)
+        assert got == {k: len(v) for k, v in want.items()}
+    # 3,000 keys at once are 9 million pairs, but a few rows each
+    crowd = spark.range(3000).select("id", F.lit(0).cast("bigint").alias("lo"), (F.col("id") % 7 + 1).alias("hi"))
+    assert {r.others for r in asof.others_near(crowd, "id", "lo", "hi", 1, 10).collect()} == {2999}
+
+
+def test_corroborated_resets_pairs_no_falls(spark, sf_dir):
+    from tidewater import catalog
+
+    plan = catalog.queries()["corroborated_resets"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 1 and "other" not in joins[0]

@@ -93,11 +93,7 @@ def same_run_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 JOIN (SELECT account, prev_ts_us AS lower_us, ts_us AS upper_us FROM pairs WHERE five_hour < prev_five_hour) b ON a.account <> b.account AND a.lower_us - 3600000000 < b.upper_us AND b.lower_us < a.upper_us + 3600000000 GROUP BY ALL""", ["SELF-2"])
 def corroborated_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Falls of the meter that other accounts show within an hour."""
-    r = ordered.reset_brackets(readings(spark, sf_dir)).withColumn("plan", F.lit(0))
-    a = r.select("plan", "account", "upper_us", (F.col("lower_us") - HOUR).alias("a_us"), (F.col("upper_us") + HOUR).alias("b_us"))
-    b = r.select("plan", F.col("account").alias("other"), F.col("lower_us").alias("c_us"), F.col("upper_us").alias("d_us"))
-    hits = asof.overlapping(a, b, ["plan"], ("a_us", "b_us"), ("c_us", "d_us"), 6 * HOUR).filter("account <> other")
-    return hits.groupBy("account", "upper_us").agg(F.count_distinct("other").alias("others"))
+    return asof.others_near(ordered.reset_brackets(readings(spark, sf_dir)), "account", "lower_us", "upper_us", HOUR, HOUR)
 
 
 @query("SELECT a.account AS account, b.account AS other FROM (SELECT DISTINCT account FROM readings) a JOIN (SELECT DISTINCT account FROM readings) b ON a.account < b.account", ["SELF-3"])
