@@ -249,3 +249,16 @@ def test_fit_draws_equal_fits_of_repeated_rows(spark):
             own = np.array([r[2:] for r in rows if r[0] == g for _ in range(counts[r[0], r[1], draw])])
             want = fits.nnls(own[:, 1:], own[:, 0])
             assert all(abs(got[g, draw, c] - v) < 1e-7 for c, v in zip("abc", want, strict=True))
+
+
+def test_joint_sums_leave_no_join_to_the_planner(spark):
+    """The grid multiplies rows where the planner's estimates do not see it: a join of such rows is broadcast whole."""
+    rows = spark.createDataFrame([(a, d, "before" if d < 6 else "after", 2.0, 3.0 + a + d, 0.0 if d < 6 else 1.0) for a in range(4) for d in range(9)] + [(9, 1, "before", 1.0, 1.0, 0.0), (None, 1, "after", 1.0, 1.0, 0.0)], "account int, day int, side string, pct double, known double, new double")
+    by_account = shares.joint_by_account(shares.joint_sums(rows, "account", "day", 11), "account", "day", 2)
+    assert "Join" not in by_account._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.account, r.g): r for r in by_account.filter("draw = 0").collect()}
+    assert {a for a, _ in got} == {0, 1, 2, 3} and len(got) == 44
+    lo, hi = np.log(shares.RATE_BOUNDS)
+    level = np.mean([np.log((3.0 + 2 + d) / 2) for d in range(6)])
+    e = np.array([np.log((3.0 + 2 + d + np.exp(lo + 4 * (hi - lo) / 10)) / 2) - level for d in range(6, 9)])
+    assert got[2, 4].n == 3 and np.allclose([got[2, 4].s, got[2, 4].q], [e.sum(), (e * e).sum()])

@@ -97,16 +97,21 @@ def joint_sums(rows: DataFrame, account: str, block: str, points: int = 161) ->
     stretches before and one after. Blocks are summed here, so draws cost no reading again.
     """
     lo, hi = np.log(RATE_BOUNDS)
-    good = rows.filter((F.col("known") + F.col("new") > 0) & (F.col("pct") > 0))
-    before = good.filter((F.col("side") == "before") & (F.col("new") == 0)).groupBy(account, block).agg(F.count("*").alias("bn"), F.sum(F.log(F.col("known") / F.col("pct"))).alias("bs"))
-    after = good.filter("side = 'after'")
-    usable = before.groupBy(account).agg(F.sum("bn").alias("_b")).filter(F.col("_b") >= LEAST_BEFORE).join(after.select(account).distinct(), account).select(account)
-    grid = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.lit(float(lo)) + i * float((hi - lo) / (points - 1))))
-    e = F.log((F.col("known") + F.exp("log_rate") * F.col("new")) / F.col("pct"))
-    tried = after.select("*", grid.alias("g", "log_rate")).withColumn("_e", e).groupBy(account, block, "g", "log_rate").agg(F.count("*").alias("n"), F.sum("_e").alias("s"), F.sum(F.col("_e") * F.col("_e")).alias("q"))
-    none = [F.lit(None).cast("int").alias("g"), F.lit(None).cast("double").alias("log_rate"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q")]
-    both = tried.select(account, block, "g", "log_rate", "n", "s", "q", F.lit(0).cast("long").alias("bn"), F.lit(0.0).alias("bs")).unionByName(before.select(account, block, *none, "bn", "bs"))
-    return both.join(usable, account)
+    good = rows.filter((F.col("known") + F.col("new") > 0) & (F.col("pct") > 0) & F.col(account).isNotNull())
+    early, late = (F.col("side") == "before") & (F.col("new") == 0), F.col("side") == "after"
+    # Rows are dealt by account before the grid multiplies them; all that follows of an account stays in its task.
+    # The planner's estimates do not see that growth, so nothing here is left to a join.
+    tasks, w = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), W.partitionBy(account)
+    dealt = good.filter(early | late).repartition(tasks, account).withColumns({"_before": F.count_if(early).over(w), "_after": F.count_if(late).over(w)})
+    usable = dealt.filter((F.col("_before") >= LEAST_BEFORE) & (F.col("_after") > 0))
+    log_rate = F.lit(float(lo)) + F.col("g") * float((hi - lo) / (points - 1))
+    grid = F.explode(F.when(late, F.sequence(F.lit(0), F.lit(points - 1))).otherwise(F.array(F.lit(None).cast("int")))).alias("g")
+    e = F.when(F.col("g").isNotNull(), F.log((F.col("known") + F.exp(log_rate) * F.col("new")) / F.col("pct")))
+    none = F.col("g").isNull()
+    sums = usable.select("*", grid).withColumns({"_e": e, "_x": F.when(none, F.log(F.col("known") / F.col("pct")))})
+    each = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    out = sums.groupBy(account, block, "g").agg(F.count("g").alias("n"), each("_e").alias("s"), each(F.col("_e") * F.col("_e")).alias("q"), F.count_if(none).alias("bn"), each("_x").alias("bs"))
+    return out.select(account, block, "g", log_rate.alias("log_rate"), "n", "s", "q", "bn", "bs")
 
 
 def joint_by_account(sums: DataFrame, account: str, block: str, draws: int = 0, seed: int = 1) -> DataFrame:
@@ -114,10 +119,11 @@ def joint_by_account(sums: DataFrame, account: str, block: str, draws: int = 0,
     drawn = sums.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws))))
     drawn = drawn.withColumn("_k", F.when(F.col("draw") == 0, 1).otherwise(poisson_weight(seed, account, block, "draw")))
     of = lambda c: F.sum(F.col("_k") * F.col(c)).alias(c)
-    level = drawn.filter("g is null").groupBy("draw", account).agg(of("bn"), of("bs")).filter("bn > 0").select("draw", account, (F.col("bs") / F.col("bn")).alias("_l"))
-    each = drawn.filter("g is not null").groupBy("draw", account, "g", "log_rate").agg(of("n"), of("s"), of("q")).join(level, ["draw", account])
+    each = drawn.groupBy("draw", account, "g", "log_rate").agg(*map(of, ("n", "s", "q", "bn", "bs")))
+    w = W.partitionBy("draw", account)
+    each = each.withColumns({"_bn": F.sum("bn").over(w), "_l": F.sum("bs").over(w) / F.nullif(F.sum("bn").over(w), F.lit(0))}).filter("g is not null and _bn > 0")
     shifted = {"q": F.col("q") - 2 * F.col("_l") * F.col("s") + F.col("n") * F.col("_l") * F.col("_l"), "s": F.col("s") - F.col("n") * F.col("_l")}
-    return each.withColumns(shifted).drop("_l")
+    return each.withColumns(shifted).select("draw", account, "g", "log_rate", "n", "s", "q")
 
 
 def joint_best(sums: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -156,7 +162,7 @@ def separable(interval: DataFrame, rows: DataFrame) -> DataFrame:
 def joint_without(by_account: DataFrame, account: str) -> DataFrame:
     """The fit without each account, by subtracting its sums; ``holds`` where the interval keeps the whole fit's direction."""
     whole = by_account.groupBy("draw", "g").agg(*(F.sum(c).alias(f"_{c}") for c in "nsq"))
-    rest = by_account.join(whole, ["draw", "g"]).select("draw", account, "g", "log_rate", *((F.col(f"_{c}") - F.col(c)).alias(c) for c in "nsq"))
+    rest = by_account.join(F.broadcast(whole), ["draw", "g"]).select("draw", account, "g", "log_rate", *((F.col(f"_{c}") - F.col(c)).alias(c) for c in "nsq"))
     left = joint_interval(joint_best(rest, ["draw", account]), [account])
     full = joint_best(by_account.filter("draw = 0"), ["draw"]).select(F.col("log_change").alias("whole_change"))
     holds = F.when(F.col("whole_change") > 0, F.col("change_lo") > 0).when(F.col("whole_change") < 0, F.col("change_hi") < 0).otherwise(False)
