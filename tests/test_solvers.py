@@ -262,3 +262,23 @@ def test_joint_sums_leave_no_join_to_the_planner(spark):
     level = np.mean([np.log((3.0 + 2 + d) / 2) for d in range(6)])
     e = np.array([np.log((3.0 + 2 + d + np.exp(lo + 4 * (hi - lo) / 10)) / 2) - level for d in range(6, 9)])
     assert got[2, 4].n == 3 and np.allclose([got[2, 4].s, got[2, 4].q], [e.sum(), (e * e).sum()])
+
+
+def test_many_fits_without_a_group_read_the_rows_a_few_times(spark, monkeypatch):
+    """Refits without each of many groups equal those that read all other rows, without a pass a block of groups."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for g in range(30):
+        for _ in range(12):
+            a, b, c = (float(v) for v in rng.uniform(1, 9, 3))
+            rows.append((g, float((1 + g) * (a + (9 if g == 3 else 2.5) * b + 0.4 * c) * np.exp(0.1 * rng.standard_normal())), a, b, c))
+    rows += [(None, 2.0, 1.0, 1.0, 3.0), (None, 5.0, 2.0, 1.0, 3.0), (30, 0.0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g int, y double, a double, b double, c double").cache()
+    names, passes, plain = ["a", "b", "c"], [], fits.centred_sums
+    whole = fits.pooled_log_rates(df, "g", "y", names)
+    start = np.log([whole[c] for c in names[1:]])
+    want = {(r.g, r.name): r.rate for r in fits._read_again(df, "g", "y", names, df.select("g").distinct(), start, 30, 64).collect()}
+    monkeypatch.setattr(fits, "centred_sums", lambda *a, **k: passes.append(1) or plain(*a, **k))
+    got = {(r.g, r.name): r.rate for r in fits.pooled_rates_without(df, "g", "y", names, whole, block=2).collect()}
+    assert len(passes) <= 30 and got.keys() == want.keys() and len(got) == 96
+    assert all(abs(got[k] - v) < 1e-6 * v for k, v in want.items())
