@@ -83,7 +83,7 @@ def joint_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None, ["STAT-37"])
 def joint_rate_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The joint fit with its interval over draws of days, and whether the rate is told apart from the change."""
-    rows = joint_rows(spark, sf_dir)
+    rows = written(joint_rows(spark, sf_dir), "joint")
     sums = shares.joint_by_account(shares.joint_sums(rows, "account", "day", POINTS), "account", "day", 40, 3)
     return shares.separable(shares.joint_interval(shares.joint_best(sums, ["draw"])), rows)
 
@@ -117,7 +117,8 @@ def absorbed_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rate table with two families' joint fits absorbed, oldest first: the later fit values its known work at the earlier one's rate."""
     list_price = {m: p for m, p, *_ in PRICES}
     rates = spark.createDataFrame([(f, 1.0, list_price[f] / list_price["click"], "given") for f in FAMILIES], "family string, rate double, list_ratio double, source string")
-    w = work(spark, sf_dir)
+    # both fits and their checks read the rows
+    w = written(work(spark, sf_dir), "work")
     for family in ("error", "purchase"):
         # One row a family.
         now = {r["family"]: r["rate"] for r in rates.collect()}
