@@ -282,3 +282,17 @@ def test_many_fits_without_a_group_read_the_rows_a_few_times(spark, monkeypatch)
     got = {(r.g, r.name): r.rate for r in fits.pooled_rates_without(df, "g", "y", names, whole, block=2).collect()}
     assert len(passes) <= 30 and got.keys() == want.keys() and len(got) == 96
     assert all(abs(got[k] - v) < 1e-6 * v for k, v in want.items())
+
+
+def test_fits_of_many_rounds_read_a_stored_table(spark, sf_dir, monkeypatch):
+    """Each round reads the rows: they must not be made anew from the events."""
+    from tidewater.plans import figures, solvers
+
+    plans = []
+    stored = lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+    fit, joint = fits.pooled_log_rates, shares.joint_sums
+    monkeypatch.setattr(fits, "pooled_log_rates", lambda df, *a, **k: stored(df) or fit(df, *a, **k))
+    monkeypatch.setattr(shares, "joint_sums", lambda df, *a, **k: stored(df) or joint(df, *a, **k))
+    figures.pooled_family_rates(spark, sf_dir)
+    solvers.absorbed_rates(spark, sf_dir)
+    assert len(plans) == 3 and not any("Window" in p or "Join" in p for p in plans)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewater import checks
 from tidewater.functions.values import DAY, HOUR
 from tidewater.operators import asof, dedupe
+from tidewater.operators.cut import written
 from tidewater.plans.base import events, query, readings
 from tidewater.plans.metering import VALUED, closed_stretches, pair_rows, stretch_values
 from tidewater.plans.relational import DAILY, daily, family_design
@@ -156,5 +157,7 @@ def best_long_answer_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None, ["STAT-50"])
 def pooled_family_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Families' rates that all accounts share, clicks being 1."""
-    found = fits.pooled_log_rates(design(spark, sf_dir), "account", "delta_pct", FAMILIES)
+    # every round of the fit reads the rows
+    rows = written(design(spark, sf_dir).select("account", "delta_pct", *FAMILIES), "design")
+    found = fits.pooled_log_rates(rows, "account", "delta_pct", FAMILIES)
     return spark.createDataFrame([(k, float(v)) for k, v in found.items()], "family string, rate double")
