@@ -212,3 +212,10 @@ def test_logs_keep_the_order_of_their_lines(spark):
     for rows in logs.values():
         values = [v for _, v in sorted(rows)]
         assert values == sorted(values)
+
+
+def test_an_extract_has_few_files_an_identity(spark, tmp_path):
+    rows = spark.range(800, numPartitions=8).select((F.col("id") % 5).alias("identity"), F.col("id").alias("v"))
+    sinks.extract(rows, str(tmp_path / "few"), ["v"])
+    assert len(list((tmp_path / "few").glob("identity=*/*.json"))) == 5
+    assert spark.read.json(str(tmp_path / "few")).count() == 800
