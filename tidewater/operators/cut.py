@@ -1,4 +1,4 @@
-"""Cutting lineage between rounds: tables written to the folder that all executors share."""
+"""Cutting lineage between rounds by tables in the folder that all executors share, and dealing out groups of much work."""
 
 from __future__ import annotations
 
@@ -24,3 +24,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt by key over a given number of tasks.
+
+    Adaptive execution joins small partitions by their bytes, and groups of few bytes may hold much work: a
+    number that is asked for stays.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *by)

@@ -10,12 +10,15 @@ import json
 import zlib
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.operators.cut import dealt
+
 Split = tuple[int, int, int]
 
 
@@ -151,12 +154,14 @@ def weighted_regimes(df: DataFrame, by: Sequence[str], ts: str, num: str = "d5",
 def studentized(num: np.ndarray, den: np.ndarray, after: np.ndarray, prior: float, prior_units: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
     """Log step and its variance for rows of a boolean matrix: which units lie after."""
     level = num.sum() / den.sum()
+    off = num - level * den
+    columns = np.column_stack([num, den, off, off**2 / np.maximum(den, 1e-300), np.ones(len(num))])
     out = []
     for m in (after, ~after):
-        w = m.astype(float)
-        n, d, k = w @ num, w @ den, m.sum(1)
+        n, d, o, squares, k = (m.astype(float) @ columns).T
         ratio = n / np.maximum(d, 1e-300)
-        squares = (w * (num[None] - ratio[:, None] * den[None]) ** 2 / np.maximum(den[None], 1e-300)).sum(1)
+        # what is left around a side's own ratio is what lies around the common level less the step between the two
+        squares = np.maximum(squares - o**2 / np.maximum(d, 1e-300), 0.0)
         noise = (squares + prior_units * prior) / np.maximum(k - 1 + prior_units, 1)
         out.append((np.log(np.maximum(ratio, 1e-12) / level), noise / np.maximum(d, 1e-300) / np.maximum(ratio, 1e-12) ** 2))
     (a, va), (b, vb) = out
@@ -183,6 +188,34 @@ def account_step(t: np.ndarray, num: np.ndarray, den: np.ndarray, tau: float, cu
     return float(step[0]), float(variance[0]), (w, d, side, prior)
 
 
+def account_steps(t: np.ndarray, num: np.ndarray, den: np.ndarray, taus: Sequence[float], cuts: Sequence[float], unit_hours: float = 24.0, side_days: int = 14, least_units: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`account_step` at many instants at once, without shuffles: which have a step, the steps and their variances."""
+    at = np.asarray(taus, float)[:, None]
+    lo, hi = at - 24 * side_days, at + 24 * side_days
+    for b in cuts:
+        lo, hi = np.where(b < at, np.maximum(lo, b), lo), np.where(b > at, np.minimum(hi, b), hi)
+    keys = np.floor((t - at) / unit_hours)
+    good = (t >= lo) & (t < hi) & (den > 0)
+    total = lambda x, m: np.where(m, x, 0.0).sum(1, keepdims=True)
+    squares = lambda ratio, m: total((num - ratio * den) ** 2 / np.maximum(den, 1e-300), m)
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        level = total(num, good) / total(den, good)
+        prior = squares(level, good) / good.sum(1, keepdims=True)
+        sides = []
+        for m in (good & (keys >= 0), good & (keys < 0)):
+            k, d = m.sum(1, keepdims=True), np.maximum(total(den, m), 1e-300)
+            ratio = total(num, m) / d
+            low = np.maximum(ratio, 1e-12)
+            sides.append((k >= least_units, np.log(low / level), (squares(ratio, m) + 4 * prior) / (k + 3) / d / low**2))
+        (some, after, va), (others, before, vb) = sides
+        told, step, variance = (x[:, 0] for x in (some & others & ~(level <= 0), after - before, va + vb))
+    for i in np.flatnonzero((np.diff(keys, axis=1) <= 0).any(1)):  # several rows make a unit
+        found = account_step(t, num, den, float(at[i, 0]), cuts, unit_hours, side_days, least_units)
+        told[i] = found is not None
+        step[i], variance[i] = found[:2] if found else (0.0, 1.0)
+    return told, step, variance
+
+
 def shuffled(units: tuple, tau: float, name: object, seed: int, skip: int, count: int) -> tuple[np.ndarray, np.ndarray]:
     """Weighted step and weight of the shuffles ``skip`` to ``skip + count``: they depend on seed, instant, account and their own number only."""
     w, d, side, prior = units
