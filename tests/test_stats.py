@@ -160,6 +160,13 @@ def test_power_of_each_account(spark):
     assert got == {k: (r.rate, r.trials) for k, r in want.items()}
 
 
+def test_power_tests_a_block_of_trials_at_once(spark):
+    df = spark.createDataFrame([(k, float(x)) for k in range(40) for x in range(5 + k % 2)], "account long, x double")
+    once = lambda a, b: np.full(len(a), a.shape[0] == 40 and a.shape[1] in (5, 6) and b.shape == (40, 10))
+    rows = changes.power_by(df, "account", "x", 1.2, 10, 80, 5, once, block=40).collect()
+    assert len(rows) == 40 and all((r.rate, r.trials) == (1.0, 80) for r in rows)
+
+
 def test_detection_power_has_every_account(spark):
     sf_dir = "/root/testdata/sf0.01"  # several accounts
     from tidewater.plans import relational, reports

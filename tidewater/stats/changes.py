@@ -415,10 +415,11 @@ def sizes(units: DataFrame, taus: Sequence[float], factor: float = 1.0, side_day
     )
 
 
-def medians_apart(before: np.ndarray, after: np.ndarray, widths: float = 2.0) -> bool:
-    """Is the step between two medians more than so many standard errors of them."""
-    se = lambda x: 1.253 * 1.4826 * np.median(np.abs(x - np.median(x))) / len(x) ** 0.5
-    return bool(abs(np.median(after) - np.median(before)) > widths * (se(before) ** 2 + se(after) ** 2) ** 0.5)
+def medians_apart(before: np.ndarray, after: np.ndarray, widths: float = 2.0) -> np.ndarray:
+    """Is the step between two medians more than so many standard errors of them; of matrices, row by row."""
+    middle = lambda x: np.median(x, axis=-1, keepdims=True)
+    se = lambda x: 1.253 * 1.4826 * middle(np.abs(x - middle(x))) / x.shape[-1] ** 0.5
+    return (np.abs(middle(after) - middle(before)) > widths * (se(before) ** 2 + se(after) ** 2) ** 0.5)[..., 0]
 
 
 def flagged(scanned: DataFrame, alpha: float = 0.001) -> DataFrame:
@@ -514,21 +515,28 @@ def power(before: np.ndarray, step: float, after: int, trials: int, seed: int, s
     return spark.range(trials).mapInPandas(run, "hit boolean").agg(F.avg(F.col("hit").cast("double")).alias("rate"), F.count("*").alias("trials"))
 
 
-def power_by(df: DataFrame, by: str, value: str, step: float, after: int, trials: int, seed: int, test: Callable[[np.ndarray, np.ndarray], bool], block: int = 500) -> DataFrame:
-    """:func:`power` for each key's own values; a key's trials are dealt over tasks in blocks."""
+@lru_cache(maxsize=16)
+def drawn_places(seed: int, first: int, last: int, n: int, after: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places that each trial draws from n values: n of them, then ``after`` more; the same for every key of n values."""
+    out = []
+    for i in range(first, last):
+        rng = np.random.Generator(np.random.PCG64([seed, i]))
+        out.append((rng.choice(n, n), rng.choice(n, after)))
+    return np.array([x for x, _ in out]), np.array([y for _, y in out])
+
+
+def power_by(df: DataFrame, by: str, value: str, step: float, after: int, trials: int, seed: int, test: Callable[[np.ndarray, np.ndarray], np.ndarray], block: int = 500) -> DataFrame:
+    """:func:`power` for each key's own values; a key's trials are dealt over tasks in blocks, and ``test`` takes a trial a row."""
     kind = df.schema[by].dataType.simpleString()
     blocks = df.sparkSession.range(-(-trials // block)).withColumnRenamed("id", "_block")
 
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         before = np.sort(f["_x"].to_numpy(float))
-        hits, ids = 0, range(key[1] * block, min((key[1] + 1) * block, trials))
-        for i in ids:
-            rng = np.random.Generator(np.random.PCG64([seed, i]))
-            x = rng.choice(before, len(before))
-            hits += bool(test(x, rng.choice(before, after) * step))
-        return pd.DataFrame({by: [key[0]], "hits": [hits], "n": [len(ids)]})
-
-    drawn = df.select(by, F.col(value).cast("double").alias("_x")).crossJoin(F.broadcast(blocks)).groupBy(by, "_block").applyInPandas(run, f"{by} {kind}, hits long, n long")
+        first, last = key[1] * block, min((key[1] + 1) * block, trials)
+        x, y = drawn_places(seed, first, last, len(before), after)
+        return pd.DataFrame({by: [key[0]], "hits": [int(test(before[x], before[y] * step).sum())], "n": [last - first]})
+
+    drawn = dealt(df.select(by, F.col(value).cast("double").alias("_x")).crossJoin(F.broadcast(blocks)), by, "_block").groupBy(by, "_block").applyInPandas(run, f"{by} {kind}, hits long, n long")
     return drawn.groupBy(by).agg((F.sum("hits") / F.sum("n")).alias("rate"), F.sum("n").alias("trials"))
 
 
