@@ -167,6 +167,27 @@ def test_power_tests_a_block_of_trials_at_once(spark):
     assert len(rows) == 40 and all((r.rate, r.trials) == (1.0, 80) for r in rows)
 
 
+def test_a_search_shuffles_the_instants_that_may_be_found(spark, monkeypatch):
+    """The finds are those of a search that shuffles at every instant."""
+    rng = np.random.default_rng(4)
+    rows = [(a, 24.0 * d + 12, 10.0 * (1.6 if d >= 20 else 1) * float(np.exp(0.05 * rng.standard_normal())), 10.0) for a in range(4) for d in range(40)]
+    units = spark.createDataFrame(rows, "account long, t double, num double, den double").cache()
+    grid, asked, plain = [12.0 + 24 * d for d in range(2, 38)], [], changes.votes
+    want, cuts, all_rows, stale = [], [], {}, grid
+    while stale:
+        all_rows |= changes.clear_scan(units, stale, 500, 2000, 0.01, breaks=cuts)
+        flagged = [r for t, r in all_rows.items() if changes.is_flagged(r, 0.01) and all(abs(t - c) >= 48 for c in cuts)]
+        if not flagged:
+            break
+        want.append(min(flagged, key=lambda r: (max(r["p"], 1 / 501), -abs(r["z"]), r["tau"])))
+        cuts.append(want[-1]["tau"])
+        stale = [t for t in grid if abs(t - cuts[-1]) <= 336]
+        all_rows = {t: r for t, r in all_rows.items() if t not in stale}
+    monkeypatch.setattr(changes, "votes", lambda u, taus, *a, **k: asked.append(len(taus) if k.get("permutations", a[2] if a else None) else 0) or plain(u, taus, *a, **k))
+    assert changes.search(units, grid, 500, alpha=0.01, most=2000) == want and want[0]["tau"] == 492.0
+    assert 0 < sum(asked) < len(grid) / 2
+
+
 def test_detection_power_has_every_account(spark):
     sf_dir = "/root/testdata/sf0.01"  # several accounts
     from tidewater.plans import relational, reports

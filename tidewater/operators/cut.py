@@ -26,11 +26,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dealt(df: DataFrame, *by: str) -> DataFrame:
-    """Rows dealt by key over a given number of tasks.
+def dealt(df: DataFrame, *by: str, few: bool = False) -> DataFrame:
+    """Rows dealt by key over a given number of tasks; ``few`` of them, four a core, where each task sends sums of its own.
 
     Adaptive execution joins small partitions by their bytes, and groups of few bytes may hold much work: a
     number that is asked for stays.
     """
     spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *by)
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    return df.repartition(tasks if few else max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)

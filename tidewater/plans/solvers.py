@@ -179,7 +179,9 @@ def pooled_rate_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def units(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[float]]:
+    """Each account's day, stored since a search reads it every round, and the instants to search."""
     u = daily(spark, sf_dir).select("account", (F.col("day") * 24.0 + 12).alias("t"), F.col("num").cast("double").alias("num"), F.col("den").cast("double").alias("den"))
+    u = written(u, "units")
     lo, hi = u.agg(F.min("t"), F.max("t")).first()
     return u, [] if lo is None else [lo + 48 + 24 * i for i in range(max(0, int((hi - lo - 96) / 24)))]
 

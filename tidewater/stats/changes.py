@@ -222,7 +222,7 @@ def shuffled(units: tuple, tau: float, name: object, seed: int, skip: int, count
     top, bottom = [np.zeros(0)], [np.zeros(0)]
     for block in range(skip // BLOCK, -(-(skip + count) // BLOCK)):
         rng = np.random.Generator(np.random.PCG64([seed, int(round(tau * 4)) & 0xFFFFFFFF, zlib.crc32(str(name).encode()), block]))
-        sides = rng.permuted(np.broadcast_to(side, (BLOCK, len(side))), axis=1)
+        sides = rng.permuted(np.broadcast_to(side.astype(np.int64), (BLOCK, len(side))), axis=1).astype(bool)  # words move faster than bytes
         part = slice(max(0, skip - block * BLOCK), skip + count - block * BLOCK)
         s, v = studentized(w, d, sides, prior)
         top.append((s / v)[part])
@@ -245,7 +245,10 @@ def votes(units: DataFrame, taus: Sequence[float], unit_hours: float = 24.0, sid
         for name, frame in whole_accounts(frames):
             rows = []
             t, num, den = (frame[c].to_numpy(float) for c in ("t", "num", "den"))
-            for tau in grid:
+            if not permutations:
+                steps = zip(grid, *account_steps(t, num, den, grid, cuts, unit_hours, side_days, least_units), strict=True)
+                rows = [(tau, str(name), s, v, None, None) for tau, told, s, v in steps if told]
+            for tau in grid if permutations else ():
                 if found := account_step(t, num, den, tau, cuts, unit_hours, side_days, least_units):
                     rows.append((tau, str(name), *found[:2], None, None))
                     held = sums.setdefault(tau, [np.zeros(permutations), np.zeros(permutations)])
@@ -255,29 +258,33 @@ def votes(units: DataFrame, taus: Sequence[float], unit_hours: float = 24.0, sid
             yield pd.DataFrame(rows, columns=columns)
         yield pd.DataFrame([(tau, None, None, None, *x) for tau, x in sums.items()], columns=columns)
 
-    dealt = units.select("account", "t", "num", "den").repartition("account").sortWithinPartitions("account", "t")
-    return dealt.mapInPandas(run, "tau double, account string, step double, variance double, top array<double>, bottom array<double>")
+    rows = dealt(units.select("account", "t", "num", "den"), "account", few=True).sortWithinPartitions("account", "t")
+    return rows.mapInPandas(run, "tau double, account string, step double, variance double, top array<double>, bottom array<double>")
 
 
-def _scanned(told: DataFrame) -> DataFrame:
-    """What :func:`votes` tells of each instant; ``as_far`` counts the shuffles that go at least as far as the step itself."""
+def _marked(told: DataFrame) -> DataFrame:
+    """The shared step of each instant that :func:`votes` tells of, and whether its accounts agree."""
     voted = told.filter("account is not null")
     weight, x = 1 / F.col("variance"), F.col("step")
     totals = voted.groupBy("tau").agg(F.sum(weight).alias("w"), F.sum(weight * x).alias("wx"), F.count("*").alias("voting"))
     totals = totals.withColumns({"mean": F.col("wx") / F.col("w"), "z": F.col("wx") / F.sqrt("w")})
-    drawn = told.filter("account is null").select("tau", F.posexplode(F.arrays_zip("top", "bottom")).alias("draw", "d"))
-    drawn = drawn.groupBy("tau", "draw").agg(F.sum("d.top").alias("top"), F.sum("d.bottom").alias("bottom")).join(totals.select("tau", "z"), "tau")
-    far = F.abs(F.col("top") / F.sqrt("bottom")) >= F.abs("z") * (1 - 1e-12)
-    far = drawn.groupBy("tau").agg(F.count_if(far).alias("as_far"))
     se = F.sqrt("variance")
     others = (F.col("wx") - weight * x) / F.sqrt(F.greatest(F.col("w") - weight, F.lit(1e-300)))
     marks = voted.join(totals, "tau").groupBy("tau").agg(
         F.bool_and(F.abs(x - F.col("mean")) <= 2.5 * se).alias("near"), F.bool_or((F.signum(x) != F.signum("mean")) & (F.abs(x) > 1.96 * se)).alias("opposed"), F.min(F.signum("z") * others).alias("without_one"),
     )
     several = F.col("voting") >= 2
-    return totals.join(far, "tau").join(marks, "tau").select(
-        "tau", F.round("mean", 9).alias("step"), F.round("z", 9).alias("z"), "as_far", "voting", (several & F.col("near") & ~F.col("opposed")).alias("agree"), (several & (F.col("without_one") >= 1.96)).alias("plan_wide"), F.round(1 / F.sqrt("w"), 9).alias("se"),
-    )
+    return totals.join(marks, "tau").select("tau", "mean", "z", "w", "voting", (several & F.col("near") & ~F.col("opposed")).alias("agree"), (several & (F.col("without_one") >= 1.96)).alias("plan_wide"))
+
+
+def _scanned(told: DataFrame) -> DataFrame:
+    """What :func:`votes` tells of each instant; ``as_far`` counts the shuffles that go at least as far as the step itself."""
+    marked = _marked(told)
+    drawn = told.filter("account is null").select("tau", F.posexplode(F.arrays_zip("top", "bottom")).alias("draw", "d"))
+    drawn = drawn.groupBy("tau", "draw").agg(F.sum("d.top").alias("top"), F.sum("d.bottom").alias("bottom")).join(marked.select("tau", "z"), "tau")
+    far = F.abs(F.col("top") / F.sqrt("bottom")) >= F.abs("z") * (1 - 1e-12)
+    far = drawn.groupBy("tau").agg(F.count_if(far).alias("as_far"))
+    return marked.join(far, "tau").select("tau", F.round("mean", 9).alias("step"), F.round("z", 9).alias("z"), "as_far", "voting", "agree", "plan_wide", F.round(1 / F.sqrt("w"), 9).alias("se"))
 
 
 def scan(units: DataFrame, taus: Sequence[float], unit_hours: float = 24.0, side_days: int = 14, permutations: int = 2000, seed: int = 7, least_units: int = 2, breaks: Sequence[float] = ()) -> DataFrame:
@@ -362,27 +369,47 @@ def is_flagged(row: dict, alpha: float) -> bool:
     return bool(row["p"] < alpha and row["agree"] and row["plan_wide"] and row["voting"] >= 2)
 
 
+def agreeing(units: DataFrame, taus: Sequence[float], side_days: int = 14, breaks: Sequence[float] = ()) -> dict[float, float]:
+    """|z| of the instants whose accounts agree: no p flags another."""
+    told = votes(units, taus, side_days=side_days, permutations=0, breaks=breaks).persist()
+    try:
+        return {r.tau: r.z for r in _marked(told).filter("agree and plan_wide").select("tau", F.round(F.abs("z"), 9).alias("z")).collect()}
+    finally:
+        told.unpersist()
+
+
 def search(units: DataFrame, taus: Sequence[float], permutations: int = 2000, alpha: float = 0.001, breaks: Sequence[float] = (), gap_hours: float = 48.0, side_days: int = 14, most_changes: int = 12, most: int = 100_000) -> list[dict]:
     """The flagged instant of the smallest p becomes a change, cuts its neighbours' sides, and what it cut is scanned again, until none flags.
 
     ``breaks`` are changes known before: they cut from the start and are not found again. Ties go to the
-    larger |z|; p is compared at the first round's resolution.
+    larger |z|; p is compared at the first round's resolution. So instants are shuffled by falling |z|, until
+    one has the least p: no later one comes before it.
     """
     cuts, out = [float(b) for b in breaks], []
     grid = sorted({float(t) for t in taus})
     rows: dict[float, dict] = {}
-    stale = grid
+    strength: dict[float, float] = {}
+    stale, least = grid, 1 / (permutations + 1)
     while stale and len(out) < most_changes:
-        rows |= clear_scan(units, stale, permutations, most, alpha, side_days=side_days, breaks=cuts)
-        open_ = [r for t, r in rows.items() if is_flagged(r, alpha) and all(abs(t - c) >= gap_hours for c in cuts)]
+        strength |= agreeing(units, stale, side_days, cuts)
+        todo = sorted((t for t in strength if all(abs(t - c) >= gap_hours for c in cuts)), key=lambda t: (-strength[t], t))
+        open_: list[dict] = []
+        size = 1
+        while todo and not any(r["p"] <= least for r in open_):
+            part, todo = todo[:size], todo[size:]
+            if fresh := [t for t in part if t not in rows]:
+                rows |= clear_scan(units, fresh, permutations, most, alpha, side_days=side_days, breaks=cuts)
+            open_ += [rows[t] for t in part if t in rows and is_flagged(rows[t], alpha)]
+            size *= 4
         if not open_:
             break
-        best = min(open_, key=lambda r: (max(r["p"], 1 / (permutations + 1)), -abs(r["z"]), r["tau"]))
+        best = min(open_, key=lambda r: (max(r["p"], least), -abs(r["z"]), r["tau"]))
         out.append(best)
         cuts.append(best["tau"])
         stale = [t for t in grid if abs(t - best["tau"]) <= 24 * side_days]
         for t in stale:
             rows.pop(t, None)
+            strength.pop(t, None)
     return out
 
 
