@@ -240,3 +240,10 @@ def test_corroborated_resets_pairs_no_falls(spark, sf_dir):
     plan = catalog.queries()["corroborated_resets"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line]
     assert len(joins) == 1 and "other" not in joins[0]
+
+
+def test_accounts_of_seven_day_steps_are_dealt_over_a_number_of_tasks_that_stays(spark, sf_dir):
+    from tidewater.plans import metering
+
+    plan = metering.seven_day_steps(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 2

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from tidewater.functions.values import DAY, HOUR, bundle_value, ratio_interval, utc_day, week_key
 from tidewater.operators import asof, ordered, rollup
+from tidewater.operators.cut import dealt
 from tidewater.plans.base import MAX_GAP, prices, query, readings, turns
 
 PRICED = {"input": "p_input", "output": "p_output", "cache_read": "p_read", "cache_write": "p_write", "cache_write_1h": "p_write_1h"}
@@ -147,10 +148,14 @@ def steps_of(spark: SparkSession, sf_dir: str) -> DataFrame:
   (SELECT coalesce(sum(input), 0)::BIGINT FROM turns t WHERE t.account = s.account AND t.ts_us >= s.start_us AND t.ts_us < s.end_us) AS input_tokens
 FROM steps s""", ["SCAN-8", "INT-1"])
 def seven_day_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One-point steps with the crossings and turns in them, from running totals at both ends."""
-    steps = steps_of(spark, sf_dir)
-    five = ordered.crossings(readings(spark, sf_dir), "five_hour", "resets_us", MAX_GAP).select("account", F.col("upper_us").alias("at_us"), F.col("value").alias("v"), F.lit(1).alias("n5"))
-    work = turns(spark, sf_dir).select("account", F.col("ts_us").alias("at_us"), F.col("event_id").alias("v"), F.lit(1).alias("n_turns"), F.col("input").alias("n_input"))
+    """One-point steps with the crossings and turns in them, from running totals at both ends.
+
+    Totals of one key follow each other in a task, each with a sort of its own, so accounts are dealt over a number of tasks that stays.
+    """
+    r = dealt(readings(spark, sf_dir), "account")
+    steps = ordered.unit_steps(ordered.crossings(r, "seven_day", "seven_resets_us", MAX_GAP))
+    five = ordered.crossings(r, "five_hour", "resets_us", MAX_GAP).select("account", F.col("upper_us").alias("at_us"), F.col("value").alias("v"), F.lit(1).alias("n5"))
+    work = dealt(turns(spark, sf_dir).select("account", F.col("ts_us").alias("at_us"), F.col("event_id").alias("v"), F.lit(1).alias("n_turns"), F.col("input").alias("n_input")), "account")
     for end in ("start_us", "end_us"):
         steps = asof.running_total_at(steps, five, ["account"], end, "at_us", ["n5"], ["v"], inclusive=False)
         steps = asof.running_total_at(steps, work, ["account"], end, "at_us", ["n_turns", "n_input"], ["v"], inclusive=False)
