@@ -247,3 +247,30 @@ def test_accounts_of_seven_day_steps_are_dealt_over_a_number_of_tasks_that_stays
 
     plan = metering.seven_day_steps(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") >= 2
+
+
+def test_readings_and_changes_read_stretches_that_are_stored_once(spark):
+    from pyspark.sql import functions as F
+
+    from tidewater.plans import metering, relational, runs
+
+    folder = "/root/testdata/sf0.01"
+    r, c = runs.readings_and_changes(spark, folder)
+    assert not any("events" in f for df in (r, c) for f in df.inputFiles())
+    s = metering.stretch_values(spark, folder).filter("nano > 0").join(relational.family_design(spark, folder), ["account", "ordinal"])
+    most = F.greatest(*runs.FAMILIES)
+    family = F.coalesce(*[F.when(F.col(f) == most, F.lit(f)) for f in runs.FAMILIES])
+    told = s.select("account", F.col("start_us").alias("start"), family.alias("family"), (F.col("nano") / F.lit(1e11) / F.col("delta_pct")).alias("value"))
+    got = r.select("account", "start", "family", "value")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, told.collect())) and got.count() > 40
+
+
+def test_accounts_of_stored_stretches_are_dealt_over_a_number_of_tasks_that_stays(spark, sf_dir, monkeypatch):
+    from tidewater.plans import metering
+
+    plans = []
+    write = metering.written
+    monkeypatch.setattr(metering, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    metering.stored_stretches(spark, sf_dir, ["click"])
+    # no other exchange lies between the sorts of an account
+    assert [p.count("REPARTITION_BY_NUM") for p in plans] == [1, 2] and plans[0].count("Exchange hashpartitioning") == 1

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidewater.functions.values import FIVE_HOURS, MINUTE, SECOND, same_reset
+from tidewater.operators.cut import dealt
 
 Step = Callable[[tuple], Iterable[tuple]]
 
@@ -27,11 +28,12 @@ def _scalars(column: pd.Series) -> list:
     return [None if gone else v for v, gone in zip(values, missing, strict=True)]
 
 
-def fold(df: DataFrame, by: Sequence[str], order: Sequence[str], make: Callable[[], tuple[Step, Callable[[], Iterable[tuple]]]], schema: str) -> DataFrame:
+def fold(df: DataFrame, by: Sequence[str], order: Sequence[str], make: Callable[[], tuple[Step, Callable[[], Iterable[tuple]]]], schema: str, spread: bool = False) -> DataFrame:
     """Stream the rows of each key in order through a state machine.
 
     ``make`` returns (row function, end function) with fresh state for a key; both yield output rows
-    without the key columns, which ``schema`` must start with.
+    without the key columns, which ``schema`` must start with. With ``spread``, keys are dealt over a
+    number of tasks that stays: no shuffle where they are dealt so already.
     """
     by, n = list(by), len(by)
     names = [x.strip().split()[0] for x in schema.split(",")]
@@ -54,7 +56,8 @@ def fold(df: DataFrame, by: Sequence[str], order: Sequence[str], make: Callable[
         if key is not None and (rest := [(*key, *x) for x in end()]):
             yield pd.DataFrame(rest, columns=names)
 
-    return df.select(*columns).repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+    slim = df.select(*columns)
+    return (dealt(slim, *by) if spread else slim.repartition(*by)).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
 
 
 # --- pairs -----------------------------------------------------------------------------------
@@ -121,7 +124,7 @@ def reset_brackets(readings: DataFrame, by: Sequence[str] = ("account",)) -> Dat
 # --- pooled movement -------------------------------------------------------------------------------
 
 
-def pooled(pair_rows: DataFrame, threshold: float, survives: bool, by: Sequence[str] = ("account",)) -> DataFrame:
+def pooled(pair_rows: DataFrame, threshold: float, survives: bool, by: Sequence[str] = ("account",), spread: bool = False) -> DataFrame:
     """Pairs that count, with the ordinal of the movement they pool into and whether they start a piece.
 
     A movement closes once it reaches ``threshold``; what overshoots is thrown away. With ``survives``, it
@@ -157,15 +160,20 @@ def pooled(pair_rows: DataFrame, threshold: float, survives: bool, by: Sequence[
     types = {f.name: f.dataType.simpleString() for f in pair_rows.schema}
     schema = ", ".join([*[f"{c} {types[c]}" for c in by], "ts_us bigint", "seq bigint", "prev_ts_us bigint", "delta double", "ordinal bigint", "starts_piece boolean", "closed boolean"])
     slim = pair_rows.select(*by, "ts_us", "seq", "prev_ts_us", F.col("delta").cast("double").alias("delta"), "broken")
-    return fold(slim, by, ["ts_us", "seq"], make, schema)
+    return fold(slim, by, ["ts_us", "seq"], make, schema, spread)
 
 
 def stretches(pair_rows: DataFrame, threshold: float = 10, by: Sequence[str] = ("account",), survives: bool = True) -> tuple[DataFrame, DataFrame]:
     """(closed movements, their pairs): start, end, delta and windows of each, and the pairs to join events to."""
     marked = pooled(pair_rows, threshold, survives, by)
+    return closed_movements(marked, by), marked
+
+
+def closed_movements(marked: DataFrame, by: Sequence[str] = ("account",)) -> DataFrame:
+    """Start, end, delta and windows of each movement of pooled pairs that closed."""
     keys = [*by, "ordinal"]
     whole = marked.groupBy(*keys).agg(F.min("prev_ts_us").alias("start_us"), F.max("ts_us").alias("end_us"), F.sum("delta").alias("delta_pct"), F.count_if("starts_piece").alias("windows"), F.bool_or("closed").alias("closed"))
-    return whole.filter("closed").drop("closed"), marked
+    return whole.filter("closed").drop("closed")
 
 
 # --- crossings ----------------------------------------------------------------------------------------

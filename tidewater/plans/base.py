@@ -105,8 +105,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("event_id", micros(F.col("ts")).alias("ts_us"), "user_id", F.floor(F.col("user_id") / 40).alias("account"), "event_type", F.round(F.col("value") * 100).cast("bigint").alias("cents"), F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
 
-def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
+def readings(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """The meter's readings; ``of`` is the events where they are dealt already."""
+    e = events(spark, sf_dir) if of is None else of
     w = lambda length: W.partitionBy("account", F.floor(F.col("ts_us") / length)).orderBy("ts_us", "event_id")
     level = lambda length, unit: F.least(F.lit(100), F.floor(F.sum("cents").over(w(length)) / unit)).cast("double")
     ends = lambda length: ((F.floor(F.col("ts_us") / length) + 1) * length).cast("bigint")

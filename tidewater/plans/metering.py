@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidewater.functions.values import DAY, HOUR, bundle_value, ratio_interval, utc_day, week_key
 from tidewater.operators import asof, ordered, rollup
-from tidewater.operators.cut import dealt
-from tidewater.plans.base import MAX_GAP, prices, query, readings, turns
+from tidewater.operators.cut import dealt, written
+from tidewater.plans.base import MAX_GAP, events, prices, query, readings, turns
 
 PRICED = {"input": "p_input", "output": "p_output", "cache_read": "p_read", "cache_write": "p_write", "cache_write_1h": "p_write_1h"}
 
@@ -42,6 +44,23 @@ def stretch_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.na.fill(0, ["nano", "turns", "unpriced_tokens"])
 
 
+def stored_stretches(spark: SparkSession, sf_dir: str, models: Sequence[str]) -> DataFrame:
+    """Stretches with turns: start, movement, value and each model's input, stored for queries that read them more than once.
+
+    Readings are scanned once: the stored pairs tell both what closed and each turn's stretch. Accounts are
+    dealt over a number of tasks that stays, as several sorts of one account follow each other in a task.
+    """
+    pairs = ordered.reading_pairs(readings(spark, sf_dir, dealt(events(spark, sf_dir), "account")), MAX_GAP)
+    marked = written(ordered.pooled(pairs, 10, True, spread=True), "pairs")
+    spans = marked.select("account", "ordinal", F.col("prev_ts_us").alias("from_us"), F.col("ts_us").alias("to_us"), F.col("seq").alias("pair_seq"))
+    work = turns(spark, sf_dir).select("account", "ts_us", "model", *PRICED)
+    held = asof.contained(dealt(work, "account"), dealt(spans, "account"), ["account"], "ts_us", "from_us", "to_us", ["ordinal"], ["pair_seq"])
+    inputs = [F.coalesce(F.sum(F.when(F.col("model") == m, F.col("input"))), F.lit(0)).alias(m) for m in models]
+    sums = valued(spark, held).groupBy("account", "ordinal").agg(F.sum(F.coalesce("nano", F.lit(0))).alias("nano"), *inputs)
+    closed = ordered.closed_movements(marked).select("account", "ordinal", "start_us", "delta_pct")
+    return written(closed.join(sums, ["account", "ordinal"]), "stretches")
+
+
 PAIR_OUT = "SELECT account, seq, ts_us, prev_ts_us, delta, is_reset, broken FROM pairs"
 
 

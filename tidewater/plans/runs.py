@@ -12,7 +12,7 @@ from tidewater.functions.values import DAY, HOUR
 from tidewater.operators import documents, sets
 from tidewater.operators.cut import written
 from tidewater.plans.base import events, query, turns
-from tidewater.plans.metering import VALUED, closed_stretches, stretch_values
+from tidewater.plans.metering import VALUED, closed_stretches, stored_stretches, stretch_values
 from tidewater.plans.relational import family_design
 from tidewater.stats import daily, feasible, regimes
 from tidewater.streaming import alerts
@@ -55,13 +55,13 @@ change AS (SELECT account, cut, ratio, ratio * 0.9::DOUBLE AS lo, ratio * 1.1::D
 
 
 def readings_and_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Stretches as readings in their largest family's units, and each day's step of an account's rate as a change."""
-    s = stretch_values(spark, sf_dir).filter("nano > 0")
+    """Stretches as readings in their largest family's units, and each day's step of an account's rate as a change; both read the stored stretches."""
+    s = stored_stretches(spark, sf_dir, FAMILIES).filter("nano > 0")
     top = F.when((F.col("click") >= F.col("error")) & (F.col("click") >= F.col("purchase")), "click").when(F.col("error") >= F.col("purchase"), "error").otherwise("purchase")
-    f = family_design(spark, sf_dir).select("account", "ordinal", top.alias("family"))
     value = F.col("nano") / F.lit(1e11) / F.col("delta_pct")
     factor = F.when(F.col("family") == "click", 1.0).when(F.col("family") == "error", 1.25).otherwise(0.8)
-    r = s.join(f, ["account", "ordinal"]).select("account", F.col("start_us").alias("start"), "family", value.alias("value"), (value * factor).alias("anchor_value"))
+    used = s.filter(" + ".join(FAMILIES) + " > 0").withColumn("family", top)
+    r = used.select("account", F.col("start_us").alias("start"), "family", value.alias("value"), (value * factor).alias("anchor_value"))
     d = s.groupBy("account", F.floor(F.col("start_us") / DAY).alias("day")).agg((F.sum("nano") / F.lit(1e11) / F.sum("delta_pct")).alias("rate"))
     ratio = F.col("rate") / F.lag("rate").over(W.partitionBy("account").orderBy("day"))
     c = d.withColumn("ratio", ratio).filter("ratio is not null")
@@ -125,8 +125,7 @@ def run_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     lead = first.select("plan", "at", F.when(F.col("change_pct") > 0, "increased").otherwise("decreased").alias("direction"), F.abs(F.round("change_pct")).cast("int").alias("percent"))
     told = checks.state_rules(state, headline, now, LOOSE.hold_days, lead=lead)
     r, c = readings_and_changes(spark, sf_dir)
-    r, c = written(r, "readings"), written(c, "changes")
-    direct = checks.direct_means_direct(regimes.cluster_regimes(c, r, ["account"], "click"), r, ["account"])
+    direct = checks.direct_means_direct(written(regimes.cluster_regimes(c, r, ["account"], "click"), "regimes"), r, ["account"])
     return told.unionByName(direct.select(F.lit("direct_means_direct").alias("rule"), F.col("account").cast("string").alias("row")))
 
 
